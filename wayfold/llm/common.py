@@ -118,3 +118,16 @@ def shingle_codes(code: np.ndarray, k: int) -> np.ndarray:
     for j in range(1, k):
         out = mix(out * _ODD + code[j : len(code) - k + 1 + j])
     return out
+
+
+def bounded(batches, column: int, limit: int = 4 << 20):
+    """The same rows in record batches of about ``limit`` bytes of text at most; a longer text comes alone."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        _, offsets = text_bytes(batch.column(column))
+        low = 0
+        while low < batch.num_rows:
+            high = max(low + 1, int(np.searchsorted(offsets, offsets[low] + limit, "right")) - 1)
+            yield batch.slice(low, high - low)
+            low = high

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wayfold.llm.common import fold, text_bytes
+from wayfold.llm.common import bounded, fold, text_bytes
 
 TRAIN_ROWS = 2_000
 MIN_COUNT = 2
@@ -51,7 +51,7 @@ def gram_counts(df: DataFrame, text: str, lang: str) -> DataFrame:
     """Counts of (three bytes of context, byte) by language: ``lang, gram, n``."""
 
     def run(batches):
-        for batch in batches:
+        for batch in bounded(batches, 1):
             names, column = batch.column(0).to_pylist(), batch.column(1)
             for name in sorted({x for x in names if x is not None}):
                 raw, offsets = text_bytes(column.filter(pa.array([x == name for x in names])))
@@ -143,7 +143,7 @@ def predict(df: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
     def run(batches):
         m = shared.value
         names = np.array([*m.langs, "und"], object)
-        for batch in batches:
+        for batch in bounded(batches, -1):
             column = batch.column(batch.num_columns - 1)
             raw, offsets = text_bytes(column)
             letters = np.concatenate([[0], np.cumsum(((raw | 32) >= 97) & ((raw | 32) <= 122))])

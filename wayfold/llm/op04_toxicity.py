@@ -1,17 +1,20 @@
 """Toxicity by a linear classifier on character n-grams scaled by naive Bayes log-count ratios.
 
-A text's features are the distinct 3-, 4- and 5-byte grams of its folded text
-(non-word bytes read as a space), hashed to 2**18 places. Each place j has the
-ratio r_j = log((p_j / |p|) / (q_j / |q|)) of smoothed document counts in the
-two classes; the ``FEATURES`` most telling places are kept, and logistic
-regression with a ridge penalty is fitted to the features scaled by r_j.
+A text's features are the 4-, 6- and 8-byte grams of its folded text (non-word
+bytes read as a space), hashed to 2**20 places. A gram that occurs c times in a
+text of n words has the rate f = c / (n + SMOOTH) and the value f / (f + HALF):
+it saturates, so long texts are not favoured and repeats count little.
+Each place j has the ratio r_j = log((p_j / |p|) / (q_j / |q|)) of the smoothed
+value sums in the two classes; the ``FEATURES`` places that speak most for
+class 1 are kept, and logistic regression with a ridge penalty is fitted to
+the values scaled by r_j.
 
 Fitting takes at most ``TRAIN_ROWS`` labelled rows in expectation, drawn by a
 hash of the row key. Every row is scored on its whole text.
 
 Defined cases: null and empty texts get the score of the intercept; rows
 without a label are not learned from; with fewer than two classes to learn
-from, every score is the share of class 1 (0 without rows).
+from, every score is near the class that was seen (0 without rows).
 """
 
 from __future__ import annotations
@@ -24,44 +27,54 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wayfold.llm.common import _WORD, fold, text_bytes
+from wayfold.llm.common import _WORD, bounded, fold, text_bytes
 
 TRAIN_ROWS = 12_000
-FEATURES = 4_096
-BITS = 18
+FEATURES = 512
+ORDERS = (4, 6, 8)
+BITS = 20
+SMOOTH = 20
+HALF = 0.01
 RIDGE = 1e-4
-STEPS = 200
+STEPS = 300
+UNIT = 1 << 20
 CUTOFF = 0.7
+CHUNK = 1 << 21
 _SPACE = np.where(_WORD, np.arange(256), 32).astype(np.uint8)
-_MUL = [np.uint32(m) for m in (2654435761, 2246822519, 3266489917, 668265263)]
-
-
-def grams(raw: np.ndarray, offsets: np.ndarray):
-    """For each order: hashed places, and the end of each text's grams of that order."""
-    x = _SPACE[fold(raw, latin=True)].astype(np.uint32)
-    shift = np.uint32(32 - BITS)
-    for order in (3, 4, 5):
-        n = max(0, len(x) - order + 1)
-        g = x[:n] | x[1 : n + 1] << np.uint32(8) | x[2 : n + 2] << np.uint32(16)
-        if order > 3:
-            g |= x[3 : n + 3] << np.uint32(24)
-        h = g * _MUL[order - 3]
-        if order == 5:
-            h = (h ^ (h >> np.uint32(15))) + x[4 : n + 4] * _MUL[3]
-        h ^= h >> np.uint32(13)
-        yield order, (h * _MUL[1]) >> shift
-
-
-def distinct(raw: np.ndarray, offsets: np.ndarray, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (text, place) pairs; with ``wanted`` only places marked there."""
-    pairs = []
-    for order, h in grams(raw, offsets):
-        at = np.arange(len(h)) if wanted is None else np.flatnonzero(wanted[h])
-        doc = np.searchsorted(offsets, at, "right") - 1
-        fits = at + order <= offsets[doc + 1]
-        pairs.append(np.unique(doc[fits] << BITS | h[at[fits]].astype(np.int64)))
-    both = np.unique(np.concatenate(pairs))
-    return both >> BITS, both & ((1 << BITS) - 1)
+
+
+def _places(x: np.ndarray, order: int) -> np.ndarray:
+    """The hashed place of the gram that begins at each byte."""
+    octets = np.lib.stride_tricks.as_strided(np.concatenate([x, np.zeros(8, np.uint8)]), (len(x), 8), (1, 1))
+    gram = np.ascontiguousarray(octets).view(np.uint64)[:, 0]
+    if order < 8:
+        gram &= np.uint64((1 << 8 * order) - 1)
+    gram *= np.uint64(0x9E3779B97F4A7C15)
+    gram ^= gram >> np.uint64(29)
+    gram *= np.uint64(0xBF58476D1CE4E5B9 + 2 * order)
+    return gram >> np.uint64(64 - BITS)
+
+
+def values(raw: np.ndarray, offsets: np.ndarray, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The (text, place, value) triples of a batch, by text and place; with ``wanted`` only of places marked there."""
+    x = _SPACE[fold(raw, latin=True)]
+    found = []
+    for low in range(0, len(x), CHUNK):  # grams that begin in this part
+        part = x[low : low + CHUNK + 8]
+        for order in ORDERS:
+            place = _places(part, order)[:CHUNK]
+            at = np.arange(len(place)) if wanted is None else np.flatnonzero(wanted[place])
+            doc = np.searchsorted(offsets, at + low, "right") - 1
+            fits = at + low + order <= offsets[doc + 1]
+            found.append(doc[fits] << BITS | place[at[fits]].astype(np.int64))
+    pair, count = np.unique(np.concatenate([np.zeros(0, np.int64), *found]), return_counts=True)
+    doc = pair >> BITS
+    word = x != 32
+    begins = word.copy()
+    begins[1:] &= ~word[:-1]
+    words = np.concatenate([[0], np.cumsum(begins)])
+    rate = count / ((words[offsets[1:]] - words[offsets[:-1]])[doc] + SMOOTH)
+    return doc, pair & ((1 << BITS) - 1), rate / (rate + HALF)
 
 
 @dataclass
@@ -70,20 +83,19 @@ class Model:
     bias: float
 
     def score(self, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        doc, place = distinct(raw, offsets, self.weight != 0)
-        z = self.bias + np.bincount(doc, self.weight[place], len(offsets) - 1)
+        doc, place, value = values(raw, offsets, self.weight != 0)
+        z = self.bias + np.bincount(doc, value * self.weight[place], len(offsets) - 1)
         return 1 / (1 + np.exp(-np.clip(z, -50, 50)))
 
 
-def fit(rows: np.ndarray, cols: np.ndarray, y: np.ndarray, ratio: np.ndarray) -> tuple[np.ndarray, float]:
-    """Ridge logistic regression by Adam over (row, feature) pairs with value ``ratio[feature]``."""
-    w, m, v = (np.zeros(len(ratio) + 1) for _ in range(3))
+def fit(rows: np.ndarray, cols: np.ndarray, value: np.ndarray, y: np.ndarray, n: int) -> tuple[np.ndarray, float]:
+    """Ridge logistic regression by Adam over (row, feature, value) triples of ``n`` features."""
+    w, m, v = (np.zeros(n + 1) for _ in range(3))
     w[-1] = np.log(y.mean() / (1 - y.mean()))
-    value = ratio[cols]
     for t in range(1, STEPS + 1):
         z = np.bincount(rows, value * w[cols], len(y)) + w[-1]
         err = 1 / (1 + np.exp(-np.clip(z, -50, 50))) - y
-        g = np.append(np.bincount(cols, value * err[rows], len(ratio)) / len(y) + RIDGE * w[:-1], err.mean())
+        g = np.append(np.bincount(cols, value * err[rows], n) / len(y) + RIDGE * w[:-1], err.mean())
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w -= 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
     return w[:-1], float(w[-1])
@@ -100,45 +112,47 @@ def train(df: DataFrame, label: str, key: str = "doc_id", text: str = "text", ro
         return Model(np.zeros(size), -50.0 if not ones else 50.0)
 
     def count(batches):
-        both = np.zeros((2, size), np.int64)
-        for batch in batches:
+        both = np.zeros((2, size))
+        for batch in bounded(batches, 2):
             raw, offsets = text_bytes(batch.column(2))
             y = np.array(batch.column(1))
-            doc, place = distinct(raw, offsets)
+            doc, place, value = values(raw, offsets)
             for k in (0, 1):
-                both[k] += np.bincount(place[y[doc] == k], minlength=size)
+                own = y[doc] == k
+                both[k] += np.bincount(place[own], value[own], size)
+        both = np.rint(both * UNIT).astype(np.int64)  # whole numbers add up alike in any order
         place = np.flatnonzero(both.sum(0))
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in (place, both[0][place], both[1][place])], names=["place", "n0", "n1"])
 
     counts = sample.mapInArrow(count, "place long, n0 long, n1 long").groupBy("place").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     table = np.array([tuple(r) for r in counts.collect()], np.int64).reshape(-1, 3)
-    q, p = table[:, 1] + 1.0, table[:, 2] + 1.0
-    share_p, share_q = p / p.sum(), q / q.sum()
-    ratio = np.log(share_p / share_q)
-    order = np.lexsort((table[:, 0], -((share_p - share_q) ** 2) / (share_p + share_q)))[:FEATURES]
+    q, p = table[:, 1] / UNIT + 1, table[:, 2] / UNIT + 1
+    q, p = q / (q.sum() + size - len(q)), p / (p.sum() + size - len(p))
+    ratio = np.log(p / q)
+    order = np.lexsort((table[:, 0], -np.where(p > q, (p - q) ** 2 / (p + q), 0)))[:FEATURES]
     column = np.full(size, -1, np.int64)
     column[table[order, 0]] = np.arange(len(order))
     ratio = ratio[order]
 
     def extract(batches):
-        for batch in batches:
+        for batch in bounded(batches, 2):
             raw, offsets = text_bytes(batch.column(2))
-            doc, place = distinct(raw, offsets, column >= 0)
-            ends = np.searchsorted(doc, np.arange(len(offsets)))
-            lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(column[place].astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], names=["key", "y", "cols"])
+            doc, place, value = values(raw, offsets, column >= 0)
+            ends = pa.array(np.searchsorted(doc, np.arange(len(offsets))).astype(np.int32))
+            cols, of = pa.ListArray.from_arrays(ends, pa.array(column[place].astype(np.int32))), pa.ListArray.from_arrays(ends, pa.array(value))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), cols, of], names=["key", "y", "cols", "of"])
 
     key_type = known.schema["key"].dataType
-    schema = T.StructType([T.StructField("key", key_type), T.StructField("y", T.IntegerType()), T.StructField("cols", T.ArrayType(T.IntegerType()))])
+    schema = T.StructType([T.StructField("key", key_type), T.StructField("y", T.IntegerType()), T.StructField("cols", T.ArrayType(T.IntegerType())), T.StructField("of", T.ArrayType(T.DoubleType()))])
     drawn = sample.mapInArrow(extract, schema).toArrow().sort_by("key")
     lists = drawn["cols"].combine_chunks()
-    cols = np.array(lists.flatten(), np.int64)
+    cols, value = np.array(lists.flatten(), np.int64), np.array(drawn["of"].combine_chunks().flatten())
     owner = np.repeat(np.arange(len(lists)), np.array(lists.value_lengths()))
     y = np.array(drawn["y"], float)
     weight = np.zeros(size)
     if not len(y) or y.min() == y.max():
         return Model(weight, 50.0 if len(y) and y[0] else -50.0)
-    w, bias = fit(owner, cols, y, ratio)
+    w, bias = fit(owner, cols, value * ratio[cols], y, len(ratio))
     weight[table[order, 0]] = w * ratio
     return Model(weight, bias)
 
@@ -150,7 +164,7 @@ def predict(df: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
 
     def run(batches):
         m = shared.value
-        for batch in batches:
+        for batch in bounded(batches, -1):
             score = m.score(*text_bytes(batch.column(batch.num_columns - 1)))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(score), pa.array((score >= cutoff).astype(np.int32))], names=[*batch.schema.names[:-1], "score", "predicted"])
 

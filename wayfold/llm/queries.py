@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfold.llm import op03_langid, op04_toxicity, op05_bpe, op10_attribution
+from wayfold.llm import op03_langid, op04_toxicity, op05_bpe, op06_licenses, op09_quality, op10_attribution
 from wayfold.llm.common import read
 
 
@@ -32,6 +32,15 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op05_bpe.digests(read(spark, sf_dir, "documents"))
 
 
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = op06_licenses.scan(read(spark, sf_dir, "documents"))
+    return rows.withColumn("matches", F.array_join(F.transform("matches", lambda m: F.concat_ws(":", m["template"], m["line"].cast("string"))), ","))
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op09_quality.judge(read(spark, sf_dir, "documents"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every line of every document; a token over a line break belongs to the line with its first character."""
     rows = op10_attribution.attribute(read(spark, sf_dir, "documents"))
@@ -42,6 +51,8 @@ QUERIES = {
     "op3_language_id": op3_language_id,
     "op4_toxicity": op4_toxicity,
     "op5_bpe": op5_bpe,
+    "op6_licenses": op6_licenses,
+    "op9_quality": op9_quality,
     "op10_token_counts": op10_token_counts,
 }
 ORACLES: dict[str, str] = {}
