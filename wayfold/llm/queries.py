@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfold.llm import op03_langid, op04_toxicity, op05_bpe, op06_licenses, op09_quality, op10_attribution
+from wayfold.llm import op03_langid, op04_toxicity, op05_bpe, op06_licenses, op08_secrets, op09_quality, op10_attribution
 from wayfold.llm.common import read
 
 
@@ -37,6 +37,18 @@ def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("matches", F.array_join(F.transform("matches", lambda m: F.concat_ws(":", m["template"], m["line"].cast("string"))), ","))
 
 
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = op08_secrets.RULES
+    base = tuple(r for r in rules if r.base)
+    rows = op08_secrets.scan(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select(
+        "doc_id",
+        *(F.size(f"spans_{r.kind}").cast("long").alias(f"n_{r.kind}") for r in base),
+        F.sha2(op08_secrets.listing(base), 256).alias("base_sha256"),
+        op08_secrets.listing(rules).alias("spans"),
+    )
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op09_quality.judge(read(spark, sf_dir, "documents"))
 
@@ -52,6 +64,7 @@ QUERIES = {
     "op4_toxicity": op4_toxicity,
     "op5_bpe": op5_bpe,
     "op6_licenses": op6_licenses,
+    "op8_secrets": op8_secrets,
     "op9_quality": op9_quality,
     "op10_token_counts": op10_token_counts,
 }
