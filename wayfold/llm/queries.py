@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfold.llm import op03_langid, op04_toxicity, op05_bpe, op06_licenses, op08_secrets, op09_quality, op10_attribution
+from wayfold.llm import op01_simhash, op03_langid, op04_toxicity, op05_bpe, op06_licenses, op08_secrets, op09_quality, op10_attribution
 from wayfold.llm.common import read
 
 
@@ -13,6 +13,11 @@ def _remainder(column: str, m: int) -> Column:
     return F.coalesce(F.crc32(F.col(column).cast("string")), F.lit(0)) % m
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = op01_simhash.classes(read(spark, sf_dir, "documents"))
+    return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     held_out = _remainder("doc_id", 5) == 0
@@ -60,6 +65,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_simhash": op1_simhash,
     "op3_language_id": op3_language_id,
     "op4_toxicity": op4_toxicity,
     "op5_bpe": op5_bpe,
