@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfold.llm import op01_simhash, op03_langid, op04_toxicity, op05_bpe, op06_licenses, op08_secrets, op09_quality, op10_attribution
+from wayfold.llm import op01_simhash, op03_langid, op04_toxicity, op05_bpe, op06_licenses, op07_decontamination, op08_secrets, op09_quality, op10_attribution
 from wayfold.llm.common import read
 
 
@@ -42,6 +42,13 @@ def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("matches", F.array_join(F.transform("matches", lambda m: F.concat_ws(":", m["template"], m["line"].cast("string"))), ","))
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each (document, benchmark item) that leaks, with the closest stretch."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = op07_decontamination.scan(docs, read(spark, sf_dir, "benchmark"))
+    return rows.select("doc_id", F.explode("leaks").alias("leak")).select("doc_id", "leak.*")
+
+
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = op08_secrets.RULES
     base = tuple(r for r in rules if r.base)
@@ -70,6 +77,7 @@ QUERIES = {
     "op4_toxicity": op4_toxicity,
     "op5_bpe": op5_bpe,
     "op6_licenses": op6_licenses,
+    "op7_decontamination": op7_decontamination,
     "op8_secrets": op8_secrets,
     "op9_quality": op9_quality,
     "op10_token_counts": op10_token_counts,
