@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfold.llm import op01_simhash, op03_langid, op04_toxicity, op05_bpe, op06_licenses, op07_decontamination, op08_secrets, op09_quality, op10_attribution
+from wayfold.llm import op01_simhash, op02_substrings, op03_langid, op04_toxicity, op05_bpe, op06_licenses, op07_decontamination, op08_secrets, op09_quality, op10_attribution
 from wayfold.llm.common import read
 
 
@@ -18,6 +18,12 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op2_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that share a passage of 50 words or more with another, with their class and word spans."""
+    rows = op02_substrings.repeats(read(spark, sf_dir, "documents"))
+    return rows.withColumn("spans", F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ","))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     held_out = _remainder("doc_id", 5) == 0
@@ -73,6 +79,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op2_substrings": op2_substrings,
     "op3_language_id": op3_language_id,
     "op4_toxicity": op4_toxicity,
     "op5_bpe": op5_bpe,
