@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wayfold.llm.common import _WORD, bounded, fold, text_bytes
+from wayfold.llm.common import _WORD, bounded, fold, materialize, text_bytes
 
 TRAIN_ROWS = 12_000
 FEATURES = 512
@@ -124,22 +124,21 @@ def train(df: DataFrame, label: str, key: str = "doc_id", text: str = "text", ro
         place = np.flatnonzero(both.sum(0))
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in (place, both[0][place], both[1][place])], names=["place", "n0", "n1"])
 
-    counts = sample.mapInArrow(count, "place long, n0 long, n1 long").groupBy("place").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    table = np.array([tuple(r) for r in counts.collect()], np.int64).reshape(-1, 3)
-    q, p = table[:, 1] / UNIT + 1, table[:, 2] / UNIT + 1
-    q, p = q / (q.sum() + size - len(q)), p / (p.sum() + size - len(p))
-    ratio = np.log(p / q)
-    order = np.lexsort((table[:, 0], -np.where(p > q, (p - q) ** 2 / (p + q), 0)))[:FEATURES]
+    counts = materialize(sample.mapInArrow(count, "place long, n0 long, n1 long").groupBy("place").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")))
+    whole = counts.agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).first()
+    q, p = ((F.col(c) / UNIT + 1) / (whole[c] / UNIT + size) for c in ("n0", "n1"))
+    telling = F.when(p > q, (p - q) * (p - q) / (p + q)).otherwise(0.0)
+    best = counts.orderBy(telling.desc(), "place").limit(FEATURES).select("place", F.log(p / q).alias("ratio")).collect()
+    place, ratio = np.array([r[0] for r in best], np.int64), np.array([r[1] for r in best])
     column = np.full(size, -1, np.int64)
-    column[table[order, 0]] = np.arange(len(order))
-    ratio = ratio[order]
+    column[place] = np.arange(len(place))
 
     def extract(batches):
         for batch in bounded(batches, 2):
             raw, offsets = text_bytes(batch.column(2))
-            doc, place, value = values(raw, offsets, column >= 0)
+            doc, at, value = values(raw, offsets, column >= 0)
             ends = pa.array(np.searchsorted(doc, np.arange(len(offsets))).astype(np.int32))
-            cols, of = pa.ListArray.from_arrays(ends, pa.array(column[place].astype(np.int32))), pa.ListArray.from_arrays(ends, pa.array(value))
+            cols, of = pa.ListArray.from_arrays(ends, pa.array(column[at].astype(np.int32))), pa.ListArray.from_arrays(ends, pa.array(value))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), cols, of], names=["key", "y", "cols", "of"])
 
     key_type = known.schema["key"].dataType
@@ -153,7 +152,7 @@ def train(df: DataFrame, label: str, key: str = "doc_id", text: str = "text", ro
     if not len(y) or y.min() == y.max():
         return Model(weight, 50.0 if len(y) and y[0] else -50.0)
     w, bias = fit(owner, cols, value * ratio[cols], y, len(ratio))
-    weight[table[order, 0]] = w * ratio
+    weight[place] = w * ratio
     return Model(weight, bias)
 
 
