@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wayfold.llm.common import materialize
+from wayfold.llm.common import bounded, materialize
 from wayfold.llm.graph import components
 
 SHINGLE = 4
@@ -67,7 +67,7 @@ def fingerprints(df: DataFrame, doc_id: str = "doc_id", text: str = "text", k: i
     """``doc_id`` and ``fp``, the fingerprint as a signed 64-bit number."""
 
     def run(batches):
-        for batch in batches:
+        for batch in bounded(batches, 1):
             values = np.array([fingerprint(x.as_py(), k) for x in batch.column(1)], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values.view(np.int64))], names=[doc_id, "fp"])
 

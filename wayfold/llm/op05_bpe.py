@@ -18,6 +18,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from wayfold.llm.common import bounded
+
 RANKS = "byte_bpe_50k.tiktoken"
 #: Characters after which a long text is cut at the next safe boundary.
 PIECE = 200_000
@@ -64,7 +66,7 @@ def encode(df: DataFrame, text: str = "text", out: str = "token_ids", name: str
     """Append the token ids of ``text`` as an array column."""
 
     def run(batches):
-        for batch in batches:
+        for batch in bounded(batches, df.columns.index(text)):
             rows = batch.column(batch.schema.get_field_index(text))
             ids = pa.array([encode_text(x.as_py(), name) for x in rows], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([*batch.columns, ids], names=[*batch.schema.names, out])
@@ -92,7 +94,7 @@ def digests(df: DataFrame, doc_id: str = "doc_id", text: str = "text", name: str
     def run(batches):
         enc = encoding(name)
         said = [str(i) for i in range(enc.n_vocab)].__getitem__
-        for batch in batches:
+        for batch in bounded(batches, 1):
             n, ids_sha, text_sha = [], [], []
             for x in batch.column(1):
                 ids = encode_text(x.as_py(), name)

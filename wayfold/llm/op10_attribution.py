@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from wayfold.llm.common import bounded
 from wayfold.llm.op05_bpe import RANKS, encode_text, encoding
 
 RULES = ("first", "most")
@@ -85,7 +86,7 @@ def attribute(df: DataFrame, doc_id: str = "doc_id", text: str = "text", section
         raise ValueError(f"rule must be one of {RULES}")
 
     def run(batches):
-        for batch in batches:
+        for batch in bounded(batches, 1):
             out: list[list] = [[] for _ in range(5)]
             for k in range(batch.num_rows):
                 value = batch.column(1)[k].as_py() or ""
