@@ -65,9 +65,11 @@ def encode_text(text: str | None, name: str = RANKS) -> list[int]:
 def encode(df: DataFrame, text: str = "text", out: str = "token_ids", name: str = RANKS) -> DataFrame:
     """Append the token ids of ``text`` as an array column."""
 
+    at = df.columns.index(text)
+
     def run(batches):
-        for batch in bounded(batches, df.columns.index(text)):
-            rows = batch.column(batch.schema.get_field_index(text))
+        for batch in bounded(batches, at):
+            rows = batch.column(at)
             ids = pa.array([encode_text(x.as_py(), name) for x in rows], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([*batch.columns, ids], names=[*batch.schema.names, out])
 
