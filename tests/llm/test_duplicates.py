@@ -68,6 +68,19 @@ def test_bit_sliced_comparison():
         assert all(forest.root[i] == forest.root[j] for i, j in near)
 
 
+def test_similar(spark):
+    rng = random.Random(9)
+    words = [f"w{k}" for k in range(2000)]
+    docs = [rng.choices(words, k=400) for _ in range(30)]
+    for k in range(10):  # one word in a hundred changed: a similarity of about 0.9
+        docs.append([rng.choice(words) if i % 100 == 50 + k else w for i, w in enumerate(docs[k])])
+    docs.append(docs[12][:200] + docs[13][:200])  # half of each: not similar enough
+    df = spark.createDataFrame([(k, text_of(d)) for k, d in enumerate(docs)], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in op01_simhash.similar(df).collect()}
+    assert got == {**{k: k for k in range(30)}, **{30 + k: k for k in range(10)}, 40: 40}
+    assert op01_simhash.similar(df.where("false")).count() == 0
+
+
 def test_odd_rows(spark, odd_rows):
     rows = op01_simhash.classes(odd_rows).collect()
     assert len(rows) == 10

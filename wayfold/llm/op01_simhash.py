@@ -45,22 +45,41 @@ _LOWER = bytes(range(97, 123))
 _FOLD = bytes.maketrans(_UPPER, _LOWER)
 
 
-def fingerprint(text: str | None, k: int = SHINGLE) -> int:
-    """The 64-bit fingerprint of one text."""
-    import xxhash
-
+def _shingles(text: str | None, k: int) -> tuple[bytes, list[int], list[int]]:
+    """Folded text with single spaces, and where its shingles start and end."""
     raw = _SPACES.sub(b" ", (text or "").encode().translate(_FOLD)).strip(b" ")
     if not raw:
-        return 0
+        return raw, [], []
     bounds = np.flatnonzero(np.frombuffer(raw, np.uint8) == 32)
     start, end = np.concatenate([[0], bounds + 1]), np.concatenate([bounds, [len(raw)]])
     last = max(1, len(start) - k + 1)
-    low, high = start[:last].tolist(), end[-last:].tolist()
-    ones, digest = np.zeros(64, np.int64), xxhash.xxh64_digest
-    for at in range(0, last, PART):
-        hashes = b"".join([digest(raw[a:b], SEED) for a, b in zip(low[at : at + PART], high[at : at + PART], strict=True)])
-        ones += np.unpackbits(np.frombuffer(hashes, np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > last).tobytes(), "big")
+    return raw, start[:last].tolist(), end[-last:].tolist()
+
+
+def _majority(raw: bytes, low: list[int], high: list[int], digest, seeds: tuple[int, ...]) -> bytes:
+    """The bits that over half of the shingles' digests have set; none without shingles."""
+    parts = []
+    for seed in seeds:
+        ones, width = 0, len(digest(b"", seed))
+        for at in range(0, len(low), PART):
+            hashes = b"".join([digest(raw[a:b], seed) for a, b in zip(low[at : at + PART], high[at : at + PART], strict=True)])
+            ones = ones + np.unpackbits(np.frombuffer(hashes, np.uint8).reshape(-1, width), axis=1).sum(axis=0, dtype=np.int64)
+        parts.append(np.packbits(2 * ones > len(low)).tobytes() if low else bytes(width))
+    return b"".join(parts)
+
+
+def fingerprint(text: str | None, k: int = SHINGLE) -> int:
+    """The 64-bit fingerprint of one text."""
+    import xxhash
+
+    return int.from_bytes(_majority(*_shingles(text, k), xxhash.xxh64_digest, (SEED,)), "big")
+
+
+def wide_fingerprint(text: str | None, k: int) -> bytes:
+    """A 256-bit fingerprint: the majority over two 128-bit hashes of each shingle."""
+    import xxhash
+
+    return _majority(*_shingles(text, k), xxhash.xxh3_128_digest, (SEED, SEED + 1))
 
 
 def fingerprints(df: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = SHINGLE) -> DataFrame:
@@ -112,10 +131,13 @@ class Forest:
 
 
 def planes(fp: np.ndarray) -> np.ndarray:
-    """Bit planes of the fingerprints: 64 rows of machine words, a spare word at the end."""
-    n = -(-len(fp) // 64)
-    bits = np.unpackbits(np.concatenate([fp, np.zeros(n * 64 - len(fp), np.uint64)]).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    return np.concatenate([np.ascontiguousarray(np.packbits(bits.T, axis=1, bitorder="little")).view(np.uint64), np.zeros((64, 1), np.uint64)], axis=1)
+    """Bit planes of fingerprints of one or more words (``words, rows``): one row of machine words a bit, a spare word at the end."""
+    n = -(-fp.shape[1] // 64)
+    out = []
+    for word in fp:
+        bits = np.unpackbits(np.concatenate([word, np.zeros(n * 64 - len(word), np.uint64)]).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        out.append(np.ascontiguousarray(np.packbits(bits.T, axis=1, bitorder="little")).view(np.uint64))
+    return np.pad(np.concatenate(out), ((0, 0), (0, 1)))
 
 
 def _shift(words: np.ndarray, at: np.ndarray, d: int) -> np.ndarray:
@@ -128,56 +150,58 @@ def _shift(words: np.ndarray, at: np.ndarray, d: int) -> np.ndarray:
     return low >> np.uint64(s) | words[np.minimum(at + w + 1, last)] << np.uint64(64 - s)
 
 
+def _exceeds(counters: list[np.ndarray], radius: int) -> np.ndarray:
+    """Lanes whose count, with the least bit first, is over ``radius``."""
+    out, equal = np.zeros_like(counters[0]), ~np.zeros_like(counters[0])
+    for k in range(len(counters) - 1, -1, -1):
+        if radius >> k & 1:
+            equal &= counters[k]
+        else:
+            out |= equal & counters[k]
+            equal &= ~counters[k]
+    return out
+
+
 def linked(fp: np.ndarray, run: np.ndarray, radius: int) -> Forest:
-    """Links within ``radius`` among rows of equal ``run`` (sorted)."""
-    forest = Forest(len(fp))
-    if len(fp) < 2:
+    """Links within ``radius`` among rows of equal ``run`` (sorted); ``fp`` is of shape (rows) or (words, rows)."""
+    fp = np.atleast_2d(fp)
+    forest = Forest(len(run))
+    if len(run) < 2:
         return forest
-    plane = planes(fp)
+    plane, bits = planes(fp), 64 * len(fp)
     starts = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]]))
     sizes = np.diff(np.append(starts, len(run)))
     left = np.repeat(starts + sizes, sizes) - np.arange(len(run)) - 1  # rows after this one in its run
-    for d in range(1, int(sizes.max())):
+    d = 0
+    while (left > d).any():
+        d += 1
         valid = left >= d
         lanes = np.packbits(np.append(valid, np.zeros(-len(valid) % 64, bool)), bitorder="little").view(np.uint64)
         at = np.flatnonzero(lanes)
-        live = lanes[at]
-        ones, twos, fours, over = (np.zeros(len(at), np.uint64) for _ in range(4))
-        for b in range(64):
+        live, over = lanes[at], np.zeros(len(at), np.uint64)
+        counters = [np.zeros(len(at), np.uint64) for _ in range(max(1, radius.bit_length()))]
+        for b in range(bits):
             carry = plane[b][at] ^ _shift(plane[b], at, d)
-            ones, carry = ones ^ carry, ones & carry
-            twos, carry = twos ^ carry, twos & carry
-            fours, carry = fours ^ carry, fours & carry
+            for k, c in enumerate(counters):
+                counters[k], carry = c ^ carry, c & carry
             over |= carry
-            if b % 8 == 7 or b == 63:
-                live &= ~(over | _exceeds(ones, twos, fours, radius))
+            if b % 8 == 7:
+                live &= ~(over | _exceeds(counters, radius))
                 keep = live != 0
                 if not keep.any():
                     break
                 if not keep.all():
-                    at, live, ones, twos, fours, over = (x[keep] for x in (at, live, ones, twos, fours, over))
+                    at, live, over, *counters = (x[keep] for x in (at, live, over, *counters))
         else:
             near = np.unpackbits(live.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(bool)
             word, bit = np.nonzero(near)
             i = at[word] * 64 + bit
             forest.link(i, i + d)
-            if len(forest.edges) == len(run) - len(starts):  # all runs are connected
-                break
+            whole = np.add.reduceat(forest.root == np.arange(len(run)), starts) == 1
+            left[np.repeat(whole, sizes)] = 0  # connected runs are done
     return forest
 
 
-def _exceeds(ones: np.ndarray, twos: np.ndarray, fours: np.ndarray, radius: int) -> np.ndarray:
-    """Lanes whose three-bit count is over ``radius`` (at most 7)."""
-    out, equal = np.zeros_like(ones), ~np.zeros_like(ones)
-    for word, bit in ((fours, 4), (twos, 2), (ones, 1)):
-        if radius & bit:
-            equal &= word
-        else:
-            out |= equal & word
-            equal &= ~word
-    return out
-
-
 def links(fps: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
     """Pairs ``a, b`` of distinct fingerprints that connect all fingerprints within ``radius`` of each other.
 
@@ -188,38 +212,42 @@ def links(fps: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame
         raise ValueError("radius must be from 0 to 7")
     masks = scheme(fps.count(), radius, block)
     own = F.array(*(F.struct(F.lit(k).alias("table"), F.col("fp").bitwiseAND(F.lit(m if m < 1 << 63 else m - (1 << 64))).alias("value")) for k, m in enumerate(masks)))
-    keyed = fps.select("fp", F.explode(own).alias("k")).select("fp", F.xxhash64("k.table", "k.value").alias("bucket"))
+    keyed = fps.select("fp", F.explode(own).alias("k")).select("fp", F.col("fp").alias("word0"), F.xxhash64("k.table", "k.value").alias("bucket"))
+    return _compared(keyed, 1, radius, block)
+
+
+def _compared(keyed: DataFrame, words: int, radius: int, block: int) -> DataFrame:
+    """Forests of links among rows (``fp``, the words of the fingerprint, ``bucket``) of equal bucket."""
     sizes = keyed.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > block)
     keyed = keyed.join(sizes, "bucket", "left").withColumn("parts", F.coalesce(F.ceil(F.col("n") / block).cast("int"), F.lit(1)))
-    part = F.pmod(F.xxhash64("fp", F.lit(1)), F.col("parts")).cast("int")
-    keyed = keyed.withColumn("part", part)
+    keyed = keyed.withColumn("part", F.pmod(F.xxhash64("fp", F.lit(1)), F.col("parts")).cast("int"))
     # part p meets every part, itself included, in a run of the two
     other = F.when(F.col("parts") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))
-    met = keyed.select("fp", "bucket", "part", F.explode(other).alias("other"))
-    met = met.select("fp", F.xxhash64("bucket", F.least("part", "other"), F.greatest("part", "other")).alias("run"))
-    dealt = met.repartition("run").sortWithinPartitions("run", "fp")
+    names = [f"word{k}" for k in range(words)]
+    met = keyed.select("fp", *names, "bucket", "part", F.explode(other).alias("other"))
+    met = met.select(F.xxhash64("bucket", F.least("part", "other"), F.greatest("part", "other")).alias("run"), "fp", *names)
+    dealt = met.repartition("run").sortWithinPartitions("run", *names)
 
     def compare(batches):
         held = None
         for batch in itertools.chain(batches, [None]):
             if batch is not None:
-                now = np.stack([np.array(batch.column(1)), np.array(batch.column(0))])
+                now = np.stack([np.array(c) for c in batch.columns])
                 held = now if held is None else np.concatenate([held, now], axis=1)
-                if not held.shape[1] or held.shape[1] < PART:
+                if held.shape[1] < PART:
                     continue
-                cut = int(np.searchsorted(held[0], held[0, -1]))  # the last bucket may go on
+                cut = int(np.searchsorted(held[0], held[0, -1]))  # the last run may go on
                 if cut == 0:
                     continue
-            elif held is None:
+            elif held is None or not held.shape[1]:
                 return
             else:
                 cut = held.shape[1]
-            run, fp = held[:, :cut]
-            held = held[:, cut:]
-            forest = linked(np.ascontiguousarray(fp).view(np.uint64), run, radius)
+            rows, held = held[:, :cut], held[:, cut:]
+            forest = linked(np.ascontiguousarray(rows[2:]).view(np.uint64), rows[0], radius)
             if forest.edges:
                 i, j = np.array(forest.edges).T
-                yield pa.RecordBatch.from_arrays([pa.array(fp[i]), pa.array(fp[j])], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(rows[1][i]), pa.array(rows[1][j])], names=["a", "b"])
 
     return dealt.mapInArrow(compare, "a long, b long")
 
@@ -228,8 +256,58 @@ def classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int =
     """Each row's ``doc_id``, ``fp`` and ``component_id``, the smallest ``doc_id`` that links reach from it."""
     prints = materialize(fingerprints(df, doc_id, text, k))
     least = materialize(prints.groupBy("fp").agg(F.min(doc_id).alias("least")))
-    found = components(links(least.select("fp"), radius, block))
-    labelled = least.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    return _labelled(prints, least, components(links(least.select("fp"), radius, block)), doc_id)
+
+
+def sampled_bits(n: int, radius: int, bits: int, recall: float, block: int) -> list[np.ndarray]:
+    """Bit places of each LSH table: as many bits as keep random buckets small, as many tables as reach ``recall`` at ``radius``."""
+    width = 12
+    while n / 2**width > block / 2 and width < 48:
+        width += 2
+    tables = int(np.ceil(np.log(1 - recall) / np.log1p(-((1 - radius / bits) ** width))))
+    rng = np.random.default_rng(SEED)
+    return [np.sort(rng.choice(bits, width, replace=False)) for _ in range(tables)]
+
+
+def similar(df: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, similarity: float = 0.8, recall: float = 0.95, block: int = BLOCK) -> DataFrame:
+    """Classes at a wider radius: each row's ``doc_id`` and ``component_id``.
+
+    Texts are linked if their 256-bit fingerprints differ in at most the share
+    of bits that is expected at the given Jaccard ``similarity`` of shingles.
+    That radius is too wide to find every pair by agreement of bit ranges, so
+    buckets agree on sampled bits; a pair at the very radius meets with
+    probability ``recall``, closer pairs almost surely, equal ones always.
+    """
+    cosine = 2 * similarity / (1 + similarity)
+    radius = int(256 * np.arccos(cosine) / np.pi)
+    id_type = df.schema[doc_id].dataType
+    names = [f"word{j}" for j in range(4)]
+
+    def run(batches):
+        for batch in bounded(batches, 1):
+            words = np.frombuffer(b"".join(wide_fingerprint(x.as_py(), k) for x in batch.column(1)), np.int64).reshape(-1, 4)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(w)) for w in words.T)], names=[doc_id, *names])
+
+    prints = df.select(doc_id, text).mapInArrow(run, T.StructType([T.StructField(doc_id, id_type), *(T.StructField(c, T.LongType()) for c in names)]))
+    prints = materialize(prints.withColumn("fp", F.xxhash64(*names)))
+    least = materialize(prints.groupBy("fp", *names).agg(F.min(doc_id).alias("least")))
+    tables = sampled_bits(least.count(), radius, 256, recall, block)
+
+    def deal(batches):
+        for batch in batches:
+            words = np.stack([np.array(batch.column(j)) for j in range(1, 5)], axis=1)
+            bits = np.unpackbits(np.ascontiguousarray(words).view(np.uint8).reshape(len(words), 32), axis=1, bitorder="little").astype(np.int64)
+            for number, places in enumerate(tables):
+                value = bits[:, places] @ (1 << np.arange(len(places), dtype=np.int64))
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(value * 1024 + number)], names=["fp", *names, "bucket"])
+
+    keyed = least.select("fp", *names).mapInArrow(deal, ", ".join(f"{c} long" for c in ("fp", *names, "bucket")))
+    return _labelled(prints, least, components(_compared(keyed, 4, radius, block)), doc_id)
+
+
+def _labelled(prints: DataFrame, least: DataFrame, found: DataFrame, doc_id: str) -> DataFrame:
+    """Rows with the smallest ``doc_id`` of their fingerprint's component."""
+    labelled = least.select("fp", "least").join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     heads = labelled.groupBy("component").agg(F.min("least").alias("component_id"))
     of_print = labelled.join(heads, "component").select("fp", "component_id")
     return prints.join(of_print, "fp").select(doc_id, "fp", "component_id")

@@ -113,7 +113,7 @@ def train(df: DataFrame, label: str, key: str = "doc_id", text: str = "text", ro
 
     def count(batches):
         both = np.zeros((2, size))
-        for batch in bounded(batches, 2):
+        for batch in bounded(batches, 2, 1 << 20):
             raw, offsets = text_bytes(batch.column(2))
             y = np.array(batch.column(1))
             doc, place, value = values(raw, offsets)
@@ -134,7 +134,7 @@ def train(df: DataFrame, label: str, key: str = "doc_id", text: str = "text", ro
     column[place] = np.arange(len(place))
 
     def extract(batches):
-        for batch in bounded(batches, 2):
+        for batch in bounded(batches, 2, 1 << 20):
             raw, offsets = text_bytes(batch.column(2))
             doc, at, value = values(raw, offsets, column >= 0)
             ends = pa.array(np.searchsorted(doc, np.arange(len(offsets))).astype(np.int32))
@@ -163,7 +163,7 @@ def predict(df: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
 
     def run(batches):
         m = shared.value
-        for batch in bounded(batches, -1):
+        for batch in bounded(batches, -1, 2 << 20):
             score = m.score(*text_bytes(batch.column(batch.num_columns - 1)))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(score), pa.array((score >= cutoff).astype(np.int32))], names=[*batch.schema.names[:-1], "score", "predicted"])
 
