@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 from wayfold.llm import op01_simhash, op05_bpe, op07_decontamination, op08_secrets, op09_quality
 from wayfold.llm.common import materialize, read
 
-#: Near-duplicates here: five-word shingles, fingerprints that differ in at most 7 of 64 bits.
-SHINGLE, RADIUS = 5, 7
+#: Near-duplicates here: five-word shingles and a Jaccard similarity of 0.8 or
+#: more. Fingerprints estimate it with a deviation of about 0.03, so the radius
+#: is that of 0.78.
+SHINGLE, SIMILARITY = 5, 0.78
 
 
 def _row(docs: DataFrame) -> Column:
@@ -33,7 +35,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: the one with the smallest id."""
     keyed = docs.withColumn("_row", _row(docs))
     named = keyed.select(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row").alias("_id"), "text")
-    heads = op01_simhash.classes(named, "_id", k=SHINGLE, radius=RADIUS).select(F.col("component_id._row").alias("_row")).distinct()
+    heads = op01_simhash.similar(named, "_id", k=SHINGLE, similarity=SIMILARITY).select(F.col("component_id._row").alias("_row")).distinct()
     return keyed.join(heads, "_row", "left_semi").dropDuplicates(["_row"]).select(*docs.columns)
 
 
