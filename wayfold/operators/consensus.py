@@ -27,12 +27,14 @@ def by_field(candidates: DataFrame, weights: dict[tuple[str, str], float] | None
     """
     rows = candidates.where(~is_blank(F.col("value"))).withColumns({"_norm": jtrim(F.lower("value")), "_strong": weight(F.col("structurer"), F.coalesce("country", F.lit("")), weights) >= STRONG})
     rows = rows.repartition("request_id")
-    groups = rows.groupBy("request_id", "field").agg(
-        F.count("*").alias("n_sources"),
-        F.countDistinct("_norm").alias("n_values"),
-        F.countDistinct(F.when(F.col("_strong"), F.col("_norm"))).alias("n_strong_values"),
+    # two levels of plain counts; the values themselves are only gathered if they are asked for
+    values = rows.groupBy("request_id", "field", "_norm").agg(F.count("*").alias("n"), F.max("_strong").alias("_strong"), F.collect_set(F.struct("structurer", "value")).alias("_said"))
+    groups = values.groupBy("request_id", "field").agg(
+        F.sum("n").alias("n_sources"),
+        F.count("*").alias("n_values"),
+        F.count_if("_strong").alias("n_strong_values"),
         F.max("_strong").alias("_any_strong"),
-        F.map_from_entries(F.array_sort(F.collect_set(F.struct("structurer", "value")))).alias("_said"),
+        F.map_from_entries(F.array_sort(F.flatten(F.collect_list("_said")))).alias("_said"),
     )
     agreed = F.when(F.col("n_sources") == 1, F.col("_any_strong")).otherwise((F.col("n_values") == 1) | (F.col("n_strong_values") < 2))
     quiet = F.when(F.col("n_sources") == 1, agreed).otherwise(F.col("n_values") == 1)
