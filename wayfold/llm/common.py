@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -28,6 +29,12 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def small(df: DataFrame, bound: int = 50_000) -> DataFrame:
+    """``df`` written and counted; marked for broadcast only if it has at most ``bound`` rows, else left to Catalyst."""
+    df = materialize(df)
+    return F.broadcast(df) if df.count() <= bound else df
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finalizer: every input bit reaches every output bit."""
     x = x ^ (x >> np.uint64(33))

@@ -308,6 +308,8 @@ def similar(df: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int =
 def _labelled(prints: DataFrame, least: DataFrame, found: DataFrame, doc_id: str) -> DataFrame:
     """Rows with the smallest ``doc_id`` of their fingerprint's component."""
     labelled = least.select("fp", "least").join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    heads = labelled.groupBy("component").agg(F.min("least").alias("component_id"))
+    # written before the join, so that a component's rows may be split among tasks there
+    labelled = materialize(labelled)
+    heads = materialize(labelled.groupBy("component").agg(F.min("least").alias("component_id")))
     of_print = labelled.join(heads, "component").select("fp", "component_id")
     return prints.join(of_print, "fp").select(doc_id, "fp", "component_id")

@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wayfold.llm.common import materialize
+from wayfold.llm.common import materialize, small
 
 WINDOW = 8
 MIN_WORDS = 20
@@ -128,31 +128,30 @@ def _distances(rows: DataFrame, params: DataFrame) -> DataFrame:
 
 def _core(rows: DataFrame) -> DataFrame:
     """The rows of each group with the ``CORE`` smallest distances."""
-    bound = rows.groupBy("_group").agg(F.percentile_approx("_d2", CORE, 1000).alias("_bound"))
+    bound = small(rows.groupBy("_group").agg(F.percentile_approx("_d2", CORE, 1000).alias("_bound")))
     return rows.join(bound, "_group").where(F.col("_d2") <= F.col("_bound"))
 
 
 def outliers(rows: DataFrame, by: tuple[str, ...] = ("lang", "source")) -> DataFrame:
     """Append ``distance2`` to rows that have the vector's columns; ``by`` from the widest to the narrowest."""
     keys = [F.concat_ws("\x1f", *(F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("?")) for c in by[: k + 1])) for k in range(len(by))]
-    rows = rows.withColumns({f"_key{k}": key for k, key in enumerate(keys)})
+    # the texts' statistics are written once; group tables are small, so a group that holds a third of the rows is never dealt to one task
+    rows = materialize(rows.withColumns({f"_key{k}": key for k, key in enumerate(keys)}))
     group = F.lit("")
     for k in range(len(by)):
-        sizes = rows.groupBy(f"_key{k}").agg(F.count("*").alias(f"_size{k}"))
-        rows = rows.join(sizes, f"_key{k}")
+        rows = rows.join(small(rows.groupBy(f"_key{k}").agg(F.count("*").alias(f"_size{k}"))), f"_key{k}")
         group = F.when(F.col(f"_size{k}") >= LEAST, F.col(f"_key{k}")).otherwise(group)
     rows = rows.withColumn("_group", group).drop(*(f"_key{k}" for k in range(len(by))), *(f"_size{k}" for k in range(len(by))))
-    rows = materialize(rows)
-    medians = rows.groupBy("_group").agg(*(F.percentile_approx(v, 0.5, 1000).alias(f"_m{v}") for v in VECTOR))
+    medians = small(rows.groupBy("_group").agg(*(F.percentile_approx(v, 0.5, 1000).alias(f"_m{v}") for v in VECTOR)))
     away = rows.join(medians, "_group")
     spreads = away.groupBy("_group").agg(*(F.percentile_approx(F.abs(F.col(v) - F.col(f"_m{v}")), 0.5, 1000).alias(f"_s{v}") for v in VECTOR))
-    start = materialize(medians.join(spreads, "_group"))
+    start = small(medians.join(spreads, "_group"))
     scaled = sum((F.pow((F.col(v) - F.col(f"_m{v}")) / (1.4826 * F.col(f"_s{v}") + FLOOR**0.5), 2) for v in VECTOR), F.lit(0.0))
-    params = materialize(_estimate(_core(rows.join(start, "_group").withColumn("_d2", scaled).select(*rows.columns, "_d2"))))
+    params = small(_estimate(_core(rows.join(start, "_group").withColumn("_d2", scaled).select(*rows.columns, "_d2"))))
     for _ in range(STEPS):
-        params = materialize(_estimate(_core(_distances(rows, params))))
+        params = small(_estimate(_core(_distances(rows, params))))
     away = _distances(rows, params)
-    middle = away.groupBy("_group").agg(F.greatest(F.percentile_approx("_d2", 0.5, 1000) / MEDIAN, F.lit(1.0)).alias("_scale"))
+    middle = small(away.groupBy("_group").agg(F.greatest(F.percentile_approx("_d2", 0.5, 1000) / MEDIAN, F.lit(1.0)).alias("_scale")))
     return away.join(middle, "_group").withColumn("distance2", F.col("_d2") / F.col("_scale")).drop("_d2", "_scale", "_group")
 
 
