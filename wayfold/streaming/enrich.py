@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
@@ -36,11 +37,12 @@ def files(spark: SparkSession, path: str, per_trigger: int = 1) -> DataFrame:
 
 def stored_keys(spark: SparkSession, store: str, before: int) -> DataFrame:
     """Keys of earlier batches; the first batch finds none."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{store}/keys")
-    there = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
-    if not there:
+    try:
+        return spark.read.schema(KEYS).parquet(f"{store}/keys").where(F.col("batch") < before)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
         return spark.createDataFrame([], KEYS)
-    return spark.read.schema(KEYS).parquet(f"{store}/keys").where(F.col("batch") < before)
 
 
 def process(batch: DataFrame, batch_id: int, store: str, decide: Callable[[DataFrame], DataFrame], channel: str = "KAFKA") -> None:
@@ -56,7 +58,7 @@ def process(batch: DataFrame, batch_id: int, store: str, decide: Callable[[DataF
     decided = decide(fresh)
     at = F.coalesce("arrival_ts", F.current_timestamp())
     sinks.result_rows(decided, at).write.mode("overwrite").parquet(f"{store}/results/batch={batch_id}")
-    sinks.key_rows(keyed.join(fresh.select("idem_key", F.col("correlation_id").alias("_c")), "idem_key").where(F.col("correlation_id") == F.col("_c")).drop("_c").dropDuplicates(["idem_key"]), at).write.mode("overwrite").parquet(f"{store}/keys/batch={batch_id}")
+    sinks.key_rows(fresh, at).write.mode("overwrite").parquet(f"{store}/keys/batch={batch_id}")
 
 
 def start(source: DataFrame, store: str, checkpoint: str, decide: Callable[[DataFrame], DataFrame], channel: str = "KAFKA") -> DataStreamWriter:
