@@ -116,9 +116,9 @@ def d5_line_messages(spark, sf_dir):
 _CTRY = "case c_nationkey % 10 when 0 then 'US' when 1 then 'GB' when 2 then 'DE' when 3 then 'CH' when 4 then 'CN' when 5 then 'SG' when 6 then 'HK' when 7 then 'AE' when 8 then 'IR' else '' end"
 
 
-@query(f"""select c_custkey as request_id, 'BLDG_NB' as field, cast(c_custkey % 97 as varchar) as value, 0.85 as raw_confidence from customer
-    union all select c_custkey, 'STRT_NM', 'Main St', 0.85 from customer
-    union all select c_custkey, 'CTRY', case when c_custkey % 2 = 0 then 'land' else {_CTRY} end, case when c_custkey % 2 = 0 then 0.85 else 0.7 end from customer where c_custkey % 2 = 0 or c_nationkey % 10 <> 9""")
+@query(f"""select c_custkey as request_id, 'BLDG_NB' as field, cast(c_custkey % 97 as varchar) as value, 0.85::double as raw_confidence from customer
+    union all select c_custkey, 'STRT_NM', 'Main St', 0.85::double from customer
+    union all select c_custkey, 'CTRY', case when c_custkey % 2 = 0 then 'land' else {_CTRY} end, (case when c_custkey % 2 = 0 then 0.85 else 0.7 end)::double from customer where c_custkey % 2 = 0 or c_nationkey % 10 <> 9""")
 def p19_p20_parser_labels(spark, sf_dir):
     req = d.addresses(spark, sf_dir)
     c = F.col("request_id")

@@ -83,7 +83,7 @@ def flagship(spark, sf_dir):
     return rows.groupBy(tenth.alias("conf_bucket"), decide.outcome().alias("outcome")).agg(F.count("*").alias("n"))
 
 
-@query(_voted("""select c.structurer, c.field, count(*) as candidates, sum(case when c.value = v.value then 1 else 0 end) as selected from cand c left join voted v on c.request_id = v.request_id and c.field = v.field group by all"""))
+@query(_voted("""select c.structurer, c.field, count(*) as candidates, sum(case when c.value = v.value then 1 else 0 end)::bigint as selected from cand c left join voted v on c.request_id = v.request_id and c.field = v.field group by all"""))
 def j5_attribution(spark, sf_dir):
     cands = _calibrated(spark, sf_dir)
     return merge.attribute(cands, merge.vote(cands)).groupBy("structurer", "field").agg(F.count("*").alias("candidates"), F.count_if("was_selected").alias("selected"))
@@ -173,9 +173,9 @@ def j8_p10_duplicates(spark, sf_dir):
     return dedup.resolve(keyed, keys, stored).groupBy(decide.duplicate_outcome().alias("outcome")).agg(F.count("*").alias("n"))
 
 
-@query("""select c_custkey as request_id, 'CTRY' as field, case c_nationkey % 10 when 0 then 'US' when 1 then 'GB' when 2 then 'DE' when 3 then 'CH' when 4 then 'CN' when 5 then 'SG' when 6 then 'HK' when 7 then 'AE' when 8 then 'IR' end as value, 0.95 as raw_confidence from customer where c_nationkey % 10 <> 9
-    union all select c_custkey, 'TWN_NM', case c_custkey % 10 when 0 then 'London' when 1 then 'Berlin' when 2 then 'Zurich' when 3 then 'Dubai' when 4 then 'Singapore' when 5 then 'Geneva' when 6 then 'Munich' when 7 then 'Leeds' when 8 then 'Sharjah' else 'Tehran' end, 0.85 from customer
-    union all select c_custkey, 'STRT_NM', concat(cast(c_custkey % 97 as varchar), ' Main St'), 0.8 from customer""")
+@query("""select c_custkey as request_id, 'CTRY' as field, case c_nationkey % 10 when 0 then 'US' when 1 then 'GB' when 2 then 'DE' when 3 then 'CH' when 4 then 'CN' when 5 then 'SG' when 6 then 'HK' when 7 then 'AE' when 8 then 'IR' end as value, 0.95::double as raw_confidence from customer where c_nationkey % 10 <> 9
+    union all select c_custkey, 'TWN_NM', case c_custkey % 10 when 0 then 'London' when 1 then 'Berlin' when 2 then 'Zurich' when 3 then 'Dubai' when 4 then 'Singapore' when 5 then 'Geneva' when 6 then 'Munich' when 7 then 'Leeds' when 8 then 'Sharjah' else 'Tehran' end, 0.85::double from customer
+    union all select c_custkey, 'STRT_NM', concat(cast(c_custkey % 97 as varchar), ' Main St'), 0.8::double from customer""")
 def p18_comma_parts(spark, sf_dir):
     return structurers.comma_parts(d.addresses(spark, sf_dir)).select("request_id", "field", "value", "raw_confidence")
 
@@ -189,7 +189,7 @@ def d3_rule_postcodes(spark, sf_dir):
 _TURNS = "from (select conv_id * 1000 + turn as request_id, conv_id, turn, length(text) as n from conversations) t"
 
 
-@query(f"select request_id, 'TWN_NM' as field, concat('town', cast(n % 50 as varchar)) as value, case when turn % 2 = 0 then 0.5 else 0.85 end as raw_confidence {_TURNS}")
+@query(f"select request_id, 'TWN_NM' as field, concat('town', cast(n % 50 as varchar)) as value, (case when turn % 2 = 0 then 0.5 else 0.85 end)::double as raw_confidence {_TURNS}")
 def p21_p23_model_answers(spark, sf_dir):
     """Completion envelopes with fenced or bare answers, parsed to candidates."""
     c = d.table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("request_id"), "turn", F.length("text").alias("n"))
