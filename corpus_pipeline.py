@@ -14,9 +14,8 @@ from wayfold.llm import op01_simhash, op05_bpe, op07_decontamination, op08_secre
 from wayfold.llm.common import materialize, read
 
 #: Near-duplicates here: five-word shingles and a Jaccard similarity of 0.8 or
-#: more. Fingerprints estimate it with a deviation of about 0.03, so the radius
-#: is that of 0.78.
-SHINGLE, SIMILARITY = 5, 0.78
+#: more, verified on the shingles themselves.
+SHINGLE, SIMILARITY = 5, 0.8
 
 
 def _row(docs: DataFrame) -> Column:

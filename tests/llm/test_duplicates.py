@@ -81,6 +81,29 @@ def test_similar(spark):
     assert op01_simhash.similar(df.where("false")).count() == 0
 
 
+def test_similar_is_the_verified_jaccard_similarity(spark):
+    """Pairs over 0.8 are linked and those under it are not, also with many repeats of one shingle."""
+    rng = random.Random(3)
+    words = [f"w{k}" for k in range(5000)]
+    docs = []
+    for k in range(150):  # c words changed at places apart: 5 c of 396 shingles differ, J = (396 - 5 c) / (396 + 5 c)
+        one = rng.sample(words, 400)
+        changed = rng.sample(range(4, 395, 6), 7 + k % 4)
+        docs += [one, [f"x{i}" if i in changed else w for i, w in enumerate(one)]]
+    for _ in range(10):  # a long run of one word is one shingle, not most of the text
+        docs += [["same"] * 2000 + rng.sample(words, 60) for _ in range(2)]
+    sets = [{tuple(d[i : i + 5]) for i in range(len(d) - 4)} for d in docs]
+    near = [len(x & y) / len(x | y) for x, y in zip(sets[::2], sets[1::2], strict=True)]
+    assert min(near[:150]) < 0.79 and max(near[:150]) < 0.86
+    df = spark.createDataFrame([(k, text_of(d)) for k, d in enumerate(docs)], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in op01_simhash.similar(df).collect()}
+    linked = [got[2 * k + 1] == 2 * k for k in range(len(near))]
+    assert all(got[2 * k] == 2 * k for k in range(len(near)))
+    assert not any(x for x, j in zip(linked, near, strict=True) if j < 0.8)
+    over = [x for x, j in zip(linked, near, strict=True) if j >= 0.8]
+    assert len(over) >= 70 and sum(over) >= 0.95 * len(over)
+
+
 def test_odd_rows(spark, odd_rows):
     rows = op01_simhash.classes(odd_rows).collect()
     assert len(rows) == 10

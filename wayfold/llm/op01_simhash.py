@@ -23,6 +23,7 @@ an empty result.
 from __future__ import annotations
 
 import itertools
+import math
 import re
 
 import numpy as np
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wayfold.llm.common import bounded, materialize
+from wayfold.llm.common import bounded, materialize, mix
 from wayfold.llm.graph import components
 
 SHINGLE = 4
@@ -75,11 +76,27 @@ def fingerprint(text: str | None, k: int = SHINGLE) -> int:
     return int.from_bytes(_majority(*_shingles(text, k), xxhash.xxh64_digest, (SEED,)), "big")
 
 
-def wide_fingerprint(text: str | None, k: int) -> bytes:
-    """A 256-bit fingerprint: the majority over two 128-bit hashes of each shingle."""
+def sketch(text: str | None, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of the distinct shingles of a text, and a 256-bit fingerprint (four words): the majority of each bit over them."""
     import xxhash
 
-    return _majority(*_shingles(text, k), xxhash.xxh3_128_digest, (SEED, SEED + 1))
+    raw, low, high = _shingles(text, k)
+    pairs = np.frombuffer(b"".join([xxhash.xxh3_128_digest(raw[a:b], SEED) for a, b in zip(low, high, strict=True)]), np.uint64).reshape(-1, 2)
+    own, at = np.unique(pairs[:, 0], return_index=True)
+    ones = np.zeros((4, 64), np.int64)
+    for start in range(0, len(own), PART):
+        one, two = own[start : start + PART], pairs[at[start : start + PART], 1]
+        for word, hashes in enumerate((one, two, mix(one + np.uint64(SEED)), mix(two + np.uint64(SEED)))):
+            ones[word] += np.unpackbits(np.ascontiguousarray(hashes).view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return own, np.packbits(2 * ones > len(own), axis=1).view(np.int64)[:, 0]
+
+
+def set_hash(own: np.ndarray) -> int:
+    """One signed number for a set of shingles: texts of equal sets share it."""
+    import xxhash
+
+    value = xxhash.xxh64_intdigest(own.tobytes(), SEED)
+    return value - (1 << 64) if value >> 63 else value
 
 
 def fingerprints(df: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = SHINGLE) -> DataFrame:
@@ -162,16 +179,16 @@ def _exceeds(counters: list[np.ndarray], radius: int) -> np.ndarray:
     return out
 
 
-def linked(fp: np.ndarray, run: np.ndarray, radius: int) -> Forest:
-    """Links within ``radius`` among rows of equal ``run`` (sorted); ``fp`` is of shape (rows) or (words, rows)."""
-    fp = np.atleast_2d(fp)
-    forest = Forest(len(run))
-    if len(run) < 2:
-        return forest
-    plane, bits = planes(fp), 64 * len(fp)
+def runs(run: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and sizes of the runs, and the number of rows after each row in its run."""
     starts = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]]))
     sizes = np.diff(np.append(starts, len(run)))
-    left = np.repeat(starts + sizes, sizes) - np.arange(len(run)) - 1  # rows after this one in its run
+    return starts, sizes, np.repeat(starts + sizes, sizes) - np.arange(len(run)) - 1
+
+
+def near(fp: np.ndarray, left: np.ndarray, radius: int):
+    """Rows ``i, j`` within ``radius``, one distance of rows at a time; row i is compared with the ``left[i]`` next, which the caller may lower."""
+    plane, bits = planes(fp), 64 * len(fp)
     d = 0
     while (left > d).any():
         d += 1
@@ -193,12 +210,38 @@ def linked(fp: np.ndarray, run: np.ndarray, radius: int) -> Forest:
                 if not keep.all():
                     at, live, over, *counters = (x[keep] for x in (at, live, over, *counters))
         else:
-            near = np.unpackbits(live.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(bool)
-            word, bit = np.nonzero(near)
+            found = np.unpackbits(live.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(bool)
+            word, bit = np.nonzero(found)
             i = at[word] * 64 + bit
-            forest.link(i, i + d)
-            whole = np.add.reduceat(forest.root == np.arange(len(run)), starts) == 1
-            left[np.repeat(whole, sizes)] = 0  # connected runs are done
+            yield i, i + d
+
+
+def linked(fp: np.ndarray, run: np.ndarray, radius: int, group: np.ndarray | None = None, fits=None) -> Forest:
+    """Links within ``radius`` among rows of equal ``run`` (sorted); ``fp`` is of shape (rows) or (words, rows).
+
+    Rows of equal ``group`` count as connected from the start; pairs that do
+    not satisfy ``fits`` are no links.
+    """
+    fp = np.atleast_2d(fp)
+    forest = Forest(len(run))
+    if len(run) < 2:
+        return forest
+    starts, sizes, left = runs(run)
+
+    def settle():
+        whole = np.add.reduceat(forest.root == np.arange(len(run)), starts) == 1
+        left[np.repeat(whole, sizes)] = 0  # connected runs are done
+
+    if group is not None:
+        _, first, own = np.unique(np.stack([run, group]), axis=1, return_index=True, return_inverse=True)
+        forest.root = first[own.ravel()]
+        settle()
+    for i, j in near(fp, left, radius):
+        if fits is not None:
+            good = fits(i, j)
+            i, j = i[good], j[good]
+        forest.link(i, j)
+        settle()
     return forest
 
 
@@ -216,14 +259,20 @@ def links(fps: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame
     return _compared(keyed, 1, radius, block)
 
 
-def _compared(keyed: DataFrame, words: int, radius: int, block: int) -> DataFrame:
-    """Forests of links among rows (``fp``, the words of the fingerprint, ``bucket``) of equal bucket."""
+def _forest(rows: np.ndarray, radius: int):
+    edges = linked(np.ascontiguousarray(rows[2:]).view(np.uint64), rows[0], radius).edges
+    if edges:
+        yield np.array(edges).T
+
+
+def _compared(keyed: DataFrame, words: int, radius: int, block: int, extra: tuple[str, ...] = (), find=_forest) -> DataFrame:
+    """Pairs that ``find`` makes of rows (``fp``, the words of the fingerprint, ``extra``, ``bucket``) of equal bucket; without it forests of links."""
     sizes = keyed.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > block)
     keyed = keyed.join(sizes, "bucket", "left").withColumn("parts", F.coalesce(F.ceil(F.col("n") / block).cast("int"), F.lit(1)))
     keyed = keyed.withColumn("part", F.pmod(F.xxhash64("fp", F.lit(1)), F.col("parts")).cast("int"))
     # part p meets every part, itself included, in a run of the two
     other = F.when(F.col("parts") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))
-    names = [f"word{k}" for k in range(words)]
+    names = [*(f"word{k}" for k in range(words)), *extra]
     met = keyed.select("fp", *names, "bucket", "part", F.explode(other).alias("other"))
     met = met.select(F.xxhash64("bucket", F.least("part", "other"), F.greatest("part", "other")).alias("run"), "fp", *names)
     dealt = met.repartition("run").sortWithinPartitions("run", *names)
@@ -244,9 +293,7 @@ def _compared(keyed: DataFrame, words: int, radius: int, block: int) -> DataFram
             else:
                 cut = held.shape[1]
             rows, held = held[:, :cut], held[:, cut:]
-            forest = linked(np.ascontiguousarray(rows[2:]).view(np.uint64), rows[0], radius)
-            if forest.edges:
-                i, j = np.array(forest.edges).T
+            for i, j in find(rows, radius):
                 yield pa.RecordBatch.from_arrays([pa.array(rows[1][i]), pa.array(rows[1][j])], names=["a", "b"])
 
     return dealt.mapInArrow(compare, "a long, b long")
@@ -259,39 +306,70 @@ def classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int =
     return _labelled(prints, least, components(links(least.select("fp"), radius, block)), doc_id)
 
 
-def sampled_bits(n: int, radius: int, bits: int, recall: float, block: int) -> list[np.ndarray]:
-    """Bit places of each LSH table: as many bits as keep random buckets small, as many tables as reach ``recall`` at ``radius``."""
-    width = 12
+def sampled_bits(n: int, share: float, bits: int, recall: float, block: int) -> list[np.ndarray]:
+    """Bit places of each LSH table: as many bits as keep random buckets small, as many tables as give ``recall`` of pairs whose bits differ with probability ``share``."""
+    width = 10
     while n / 2**width > block / 2 and width < 48:
         width += 2
-    tables = int(np.ceil(np.log(1 - recall) / np.log1p(-((1 - radius / bits) ** width))))
+    far = np.arange(bits + 1)
+    weight = np.array([math.comb(bits, k) * share**k * (1 - share) ** (bits - k) for k in range(bits + 1)])
+    tables = 1
+    while (weight * (1 - (1 - (1 - far / bits) ** width) ** tables)).sum() < recall:
+        tables += 1
     rng = np.random.default_rng(SEED)
     return [np.sort(rng.choice(bits, width, replace=False)) for _ in range(tables)]
 
 
-def similar(df: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, similarity: float = 0.8, recall: float = 0.95, block: int = BLOCK) -> DataFrame:
-    """Classes at a wider radius: each row's ``doc_id`` and ``component_id``.
+def _share(similarity: float) -> float:
+    """Share of bits in which fingerprints of sets of this Jaccard similarity differ: of sets of equal size (others differ less), with ties, which small sets have."""
+    return 1.045 * float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
 
-    Texts are linked if their 256-bit fingerprints differ in at most the share
-    of bits that is expected at the given Jaccard ``similarity`` of shingles.
-    That radius is too wide to find every pair by agreement of bit ranges, so
-    buckets agree on sampled bits; a pair at the very radius meets with
-    probability ``recall``, closer pairs almost surely, equal ones always.
+
+def similar(df: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, similarity: float = 0.8, recall: float = 0.99, block: int = BLOCK) -> DataFrame:
+    """Classes of texts linked by a Jaccard similarity of ``similarity`` or more of their distinct shingles: each row's ``doc_id``, ``fp`` and ``component_id``.
+
+    256-bit fingerprints only propose pairs: those within the mean distance at
+    ``similarity`` plus three deviations. Each proposed pair is linked if the
+    sets themselves are similar enough. Texts of equal sets are one
+    node. As a group of near copies has many pairs, two rounds propose only
+    forests of close pairs, between the classes found so far; the last round
+    then verifies every pair whose ends are not in one class yet, so no
+    verified link is lost to a forest.
+
+    Proposed pairs share sampled bits: a pair at the very ``similarity`` meets
+    with probability ``recall``, closer pairs almost surely, equal sets always.
     """
-    cosine = 2 * similarity / (1 + similarity)
-    radius = int(256 * np.arccos(cosine) / np.pi)
-    id_type = df.schema[doc_id].dataType
     names = [f"word{j}" for j in range(4)]
 
     def run(batches):
         for batch in bounded(batches, 1):
-            words = np.frombuffer(b"".join(wide_fingerprint(x.as_py(), k) for x in batch.column(1)), np.int64).reshape(-1, 4)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(w)) for w in words.T)], names=[doc_id, *names])
-
-    prints = df.select(doc_id, text).mapInArrow(run, T.StructType([T.StructField(doc_id, id_type), *(T.StructField(c, T.LongType()) for c in names)]))
-    prints = materialize(prints.withColumn("fp", F.xxhash64(*names)))
-    least = materialize(prints.groupBy("fp", *names).agg(F.min(doc_id).alias("least")))
-    tables = sampled_bits(least.count(), radius, 256, recall, block)
+            made = [sketch(x.as_py(), k) for x in batch.column(1)]
+            words = np.array([w for _, w in made]).T
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([set_hash(own) for own, _ in made], pa.int64()), pa.array([len(own) for own, _ in made], pa.int64()), *(pa.array(np.ascontiguousarray(w)) for w in words)], names=[doc_id, "fp", "size", *names])
+
+    fields = [T.StructField(doc_id, df.schema[doc_id].dataType), *(T.StructField(c, T.LongType()) for c in ("fp", "size", *names))]
+    prints = materialize(df.select(doc_id, text).mapInArrow(run, T.StructType(fields)))
+    least = materialize(prints.groupBy("fp", "size", *names).agg(F.min(doc_id).alias("least")))
+    share = _share(similarity)
+    tables = sampled_bits(least.count(), share, 256, recall, block)
+    # radius, tables, and whether forests will do
+    close = int(256 * _share((1 + similarity) / 2))
+    rounds = [(close, tables[:8], True), (int(256 * share), tables[:8], True), (int(256 * share + 3 * math.sqrt(256 * share * (1 - share))), tables, False)]
+    links = None
+    of = least.select("fp", F.col("fp").alias("group"))
+    for radius, own, sparse in rounds:
+        rows = least.select("fp", *names, "size").join(of, "fp")
+        pairs = materialize(_compared(_dealt(rows, names, own), 4, radius, block, ("group", "size"), _proposals(similarity, sparse)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        found = materialize(_verified(pairs, _sets(df, doc_id, text, k, pairs, least), similarity))
+        links = found if links is None else links.unionByName(found)
+        classes = materialize(components(links))
+        of = materialize(least.select("fp").join(classes.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("component", "fp").alias("group")))
+    return _labelled(prints, least, classes, doc_id)
+
+
+def _dealt(rows: DataFrame, names: list[str], tables: list[np.ndarray]) -> DataFrame:
+    """A row for each table, with the bucket of its sampled bits."""
+    columns = ["fp", *names, "group", "size"]
 
     def deal(batches):
         for batch in batches:
@@ -299,10 +377,70 @@ def similar(df: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int =
             bits = np.unpackbits(np.ascontiguousarray(words).view(np.uint8).reshape(len(words), 32), axis=1, bitorder="little").astype(np.int64)
             for number, places in enumerate(tables):
                 value = bits[:, places] @ (1 << np.arange(len(places), dtype=np.int64))
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(value * 1024 + number)], names=["fp", *names, "bucket"])
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(value * 1024 + number)], names=[*columns, "bucket"])
+
+    return rows.select(*columns).mapInArrow(deal, ", ".join(f"{c} long" for c in (*columns, "bucket")))
+
+
+def _proposals(similarity: float, sparse: bool):
+    """Pairs of different groups whose sizes allow the similarity: a forest of them, or all."""
+
+    def find(rows, radius):
+        fp, run, group, size = np.ascontiguousarray(rows[2:6]).view(np.uint64), rows[0], rows[6], rows[7]
+
+        def fits(i, j):
+            return (group[i] != group[j]) & (np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j]) - 1e-9)
+
+        if sparse:
+            edges = linked(fp, run, radius, group, fits).edges
+            if edges:
+                yield np.array(edges).T
+        elif len(run) > 1:
+            starts, sizes, left = runs(run)
+            same = np.minimum.reduceat(group, starts) == np.maximum.reduceat(group, starts)
+            left[np.repeat(same, sizes)] = 0
+            for i, j in near(fp, left, radius):
+                good = fits(i, j)
+                if good.any():
+                    yield i[good], j[good]
+
+    return find
 
-    keyed = least.select("fp", *names).mapInArrow(deal, ", ".join(f"{c} long" for c in ("fp", *names, "bucket")))
-    return _labelled(prints, least, components(_compared(keyed, 4, radius, block)), doc_id)
+
+def _sets(df: DataFrame, doc_id: str, text: str, k: int, pairs: DataFrame, least: DataFrame) -> DataFrame:
+    """``fp`` and ``own``, the shingles of the texts in pairs as sorted 40-bit hashes."""
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
+    asked = least.select("fp", "least").join(nodes, "fp").select(F.xxhash64("least").alias("_key")).distinct()
+
+    def run(batches):
+        for batch in bounded(batches, 1):
+            made = [sketch(x.as_py(), k)[0] for x in batch.column(1)]
+            packed = [(own >> np.uint64(24)).view(np.uint8).reshape(-1, 8)[:, :5].tobytes() for own in made]
+            yield pa.RecordBatch.from_arrays([pa.array([set_hash(own) for own in made], pa.int64()), pa.array(packed, pa.binary())], names=["fp", "own"])
+
+    texts = df.select(F.xxhash64(doc_id).alias("_key"), F.col(text).alias("_text")).join(asked, "_key", "left_semi")
+    return materialize(texts.mapInArrow(run, "fp long, own binary").groupBy("fp").agg(F.first("own").alias("own")))
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs whose sets are similar enough."""
+
+    def unpack(raw: bytes) -> np.ndarray:
+        out = np.zeros((len(raw) // 5, 8), np.uint8)
+        out[:, :5] = np.frombuffer(raw, np.uint8).reshape(-1, 5)
+        return out.view(np.uint64)[:, 0]
+
+    def check(batches):
+        for batch in batches:
+            good = []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                one, two = unpack(x.as_py()), unpack(y.as_py())
+                shared = len(np.intersect1d(one, two, assume_unique=True))
+                good.append(shared >= similarity * (len(one) + len(two) - shared) - 1e-9)
+            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    sides = pairs.join(sets.select(F.col("fp").alias("a"), F.col("own").alias("own_a")), "a").join(sets.select(F.col("fp").alias("b"), F.col("own").alias("own_b")), "b")
+    return sides.select("a", "b", "own_a", "own_b").mapInArrow(check, "a long, b long")
 
 
 def _labelled(prints: DataFrame, least: DataFrame, found: DataFrame, doc_id: str) -> DataFrame:
