@@ -1,13 +1,14 @@
 """Language identification and toxicity: exact code lengths, held-out accuracy, odd rows."""
 
 import math
+import random
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from wayfold.llm import op03_langid, op04_toxicity, queries
+from wayfold.llm import op03_langid, op04_toxicity, op09_quality, queries
 from wayfold.llm.common import text_bytes
 
 
@@ -96,3 +97,17 @@ def test_toxicity_odd_rows(spark, odd_rows):
     assert len(rows) == 10 and len({r.score for r in rows if r.doc_id in (2, 3, 4)}) == 1
     for one in (marked.where("y = 0"), marked.where("false")):
         assert {r.predicted for r in op04_toxicity.predict(odd_rows, op04_toxicity.train(one, "y")).collect()} == {0}
+
+
+def test_quality_of_small_groups_is_judged_by_all_rows_of_the_wider_level(spark):
+    rng = random.Random(4)
+
+    def text(n, form="w{}"):
+        return " ".join(form.format(rng.randrange(10**6)) for _ in range(n))
+
+    rows = [(k, text(rng.randrange(60, 2500)), "en", "hot") for k in range(300)]
+    rows += [(1000, text(100, "#$%&{}"), "en", "single"), (1001, text(300), "en", "other"), (1002, text(100, "#$%&{}"), "xx", "single"), (1003, text(300), "yy", "single")]
+    rows += [(2000 + k, text(2000 if k == 4 else 100), "en", "five") for k in range(5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    kept = {r.doc_id: r.kept for r in op09_quality.judge(df).where("doc_id >= 1000").collect()}
+    assert kept == {1000: False, 1001: True, 1002: False, 1003: True, **{2000 + k: True for k in range(5)}}

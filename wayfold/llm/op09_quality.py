@@ -8,8 +8,9 @@ A row whose squared Mahalanobis distance exceeds ``CUTOFF`` is rejected.
 Everything is DataFrame aggregation; a step is two small group-bys over the
 statistics, written once to the shared folder, never over the texts.
 
-Groups of fewer than ``LEAST`` rows are estimated with all rows of their
-language, and languages of fewer with all rows. ``FLOOR`` is added to the
+Groups of fewer than ``LEAST`` rows are judged by an estimate from all rows of
+their language, those of large sources included, and languages of fewer by one
+from all rows. ``FLOOR`` is added to the
 variances, so a statistic that is constant in a group does not reject a row
 for a hair's difference.
 
@@ -141,18 +142,22 @@ def outliers(rows: DataFrame, by: tuple[str, ...] = ("lang", "source")) -> DataF
     for k in range(len(by)):
         rows = rows.join(small(rows.groupBy(f"_key{k}").agg(F.count("*").alias(f"_size{k}"))), f"_key{k}")
         group = F.when(F.col(f"_size{k}") >= LEAST, F.col(f"_key{k}")).otherwise(group)
-    rows = rows.withColumn("_group", group).drop(*(f"_key{k}" for k in range(len(by))), *(f"_size{k}" for k in range(len(by))))
-    medians = small(rows.groupBy("_group").agg(*(F.percentile_approx(v, 0.5, 1000).alias(f"_m{v}") for v in VECTOR)))
-    away = rows.join(medians, "_group")
+    rows = rows.withColumn("_group", group).drop(*(f"_size{k}" for k in range(len(by))))
+    # an estimate is needed for the levels that rows are judged by, from all rows of the level
+    used = small(rows.select("_group").distinct())
+    levels = F.array(F.lit(""), *(F.col(f"_key{k}") for k in range(len(by))))
+    members = rows.select(*VECTOR, F.explode(levels).alias("_group")).join(used, "_group")
+    rows = rows.drop(*(f"_key{k}" for k in range(len(by))))
+    medians = small(members.groupBy("_group").agg(*(F.percentile_approx(v, 0.5, 1000).alias(f"_m{v}") for v in VECTOR)))
+    away = members.join(medians, "_group")
     spreads = away.groupBy("_group").agg(*(F.percentile_approx(F.abs(F.col(v) - F.col(f"_m{v}")), 0.5, 1000).alias(f"_s{v}") for v in VECTOR))
     start = small(medians.join(spreads, "_group"))
     scaled = sum((F.pow((F.col(v) - F.col(f"_m{v}")) / (1.4826 * F.col(f"_s{v}") + FLOOR**0.5), 2) for v in VECTOR), F.lit(0.0))
-    params = small(_estimate(_core(rows.join(start, "_group").withColumn("_d2", scaled).select(*rows.columns, "_d2"))))
+    params = small(_estimate(_core(members.join(start, "_group").withColumn("_d2", scaled).select(*members.columns, "_d2"))))
     for _ in range(STEPS):
-        params = small(_estimate(_core(_distances(rows, params))))
-    away = _distances(rows, params)
-    middle = small(away.groupBy("_group").agg(F.greatest(F.percentile_approx("_d2", 0.5, 1000) / MEDIAN, F.lit(1.0)).alias("_scale")))
-    return away.join(middle, "_group").withColumn("distance2", F.col("_d2") / F.col("_scale")).drop("_d2", "_scale", "_group")
+        params = small(_estimate(_core(_distances(members, params))))
+    middle = small(_distances(members, params).groupBy("_group").agg(F.greatest(F.percentile_approx("_d2", 0.5, 1000) / MEDIAN, F.lit(1.0)).alias("_scale")))
+    return _distances(rows, params).join(middle, "_group").withColumn("distance2", F.col("_d2") / F.col("_scale")).drop("_d2", "_scale", "_group")
 
 
 def judge(df: DataFrame, text: str = "text", by: tuple[str, ...] = ("lang", "source"), cutoff: float = CUTOFF, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
