@@ -331,10 +331,9 @@ def similar(df: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int =
     256-bit fingerprints only propose pairs: those within the mean distance at
     ``similarity`` plus three deviations. Each proposed pair is linked if the
     sets themselves are similar enough. Texts of equal sets are one
-    node. As a group of near copies has many pairs, two rounds propose only
-    forests of close pairs, between the classes found so far; the last round
-    then verifies every pair whose ends are not in one class yet, so no
-    verified link is lost to a forest.
+    node. As a group of near copies has many pairs, the first round proposes only
+    forests of close pairs; the second then verifies every pair whose ends are
+    not in one class yet, so no verified link is lost to a forest.
 
     Proposed pairs share sampled bits: a pair at the very ``similarity`` meets
     with probability ``recall``, closer pairs almost surely, equal sets always.
@@ -352,19 +351,20 @@ def similar(df: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int =
     least = materialize(prints.groupBy("fp", "size", *names).agg(F.min(doc_id).alias("least")))
     share = _share(similarity)
     tables = sampled_bits(least.count(), share, 256, recall, block)
-    # radius, tables, and whether forests will do
-    close = int(256 * _share((1 + similarity) / 2))
-    rounds = [(close, tables[:8], True), (int(256 * share), tables[:8], True), (int(256 * share + 3 * math.sqrt(256 * share * (1 - share))), tables, False)]
-    links = None
-    of = least.select("fp", F.col("fp").alias("group"))
-    for radius, own, sparse in rounds:
-        rows = least.select("fp", *names, "size").join(of, "fp")
-        pairs = materialize(_compared(_dealt(rows, names, own), 4, radius, block, ("group", "size"), _proposals(similarity, sparse)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-        found = materialize(_verified(pairs, _sets(df, doc_id, text, k, pairs, least), similarity))
-        links = found if links is None else links.unionByName(found)
-        classes = materialize(components(links))
-        of = materialize(least.select("fp").join(classes.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("component", "fp").alias("group")))
-    return _labelled(prints, least, classes, doc_id)
+    rows = least.select("fp", *names, "size")
+    # within the mean distance of a similarity a quarter of the way to 1, nearly all pairs are verified
+    close = _links(df, doc_id, text, k, least, rows.withColumn("group", F.col("fp")), int(256 * _share((1 + 3 * similarity) / 4)), tables[:8], similarity, block, True)
+    of = components(close).withColumnRenamed("node", "fp")
+    rows = materialize(rows.join(of, "fp", "left").withColumn("group", F.coalesce("component", "fp")))
+    wide = _links(df, doc_id, text, k, least, rows, int(256 * share + 3 * math.sqrt(256 * share * (1 - share))), tables, similarity, block, False)
+    return _labelled(prints, least, components(close.unionByName(wide)), doc_id)
+
+
+def _links(df: DataFrame, doc_id: str, text: str, k: int, least: DataFrame, rows: DataFrame, radius: int, tables: list[np.ndarray], similarity: float, block: int, sparse: bool) -> DataFrame:
+    """Verified links among the pairs of different groups that the tables propose."""
+    found = _compared(_dealt(rows, [f"word{j}" for j in range(4)], tables), 4, radius, block, ("group", "size"), _proposals(similarity, sparse))
+    pairs = materialize(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    return materialize(_verified(pairs, _sets(df, doc_id, text, k, pairs, least), similarity))
 
 
 def _dealt(rows: DataFrame, names: list[str], tables: list[np.ndarray]) -> DataFrame:
