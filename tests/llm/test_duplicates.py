@@ -110,7 +110,8 @@ def test_odd_rows(spark, odd_rows):
     by = {r.doc_id: r for r in rows}
     assert by[2].fp == by[3].fp == by[4].fp == 0 and by[4].component_id == 2
     assert op01_simhash.classes(odd_rows.where("false")).count() == 0
-    assert op02_substrings.repeats(odd_rows).count() == 0
+    rows = op02_substrings.repeats(odd_rows).collect()
+    assert len(rows) == 9 and all((r.class_id, r.n_links, r.spans) == (r.doc_id, 0, []) for r in rows)
     assert op02_substrings.repeats(odd_rows.where("false")).count() == 0
 
 
@@ -129,13 +130,89 @@ def test_passages(spark):
     docs[13] = ["x", *["same"] * 80]
     df = spark.createDataFrame([(k, text_of(d)) for k, d in enumerate(docs)], "doc_id long, text string")
     rows = {r.doc_id: r for r in op02_substrings.repeats(df).collect()}
-    assert set(rows) == {*range(11), 12, 13}
+    assert len(rows) == 40 and {k for k, r in rows.items() if r.n_links} == {*range(11), 12, 13}
+    assert all(r.n_links >= 7 for k, r in rows.items() if k < 8) and {r.class_id for k, r in rows.items() if k > 13} == {*range(14, 40)}
     assert {rows[k].class_id for k in range(9)} == {0} and {rows[9].class_id, rows[10].class_id} == {9}
     for k in range(8):
         assert any(s.start <= 100 and s.end >= 160 for s in rows[k].spans)
     assert [(s.start, s.end) for s in rows[10].spans] == [(0, 300)]
 
 
+def stretches(one, two, least=46, similarity=0.8):
+    """Whether some stretches of ``least`` shingles are similar enough, by trying all."""
+    grams = [[tuple(d[i : i + 5]) for i in range(len(d) - 4)] for d in (one, two)]
+    known = {g: k for k, g in enumerate({*grams[0], *grams[1]})}
+    x, y = ([known[g] for g in d] for d in grams)
+    if len({*x} & {*y}) < 41:
+        return False
+    for i in range(len(x) - least + 1):
+        own = {*x[i : i + least]}
+        for j in range(len(y) - least + 1):
+            both = len(own & {*y[j : j + least]})
+            if both >= similarity * (2 * least - both):
+                return True
+    return False
+
+
+def linked_pairs(spark, docs):
+    df = spark.createDataFrame([(k, text_of(d)) for k, d in enumerate(docs)], "doc_id long, text string")
+    found, _ = op02_substrings.links(df)
+    return {(r.a, r.b) for r in found.select("a", "b").distinct().collect()}
+
+
+def test_passages_of_the_least_length_with_a_word_changed(spark):
+    """Of random pairs with a passage of fifty words and one edit, every pair that brute force finds similar, at least 0.9 of them."""
+    rng = random.Random(11)
+    words = [f"w{k}" for k in range(4000)]
+    docs, want = [], set()
+    for k in range(150):
+        passage = rng.sample(words, 50)
+        other, at = passage[:], rng.randrange(50)
+        other[at : at + 1] = rng.choice([["new"], ["new", passage[at]], []])
+        pair = []
+        for body in (passage, other):
+            d = rng.sample(words, 120)
+            place = rng.randrange(121)
+            d[place:place] = body
+            pair.append(d)
+        docs += pair
+        if stretches(*pair):
+            want.add((2 * k, 2 * k + 1))
+    got = linked_pairs(spark, docs)
+    assert len(want) >= 100 and len(got & want) >= 0.99 * len(want)
+    assert all(stretches(docs[a], docs[b]) for a, b in got - want)
+
+
+def test_a_line_that_all_share_does_not_hide_a_passage(spark):
+    rng = random.Random(12)
+    words = [f"w{k}" for k in range(6000)]
+    docs, want = [], set()
+    for g in range(12):
+        line = rng.sample(words, 20 + 2 * g)
+        passage = [*rng.sample(words, 30), *line, *rng.sample(words, 5)]
+        for k in range(12):
+            d = rng.sample(words, 100)
+            d[50:50] = passage if k in (3, 8) else line
+            docs.append(d)
+        docs[12 * g + 8][60] = "changed"
+        want.add((12 * g + 3, 12 * g + 8))
+    assert linked_pairs(spark, docs) == want
+
+
+def test_many_contexts_of_one_signature(spark):
+    """Over ``FEW`` contexts: variants of one passage, each with its own change, are one class."""
+    rng = random.Random(13)
+    words = [f"w{k}" for k in range(6000)]
+    line = rng.sample(words, 56)
+    docs = []
+    for k in range(150):
+        own = line[:]
+        own[27 + k % 2] = f"x{k}"
+        docs.append([*rng.sample(words, 60), *own, *rng.sample(words, 60)])
+    df = spark.createDataFrame([(k, text_of(d)) for k, d in enumerate(docs)], "doc_id long, text string")
+    assert {r.class_id for r in op02_substrings.repeats(df).collect()} == {0}
+
+
 def test_passage_verification_takes_the_given_similarity():
     x = np.arange(100, dtype=np.uint32)
     assert op02_substrings.passages(x, x.copy(), 46, 0.8) == [(0, 100, 0, 100)]
