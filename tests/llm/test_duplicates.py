@@ -207,7 +207,7 @@ def test_many_contexts_of_one_signature(spark):
     docs = []
     for k in range(150):
         own = line[:]
-        own[27 + k % 2] = f"x{k}"
+        own[28] = f"x{k}"
         docs.append([*rng.sample(words, 60), *own, *rng.sample(words, 60)])
     df = spark.createDataFrame([(k, text_of(d)) for k, d in enumerate(docs)], "doc_id long, text string")
     assert {r.class_id for r in op02_substrings.repeats(df).collect()} == {0}
