@@ -1,46 +1,48 @@
 """Corpus pipeline: quality, near-dedup, decontamination, secrets, tokens.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the
-last keep the columns of ``documents``. Rows are told apart by a hash of all
-their columns, so null or repeated ids neither drop nor multiply rows.
+last keep the columns of ``documents``.
+
+Defined cases: rows are told apart by themselves, not by their ids or a hash,
+so null and repeated ids and columns of any further name neither drop nor
+multiply rows; null and empty texts fail the quality rules, and as input of a
+later stage are one near-duplicate class, hold no passage and no secret and have no
+tokens; very long texts are handled whole; of repeated rows near-dedup keeps
+one, ties going to the smaller id, ids before nulls; empty tables give empty results.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayfold.llm import op01_simhash, op05_bpe, op07_decontamination, op08_secrets, op09_quality
-from wayfold.llm.common import materialize, read
+from wayfold.llm.common import materialize, read, stored, unused
 
 #: Near-duplicates here: five-word shingles and a Jaccard similarity of 0.8 or
 #: more, verified on the shingles themselves.
 SHINGLE, SIMILARITY = 5, 0.8
 
 
-def _row(docs: DataFrame) -> Column:
-    return F.xxhash64(*docs.columns)
-
-
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the hard rules and are no outliers of their language and source."""
-    keyed = docs.withColumn("_row", _row(docs))
-    verdicts = op09_quality.judge(keyed.select("_row", "text", "lang", "source"), keep=("_row",))
-    kept = verdicts.where("kept").select("_row").distinct()
-    return keyed.join(kept, "_row", "left_semi").drop("_row")
+    whole = docs.select(F.struct(*docs.columns).alias("document"), "text", "lang", "source")
+    return op09_quality.judge(whole, keep=("document",)).where("kept").select("document.*")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: the one with the smallest id."""
-    keyed = docs.withColumn("_row", _row(docs))
-    named = keyed.select(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row").alias("_id"), "text")
-    heads = op01_simhash.similar(named, "_id", k=SHINGLE, similarity=SIMILARITY).select(F.col("component_id._row").alias("_row")).distinct()
-    return keyed.join(heads, "_row", "left_semi").dropDuplicates(["_row"]).select(*docs.columns)
+    row = unused(docs, "row")
+    numbered = stored(docs.withColumn(row, F.monotonically_increasing_id()))  # once written, a number stays with its row
+    named = numbered.select(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col(row).alias("row")).alias("id"), "text")
+    heads = op01_simhash.similar(named, "id", k=SHINGLE, similarity=SIMILARITY).select(F.col("component_id.row").alias(row)).distinct()
+    return numbered.join(heads, row, "left_semi").select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the benchmark."""
-    return op07_decontamination.scan(docs, read(spark, sf_dir, "benchmark"), out="_leaks").where(F.size("_leaks") == 0).drop("_leaks")
+    leaks = unused(docs, "leaks")
+    return op07_decontamination.scan(docs, read(spark, sf_dir, "benchmark"), out=leaks).where(F.size(leaks) == 0).select(*docs.columns)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

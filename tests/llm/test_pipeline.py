@@ -22,12 +22,27 @@ def test_stages(spark, sf_dir, tmp_path):
 
 
 def test_odd_rows(spark, odd_rows, sf_dir):
-    docs = odd_rows.select("doc_id", "text", "lang", "source", "n_chars")
+    given = odd_rows.select("doc_id", "text", "lang", "source", "n_chars")
+    more = ("row", "_row", "_Leaks", "leaks", "_rules", "_key", "spans_hex", "_spans_hex", "n_words", "kept", "_group", "v_words", "document", "id", "fp")
+    docs = given.withColumns({c: F.lit(k) for k, c in enumerate(more)})
     for name, stage in p.STAGES:
         assert stage(spark, docs.where("false"), sf_dir).count() == 0, name
-        stage(spark, docs, sf_dir).collect()
+        out = stage(spark, docs, sf_dir)
+        if stage is not p.tokens:
+            assert out.columns == docs.columns
+            assert all(tuple(r)[5:] == tuple(range(len(more))) for r in out.collect())
+        else:
+            assert out.count() == 10
     one = [r.doc_id for r in p.near_dedup(spark, docs, sf_dir).collect()]
     assert one.count(6) == 1 and None in one and len([x for x in one if x in (2, 3, 4)]) == 1
     assert p.secrets(spark, docs, sf_dir).count() == p.decontaminate(spark, docs, sf_dir).count() == 10
     many = docs.where("doc_id = 5").withColumn("n_chars", F.explode(F.array(F.lit(1).cast("long"), F.lit(2).cast("long"))))
     assert p.near_dedup(spark, many, sf_dir).count() == 1
+
+
+def test_rows_that_differ_only_by_where_a_null_stands_are_two(spark, sf_dir):
+    text = " ".join(f"w{k}" for k in range(60))
+    rows = [(k, " ".join(f"w{(k * 7919 + i * 104729) % 5003}" for i in range(60 + k % 40)), "en", "s", 1) for k in range(50)]
+    docs = spark.createDataFrame([*rows, (100, text, "en", None, 1), (100, text, None, "en", 1)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert p.quality(spark, docs, sf_dir).where("doc_id = 100").count() == 2
+    assert p.near_dedup(spark, docs, sf_dir).where("doc_id = 100").count() == 1

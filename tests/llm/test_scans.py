@@ -1,8 +1,10 @@
 """License, secret, quality and benchmark scans against brute force."""
 
 import hashlib
+import math
 import random
 import re
+import time
 
 import pytest
 from words import text_of
@@ -25,19 +27,51 @@ def test_licenses(spark, odd_rows, sf_dir):
     extra = spark.createDataFrame([(10_001, "x\nMIT License, apache-license; CC BY and GNU General\nPublic License"), (10_002, "Permission is hereby granted free of charge to any person obtaining a copy of software and documentation files"), (10_003, None)], docs.schema)
     df = docs.unionByName(extra)
     rows = {r.doc_id: r for r in op06_licenses.scan(df).collect()}
-    templates = {k: set(words_of(v)) for k, v in op06_licenses.TEMPLATES.items()}
+    templates = {k: words_of(v) for k, v in op06_licenses.TEMPLATES.items()}
     for d, text in df.collect():
         w = words_of(text)
         at = sorted((i, label) for phrase, label in op06_licenses.PHRASES.items() for i in range(len(w)) if w[i : i + len(phrase.split())] == phrase.split())
-        want = {k for k, t in templates.items() for line in (text or "").split("\n") if len(t & set(words_of(line))) >= 0.8 * len(t)}
+        want = slow_blocks(w, templates)
         r = rows[d]
         assert (r.n_words, r.n_base, r.first_word, r.last_word) == (len(w), len(at), at[0][0] if at else None, at[-1][0] if at else None)
-        assert r.base_labels == ",".join(sorted({label for _, label in at})) and r.labels == ",".join(sorted({label for _, label in at} | want))
-        assert (r.score > 0) == bool(at or want)
+        assert r.base_labels == ",".join(sorted({label for _, label in at})) and r.labels == ",".join(sorted({label for _, label in at} | want.keys()))
+        assert r.score == (1.0 if at else max([0.0, *want.values()])) and {m.template for m in r.matches} == want.keys()
     assert rows[10_001].n_base == 4 and "mit-terms" in rows[10_002].labels
     assert op06_licenses.scan(odd_rows).count() == 10 and op06_licenses.scan(odd_rows.where("false")).count() == 0
 
 
+def slow_blocks(w, templates, threshold=0.8):
+    """The fullest block of each template that some block matches, over all runs of words."""
+    out = {}
+    for name, t in templates.items():
+        n, span = len(set(t)), math.ceil(len(t) / threshold)
+        if len(set(t) & set(w)) >= threshold * n:
+            best = max(len(set(t) & set(w[i : i + span])) for i in range(len(w)))
+            if best >= threshold * n:
+                out[name] = best / n
+    return out
+
+
+def test_license_blocks_reach_over_lines_and_no_further(spark):
+    words = [w for t in op06_licenses.TEMPLATES.values() for w in words_of(t)]
+    rng = random.Random(2)
+    texts = []
+    for name in ("mit", "bsd-2-clause", "gpl-terms", "isc", "apache-2.0-notice"):
+        own = op06_licenses.TEMPLATES[name].split()
+        wrapped = "".join(w + ("\n # " if k % 9 == 8 else " ") for k, w in enumerate(own))
+        texts += ["int x; " * 20 + wrapped + "int y; " * 20, " ".join(w + " filler" * 9 for w in own), " ".join(w for k, w in enumerate(own) if k % 6)]
+    texts += [" ".join(rng.choice(words) for _ in range(rng.randrange(400))) for _ in range(80)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    templates = {k: words_of(v) for k, v in op06_licenses.TEMPLATES.items()}
+    for r in op06_licenses.scan(df).collect():
+        want = slow_blocks(words_of(texts[r.doc_id]), templates)
+        assert {m.template for m in r.matches} == want.keys(), r.doc_id
+        for name, share in want.items():
+            assert max(m.containment for m in r.matches if m.template == name) == share
+    labels = [r.labels for r in op06_licenses.scan(df).orderBy("doc_id").collect()]
+    assert "mit" in labels[0].split(",") and "bsd-2-clause" in labels[3] and labels[1] == "" and "mit" in labels[2].split(",")
+
+
 def slow_spans(text, rules):
     out = []
     for k, r in enumerate(rules):
@@ -56,17 +90,35 @@ SECRETS = [
 def test_secrets(spark, odd_rows):
     rows = [(k, t, "x") for k, t in enumerate([*SECRETS, "", None])]
     df = spark.createDataFrame([*rows, rows[0]], "doc_id long, text string, _rules string")
+    df = df.withColumns({c: F.lit(k) for k, c in enumerate(("_key", "_row", "_Every", "_spans_hex"))})
     base = tuple(r for r in op08_secrets.RULES if r.base)
-    got = op08_secrets.scan(df.drop("_rules")).select("doc_id", "text", op08_secrets.listing(op08_secrets.RULES).alias("all"), op08_secrets.listing(base).alias("base")).collect()
+    got = op08_secrets.scan(df.withColumn("spans_hex", F.lit(7))).select("doc_id", "text", op08_secrets.listing(op08_secrets.RULES).alias("all"), op08_secrets.listing(base).alias("base")).collect()
     assert len(got) == len(rows) + 1
     for r in got:
         assert r["all"] == slow_spans(r.text, op08_secrets.RULES) and r.base == slow_spans(r.text, base)
     assert op08_secrets.scan(odd_rows).count() == 10 and op08_secrets.scan(odd_rows.where("false")).count() == 0
-    masked = {r.doc_id: r.text for r in op08_secrets.redact(df.drop("_rules")).collect()}
+    out = op08_secrets.redact(df.withColumn("spans_hex", F.lit(7)))
+    assert out.columns == [*df.columns, "spans_hex"]
+    assert {tuple(r)[2:] for r in out.collect()} == {("x", 0, 1, 2, 3, 7)}
+    masked = {r.doc_id: r.text for r in out.collect()}
     assert masked[1] == 'my [SECRET]" é🙂 password: short' and masked[len(SECRETS)] == "" and masked[len(SECRETS) + 1] is None
     assert all(not slow_spans(t, op08_secrets.RULES) for t in masked.values())
 
 
+def test_secrets_of_a_long_text(spark):
+    """Five million characters with a hundred thousand hex runs: the work grows with the text."""
+    rng = random.Random(1)
+    text = " ".join(rng.choice(["0123456789abcdef" * 2, "deadbeef" * 2, "é🙂 abc", "feed"]) for _ in range(280_000))
+    df = spark.createDataFrame([(1, text), (2, text[:100])], "doc_id long, text string")
+    began = time.time()
+    one = op08_secrets.scan(df).orderBy("doc_id").first()
+    masked = op08_secrets.redact(df).orderBy("doc_id").first().text
+    assert time.time() - began < 90
+    want = [m.span() for m in re.finditer("[0-9a-f]{24,}", text)]
+    assert [(s.start, s.end) for s in one.spans_hex] == want and len(want) > 60_000
+    assert masked == re.sub("[0-9a-f]{24,}", "[SECRET]", text)
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.sampled_from(["token", "=", ":", "secret", "PassWord", "api", "_key", "abcdef", "12", " ", "'", "AKIA", "ABCDEFGHIJKLMNOP", "xoxb-", "é"]), max_size=14))
 def test_trigram_queries_never_lose_a_match(parts):

@@ -7,7 +7,7 @@ Large stars are linked through minima, which Spark pre-aggregates by task.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from wayfold.llm.common import materialize
@@ -19,8 +19,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     Self-loops and repeated edges are allowed; without edges the result is empty.
     """
     pairs = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b")
-    pairs = materialize(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    before = None
+    pairs, before = _counted(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     while True:
         # large star: every larger neighbour of a node is linked to its smallest neighbour;
         # minima are written before the join, so a star's rows may be split among tasks there
@@ -30,9 +29,15 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         # small star: a node and its smaller neighbours are linked to the smallest of them
         least = materialize(large.groupBy("a").agg(F.min("b").alias("m")))
         small = large.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b")
-        pairs = materialize(small.where("a <> b").distinct())
-        now = tuple(pairs.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
+        pairs, now = _counted(small.where("a <> b").distinct())
         if now == before:
             break
         before = now
     return pairs.select(F.col("a").alias("node"), F.col("b").alias("component")).union(pairs.select(F.col("b"), F.col("b")).distinct())
+
+
+def _counted(pairs: DataFrame) -> tuple[DataFrame, tuple]:
+    """The pairs, written, with their number and the sum of their hashes, taken on the way."""
+    seen = Observation()
+    pairs = materialize(pairs.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")).alias("sum")))
+    return pairs, tuple(seen.get.values())

@@ -15,9 +15,11 @@ reduced to a spanning forest before they leave the task. Buckets of more than
 ``BLOCK`` rows are cut into parts by a hash, and every two parts meet in a task
 of their own, so a task never holds more than two parts of a bucket.
 
-Defined cases: null text or text without words has fingerprint zero, linked
-like any other; repeated rows and ids fall into one class; an empty table gives
-an empty result.
+Defined cases: null, empty and wordless texts have fingerprint zero, linked
+like any other; very long texts are hashed whole, part by part; repeated rows and
+ids fall into one class; equal fingerprints are one node; rows without an id keep
+null and their class's smallest id; other columns, whatever their names, are
+ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -377,7 +379,7 @@ def _dealt(rows: DataFrame, names: list[str], tables: list[np.ndarray]) -> DataF
             bits = np.unpackbits(np.ascontiguousarray(words).view(np.uint8).reshape(len(words), 32), axis=1, bitorder="little").astype(np.int64)
             for number, places in enumerate(tables):
                 value = bits[:, places] @ (1 << np.arange(len(places), dtype=np.int64))
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(value * 1024 + number)], names=[*columns, "bucket"])
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array((mix(value.astype(np.uint64)) ^ mix(np.uint64([number + 1]))).view(np.int64))], names=[*columns, "bucket"])
 
     return rows.select(*columns).mapInArrow(deal, ", ".join(f"{c} long" for c in (*columns, "bucket")))
 

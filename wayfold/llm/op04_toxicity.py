@@ -1,20 +1,23 @@
 """Toxicity by a linear classifier on character n-grams scaled by naive Bayes log-count ratios.
 
 A text's features are the 4-, 6- and 8-byte grams of its folded text (non-word
-bytes read as a space), hashed to 2**20 places. A gram that occurs c times in a
-text of n words has the rate f = c / (n + SMOOTH) and the value f / (f + HALF):
-it saturates, so long texts are not favoured and repeats count little.
-Each place j has the ratio r_j = log((p_j / |p|) / (q_j / |q|)) of the smoothed
-value sums in the two classes; the ``FEATURES`` places that speak most for
-class 1 are kept, and logistic regression with a ridge penalty is fitted to
-the values scaled by r_j.
+bytes read as a space), hashed to 2**20 places; none of them is left out. A
+place that occurs c times in a text of n words has the rate c / (n + SMOOTH), in
+units of ``RATE``. Each place j has the ratio r_j = log((p_j / |p|) / (q_j /
+|q|)) of the smoothed rate sums in the two classes, and logistic regression with
+a ridge penalty is fitted to the rates scaled by r_j, over the places of both
+signs.
 
 Fitting takes at most ``TRAIN_ROWS`` labelled rows in expectation, drawn by a
-hash of the row key. Every row is scored on its whole text.
-
-Defined cases: null and empty texts get the score of the intercept; rows
-without a label are not learned from; with fewer than two classes to learn
-from, every score is near the class that was seen (0 without rows).
+hash of the row key. Their rates are written once to the shared folder; sums and
+gradients are added up by tasks, and the driver holds only vectors of 2**20
+numbers (limited-memory quasi-Newton steps). Every row is scored on its whole text.
+
+Defined cases: null and empty texts get the score of the intercept; very long
+texts are read in parts; rows without a label are not learned from; repeated rows
+weigh as often as they stand there; equal texts have equal scores; with fewer than two classes to learn
+from, every score is near the class that was seen (0 without rows); other
+columns, whatever their names, are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,17 +30,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wayfold.llm.common import _WORD, bounded, fold, materialize, text_bytes
+from wayfold.llm.common import _WORD, bounded, fold, stored, text_bytes
 
 TRAIN_ROWS = 12_000
-FEATURES = 512
+PART_ROWS = 1_000
 ORDERS = (4, 6, 8)
 BITS = 20
+SIZE = 1 << BITS
 SMOOTH = 20
-HALF = 0.01
+RATE = 0.01
 RIDGE = 1e-4
-STEPS = 300
-UNIT = 1 << 20
+STEPS = 30
+MEMORY = 6
 CUTOFF = 0.7
 CHUNK = 1 << 21
 _SPACE = np.where(_WORD, np.arange(256), 32).astype(np.uint8)
@@ -55,26 +59,35 @@ def _places(x: np.ndarray, order: int) -> np.ndarray:
     return gram >> np.uint64(64 - BITS)
 
 
-def values(raw: np.ndarray, offsets: np.ndarray, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The (text, place, value) triples of a batch, by text and place; with ``wanted`` only of places marked there."""
-    x = _SPACE[fold(raw, latin=True)]
-    found = []
+def _parts(x: np.ndarray, offsets: np.ndarray):
+    """(text, place) of every gram, by part of the bytes and by order."""
     for low in range(0, len(x), CHUNK):  # grams that begin in this part
         part = x[low : low + CHUNK + 8]
+        doc = np.repeat(np.arange(len(offsets) - 1), np.diff(np.clip(offsets, low, min(low + CHUNK, len(x)))))
+        left = offsets[doc + 1] - np.arange(low, low + len(doc))
         for order in ORDERS:
-            place = _places(part, order)[:CHUNK]
-            at = np.arange(len(place)) if wanted is None else np.flatnonzero(wanted[place])
-            doc = np.searchsorted(offsets, at + low, "right") - 1
-            fits = at + low + order <= offsets[doc + 1]
-            found.append(doc[fits] << BITS | place[at[fits]].astype(np.int64))
-    pair, count = np.unique(np.concatenate([np.zeros(0, np.int64), *found]), return_counts=True)
-    doc = pair >> BITS
+            fits = left >= order
+            yield doc[fits], _places(part, order)[: len(doc)][fits]
+
+
+def _unit(x: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """What one occurrence adds to a place's rate in each text."""
     word = x != 32
     begins = word.copy()
     begins[1:] &= ~word[:-1]
+    starts = offsets[:-1][offsets[:-1] < len(x)]
+    begins[starts] = word[starts]
     words = np.concatenate([[0], np.cumsum(begins)])
-    rate = count / ((words[offsets[1:]] - words[offsets[:-1]])[doc] + SMOOTH)
-    return doc, pair & ((1 << BITS) - 1), rate / (rate + HALF)
+    return 1 / (RATE * (words[offsets[1:]] - words[offsets[:-1]] + SMOOTH))
+
+
+def rates(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The (text, place, rate) triples of a batch, by text and place."""
+    x = _SPACE[fold(raw, latin=True)]
+    found = [doc << BITS | place.astype(np.int64) for doc, place in _parts(x, offsets)]
+    pair, count = np.unique(np.concatenate([np.zeros(0, np.int64), *found]), return_counts=True)
+    doc = pair >> BITS
+    return doc, pair & (SIZE - 1), count * _unit(x, offsets)[doc]
 
 
 @dataclass
@@ -83,77 +96,121 @@ class Model:
     bias: float
 
     def score(self, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        doc, place, value = values(raw, offsets, self.weight != 0)
-        z = self.bias + np.bincount(doc, value * self.weight[place], len(offsets) - 1)
-        return 1 / (1 + np.exp(-np.clip(z, -50, 50)))
-
-
-def fit(rows: np.ndarray, cols: np.ndarray, value: np.ndarray, y: np.ndarray, n: int) -> tuple[np.ndarray, float]:
-    """Ridge logistic regression by Adam over (row, feature, value) triples of ``n`` features."""
-    w, m, v = (np.zeros(n + 1) for _ in range(3))
-    w[-1] = np.log(y.mean() / (1 - y.mean()))
-    for t in range(1, STEPS + 1):
-        z = np.bincount(rows, value * w[cols], len(y)) + w[-1]
-        err = 1 / (1 + np.exp(-np.clip(z, -50, 50))) - y
-        g = np.append(np.bincount(cols, value * err[rows], n) / len(y) + RIDGE * w[:-1], err.mean())
-        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        w -= 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
-    return w[:-1], float(w[-1])
-
-
-def train(df: DataFrame, label: str, key: str = "doc_id", text: str = "text", rows: int = TRAIN_ROWS) -> Model:
-    """Fit on about ``rows`` labelled rows; counts are added up by Spark, the bounded sample of kept features is fitted on the driver."""
-    size = 1 << BITS
+        x = _SPACE[fold(raw, latin=True)]
+        z = np.zeros(len(offsets) - 1)
+        for doc, place in _parts(x, offsets):
+            z += np.bincount(doc, self.weight[place], len(z))
+        return 1 / (1 + np.exp(-np.clip(self.bias + z * _unit(x, offsets), -50, 50)))
+
+
+def _pack(doc: np.ndarray, place: np.ndarray, rate: np.ndarray, n: int) -> list[list[bytes]]:
+    """By text: places as 16-bit numbers, how many there are of each upper part, and rates as half floats."""
+    ends = np.searchsorted(doc, np.arange(n + 1))
+    low, high, rate = (place & 0xFFFF).astype(np.uint16), place >> 16, rate.astype(np.float16)
+    return [[low[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)], [np.bincount(high[a:b], minlength=SIZE >> 16).astype(np.int32).tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)], [rate[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]]
+
+
+def _unpack(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Labels and (text, place, rate) triples of packed rows."""
+    y = np.array(batch.column(0), float)
+    lows, uppers, rates_ = ([v.as_py() for v in batch.column(k)] for k in (1, 2, 3))
+    upper = np.frombuffer(b"".join(uppers), np.int32).reshape(len(y), SIZE >> 16)
+    place = np.frombuffer(b"".join(lows), np.uint16).astype(np.int64) + (np.repeat(np.tile(np.arange(SIZE >> 16), len(y)), upper.ravel()) << 16)
+    return y, np.repeat(np.arange(len(y)), upper.sum(1)), place, np.frombuffer(b"".join(rates_), np.float16).astype(np.float64)
+
+
+def _added(rows: DataFrame, make) -> np.ndarray:
+    """The sum of the vectors that ``make`` yields for the batches of each part."""
+
+    def run(batches):
+        total = None
+        for batch in batches:
+            if batch.num_rows:
+                own = make(batch)
+                total = own if total is None else total + own
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([total.astype(np.float32).tobytes()], pa.binary())], names=["sum"])
+
+    total: np.ndarray | float = np.float64(0)
+    for part in rows.mapInArrow(run, "sum binary").toArrow().column(0):  # at most a vector for each PART_ROWS of the bounded sample
+        total = total + np.frombuffer(part.as_py(), np.float32)
+    return total
+
+
+def minimized(evaluate, at: np.ndarray, steps: int = STEPS) -> np.ndarray:
+    """A minimum of a convex function by limited-memory quasi-Newton steps; ``evaluate`` gives value and gradient."""
+    value, slope = evaluate(at)
+    moves, turns = [], []
+    for _ in range(steps):
+        way, kept = slope.copy(), []
+        for move, turn in zip(reversed(moves), reversed(turns), strict=True):
+            share = (move @ way) / (move @ turn)
+            way -= share * turn
+            kept.append(share)
+        if moves:
+            way *= (moves[-1] @ turns[-1]) / (turns[-1] @ turns[-1])
+        else:
+            way /= max(1.0, float(np.linalg.norm(slope)))
+        for move, turn, share in zip(moves, turns, reversed(kept), strict=True):
+            way += (share - (turn @ way) / (move @ turn)) * move
+        step, fall = 1.0, float(way @ slope)
+        while True:
+            there = at - step * way
+            new, after = evaluate(there)
+            if new <= value - 1e-4 * step * fall or step < 1e-4:
+                break
+            step /= 4
+        if value - new < 1e-5 * max(abs(value), 1e-3):
+            return there if new < value else at
+        moves, turns = [*moves, there - at][-MEMORY:], [*turns, after - slope][-MEMORY:]
+        at, value, slope = there, new, after
+    return at
+
+
+def train(df: DataFrame, label: str, key: str = "doc_id", text: str = "text", rows: int = TRAIN_ROWS, ridge: float = RIDGE) -> Model:
+    """Fit on about ``rows`` labelled rows, which Spark reads, counts and adds up."""
     known = df.where(F.col(label).isNotNull()).select(F.col(key).alias("key"), F.col(label).cast("int").alias("y"), F.col(text).alias("text"))
     n, ones = known.agg(F.count("*"), F.sum("y")).first()
     draw = F.xxhash64("key").bitwiseAND(F.lit((1 << 30) - 1)) / float(1 << 30)
     sample = known.where(draw < min(1.0, rows / max(n, 1)))
     if not ones or ones == n:
-        return Model(np.zeros(size), -50.0 if not ones else 50.0)
-
-    def count(batches):
-        both = np.zeros((2, size))
-        for batch in bounded(batches, 2, 1 << 20):
-            raw, offsets = text_bytes(batch.column(2))
-            y = np.array(batch.column(1))
-            doc, place, value = values(raw, offsets)
-            for k in (0, 1):
-                own = y[doc] == k
-                both[k] += np.bincount(place[own], value[own], size)
-        both = np.rint(both * UNIT).astype(np.int64)  # whole numbers add up alike in any order
-        place = np.flatnonzero(both.sum(0))
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (place, both[0][place], both[1][place])], names=["place", "n0", "n1"])
-
-    counts = materialize(sample.mapInArrow(count, "place long, n0 long, n1 long").groupBy("place").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")))
-    whole = counts.agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).first()
-    q, p = ((F.col(c) / UNIT + 1) / (whole[c] / UNIT + size) for c in ("n0", "n1"))
-    telling = F.when(p > q, (p - q) * (p - q) / (p + q)).otherwise(0.0)
-    best = counts.orderBy(telling.desc(), "place").limit(FEATURES).select("place", F.log(p / q).alias("ratio")).collect()
-    place, ratio = np.array([r[0] for r in best], np.int64), np.array([r[1] for r in best])
-    column = np.full(size, -1, np.int64)
-    column[place] = np.arange(len(place))
+        return Model(np.zeros(SIZE), -50.0 if not ones else 50.0)
 
     def extract(batches):
-        for batch in bounded(batches, 2, 1 << 20):
-            raw, offsets = text_bytes(batch.column(2))
-            doc, at, value = values(raw, offsets, column >= 0)
-            ends = pa.array(np.searchsorted(doc, np.arange(len(offsets))).astype(np.int32))
-            cols, of = pa.ListArray.from_arrays(ends, pa.array(column[at].astype(np.int32))), pa.ListArray.from_arrays(ends, pa.array(value))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), cols, of], names=["key", "y", "cols", "of"])
-
-    key_type = known.schema["key"].dataType
-    schema = T.StructType([T.StructField("key", key_type), T.StructField("y", T.IntegerType()), T.StructField("cols", T.ArrayType(T.IntegerType())), T.StructField("of", T.ArrayType(T.DoubleType()))])
-    drawn = sample.mapInArrow(extract, schema).toArrow().sort_by("key")
-    lists = drawn["cols"].combine_chunks()
-    cols, value = np.array(lists.flatten(), np.int64), np.array(drawn["of"].combine_chunks().flatten())
-    owner = np.repeat(np.arange(len(lists)), np.array(lists.value_lengths()))
-    y = np.array(drawn["y"], float)
-    weight = np.zeros(size)
-    if not len(y) or y.min() == y.max():
-        return Model(weight, 50.0 if len(y) and y[0] else -50.0)
-    w, bias = fit(owner, cols, value * ratio[cols], y, len(ratio))
-    weight[place] = w * ratio
-    return Model(weight, bias)
+        for batch in bounded(batches, 1, 1 << 20):
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.binary()) for x in _pack(*rates(*text_bytes(batch.column(1))), batch.num_rows))], names=["y", "low", "upper", "rate"])
+
+    spread = sample.select("y", "text").repartition(max(1, -(-min(rows, n) // PART_ROWS)))
+    drawn = stored(spread.mapInArrow(extract, "y int, low binary, upper binary, rate binary"))
+
+    def sums(batch):
+        y, owner, place, rate = _unpack(batch)
+        own = y[owner] == 1
+        return np.concatenate([np.bincount(place[~own], rate[~own], SIZE), np.bincount(place[own], rate[own], SIZE), [len(y), y.sum()]])
+
+    both = _added(drawn, sums)
+    if not isinstance(both, np.ndarray) or both[-1] in (0, both[-2]):
+        return Model(np.zeros(SIZE), 50.0 if isinstance(both, np.ndarray) and both[-1] else -50.0)
+    count, share = both[-2], both[-1] / both[-2]
+    q, p = both[:SIZE] + 1, both[SIZE : 2 * SIZE] + 1
+    ratio = np.log((p / p.sum()) / (q / q.sum()))
+
+    def evaluate(w):
+        sent = drawn.sparkSession.sparkContext.broadcast(((w[:-1] * ratio).astype(np.float32), float(w[-1])))
+
+        def slope(batch):
+            weight, bias = sent.value
+            y, owner, place, rate = _unpack(batch)
+            z = np.clip(np.bincount(owner, rate * weight[place], len(y)) + bias, -50, 50)
+            err = 1 / (1 + np.exp(-z)) - y
+            return np.concatenate([np.bincount(place, rate * err[owner], SIZE), [err.sum(), (np.logaddexp(0, z) - y * z).sum()]])
+
+        total = _added(drawn, slope) / count
+        sent.unpersist()
+        return total[-1] + ridge / 2 * float(w[:-1] @ w[:-1]), np.append(total[:-2] * ratio + ridge * w[:-1], total[-2])
+
+    w = minimized(evaluate, np.append(np.zeros(SIZE), np.log(share / (1 - share))))
+    return Model(w[:-1] * ratio, float(w[-1]))
 
 
 def predict(df: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text", extra: dict[str, Column] | None = None, cutoff: float = CUTOFF) -> DataFrame:

@@ -1,12 +1,15 @@
 """License scans: an exact set-similarity join of text blocks with license templates.
 
-A block is a line. A template matches it if the block holds at least
-``THRESHOLD`` of the template's distinct words. All of the template's words are
-ordered by their count in the whole corpus, rarest first. With n words and a
-need of o = ceil(threshold * n), a matching block holds one of the first
-n - o + 1 (prefix filter), has at least o distinct words (length filter), and
-its first match at place p leaves n - p >= o words (positional filter). What
-passes is verified in full, so no match is missed and none is made up.
+A block is a run of consecutive words, over line breaks, as long as the
+template may get at the containment threshold: its words divided by
+``THRESHOLD``. Every such run of a document is a block. A template matches a
+block that holds at least ``THRESHOLD`` of the template's distinct words. All of
+the templates' words are ordered by their count in the whole corpus, rarest
+first. With n distinct words and a need of o = ceil(threshold * n), a matching
+block holds one of the first n - o + 1 (prefix filter), a document has o of them
+at least (length filter), and its first match at place p leaves n - p >= o words
+(positional filter). Around what passes, the distinct words of all blocks are
+counted at once, so no match is missed and none is made up.
 
 Templates are a parameter of fixed size, so they travel to the tasks; the
 corpus is read twice, once for the counts and once for the join, and nothing
@@ -14,8 +17,12 @@ is shuffled but one count a template word and task.
 
 Phrases are found exactly: their words stand consecutively in a document.
 
-Defined cases: a null or empty text has no words, no labels and score 0; null
-keys and repeated rows give their own result row; equal labels count once.
+Defined cases: a null or empty text has no words, no labels and score 0; a very
+long text is one list of words, so its length only adds blocks; blocks that
+overlap and match the same template are one match, told by its fullest block,
+the first of equals; null keys and repeated rows give their own result row; equal
+labels count once; other columns, whatever their names, are ignored; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,23 +36,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wayfold.llm.common import Words, bounded
+from wayfold.llm.license_texts import TEMPLATES
 
 THRESHOLD = 0.8
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
-#: Opening or notice sentences of public licenses.
-TEMPLATES = {
-    "apache-2.0-notice": "licensed under the apache license version 2 0",
-    "apache-2.0-terms": "you may not use this file except in compliance with the license you may obtain a copy of the license at",
-    "bsd-terms": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
-    "cc-by-nc-notice": "licensed under cc by nc 4 0",
-    "cc-by-notice": "this work is licensed under a creative commons attribution 4 0 international license",
-    "gpl-3-notice": "this work is licensed under the gnu general public license version 3",
-    "gpl-terms": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation",
-    "mit-notice": "released under the mit license",
-    "mit-terms": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files",
-    "mpl-notice": "this source code form is subject to the terms of the mozilla public license",
-    "unlicense-terms": "this is free and unencumbered software released into the public domain",
-}
 
 
 def _codes(texts: list[str]) -> list[np.ndarray]:
@@ -70,37 +64,75 @@ def corpus_counts(df: DataFrame, text: str, vocabulary: np.ndarray) -> dict[int,
 
 
 class Templates:
-    """Templates as word sets in global order, with their prefix and need."""
+    """Templates as word sets in global order, with their prefix, need and block length."""
 
     def __init__(self, templates: dict[str, str], counts: dict[int, int], threshold: float):
+        codes = _codes(list(templates.values()))
+        self.words = np.unique(np.concatenate([np.zeros(0, np.uint64), *codes]))
         self.names = list(templates)
-        self.words = []
-        for code in _codes(list(templates.values())):
-            self.words.append(sorted({int(c) for c in code}, key=lambda c: (counts.get(c, 0), c)))
-        self.need = [max(1, math.ceil(threshold * len(w) - 1e-9)) for w in self.words]
-        self.by_prefix: dict[int, list[tuple[int, int]]] = {}
-        for k, (w, o) in enumerate(zip(self.words, self.need, strict=True)):
-            for place, c in enumerate(w[: len(w) - o + 1]):
-                self.by_prefix.setdefault(c, []).append((k, place))
-        self.sets = [set(w) for w in self.words]
-        self.heads = np.sort(np.array(list(self.by_prefix), np.uint64))
-
-    def match(self, block: np.ndarray) -> dict[str, float]:
-        """Containment of each template that the block's words match."""
-        own = {int(c) for c in block}
-        first: dict[int, int] = {}
-        for c in own & self.by_prefix.keys():
-            for k, place in self.by_prefix[c]:
-                first[k] = min(place, first.get(k, place))
-        found = {}
-        for k, place in first.items():
-            if len(own) < self.need[k] or len(self.words[k]) - place < self.need[k]:
+        self.size, self.need, self.span, self.held, self.leaves = [], [], [], [], []
+        for code in codes:
+            own = sorted({int(c) for c in code}, key=lambda c: (counts.get(c, 0), c))
+            need = max(1, math.ceil(threshold * len(own) - 1e-9))
+            place = np.searchsorted(self.words, np.array(own, np.uint64))
+            held, leaves = np.zeros(len(self.words) + 1, bool), np.zeros(len(self.words) + 1, np.int64)
+            held[place] = True
+            leaves[place[: len(own) - need + 1]] = len(own) - np.arange(len(own) - need + 1)  # what a first match there leaves
+            self.size.append(len(own))
+            self.need.append(need)
+            self.span.append(math.ceil(len(code) / threshold - 1e-9))
+            self.held.append(held)
+            self.leaves.append(leaves)
+
+    def matches(self, code: np.ndarray, first: np.ndarray) -> list[tuple[int, int, int, float]]:
+        """(document, template, first word of the block, containment) of a batch of documents."""
+        if not len(code) or not len(self.words):
+            return []
+        at = np.minimum(np.searchsorted(self.words, code), len(self.words) - 1)
+        word = np.where(self.words[at] == code, at, len(self.words))
+        known = np.flatnonzero(word < len(self.words))
+        word, owner = word[known], np.searchsorted(first, known, "right") - 1
+        found = []
+        for k in range(len(self.names)):
+            if not self.size[k]:
                 continue
-            shared = len(own & self.sets[k])
-            if shared >= self.need[k]:
-                found[self.names[k]] = shared / len(self.words[k])
+            leads = self.leaves[k][word] >= self.need[k]
+            if not leads.any():
+                continue
+            near = np.zeros(len(first), bool)
+            near[owner[leads]] = True
+            own = np.flatnonzero(self.held[k][word] & near[owner])
+            found += self._blocks(k, known[own], word[own], owner[own], first)
         return found
 
+    def _blocks(self, k: int, place: np.ndarray, word: np.ndarray, doc: np.ndarray, first: np.ndarray):
+        """Blocks by the distinct words they hold: a word counts for blocks that begin after its place before and up to it."""
+        span, need = self.span[k], self.need[k]
+        order = np.lexsort((place, word, doc))
+        same = (doc[order][1:] == doc[order][:-1]) & (word[order][1:] == word[order][:-1])
+        before = np.empty(len(place), np.int64)
+        before[order] = np.concatenate([[-1], np.where(same, place[order][:-1], -1)])
+        # a word at ``place`` is in the blocks that begin at low to place
+        low = np.maximum(np.maximum(before + 1, place - span + 1), first[doc])
+        turn = np.concatenate([low, place + 1])
+        step = np.concatenate([np.ones(len(low), np.int64), np.full(len(low), -1)])
+        owner = np.concatenate([doc, doc])
+        order = np.lexsort((step, turn, owner))
+        turn, count, owner = turn[order], np.cumsum(step[order]), owner[order]
+        last = np.append((turn[1:] != turn[:-1]) | (owner[1:] != owner[:-1]), True)
+        turn, count, owner = turn[last], count[last], owner[last]
+        good = np.flatnonzero(count >= need)
+        out: list[tuple[int, int, int, float]] = []
+        for d, s, n in zip(owner[good].tolist(), turn[good].tolist(), count[good].tolist(), strict=True):
+            share = n / self.size[k]
+            if out and out[-1][0] == d and s < reach:
+                if share > out[-1][3]:
+                    out[-1] = (d, k, s, share)
+            else:
+                out.append((d, k, s, share))
+            reach = s + span
+        return [(d, t, s - int(first[d]), c) for d, t, s, c in out]
+
 
 def scan(df: DataFrame, doc_id: str = "doc_id", text: str = "text", templates: dict[str, str] | None = None, phrases: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """One row a document: phrase places, labels, and the blocks that templates match."""
@@ -124,31 +156,18 @@ def scan(df: DataFrame, doc_id: str = "doc_id", text: str = "text", templates: d
                 for i in at:
                     base[owner[i]].append((int(i - first[owner[i]]), label))
             matches: list[list[tuple[str, int, float]]] = [[] for _ in range(n)]
-            if len(known.heads) and len(code):
-                near = np.minimum(np.searchsorted(known.heads, code), len(known.heads) - 1)
-                hits = np.flatnonzero(known.heads[near] == code)
-                breaks = np.flatnonzero(words.raw == 10)
-                line = np.searchsorted(breaks, words.start)
-                lines = line[hits]
-                seen = (-1, -1)
-                for i, l in zip(hits, lines, strict=True):
-                    d = owner[i]
-                    if (d, l) == seen:
-                        continue
-                    seen = (d, l)
-                    a, b = max(np.searchsorted(line, l), first[d]), min(np.searchsorted(line, l, "right"), first[d + 1])
-                    number = int(l - np.searchsorted(breaks, words.offsets[d]))
-                    matches[d] += [(name, number, share) for name, share in sorted(known.match(code[a:b]).items())]
+            for d, k, start, share in known.matches(code, first):
+                matches[d].append((known.names[k], start, share))
             rows = []
             for d in range(n):
-                own = sorted(base[d])
+                own, blocks = sorted(base[d]), sorted(matches[d], key=lambda m: (m[1], m[0]))
                 plain = sorted({label for _, label in own})
-                rows.append((int(first[d + 1] - first[d]), len(own), own[0][0] if own else None, own[-1][0] if own else None, ",".join(plain), ",".join(sorted({*plain, *(m[0] for m in matches[d])})), max([0.0, *(m[2] for m in matches[d])] if not own else [1.0]), [{"template": m[0], "line": m[1], "containment": m[2]} for m in matches[d]]))
+                rows.append((int(first[d + 1] - first[d]), len(own), own[0][0] if own else None, own[-1][0] if own else None, ",".join(plain), ",".join(sorted({*plain, *(m[0] for m in blocks)})), 1.0 if own else max([0.0, *(m[2] for m in blocks)]), [{"template": m[0], "word": m[1], "containment": m[2]} for m in blocks]))
             columns = list(zip(*rows, strict=True))
-            types = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64(), pa.list_(pa.struct([("template", pa.string()), ("line", pa.int64()), ("containment", pa.float64())]))]
+            types = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64(), pa.list_(pa.struct([("template", pa.string()), ("word", pa.int64()), ("containment", pa.float64())]))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names=[doc_id, *NAMES])
 
-    hit = T.StructType([T.StructField("template", T.StringType()), T.StructField("line", T.LongType()), T.StructField("containment", T.DoubleType())])
+    hit = T.StructType([T.StructField("template", T.StringType()), T.StructField("word", T.LongType()), T.StructField("containment", T.DoubleType())])
     kinds = [T.LongType()] * 4 + [T.StringType()] * 2 + [T.DoubleType(), T.ArrayType(hit)]
     schema = T.StructType([T.StructField(doc_id, df.schema[doc_id].dataType), *(T.StructField(n, t) for n, t in zip(NAMES, kinds, strict=True))])
     return df.select(doc_id, text).mapInArrow(run, schema)

@@ -10,7 +10,7 @@ leaks where a stretch of the document is within ``RATE`` of the item's length.
   Windows have the length of the item they may hold, and start at every word
   from which they cover a run of words that is also in the item. With at most
   e edits, some run of ceil((n - e) / (e + 1)) of the n words is intact, and
-  runs are no longer than that for any item, so the start rule loses nothing.
+  that is the run asked for of items of n words, so the start rule loses nothing.
 * A window whose key equals an item's is verified: the edit distance between
   the item and the best stretch around the window, computed in full.
 
@@ -19,7 +19,9 @@ most ``ITEM_WORDS`` words; each block is one pass over the documents.
 
 Defined cases: null or empty texts and items have no words and never match;
 repeated items or documents each give their own result; ties take the smaller
-distance, then the earlier place.
+distance, then the earlier place; very long texts are searched whole, in windows;
+a column that has the name of the output is replaced by it, all others stay; an
+empty table or benchmark gives rows without leaks.
 """
 
 from __future__ import annotations
@@ -80,23 +82,21 @@ class Items:
         code = [words.code[a:b] for a, b in zip(words.first[:-1], words.first[1:], strict=True)]
         kept = [k for k, c in enumerate(code) if len(c)]
         self.ids, self.code, self.rate = [ids[k] for k in kept], [code[k] for k in kept], rate
-        self.run = min((intact(len(c), rate) for c in self.code), default=1)
         rng = np.random.default_rng(seed)
         self.lengths = sorted({len(c) for c in self.code})
         longest = max(self.lengths, default=1) * STRETCH
         self.step = rng.integers(1 << 62, size=(repeats, longest), dtype=np.int64).astype(np.uint64) | np.uint64(1)
         self.sampled = {n: [np.sort(rng.choice(n * STRETCH, min(samples, n * STRETCH), replace=False)) for _ in range(repeats)] for n in self.lengths}
-        runs, lengths = [], []
-        for c in self.code:
-            g = shingle_codes(c, self.run)
-            runs.append(g)
-            lengths.append(np.full(len(g), len(c)))
-        pairs = np.unique(np.stack([np.concatenate(runs).view(np.int64), np.concatenate(lengths)]), axis=1) if runs else np.zeros((2, 0), np.int64)
-        self.runs, self.run_length = pairs[0].view(np.uint64), pairs[1]
-        order = np.argsort(self.runs, kind="stable")
-        self.runs, self.run_length = self.runs[order], self.run_length[order]
-        self.bitmap = np.zeros(1 << BITMAP, bool)
-        self.bitmap[self.runs >> np.uint64(64 - BITMAP)] = True
+        # by the run that items must share with a window: its hashes, the items' lengths, and a bitmap of the hashes' first bits
+        self.runs = {}
+        for run in sorted({intact(n, rate) for n in self.lengths}):
+            codes = [c for c in self.code if intact(len(c), rate) == run]
+            grams = [shingle_codes(c, run) for c in codes]
+            pairs = np.unique(np.stack([np.concatenate(grams).view(np.int64), np.repeat([len(c) for c in codes], [len(g) for g in grams])]), axis=1)
+            code, order = pairs[0].view(np.uint64), np.argsort(pairs[0].view(np.uint64), kind="stable")
+            bitmap = np.zeros(1 << BITMAP, bool)
+            bitmap[code >> np.uint64(64 - BITMAP)] = True
+            self.runs[run] = code[order], pairs[1][order], bitmap
         self.keys = {}
         for n in self.lengths:
             own = [k for k, c in enumerate(self.code) if len(c) == n]
@@ -121,31 +121,32 @@ class Items:
     def candidates(self, code: np.ndarray, first: np.ndarray) -> set[tuple[int, int, int]]:
         """(document, item, window start) of windows whose key is an item's."""
         found: set[tuple[int, int, int]] = set()
-        run = shingle_codes(code, self.run)
-        hits = np.flatnonzero(self.bitmap[run >> np.uint64(64 - BITMAP)])
-        low, high = np.searchsorted(self.runs, run[hits]), np.searchsorted(self.runs, run[hits], "right")
-        hits, low, high = hits[low < high], low[low < high], high[low < high]
-        if not len(hits):
-            return found
-        place = np.repeat(hits, high - low)
-        entry = np.arange(len(place)) - np.repeat(np.cumsum(high - low) - (high - low), high - low) + np.repeat(low, high - low)
-        length = self.run_length[entry]
-        doc_of = np.searchsorted(first, place, "right") - 1
-        for n in np.unique(length).tolist():
-            near, doc = place[length == n], doc_of[length == n]
-            slack = edits(n, self.rate)
-            start = (near[:, None] + np.arange(self.run - n - slack, 1)[None]).ravel()
-            doc = np.repeat(doc, n + slack + 1 - self.run)
-            inside = start >= first[doc]
-            start, once = np.unique(start[inside], return_index=True)
-            doc = doc[inside][once]
-            end = np.minimum(start + n, first[doc + 1])
-            for r in range(len(self.step)):
-                keys, owner = self.keys[n, r]
-                key = self.embed(code, start, end, n, r)
-                low, high = np.searchsorted(keys, key), np.searchsorted(keys, key, "right")
-                for w in np.flatnonzero(low < high):
-                    found.update((int(doc[w]), int(k), int(start[w])) for k in owner[low[w] : high[w]])
+        for run, (known, lengths, bitmap) in self.runs.items():
+            own = shingle_codes(code, run)
+            hits = np.flatnonzero(bitmap[own >> np.uint64(64 - BITMAP)])
+            low, high = np.searchsorted(known, own[hits]), np.searchsorted(known, own[hits], "right")
+            hits, low, high = hits[low < high], low[low < high], high[low < high]
+            if not len(hits):
+                continue
+            place = np.repeat(hits, high - low)
+            entry = np.arange(len(place)) - np.repeat(np.cumsum(high - low) - (high - low), high - low) + np.repeat(low, high - low)
+            length = lengths[entry]
+            doc_of = np.searchsorted(first, place, "right") - 1
+            for n in np.unique(length).tolist():
+                near, doc = place[length == n], doc_of[length == n]
+                slack = edits(n, self.rate)
+                start = (near[:, None] + np.arange(run - n - slack, 1)[None]).ravel()
+                doc = np.repeat(doc, n + slack + 1 - run)
+                inside = start >= first[doc]
+                start, once = np.unique(start[inside], return_index=True)
+                doc = doc[inside][once]
+                end = np.minimum(start + n, first[doc + 1])
+                for r in range(len(self.step)):
+                    keys, owner = self.keys[n, r]
+                    key = self.embed(code, start, end, n, r)
+                    low, high = np.searchsorted(keys, key), np.searchsorted(keys, key, "right")
+                    for w in np.flatnonzero(low < high):
+                        found.update((int(doc[w]), int(k), int(start[w])) for k in owner[low[w] : high[w]])
         return found
 
     def leaks(self, code: np.ndarray, first: np.ndarray) -> dict[int, dict[int, tuple[int, int, int]]]:
@@ -179,8 +180,7 @@ def scan(df: DataFrame, items: DataFrame, text: str = "text", item_id: str = "it
     size = items.agg(F.sum(F.length(item_text))).first()[0] or 0
     blocks = max(1, math.ceil(size / 2 / ITEM_WORDS))  # a word and its space have two characters at least
     block = F.pmod(F.xxhash64(item_id, item_text), F.lit(blocks))
-    if out in df.columns:
-        raise ValueError(f"{out} is a column already")
+    df = df.drop(*(c for c in df.columns if c.lower() == out.lower()))
     for b in range(blocks):
         rows = items.where(block == b).select(item_id, item_text).orderBy(item_id, item_text).collect()
         df = _pass(df, Items([r[0] for r in rows], [r[1] for r in rows], rate), kind, text, out)

@@ -13,9 +13,15 @@ number and a hash) and texts by that hash are shuffled; no group collects texts.
 
 Spans are ``kind:start:end`` in code points, end exclusive, of the whole match;
 matches of a kind are leftmost and do not overlap, and those whose checked part
-is too short are dropped, together with the text they consumed.
-
-Defined cases: null text is empty; an empty table gives an empty result.
+is too short are dropped, together with the text they consumed. Places are sums
+over blocks of ``BLOCK`` matches, so the work grows with the text, however many
+matches it has.
+
+Defined cases: null text is empty and stays null when masked; empty and very
+long texts are scanned whole; rows that repeat give their own result rows; spans
+of equal start go by the order of the rules; internal columns take names that
+the frame does not use, and a column named like an output (``spans_<kind>``) is
+replaced by it; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,9 +31,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wayfold.llm.common import unused
 from wayfold.llm.trigrams import query, trigrams
 
 BLOCK = 256
+CUT = 1024
+SPANS = "array<struct<start:int,end:int,n:int>>"
 
 
 @dataclass(frozen=True)
@@ -38,16 +47,17 @@ class Rule:
     group: int = 0
     any_case: bool = False
     base: bool = False
+    only: str = ""  # an expression of the kept matches alone, where it finds the same ones
 
     @property
     def java(self) -> str:
-        return ("(?i)" if self.any_case else "") + self.pattern
+        return ("(?i)" if self.any_case else "") + (self.only or self.pattern)
 
 
 RULES = (
     Rule("assign", r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 6, 2, True, True),
-    Rule("access", r"AKIA[A-Z0-9]+", 20, base=True),
-    Rule("hex", r"[0-9a-f]+", 24, base=True),
+    Rule("access", r"AKIA[A-Z0-9]+", 20, base=True, only="AKIA[A-Z0-9]{16,}"),
+    Rule("hex", r"[0-9a-f]+", 24, base=True, only="[0-9a-f]{24,}"),
     Rule("github", r"gh[pousr]_[A-Za-z0-9]+", 40),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 30),
     Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 27),
@@ -91,46 +101,41 @@ def candidates(index: DataFrame, rules: list[Rule], wanted: list[str]) -> DataFr
     return met.select("key", rules_met.alias("rules")).where(F.size("rules") > 0)
 
 
-def spans(text: Column, rule: Rule) -> Column:
-    """All kept matches of ``rule``: an array of (start, kind number left to the caller, end)."""
+def running(values: Column, join) -> Column:
+    """``join`` of all values up to each one of a non-empty array, by blocks: each value is handled a bounded number of times."""
 
-    def place(pieces: Column, matches: Column, groups: Column) -> Column:
-        # the place before match i is the length of all pieces and matches before it, summed by blocks
-        gaps = F.transform(matches, lambda m, i: F.length(F.get(pieces, i)))
-        widths = F.transform(matches, lambda m: F.length(m))
-        steps = F.zip_with(gaps, widths, lambda g, w: g + w)
+    def grown(of: Column) -> Column:
+        def step(acc: Column, x: Column) -> Column:
+            return F.concat(acc, F.array(F.when(F.size(acc) == 0, x).otherwise(join(F.element_at(acc, -1), x))))
 
-        def sums(a: Column) -> Column:
-            return F.aggregate(a, F.lit(0), lambda s, x: s + x)
+        return F.aggregate(of, F.array().cast("array<int>"), step)
 
-        def with_steps(both: Column) -> Column:
-            step, gap, width = both["step"], both["gap"], both["width"]
-            blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(step) - 1) / BLOCK).cast("int")), lambda b: sums(F.slice(step, b * BLOCK + 1, F.lit(BLOCK))))
+    def whole(inner: Column) -> Column:
+        before = grown(F.transform(inner, lambda b: F.element_at(b, -1)))
+        return _bind(before, lambda done: F.flatten(F.transform(inner, lambda b, i: F.when(i == 0, b).otherwise(_bind(F.get(done, i - 1), lambda up: F.transform(b, lambda x: join(up, x)))))))
 
-            def with_blocks(block: Column) -> Column:
-                def one(m: Column, i: Column) -> Column:
-                    b = F.floor(i / BLOCK).cast("int")
-                    start = sums(F.slice(block, F.lit(1), b)) + sums(F.slice(step, b * BLOCK + 1, i - b * BLOCK)) + F.get(gap, i)
-                    return F.struct(start.alias("start"), (start + F.get(width, i)).alias("end"), F.length(F.get(groups, i)).alias("n"))
+    last = F.floor((F.size(values) - 1) / BLOCK).cast("int")
+    return _bind(F.transform(F.sequence(F.lit(0), last), lambda b: grown(F.slice(values, b * BLOCK + 1, F.lit(BLOCK)))), whole)
 
-                return F.transform(matches, one)
 
-            return _bind(blocks, with_blocks)
+def spans(text: Column, rule: Rule) -> Column:
+    """All kept matches of ``rule``: an array of (start, end, characters of the checked group)."""
 
-        return _bind(F.struct(steps.alias("step"), gaps.alias("gap"), widths.alias("width")), with_steps)
+    def place(pieces: Column, matches: Column, groups: Column) -> Column:
+        steps = F.transform(matches, lambda m, i: F.length(F.get(pieces, i)) + F.length(m))
+        return _bind(running(steps, lambda a, b: a + b), lambda ends: F.transform(matches, lambda m, i: F.struct((F.get(ends, i) - F.length(m)).alias("start"), F.get(ends, i).alias("end"), F.length(F.get(groups, i)).alias("n"))))
 
     def found(t: Column) -> Column:
         return _bind(F.regexp_extract_all(t, F.lit(rule.java), F.lit(0)), lambda matches: F.when(F.size(matches) == 0, F.lit(None)).otherwise(
             _bind(F.split(t, rule.java, -1), lambda pieces: _bind(F.regexp_extract_all(t, F.lit(rule.java), F.lit(rule.group)) if rule.group else matches, lambda groups: place(pieces, matches, groups)))
         ))
 
-    quick = rule.java if rule.kind != "hex" else rf"[0-9a-f]{{{rule.least}}}"
-    all_spans = _bind(text, lambda t: F.when(F.rlike(t, F.lit(quick)), found(t)))
+    all_spans = _bind(text, lambda t: F.when(F.rlike(t, F.lit(rule.java)), found(t)))
     kept = F.filter(all_spans, lambda s: s["n"] >= rule.least)
-    return F.coalesce(kept, F.array().cast("array<struct<start:int,end:int,n:int>>"))
+    return F.coalesce(kept, F.array().cast(SPANS))
 
 
-def scan(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, key: tuple[str, ...] | None = None) -> DataFrame:
+def scan(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, key: tuple[str, ...] | None = None, prefix: str = "spans_") -> DataFrame:
     """Append one array of spans a rule, ``spans_<kind>``; other columns stay.
 
     ``key``: the columns that the index's row hash is taken of, by default all.
@@ -139,18 +144,19 @@ def scan(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, key
     if len(wanted) > 63:
         raise ValueError("the rules name more than 63 trigrams")
     indexed = [r for r in rules if query(r.pattern) is not True]
+    row, met_rules = unused(df, "_row"), unused(df, "_rules")
     key_of = row_key(*(key or df.columns))
-    keyed = df.withColumn("_key", key_of)
+    keyed = df.withColumn(row, key_of)
     if indexed:
         met = candidates(postings(df, wanted, key_of, text), indexed, wanted)
-        keyed = keyed.join(met.withColumnsRenamed({"key": "_key", "rules": "_rules"}), "_key", "left")
-    value = F.coalesce(F.col(text), F.lit(""))
+        keyed = keyed.join(met.withColumnsRenamed({"key": row, "rules": met_rules}), row, "left")
+    value, found = F.coalesce(F.col(text), F.lit("")), {}
     for r in rules:
         own = spans(value, r)
         if r in indexed:
-            own = F.when(F.array_contains("_rules", indexed.index(r)), own).otherwise(F.array().cast("array<struct<start:int,end:int,n:int>>"))
-        keyed = keyed.withColumn(f"spans_{r.kind}", own)
-    return keyed.drop("_key", "_rules")
+            own = F.when(F.array_contains(met_rules, indexed.index(r)), own).otherwise(F.array().cast(SPANS))
+        found[f"{prefix}{r.kind}"] = own
+    return keyed.withColumns(found).drop(row, met_rules)
 
 
 def listing(rules: tuple[Rule, ...]) -> Column:
@@ -162,19 +168,34 @@ def listing(rules: tuple[Rule, ...]) -> Column:
     return F.array_join(F.transform(F.sort_array(F.concat(*parts)), lambda s: s["said"]), ",")
 
 
+def _cut(blocks: Column, start: Column, end: Column) -> Column:
+    """Characters from ``start`` to ``end`` of a text in blocks of ``CUT`` characters."""
+    one, two = F.floor(start / CUT).cast("int"), F.floor(end / CUT).cast("int")
+    first = F.coalesce(F.get(blocks, one), F.lit(""))
+    return F.when(one == two, F.substring(first, start % CUT + 1, end - start)).otherwise(
+        F.concat(F.substring(first, start % CUT + 1, F.lit(CUT)), F.array_join(F.slice(blocks, one + 2, two - one - 1), ""), F.substring(F.coalesce(F.get(blocks, two), F.lit("")), F.lit(1), end % CUT))
+    )
+
+
 def redact(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, mask: str = "[SECRET]") -> DataFrame:
     """The rows of ``df`` with every span masked in ``text``; spans that overlap or touch become one mask."""
-    names = df.columns
-    out = scan(df, text, rules)
-    every = F.sort_array(F.concat(*(F.transform(f"spans_{r.kind}", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))) for r in rules)))
-
-    def masked(s: Column) -> Column:
-        step = F.aggregate(
-            s,
-            F.struct(F.lit(0).alias("at"), F.lit("").alias("said")),
-            lambda a, x: F.struct(F.greatest(a["at"], x["end"]).alias("at"), F.when(x["start"] < a["at"], a["said"]).otherwise(F.concat(a["said"], F.substring(F.col(text), a["at"] + 1, x["start"] - a["at"]), F.lit(mask))).alias("said")),
-        )
-        return _bind(step, lambda a: F.concat(a["said"], F.substring(F.col(text), a["at"] + 1, F.length(text))))
-
-    out = out.withColumn("_every", every)
-    return out.withColumn(text, F.when(F.size("_every") == 0, F.col(text)).otherwise(_bind(F.col("_every"), masked))).select(*names)
+    names, prefix = df.columns, unused(df, "_spans_")
+    out = scan(df, text, rules, prefix=prefix)
+    every = F.sort_array(F.concat(*(F.transform(F.col(f"{prefix}{r.kind}"), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))) for r in rules)))
+
+    def masked(given: Column) -> Column:
+        ends = running(F.transform(given["spans"], lambda x: x["end"]), lambda a, b: F.greatest(a, b))
+        blocks = F.regexp_extract_all(given["text"], F.lit(f"(?s).{{1,{CUT}}}"), F.lit(0))
+
+        def joined(parts: Column) -> Column:
+            end, cut = parts["end"], parts["blocks"]
+
+            def piece(s: Column, i: Column) -> Column:
+                before = F.when(i == 0, F.lit(0)).otherwise(F.get(end, i - 1))
+                return F.when((i > 0) & (s["start"] <= before), F.lit("")).otherwise(F.concat(_cut(cut, before, s["start"]), F.lit(mask)))
+
+            return F.concat(F.array_join(F.transform(given["spans"], piece), ""), _cut(cut, F.element_at(end, -1), F.length(given["text"])))
+
+        return _bind(F.struct(ends.alias("end"), blocks.alias("blocks")), joined)
+
+    return out.withColumn(text, _bind(F.struct(F.col(text).alias("text"), every.alias("spans")), lambda given: F.when(F.size(given["spans"]) == 0, given["text"]).otherwise(masked(given)))).select(*names)

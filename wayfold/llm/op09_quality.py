@@ -1,22 +1,26 @@
 """Quality rules: text statistics, hard rules, and robust multivariate outliers.
 
-The statistics become a vector of five transformed values. For each language
-and source a minimum-covariance-determinant estimate is found by concentration
-steps from a start of medians and absolute deviations: keep the share ``CORE``
-of rows with the smallest distances, take their mean and covariance, repeat.
-A row whose squared Mahalanobis distance exceeds ``CUTOFF`` is rejected.
-Everything is DataFrame aggregation; a step is two small group-bys over the
-statistics, written once to the shared folder, never over the texts.
-
-Groups of fewer than ``LEAST`` rows are judged by an estimate from all rows of
-their language, those of large sources included, and languages of fewer by one
-from all rows. ``FLOOR`` is added to the
-variances, so a statistic that is constant in a group does not reject a row
-for a hair's difference.
-
-Defined cases: null text has no words and fails the hard rules; null language
-or source is a group of its own; repeated rows are rows; the estimate of an
-empty table is empty.
+The statistics become a vector of five transformed values. For all rows, each
+language, and each language and source, a minimum-covariance-determinant
+estimate is found by concentration steps: keep the share ``CORE`` of rows with
+the smallest distances, take their mean and covariance, repeat until no
+determinant falls any more (``STEPS`` at most). Two starts are tried, medians
+with absolute deviations and the covariance of signs about the medians; the one
+that ends with the smaller determinant counts. A squared Mahalanobis distance
+over ``CUTOFF`` is rejected.
+
+A group of n rows weighs n against ``PRIOR`` rows of the next wider level, in
+mean and covariance alike, at every size: a rare source is judged almost as its
+language, a large one almost by itself. ``FLOOR`` is added to the variances, so
+a statistic that is constant in a group does not reject a row for a hair's
+difference. Everything is DataFrame aggregation; a step is two small group-bys
+over the statistics, written once to the shared folder, never over the texts.
+
+Defined cases: null and empty text has no words and fails the hard rules; very
+long texts are taken whole; null language or source is a group of its own;
+repeated rows are rows and weigh as such; rows of equal distance share their
+verdict; other columns, whatever their names, are ignored; an empty table gives
+an empty result.
 """
 
 from __future__ import annotations
@@ -24,15 +28,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wayfold.llm.common import materialize, small
+from wayfold.llm.common import small, stored, unused
 
 WINDOW = 8
 MIN_WORDS = 20
 REPEAT_PERCENT = 30
 CORE = 0.75
-STEPS = 3
-LEAST = 200
-#: Squared distance beyond which a row is an outlier: far past the 0.9999 quantile of chi-square with five degrees (25.7), for the tails of clean text are longer than normal ones.
+STEPS = 8
+PRIOR = 50
+#: Squared distance beyond which a row is an outlier: chi-square with five degrees exceeds it once in 10**11, as clean texts have longer tails than normal ones.
 CUTOFF = 60.0
 #: Median of chi-square with five degrees of freedom.
 MEDIAN = 4.3515
@@ -73,17 +77,18 @@ def statistics(df: DataFrame, text: str = "text", window: int = WINDOW) -> DataF
     value = F.coalesce(F.col(text), F.lit(""))
     words = F.filter(F.split(value, r"[\x20\x09-\x0D]+"), lambda w: w != "")
     lines = F.filter(F.split(value, "\n"), lambda x: F.length(F.translate(x, SPACE, "")) > 0)
-    out = df.withColumns({"_words": words, "_lines": lines})
+    w, rows = unused(df, "_words"), unused(df, "_lines")
+    out = df.withColumns({w: words, rows: lines})
     return out.withColumns(
         {
-            "n_words": F.size("_words").cast("long"),
-            "word_chars": F.length(F.array_join("_words", "")).cast("long"),
+            "n_words": F.size(w).cast("long"),
+            "word_chars": F.length(F.array_join(w, "")).cast("long"),
             "n_symbols": (F.length(value) - F.length(F.regexp_replace(value, "[#*$%&|<>]", ""))).cast("long"),
-            "n_lines": F.size("_lines").cast("long"),
-            "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-            "n_repeat_words": _repeat_words(F.col("_words"), window).cast("long"),
+            "n_lines": F.size(rows).cast("long"),
+            "n_dup_lines": (F.size(rows) - F.size(F.array_distinct(rows))).cast("long"),
+            "n_repeat_words": _repeat_words(F.col(w), window).cast("long"),
         }
-    ).drop("_words", "_lines")
+    ).drop(w, rows)
 
 
 def failed(min_words: int = MIN_WORDS, repeat_percent: int = REPEAT_PERCENT) -> Column:
@@ -101,70 +106,99 @@ def vector() -> dict[str, Column]:
     }
 
 
-def _estimate(rows: DataFrame) -> DataFrame:
-    """Mean and the factor of the covariance (plus the floor) of each group; MM is left to later scaling."""
-    p = range(len(VECTOR))
-    aggs = [F.avg(VECTOR[i]).alias(f"m{i}") for i in p]
-    aggs += [F.covar_pop(VECTOR[i], VECTOR[j]).alias(f"c{i}{j}") for i in p for j in range(i + 1)]
-    out = rows.groupBy("_group").agg(*aggs)
-    for i in p:  # Cholesky, column expressions by row
-        for j in range(i + 1):
-            rest = F.col(f"c{i}{j}") + (FLOOR if i == j else 0.0)
-            for k in range(j):
-                rest = rest - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
-            out = out.withColumn(f"l{i}{j}", F.sqrt(F.greatest(rest, F.lit(1e-9))) if i == j else rest / F.col(f"l{j}{j}"))
-    return out.select("_group", *(f"m{i}" for i in p), *(f"l{i}{j}" for i in p for j in range(i + 1)))
+_P = range(len(VECTOR))
+_PAIRS = [(i, j) for i in _P for j in range(i + 1)]
+_MOMENTS = [*(f"m{i}" for i in _P), *(f"c{i}{j}" for i, j in _PAIRS)]
 
 
-def _distances(rows: DataFrame, params: DataFrame) -> DataFrame:
-    """Squared Mahalanobis distance by forward substitution."""
+def _factored(moments: DataFrame) -> DataFrame:
+    """Append the Cholesky factor of the covariance plus the floor, and the logarithm of its determinant."""
+    out = moments
+    for i, j in _PAIRS:
+        rest = F.col(f"c{i}{j}") + (FLOOR if i == j else 0.0)
+        for k in range(j):
+            rest = rest - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
+        out = out.withColumn(f"l{i}{j}", F.sqrt(F.greatest(rest, F.lit(1e-9))) if i == j else rest / F.col(f"l{j}{j}"))
+    return out.withColumn("_logdet", sum((2 * F.log(f"l{i}{i}") for i in _P), F.lit(0.0)))
+
+
+def _moments(rows: DataFrame, *by: str) -> DataFrame:
+    return rows.groupBy(*by).agg(*(F.avg(VECTOR[i]).alias(f"m{i}") for i in _P), *(F.covar_pop(VECTOR[i], VECTOR[j]).alias(f"c{i}{j}") for i, j in _PAIRS))
+
+
+def _distances(rows: DataFrame, params: DataFrame, keep: list[str]) -> DataFrame:
+    """``keep`` and ``_d2``, the squared Mahalanobis distance by forward substitution."""
     out = rows.join(params, "_group")
-    for i in range(len(VECTOR)):
+    for i in _P:
         rest = F.col(VECTOR[i]) - F.col(f"m{i}")
         for k in range(i):
             rest = rest - F.col(f"l{i}{k}") * F.col(f"y{k}")
         out = out.withColumn(f"y{i}", rest / F.col(f"l{i}{i}"))
-    return out.withColumn("_d2", sum((F.col(f"y{i}") * F.col(f"y{i}") for i in range(1, len(VECTOR))), F.col("y0") * F.col("y0"))).select(*rows.columns, "_d2")
-
-
-def _core(rows: DataFrame) -> DataFrame:
-    """The rows of each group with the ``CORE`` smallest distances."""
-    bound = small(rows.groupBy("_group").agg(F.percentile_approx("_d2", CORE, 1000).alias("_bound")))
-    return rows.join(bound, "_group").where(F.col("_d2") <= F.col("_bound"))
+    return out.withColumn("_d2", sum((F.col(f"y{i}") * F.col(f"y{i}") for i in _P), F.lit(0.0))).select(*keep, "_d2")
+
+
+def _starts(members: DataFrame) -> DataFrame:
+    """Two starting estimates of each group: ``_group, _start`` and the moments."""
+    medians = small(members.groupBy("_group").agg(*(F.percentile_approx(v, 0.5, 1000).alias(f"m{i}") for i, v in enumerate(VECTOR))))
+    away = members.join(medians, "_group").select("_group", *(F.col(f"m{i}") for i in _P), *((F.col(v) - F.col(f"m{i}")).alias(f"a{i}") for i, v in enumerate(VECTOR)))
+    spreads = small(away.groupBy("_group").agg(*(F.percentile_approx(F.abs(f"a{i}"), 0.5, 1000).alias(f"s{i}") for i in _P)).select("_group", *((1.4826 * F.col(f"s{i}") + FLOOR**0.5).alias(f"s{i}") for i in _P)))
+    scaled = away.join(spreads, "_group").select("_group", *((F.col(f"a{i}") / F.col(f"s{i}")).alias(f"z{i}") for i in _P))
+    length = F.sqrt(sum((F.col(f"z{i}") * F.col(f"z{i}") for i in _P), F.lit(1e-12)))
+    signs = scaled.select("_group", *((F.col(f"z{i}") / length).alias(f"z{i}") for i in _P)).groupBy("_group").agg(*(F.avg(F.col(f"z{i}") * F.col(f"z{j}")).alias(f"r{i}{j}") for i, j in _PAIRS))
+    both = medians.join(spreads, "_group").join(small(signs), "_group").withColumn("_start", F.explode(F.array(F.lit(0), F.lit(1))))
+    plain = F.col("_start") == 0
+    return both.select("_group", "_start", *(f"m{i}" for i in _P), *((F.when(plain, F.lit(1.0 if i == j else 0.0)).otherwise(len(VECTOR) * F.col(f"r{i}{j}")) * F.col(f"s{i}") * F.col(f"s{j}")).alias(f"c{i}{j}") for i, j in _PAIRS))
+
+
+def _concentrated(members: DataFrame) -> DataFrame:
+    """The best estimate of each group after concentration: ``_group`` and the moments."""
+    params = small(_factored(_starts(members)))
+    for step in range(STEPS):
+        away = _distances(members, params, ["_group", "_start", *VECTOR])
+        bound = small(away.groupBy("_group", "_start").agg(F.percentile_approx("_d2", CORE, 1000).alias("_bound")))
+        core = away.join(bound, ["_group", "_start"]).where(F.col("_d2") <= F.col("_bound"))
+        after = small(_factored(_moments(core, "_group", "_start")))
+        fell = params.select("_group", "_start", F.col("_logdet").alias("_before")).join(after, ["_group", "_start"]).agg(F.max(F.col("_before") - F.col("_logdet"))).first()[0]
+        params = after
+        if step and (fell is None or fell < 0.01):
+            break
+    best = params.groupBy("_group").agg(F.min(F.struct("_logdet", "_start")).alias("_best"))
+    return params.join(best, "_group").where(F.col("_start") == F.col("_best._start")).select("_group", *_MOMENTS, *(c for c in params.columns if c[0] == "l"))
+
+
+def _weighed(own: DataFrame, wider: DataFrame) -> DataFrame:
+    """Estimates of groups drawn towards their wider level's: n rows against ``PRIOR``."""
+    up = wider.select(F.col("_group").alias("_wider"), *(F.col(c).alias(f"w_{c}") for c in _MOMENTS))
+    share = F.col("_n") / (F.col("_n") + PRIOR)
+    return own.join(up, "_wider").select("_group", *((share * F.col(c) + (1 - share) * F.col(f"w_{c}")).alias(c) for c in _MOMENTS))
 
 
 def outliers(rows: DataFrame, by: tuple[str, ...] = ("lang", "source")) -> DataFrame:
     """Append ``distance2`` to rows that have the vector's columns; ``by`` from the widest to the narrowest."""
-    keys = [F.concat_ws("\x1f", *(F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("?")) for c in by[: k + 1])) for k in range(len(by))]
+    keys = [F.concat_ws("\x1f", F.lit("all"), *(F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("?")) for c in by[:k])) for k in range(len(by) + 1)]
+    own = unused(rows, "_level")
+    names = [f"{own}{k}" for k in range(len(keys))]
     # the texts' statistics are written once; group tables are small, so a group that holds a third of the rows is never dealt to one task
-    rows = materialize(rows.withColumns({f"_key{k}": key for k, key in enumerate(keys)}))
-    group = F.lit("")
-    for k in range(len(by)):
-        rows = rows.join(small(rows.groupBy(f"_key{k}").agg(F.count("*").alias(f"_size{k}"))), f"_key{k}")
-        group = F.when(F.col(f"_size{k}") >= LEAST, F.col(f"_key{k}")).otherwise(group)
-    rows = rows.withColumn("_group", group).drop(*(f"_size{k}" for k in range(len(by))))
-    # an estimate is needed for the levels that rows are judged by, from all rows of the level
-    used = small(rows.select("_group").distinct())
-    levels = F.array(F.lit(""), *(F.col(f"_key{k}") for k in range(len(by))))
-    members = rows.select(*VECTOR, F.explode(levels).alias("_group")).join(used, "_group")
-    rows = rows.drop(*(f"_key{k}" for k in range(len(by))))
-    medians = small(members.groupBy("_group").agg(*(F.percentile_approx(v, 0.5, 1000).alias(f"_m{v}") for v in VECTOR)))
-    away = members.join(medians, "_group")
-    spreads = away.groupBy("_group").agg(*(F.percentile_approx(F.abs(F.col(v) - F.col(f"_m{v}")), 0.5, 1000).alias(f"_s{v}") for v in VECTOR))
-    start = small(medians.join(spreads, "_group"))
-    scaled = sum((F.pow((F.col(v) - F.col(f"_m{v}")) / (1.4826 * F.col(f"_s{v}") + FLOOR**0.5), 2) for v in VECTOR), F.lit(0.0))
-    params = small(_estimate(_core(members.join(start, "_group").withColumn("_d2", scaled).select(*members.columns, "_d2"))))
-    for _ in range(STEPS):
-        params = small(_estimate(_core(_distances(members, params))))
-    middle = small(_distances(members, params).groupBy("_group").agg(F.greatest(F.percentile_approx("_d2", 0.5, 1000) / MEDIAN, F.lit(1.0)).alias("_scale")))
-    return _distances(rows, params).join(middle, "_group").withColumn("distance2", F.col("_d2") / F.col("_scale")).drop("_d2", "_scale", "_group")
+    rows = stored(rows.withColumns(dict(zip(names, keys, strict=True))))
+    members = rows.select(*VECTOR, F.explode(F.array(*names)).alias("_group"))
+    found = small(_concentrated(members))
+    middle = small(_distances(members, found, ["_group"]).groupBy("_group").agg(F.greatest(F.percentile_approx("_d2", 0.5, 1000) / MEDIAN, F.lit(1.0)).alias("_scale")))
+    found = found.join(middle, "_group").select("_group", *(F.col(c) if c[0] == "m" else (F.col(c) * F.col("_scale")).alias(c) for c in _MOMENTS))
+    sizes = rows.groupBy(*names).agg(F.count("*").alias("_n"))
+    level = small(found.where(F.col("_group") == "all"))
+    for k in range(1, len(names)):
+        wider = sizes.groupBy(F.col(names[k]).alias("_group"), F.col(names[k - 1]).alias("_wider")).agg(F.sum("_n").alias("_n"))
+        level = small(_weighed(found.join(wider, "_group"), level))
+    given = [c for c in rows.columns if c not in names]
+    out = _distances(rows.withColumn("_group", F.col(names[-1])), _factored(level), given)
+    return out.withColumnRenamed("_d2", "distance2")
 
 
 def judge(df: DataFrame, text: str = "text", by: tuple[str, ...] = ("lang", "source"), cutoff: float = CUTOFF, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Statistics and verdict of each row: the ``keep`` columns, the statistics, ``base_failed``, ``distance2`` and ``kept``."""
+    """Statistics and verdict of each row: the ``keep`` columns, the statistics, ``base_failed``, ``kept`` and ``distance2``."""
     own = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
     rows = statistics(df.select(*dict.fromkeys([*keep, *by, text])), text)
     rows = rows.withColumns(vector()).withColumn("base_failed", failed())
     rows = rows.select(*dict.fromkeys([*keep, *by]), *own, "base_failed", *VECTOR)
     rows = outliers(rows, by)
-    return rows.select(*keep, *own, "base_failed", "distance2", (~F.col("base_failed") & (F.col("distance2") <= cutoff)).alias("kept"))
+    return rows.select(*keep, *own, "base_failed", (~F.col("base_failed") & (F.col("distance2") <= cutoff)).alias("kept"), "distance2")

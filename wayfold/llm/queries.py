@@ -45,7 +45,7 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = op06_licenses.scan(read(spark, sf_dir, "documents"))
-    return rows.withColumn("matches", F.array_join(F.transform("matches", lambda m: F.concat_ws(":", m["template"], m["line"].cast("string"))), ","))
+    return rows.withColumn("matches", F.array_join(F.transform("matches", lambda m: F.concat_ws(":", m["template"], m["word"].cast("string"))), ","))
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
