@@ -40,7 +40,7 @@ SIZE = 1 << BITS
 SMOOTH = 20
 RATE = 0.01
 RIDGE = 1e-4
-STEPS = 30
+STEPS = 10
 MEMORY = 6
 CUTOFF = 0.7
 CHUNK = 1 << 21
