@@ -23,23 +23,24 @@ def by_field(candidates: DataFrame, weights: dict[tuple[str, str], float] | None
 
     A lone source agrees if it is strong. Different values disagree only if two
     or more of them have a strong source. ``country`` is the hint, else the
-    merged country, and comes with the candidates.
+    merged country, and comes with the candidates. Of several values of one
+    source the alternatives name the first in order.
     """
     rows = candidates.where(~is_blank(F.col("value"))).withColumns({"_norm": jtrim(F.lower("value")), "_strong": weight(F.col("structurer"), F.coalesce("country", F.lit("")), weights) >= STRONG})
-    rows = rows.repartition("request_id")
-    # two levels of plain counts; the values themselves are only gathered if they are asked for
-    values = rows.groupBy("request_id", "field", "_norm").agg(F.count("*").alias("n"), F.max("_strong").alias("_strong"), F.collect_set(F.struct("structurer", "value")).alias("_said"))
-    groups = values.groupBy("request_id", "field").agg(
-        F.sum("n").alias("n_sources"),
-        F.count("*").alias("n_values"),
-        F.count_if("_strong").alias("n_strong_values"),
-        F.max("_strong").alias("_any_strong"),
-        F.map_from_entries(F.array_sort(F.flatten(F.collect_list("_said")))).alias("_said"),
-    )
-    agreed = F.when(F.col("n_sources") == 1, F.col("_any_strong")).otherwise((F.col("n_values") == 1) | (F.col("n_strong_values") < 2))
+    one = F.struct("structurer", "value", F.col("_norm").alias("norm"), F.col("_strong").alias("strong"))
+    # a group has as many rows as a request has sources
+    said = rows.repartition("request_id").groupBy("request_id", "field").agg(F.collect_list(one).alias("_said"))
+
+    def values(of: Column) -> Column:
+        return F.size(F.array_distinct(F.transform(of, lambda x: x["norm"]))).cast("long")
+
+    groups = said.select("request_id", "field", "_said", F.size("_said").cast("long").alias("n_sources"), values(F.col("_said")).alias("n_values"), values(F.filter("_said", lambda x: x["strong"])).alias("n_strong_values"))
+    agreed = F.when(F.col("n_sources") == 1, F.col("n_strong_values") == 1).otherwise((F.col("n_values") == 1) | (F.col("n_strong_values") < 2))
     quiet = F.when(F.col("n_sources") == 1, agreed).otherwise(F.col("n_values") == 1)
-    empty = F.map_filter("_said", lambda k, v: F.lit(False))
-    return groups.select("request_id", "field", agreed.alias("agreed"), "n_sources", "n_values", "n_strong_values", F.when(quiet, empty).otherwise(F.col("_said")).alias("alternatives"))
+    names = F.array_distinct(F.transform(F.array_sort("_said"), lambda x: x["structurer"]))
+    first = F.map_from_entries(F.transform(names, lambda s: F.struct(s.alias("key"), F.get(F.filter(F.array_sort("_said"), lambda x: x["structurer"] == s), F.lit(0))["value"].alias("value"))))
+    empty = F.map_filter(first, lambda k, v: F.lit(False))
+    return groups.select("request_id", "field", agreed.alias("agreed"), "n_sources", "n_values", "n_strong_values", F.when(quiet, empty).otherwise(first).alias("alternatives"))
 
 
 def by_request(fields: DataFrame, candidates: DataFrame, weights: dict[tuple[str, str], float] | None = None) -> DataFrame:
@@ -49,8 +50,7 @@ def by_request(fields: DataFrame, candidates: DataFrame, weights: dict[tuple[str
         F.count_if(~F.col("agreed")).alias("disagreements"),
         F.array_sort(F.collect_list(F.when(~F.col("agreed"), F.col("field")))).alias("flagged_fields"),
     )
-    named = F.struct("structurer", weight(F.col("structurer"), F.coalesce("country", F.lit("")), weights).alias("weight"))
-    sources = candidates.groupBy("request_id").agg(F.array_sort(F.collect_set(named)).alias("_named"))
+    sources = candidates.repartition("request_id").groupBy("request_id").agg(F.array_sort(F.collect_set("structurer")).alias("_sources"), F.array_min(F.collect_set(F.coalesce("country", F.lit("")))).alias("_country"))
     both = sources.join(own, "request_id", "left")
     n, m = F.coalesce("agreements", F.lit(0)), F.coalesce("disagreements", F.lit(0))
     return both.select(
@@ -58,9 +58,9 @@ def by_request(fields: DataFrame, candidates: DataFrame, weights: dict[tuple[str
         n.cast("long").alias("agreements"),
         m.cast("long").alias("disagreements"),
         F.when(n + m > 0, n / (n + m)).otherwise(0.0).alias("overall_consensus"),
-        F.size("_named").cast("long").alias("source_count"),
+        F.size("_sources").cast("long").alias("source_count"),
         F.coalesce("flagged_fields", F.array().cast("array<string>")).alias("flagged_fields"),
-        F.map_from_entries("_named").alias("weights"),
+        F.map_from_arrays("_sources", F.transform("_sources", lambda s: weight(s, F.col("_country"), weights))).alias("weights"),
     )
 
 

@@ -43,14 +43,22 @@ def vote(candidates: DataFrame) -> DataFrame:
 
     Equal group sizes go to the group seen first, equal confidences to the
     earlier source. The result: ``value, confidence, merge_strategy, sources``.
+    A group has as many rows as a request has sources, so its candidates are
+    gathered once and compared in place.
     """
     rows = candidates.where("value is not null and value <> ''").withColumn("_norm", jtrim(F.lower("value")))
-    rows = rows.repartition("request_id")
-    best = F.max(F.struct(F.col("confidence").alias("confidence"), (-F.col("cascade_pos")).alias("early"), F.col("value").alias("value")))
-    groups = rows.groupBy("request_id", "field", "_norm").agg(F.count("*").alias("n"), F.min("cascade_pos").alias("seen"), best.alias("best"))
-    fields = groups.groupBy("request_id", "field").agg(F.sum("n").alias("sources"), F.max(F.struct("n", (-F.col("seen")).alias("early"), "best")).alias("most"), F.max("best").alias("top"))
-    agreed = F.col("most.n") >= 2
-    return fields.select(
+    one = F.struct("confidence", (-F.col("cascade_pos")).alias("early"), "value", F.col("_norm").alias("norm"))
+    said = rows.repartition("request_id").groupBy("request_id", "field").agg(F.collect_list(one).alias("_said"))
+
+    def group(norm: Column) -> Column:
+        own = F.filter("_said", lambda x: x["norm"] == norm)
+        return F.struct(F.size(own).alias("n"), F.array_max(F.transform(own, lambda x: x["early"])).alias("seen"), F.array_max(own).alias("best"))
+
+    groups = F.transform(F.array_distinct(F.transform("_said", lambda x: x["norm"])), group)
+    lone = F.size("_said") == 1
+    won = said.select("request_id", "field", F.size("_said").cast("long").alias("sources"), F.array_max("_said").alias("top"), F.when(~lone, F.array_max(groups)).alias("most"))
+    agreed = F.coalesce(F.col("most.n") >= 2, F.lit(False))
+    return won.select(
         "request_id",
         "field",
         F.when(agreed, F.col("most.best.value")).otherwise(F.col("top.value")).alias("value"),

@@ -61,6 +61,20 @@ def calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(_pick(SOURCES, F.col("s")).alias("structurer"), _country(F.col("n")).alias("country"), _pick(FIELD_OF, F.col("f")).alias("field"), F.lit(0.2).alias("raw_low"), F.lit(0.8).alias("raw_high"), F.lit(0.1).alias("cal_low"), ((90 - F.col("n")).cast("double") / 100).alias("cal_high"))
 
 
+def dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Canonical forms of the first twenty-five values of four fields, by arithmetic over nations."""
+    n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("n"), "n_name")
+    country = F.when(F.col("n") < 9, _country(F.col("n"))).otherwise(F.col("n_name"))
+    forms = {"CTRY": country, "CTRY_SUB_DVSN": F.concat(F.lit("Region "), F.col("n").cast("string")), "STRT_NM": F.concat(F.lit("Street "), (F.col("n") % 5).cast("string")), "BLDG_NM": F.lit("House")}
+    return n.select(F.concat(F.lit("val"), F.col("n").cast("string")).alias("key"), F.explode(F.map_from_arrays(F.array(*map(F.lit, forms)), F.array(*forms.values()))).alias("field", "canonical")).select("field", "key", "canonical")
+
+
+def order_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An address request an order; some name a watched bank."""
+    k = F.col("o_orderkey")
+    return orders(spark, sf_dir).select(k.alias("request_id"), F.col("country").alias("country_hint"), F.concat(F.lit("order "), F.when(k % 50 == 0, "Bank  Melli").otherwise("house")).alias("raw"))
+
+
 def results(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = ((F.col("o_orderkey") * 37 % 101).cast("decimal(5,2)") / 100).cast("decimal(3,2)")
     return orders(spark, sf_dir).select(F.col("o_orderkey").alias("result_id"), "country", c.alias("overall_confidence"), F.when(c < 0.70, "Y").otherwise("N").alias("requires_review"), F.col("o_orderdate").alias("created_at"), (F.col("o_custkey") % 7).alias("latency_ms"))
@@ -125,6 +139,9 @@ SQL = {
               from cc, (values (0),(1),(2)) s(s), (values (0),(1),(2),(3),(4),(5),(6)) f(f) where (o_orderkey*31 + s.s*s.s*17 + f.f*13) % 10 < 6))""",
     "cal": f"""cal as (select {_case(SOURCES, 's')} as structurer, {_case(COUNTRIES, 'n')} as country, {_case(FIELD_OF, 'f')} as field, 0.2::double as raw_low, 0.8::double as raw_high, 0.1::double as cal_low, (90 - n)::double/100 as cal_high
         from (select n_nationkey as n from nation where n_nationkey < 9), (values (0),(1),(2)) s(s), (values (0),(1),(2),(3),(4),(5),(6)) f(f) where (n + s + f) % 3 = 0)""",
+    "dict": f"""dict as (select f.field, concat('val', cast(n_nationkey as varchar)) as key, case f.field when 'CTRY' then case when n_nationkey < 9 then {_case(COUNTRIES, 'n_nationkey')} else n_name end
+        when 'CTRY_SUB_DVSN' then concat('Region ', cast(n_nationkey as varchar)) when 'STRT_NM' then concat('Street ', cast(n_nationkey % 5 as varchar)) else 'House' end as canonical
+        from nation, (values ('CTRY'), ('CTRY_SUB_DVSN'), ('STRT_NM'), ('BLDG_NM')) f(field))""",
     "results": "results as (select o_orderkey as result_id, country, (o_orderkey*37 % 101)::decimal(5,2)/100 as overall_confidence, case when o_orderkey*37 % 101 < 70 then 'Y' else 'N' end as requires_review, o_orderdate as created_at, o_custkey % 7 as latency_ms from cc)",
     "attr": f"""attr as (select l_orderkey as result_id, {_case(COUNTRIES, 'l_suppkey % 10')} as country, {_case(FIELD_OF, 'l_partkey % 7')} as field, {_case(SOURCES, 'l_linenumber % 3')} as structurer,
         ((l_orderkey*13 + l_linenumber) % 101)::double/100 as raw_confidence, ((l_orderkey*13 + l_linenumber) % 101 * (l_partkey % 2 + 1) % 101) as c100, l_quantity as latency_ms, case when l_linestatus = 'O' then 'Y' else 'N' end as was_selected, l_shipdate as created_at from lineitem)""",

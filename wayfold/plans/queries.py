@@ -114,9 +114,10 @@ def a4_request_consensus(spark, sf_dir):
     return rows.select("request_id", "agreements", "disagreements", F.round("overall_consensus", 9).alias("overall_consensus"), "source_count", F.array_join("flagged_fields", ",").alias("flagged"))
 
 
-@query(d.sql("select request_id, count(distinct structurer) as source_count from cand group by 1 having count(distinct structurer) < 2", "cc", "cand"))
+@query(d.sql("select request_id, count(distinct structurer) as source_count from cand where request_id % 7 <> 0 or structurer = 'glm' group by 1 having count(distinct structurer) < 2", "cc", "cand"))
 def a5_short_of_sources(spark, sf_dir):
-    cands = d.candidates(spark, sf_dir)
+    """Of every seventh request one source answers."""
+    cands = d.candidates(spark, sf_dir).where("request_id % 7 <> 0 or structurer = 'glm'")
     return consensus.short_of_sources(consensus.by_request(consensus.by_field(cands), cands)).select("request_id", "source_count")
 
 
@@ -202,13 +203,19 @@ def p21_p23_model_answers(spark, sf_dir):
     return structurers.from_responses(answers, "glm").select("request_id", "field", "value", "raw_confidence")
 
 
-@query("select concat_ws('/', cast(c_nationkey as varchar), cast(i as varchar)) as correlation_id, concat('r', cast(c_custkey as varchar)) as raw from (select c_nationkey, c_custkey, row_number() over (partition by c_nationkey order by c_custkey) - 1 as i, count(*) over (partition by c_nationkey) as n from customer) x where n <= 100")
+_BATCHES = "from (select *, c_custkey // 330 * 4 + c_custkey % 330 // 110 as batch, row_number() over (partition by c_custkey // 330 * 4 + c_custkey % 330 // 110 order by c_custkey) - 1 as i, count(*) over (partition by c_custkey // 330 * 4 + c_custkey % 330 // 110) as n from customer where c_custkey % 330 % 110 < 90 or c_custkey % 330 >= 220) x"
+
+
+@query(f"select concat_ws('/', cast(batch as varchar), cast(i as varchar)) as correlation_id, concat('r', cast(c_custkey as varchar)) as raw {_BATCHES} where n <= 100 union all select cast(batch as varchar), concat('refused ', cast(n as varchar)) {_BATCHES} where n > 100 and i = 0")
 def s8_batch_requests(spark, sf_dir):
-    c = d.table(spark, sf_dir, "customer")
-    item = F.struct(F.concat(F.lit("r"), F.col("c_custkey").cast("string")).alias("rawAddress"), F.lit("").alias("countryHint"), F.lit("").alias("locale"))
-    batches = c.groupBy(F.col("c_nationkey").cast("string").alias("batch_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", item.alias("item")))), lambda x: x["item"]).alias("items"))
-    good, _ = rq.expand_batches(batches)
-    return good.select("correlation_id", "raw")
+    """Batches of 90 and of 110 customers by key; those of 110 are refused, one row each."""
+    k = F.col("c_custkey")
+    c = d.table(spark, sf_dir, "customer").where((k % 330 % 110 < 90) | (k % 330 >= 220))
+    item = F.struct(F.concat(F.lit("r"), k.cast("string")).alias("rawAddress"), F.lit("").alias("countryHint"), F.lit("").alias("locale"))
+    batch = (F.floor(k / 330) * 4 + F.floor(k % 330 / 110)).cast("string").alias("batch_id")
+    batches = c.groupBy(batch).agg(F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", item.alias("item")))), lambda x: x["item"]).alias("items"))
+    good, refused = rq.expand_batches(batches)
+    return good.select("correlation_id", "raw").unionByName(refused.select(F.col("batch_id").alias("correlation_id"), F.concat(F.lit("refused "), F.col("n_items").cast("string")).alias("raw")))
 
 
 @query("select concat('backfill-', cast(o_orderkey as varchar)) as correlation_id, concat(o_orderpriority, ', ', cast(o_custkey as varchar)) as raw, case when o_orderstatus = 'F' then 'DE' else '' end as country_hint from orders")
@@ -223,6 +230,47 @@ def s1_legacy_requests(spark, sf_dir):
 # Decisions over whole plans
 
 
+_FLOW = (
+    d.sql("", "cc", "cand", "cal", "dict").rstrip()
+    + """, routed as (select * from cand where country not in ('CN','AE','HK','SG') or structurer in ('glm','libpostal')),
+    plain as (select r.*exclude(value), case when r.field <> 'CTRY' then r.value when length(trim(r.value)) <= 3 then upper(trim(r.value)) else coalesce(d.canonical, trim(r.value)) end as value
+        from routed r left join dict d on d.field = 'CTRY' and r.field = 'CTRY' and d.key = lower(trim(r.value))), """
+    + _VOTED.replace("from cand c left join cal k", "from plain c left join cal k")
+    + """, wide as (select request_id, count(*) as n_fields, string_agg(concat(field, '=', value, '/', merge_strategy), ';' order by field) as fields, max(case when field = 'CTRY' then confidence end) as ctry, max(case when field = 'TWN_NM' then confidence end) as twn,
+        max(case when field = 'STRT_NM' then confidence end) as strt, max(case when field = 'CTRY_SUB_DVSN' then confidence end) as sub, max(case when field = 'CTRY' then upper(value) end) as code from voted group by all),
+    named as (select r.*exclude(country, value), case when r.country <> '' then r.country else coalesce(w.code, '') end as country, coalesce(d.canonical, trim(r.value)) as value
+        from routed r left join wide w using (request_id) left join dict d on d.field = r.field and d.key = lower(trim(r.value))),
+    said as (select *, trim(lower(value)) as norm, case when structurer <> 'libpostal' then true when country in ('US','GB','DE','CH') then true else false end as strong from named),
+    agreed as (select request_id, field, case when count(*) = 1 then bool_or(strong) else count(distinct norm) = 1 or count(distinct case when strong then norm end) < 2 end as agreed from said group by all),
+    counts as (select request_id, sum(case when agreed then 1 else 0 end)::bigint as agreements, sum(case when agreed then 0 else 1 end)::bigint as disagreements, coalesce(string_agg(case when not agreed then field end, ',' order by field), '') as flagged from agreed group by all),
+    srcs as (select request_id, count(distinct structurer) as source_count from routed group by all),
+    base as (select o.o_orderkey as request_id, o.country as hint, w.*exclude(request_id), c.*exclude(request_id), s.source_count, case when ctry is null or twn is null then 0.0 else least(ctry, twn) end as oc, case when o.country = 'CN' then 0.65 else 0.7 end as lim
+        from cc o left join wide w on w.request_id = o.o_orderkey left join counts c on c.request_id = o.o_orderkey left join srcs s on s.request_id = o.o_orderkey),
+    ruled as (select *, concat_ws(',', case when oc < 0.7 then 'low-confidence' end, case when ctry is null or twn is null then 'missing-mandatory' end, case when disagreements >= 2 then 'consensus-disagreement' end, case when source_count is null or source_count < 2 then 'single-source' end,
+        case when hint = 'IR' then 'high-risk-country' end, case when ctry < 0.5 or twn < 0.5 or strt < 0.5 then 'field-confidence-floor' end) as rules,
+        case when n_fields is null then 'UNSTRUCTURABLE' when ctry is null or twn is null or oc < lim then 'REQUIRES_REVIEW' else 'SUCCESS' end as first_outcome,
+        case when n_fields is null then 'UNSTRUCTURABLE' when ctry is null or twn is null then 'MISSING_REQUIRED' when oc < lim then 'LOW_CONFIDENCE' end as exception_reason from base),
+    axes as (select *, case when n_fields is null then 'UNSTRUCTURABLE' else concat_ws(',', case when ctry is null or ctry < 0.95 or twn is null or twn < 0.8 or sub is null or sub < 0.75 then 'LOW_FIELD_CONFIDENCE' end, case when oc < 0.85 then 'LOW_OVERALL_CONFIDENCE' end,
+        case when coalesce(code, hint) = 'IR' then 'HIGH_RISK_COUNTRY' end, case when request_id % 50 = 0 then 'SANCTIONS_PATTERN_MATCH' end, case when ctry is null or twn is null then 'SCHEMA_INCOMPLETE' end) end as reasons from ruled)
+    select request_id, coalesce(fields, '') as fields, round(oc, 9) as overall_confidence, agreements, disagreements, source_count, flagged, first_outcome, exception_reason, rules,
+        case when first_outcome = 'SUCCESS' and rules <> '' then 'REQUIRES_REVIEW' else first_outcome end as outcome, case when rules = '' then 'AutoApproved' else 'ManualReview' end as recommendation,
+        reasons, case when reasons = '' then 'BYPASS' else 'ROUTE' end as decision, case when reasons = '' then 'NONE' when n_fields is null then 'BLOCKING' when contains(reasons, 'SANCTIONS') or contains(reasons, 'HIGH_RISK') then 'EXPEDITED' else 'STANDARD' end as urgency from axes"""
+)
+
+
+@query(_FLOW)
+def enrich_flow(spark, sf_dir):
+    """The whole plan: routing, country normalisation, calibration, vote, consensus on normalised values, review and compliance."""
+    routes = spark.createDataFrame([(c, ["glm", "libpostal"]) for c in config.ROUTING], "country string, structurers array<string>")
+    found = d.candidates(spark, sf_dir).drop("country")
+    rows = plan.enrich(d.order_requests(spark, sf_dir), found, d.dictionary(spark, sf_dir), d.calibration(spark, sf_dir), routes, config=config.COMPLIANCE | {"shadow": False})
+    said = F.array_sort(F.transform(F.map_entries("fields"), lambda e: F.concat(e["key"], F.lit("="), e["value"]["value"], F.lit("/"), e["value"]["merge_strategy"])))
+    return rows.select(
+        "request_id", F.coalesce(F.array_join(said, ";"), F.lit("")).alias("fields"), F.round("overall_confidence", 9).alias("overall_confidence"), "agreements", "disagreements", "source_count", F.array_join("flagged_fields", ",").alias("flagged"),
+        "first_outcome", "exception_reason", F.array_join(F.transform("review_reasons", lambda r: r["rule"]), ",").alias("rules"), "outcome", "recommendation", F.array_join("reasons", ",").alias("reasons"), "decision", F.coalesce("urgency", F.lit("NONE")).alias("urgency"),
+    )
+
+
 def _decided(spark: SparkSession, sf_dir: str, **settings) -> DataFrame:
     rows = merge.assemble(_vote(spark, sf_dir))
     cands = d.candidates(spark, sf_dir)
@@ -267,12 +315,12 @@ def s20_p7_exceptions(spark, sf_dir):
     return sinks.exception_rows(rows, F.lit(None).cast("timestamp")).groupBy("reason").agg(F.count("*").alias("n"))
 
 
-@query(_voted("select field, merge_strategy, count(*) as n, round(sum(confidence), 4) as total from voted group by all"))
+@query(_voted("select request_id, field, value, merge_strategy, round(confidence, 9) as confidence from voted"))
 def s18_s19_stored_fields(spark, sf_dir):
     """Fields written as JSON and read back."""
-    rows = merge.assemble(_vote(spark, sf_dir)).select(F.to_json("fields").alias("fields_json"))
-    each = sinks.decode(rows, config.FIELDS).select(F.explode("fields").alias("field", "v"))
-    return each.groupBy("field", F.col("v.merge_strategy").alias("merge_strategy")).agg(F.count("*").alias("n"), F.round(F.sum("v.confidence"), 4).alias("total"))
+    rows = merge.assemble(_vote(spark, sf_dir)).select("request_id", F.to_json("fields").alias("fields_json"))
+    each = sinks.decode(rows, config.FIELDS).select("request_id", F.explode("fields").alias("field", "v"))
+    return each.select("request_id", "field", "v.value", "v.merge_strategy", F.round("v.confidence", 9).alias("confidence"))
 
 
 @query("""with x as (select o_orderkey as request_id, o.o_custkey, case c.c_nationkey % 10 when 0 then 'US' when 1 then 'GB' when 2 then 'DE' when 3 then 'CH' when 4 then 'CN' when 5 then 'SG' when 6 then 'HK' when 7 then 'AE' when 8 then 'IR' else '' end as country,
@@ -308,11 +356,9 @@ def a8_daily_accuracy(spark, sf_dir):
     return _report(reports.daily_accuracy, d.samples, "reviewed_at")(spark, sf_dir)
 
 
-@query(d.sql("select country, field, structurer, count(*) as times_selected, round(avg(c100::double), 0) as avg_conf_percent, round(avg(latency_ms), 0) as avg_latency_ms from attr where was_selected = 'Y' and created_at > (select max(created_at) from attr) - interval 7 day group by all", "attr"))
+@query(d.sql("select country, field, structurer, count(*) as times_selected, round(sum(c100) / 100 / count(*) + 1e-9, 3) as avg_calibrated_conf, round(avg(latency_ms), 0) as avg_latency_ms from attr where was_selected = 'Y' and created_at > (select max(created_at) from attr) - interval 7 day group by all", "attr"))
 def a9_contribution(spark, sf_dir):
-    rows = d.attributions(spark, sf_dir).withColumn("calibrated_confidence", F.col("calibrated_confidence") * 100)
-    out = reports.contribution(rows, reports.latest(rows, "created_at"))
-    return out.select("country", "field", "structurer", "times_selected", F.round("avg_calibrated_conf", 0).alias("avg_conf_percent"), "avg_latency_ms")
+    return _report(reports.contribution, d.attributions, "created_at")(spark, sf_dir)
 
 
 @query(d.sql("select country, (floor(overall_confidence * 10) / 10)::double as conf_bucket, count(*) as n from results where created_at > (select max(created_at) from results) - interval 7 day group by all", "cc", "results"))
@@ -409,16 +455,19 @@ def t3_resolve(spark, sf_dir):
     return kinds.groupBy("kind").agg(F.count("*").alias("n"))
 
 
-@query(d.sql("select country, bucket as confidence_bucket, least(count(*), case bucket when 'LOW' then 2 else 4 end)::bigint as n from (select country, case when overall_confidence >= 0.9 then 'HIGH' when overall_confidence >= 0.7 then 'MID' else 'LOW' end as bucket from results where country in ('AE','SG','HK','CN','GB','US','DE','CH') and created_at >= (select max(created_at) from results) - interval 1 day) x group by country, bucket", "cc", "results"))
+_DRAW = "row_number() over (partition by {} order by sha256(concat(cast(result_id as varchar), '/0')), result_id)"
+
+
+@query(d.sql(f"""select result_id, country, bucket as confidence_bucket from (select *, {_DRAW.format('country, bucket')} as place from (
+    select result_id, country, case when overall_confidence >= 0.9 then 'HIGH' when overall_confidence >= 0.7 then 'MID' else 'LOW' end as bucket from results where country in ('AE','SG','HK','CN','GB','US','DE','CH') and created_at >= (select max(created_at) from results) - interval 1 day) x) y where place <= case bucket when 'LOW' then 2 else 4 end""", "cc", "results"))
 def w3_review_sample(spark, sf_dir):
     rows = d.results(spark, sf_dir)
-    drawn = sampling.for_review(rows, reports.latest(rows, "created_at"))
-    return drawn.groupBy("country", "confidence_bucket").agg(F.count("*").alias("n"))
+    return sampling.for_review(rows, reports.latest(rows, "created_at")).select("result_id", "country", "confidence_bucket")
 
 
-@query(d.sql("select country, least(count(*), 100)::bigint as n from results group by country", "cc", "results"))
+@query(d.sql(f"select result_id, country from (select *, {_DRAW.format('country')} as place from results) x where place <= 100", "cc", "results"))
 def w4_country_sample(spark, sf_dir):
-    return sampling.per_country(d.results(spark, sf_dir), 100, "result_id").groupBy("country").agg(F.count("*").alias("n"))
+    return sampling.per_country(d.results(spark, sf_dir), 100, "result_id").select("result_id", "country")
 
 
 def _golden(spark, sf_dir):
@@ -462,6 +511,6 @@ def f_interpolation(spark, sf_dir):
     return d.table(spark, sf_dir, "events").select("event_id", F.round(scores.interpolate(F.col("value"), *lit), 9).alias("confidence"))
 
 
-@query("select doc_id, length(regexp_replace(regexp_replace(text, '^[\\x00-\\x20]+|[\\x00-\\x20]+$', '', 'g'), '[ \\t\\n\\x0b\\f\\r]+', ' ', 'g')) as n from documents")
+@query("select doc_id, sha256(lower(regexp_replace(regexp_replace(text, '^[\\x00-\\x20]+|[\\x00-\\x20]+$', '', 'g'), '[ \\t\\n\\x0b\\f\\r]+', ' ', 'g'))) as canonical from documents")
 def p2_canonical(spark, sf_dir):
-    return d.table(spark, sf_dir, "documents").select("doc_id", F.length(text.canonical(F.col("text"))).cast("long").alias("n"))
+    return d.table(spark, sf_dir, "documents").select("doc_id", F.sha2(text.canonical(F.col("text")), 256).alias("canonical"))
