@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -71,3 +74,13 @@ def first_match(raw: Column, pattern: str, group: int = 1) -> Column:
     """The group of the first match, or null."""
     found = F.regexp_extract(raw, pattern, group)
     return F.when(found != "", found)
+
+
+def without_marks(c: Column) -> Column:
+    """Letters without diacritics: compatibility decomposition, marks dropped. Spark has no such function, so Arrow batches go through Python."""
+
+    @F.pandas_udf("string")
+    def plain(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: v if v is None else "".join(x for x in unicodedata.normalize("NFKD", v) if not unicodedata.combining(x)))
+
+    return plain(c)

@@ -55,8 +55,7 @@ def duplicate_outcome(flag: str = "requires_review") -> Column:
 
 def triage(df: DataFrame, error: str = "error") -> DataFrame:
     """Append whether an error is worth a retry, and its HTTP status."""
-    status = {name: code for code, names in ERROR_STATUS.items() for name in names.split()}
-    return df.withColumns({"retryable": F.col(error).isin(*RETRYABLE), "http_status": F.coalesce(lookup(status, F.col(error)), F.lit(500))})
+    return df.withColumns({"retryable": F.col(error).isin(*RETRYABLE), "http_status": F.coalesce(lookup(ERROR_STATUS, F.col(error)), F.lit(500))})
 
 
 # Review rules

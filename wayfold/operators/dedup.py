@@ -33,9 +33,10 @@ def claim(requests: DataFrame, keys: DataFrame) -> DataFrame:
 
 
 def resolve(requests: DataFrame, keys: DataFrame, results: DataFrame) -> DataFrame:
-    """Requests of known keys with the stored result, if it is there."""
-    stored = keys.select("idem_key", "result_ref").join(results.withColumnRenamed("result_id", "result_ref"), "result_ref", "left")
-    return requests.join(stored, "idem_key").withColumn("is_duplicate", F.lit(True))
+    """Requests of known keys with the stored result of the very key, if it is there."""
+    known = requests.join(keys.select("idem_key").distinct(), "idem_key", "left_semi")
+    clash = [c for c in results.columns if c in requests.columns and c != "idem_key"]
+    return known.join(results.drop(*clash), "idem_key", "left").withColumn("is_duplicate", F.lit(True))
 
 
 def purge(keys: DataFrame, as_of, days: int = 30) -> DataFrame:

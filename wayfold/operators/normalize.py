@@ -48,3 +48,10 @@ def all_fields(candidates: DataFrame, dictionary: DataFrame) -> DataFrame:
         .otherwise(F.col("_value"))
     )
     return df.withColumn("value", jtrim(value)).where("value <> ''").select(*candidates.columns)
+
+
+def whole_values(candidates: DataFrame, dictionary: DataFrame, field: str) -> DataFrame:
+    """Canonical forms of one field's whole values, such as words of direction; other values are tidied only."""
+    df = candidates.withColumn("_value", tidy("value")).withColumn("_key", F.lower("_value"))
+    df = _with(df, dictionary.where(F.col("field") == field), "_key", "_canonical")
+    return df.withColumn("value", F.coalesce("_canonical", "_value")).select(*candidates.columns)

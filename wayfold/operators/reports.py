@@ -106,6 +106,16 @@ def metrics(results: DataFrame) -> DataFrame:
     )
 
 
+def exceptions(results: DataFrame) -> DataFrame:
+    """Exceptions by reason and country."""
+    return results.where("exception_reason is not null").groupBy("exception_reason", "country").agg(F.count("*").alias("n"))
+
+
+def latencies(calls: DataFrame, *by: str) -> DataFrame:
+    """Calls and their latency, by source and country or by channel and outcome."""
+    return calls.groupBy(*by).agg(F.count("*").alias("calls"), F.round(F.avg("latency_ms"), 3).alias("avg_latency_ms"), F.max("latency_ms").alias("max_latency_ms"))
+
+
 def distribution(attributions: DataFrame) -> DataFrame:
     """Confidence by source, field and country: count, mean, tenths, and how often the raw value was kept."""
     c = F.col("calibrated_confidence")
@@ -138,10 +148,13 @@ def win_rate_triggers(weekly: DataFrame, drop: float = 0.20) -> DataFrame:
 
 
 def median_shift(attributions: DataFrame, split: Column, shift: float = 0.10) -> DataFrame:
-    """Sources whose median confidence moved by more than ``shift`` across a point in time."""
-    late = F.col("created_at") >= split
-    medians = attributions.groupBy("structurer", "country").agg(F.percentile_approx(F.when(~late, F.col("calibrated_confidence")), 0.5).alias("before"), F.percentile_approx(F.when(late, F.col("calibrated_confidence")), 0.5).alias("after"))
-    return medians.withColumn("shifted", F.coalesce(F.abs(F.col("after") - F.col("before")) > shift, F.lit(False)))
+    """Sources whose median confidence moved by more than ``shift`` across a point in time.
+
+    Confidences have two places, so the exact median counts a hundred values a group.
+    """
+    late, c = F.col("created_at") >= split, F.col("calibrated_confidence").cast("double")
+    medians = attributions.groupBy("structurer", "country").agg(F.round(F.median(F.when(~late, c)), 6).alias("before"), F.round(F.median(F.when(late, c)), 6).alias("after"))
+    return medians.withColumn("shifted", F.coalesce(F.abs(F.col("after") - F.col("before")) > shift + 1e-9, F.lit(False)))
 
 
 def stale_reviewers(samples: DataFrame, as_of: Column, least: int = 30, days: int = 30) -> DataFrame:

@@ -36,3 +36,8 @@ def for_review(results: DataFrame, as_of: Column, seed: int = 0, countries: tupl
 def per_country(df: DataFrame, n: int, key: str, seed: int = 0) -> DataFrame:
     """``n`` pseudo-random rows of each country."""
     return first_n(df, ["country"], [drawn(key, seed), F.col(key)], n)
+
+
+def of_active(addresses: DataFrame, parties: DataFrame, n: int, key: str, seed: int = 0) -> DataFrame:
+    """``n`` pseudo-random addresses of active parties of each country."""
+    return per_country(addresses.join(parties.where("status = 'ACTIVE'").select("party_id"), "party_id", "left_semi"), n, key, seed)

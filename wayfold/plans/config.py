@@ -18,7 +18,7 @@ STRUCTURERS = ("libpostal", "glm", "azure-gpt")
 ROUTING = {country: ("glm", "azure-gpt", "libpostal") for country in ("CN", "AE", "HK", "SG")}
 SOURCE_WEIGHTS = {
     ("libpostal", "default"): 0.3,
-    **{("libpostal", c): 1.0 for c in "US GB DE CH FR IT NL AU CA AT BE ES PT SE NO DK FI".split()},
+    **{("libpostal", c): 1.0 for c in ("US", "GB", "DE", "CH", "FR", "IT", "NL", "AU", "CA", "AT", "BE", "ES", "PT", "SE", "NO", "DK", "FI")},
     ("glm", "default"): 1.0,
     ("azure-gpt", "default"): 1.0,
 }
@@ -36,15 +36,15 @@ COMPLIANCE = {
     "enabled": True,
     "field_floors": {"CTRY": 0.95, "TWN_NM": 0.80, "CTRY_SUB_DVSN": 0.75},
     "overall_floor": 0.85,
-    "high_risk": tuple("AF BY CU IR KP LY MM RU SD SO SY VE YE".split()),
+    "high_risk": ("IR", "KP", "SY", "CU", "RU", "BY", "VE", "MM", "SD", "SO", "YE", "LY", "AF"),
     "patterns": (
-        r"ATOMIC\s+ENERGY\s+ORGANIZATION",
+        r"CENTRAL\s+BANK\s+OF\s+IRAN",
         r"BANK\s+MELLI",
         r"BANK\s+SADERAT",
-        r"CENTRAL\s+BANK\s+OF\s+IRAN",
+        r"KOREAN\s+WORKERS.?\s*PARTY",
+        r"ATOMIC\s+ENERGY\s+ORGANIZATION",
         "IRGC",
         r"ISLAMIC\s+REVOLUTIONARY\s+GUARD",
-        r"KOREAN\s+WORKERS.?\s*PARTY",
     ),
     "fail_safe": "CONSERVATIVE",
     "shadow": True,
@@ -68,19 +68,55 @@ POSTCODES = {
     "ES": r"^\d{5}$",
     "NL": r"(?i)^\d{4}\s?[A-Z]{2}$",
 }
-NO_POSTCODE = tuple("AE HK IE QA BH OM AG AO BS BZ BJ BW CM CF KM CG DJ GQ ER FJ GA GM GH GD GN GY KI LY MW ML MR NR RW KN LC ST SC SL SB SR TL TG TO TV UG VU ZW".split())
+NO_POSTCODE = (
+    "AE", "HK", "IE", "QA", "BH", "OM", "AG", "AO", "BS", "BZ",
+    "BJ", "BW", "CM", "CF", "KM", "CG", "DJ", "GQ", "ER", "FJ",
+    "GA", "GM", "GH", "GD", "GN", "GY", "KI", "LY", "MW", "ML",
+    "MR", "NR", "RW", "KN", "LC", "ST", "SC", "SL", "SB", "SR",
+    "TL", "TG", "TO", "TV", "UG", "VU", "ZW",
+)
 
 PARSER_LABELS = {"house_number": "BLDG_NB", "road": "STRT_NM", "city": "TWN_NM", "state": "CTRY_SUB_DVSN", "postcode": "PST_CD", "country": "CTRY", "house": "BLDG_NM"}
 PARSER_FIELDS = ("CTRY", "TWN_NM", "PST_CD", "CTRY_SUB_DVSN", "STRT_NM", "BLDG_NB")
 RESPONSE_ALIASES = {
-    "CTRY": "CTRY COUNTRY country country_code",
-    "TWN_NM": "TWN_NM CITY city town TOWN_NAME",
-    "PST_CD": "PST_CD POSTAL_CODE postal_code zip ZIP_CODE zipcode postcode",
-    "CTRY_SUB_DVSN": "CTRY_SUB_DVSN STATE state province region",
-    "STRT_NM": "STRT_NM STREET street street_name ADDR_LINE1 road",
-    "BLDG_NB": "BLDG_NB BUILDING_NUMBER building_number house_number number",
-    "BLDG_NM": "BLDG_NM BUILDING_NAME building_name building",
-    "ADR_LINE": "ADR_LINE address_line",
+    "CTRY": "CTRY",
+    "COUNTRY": "CTRY",
+    "country": "CTRY",
+    "country_code": "CTRY",
+    "TWN_NM": "TWN_NM",
+    "CITY": "TWN_NM",
+    "city": "TWN_NM",
+    "town": "TWN_NM",
+    "TOWN_NAME": "TWN_NM",
+    "PST_CD": "PST_CD",
+    "POSTAL_CODE": "PST_CD",
+    "postal_code": "PST_CD",
+    "zip": "PST_CD",
+    "ZIP_CODE": "PST_CD",
+    "zipcode": "PST_CD",
+    "postcode": "PST_CD",
+    "CTRY_SUB_DVSN": "CTRY_SUB_DVSN",
+    "STATE": "CTRY_SUB_DVSN",
+    "state": "CTRY_SUB_DVSN",
+    "province": "CTRY_SUB_DVSN",
+    "region": "CTRY_SUB_DVSN",
+    "STRT_NM": "STRT_NM",
+    "STREET": "STRT_NM",
+    "street": "STRT_NM",
+    "street_name": "STRT_NM",
+    "ADDR_LINE1": "STRT_NM",
+    "road": "STRT_NM",
+    "BLDG_NB": "BLDG_NB",
+    "BUILDING_NUMBER": "BLDG_NB",
+    "building_number": "BLDG_NB",
+    "house_number": "BLDG_NB",
+    "number": "BLDG_NB",
+    "BLDG_NM": "BLDG_NM",
+    "BUILDING_NAME": "BLDG_NM",
+    "building_name": "BLDG_NM",
+    "building": "BLDG_NM",
+    "ADR_LINE": "ADR_LINE",
+    "address_line": "ADR_LINE",
 }
 GULF_REWRITES = [
     (r"\bSZR\b", "Sheikh Zayed Road"),
@@ -105,17 +141,30 @@ GULF_REWRITES = [
     (r"\bADGM\b", "Abu Dhabi Global Market"),
 ]
 ERROR_STATUS = {
-    200: "IDEMPOTENCY_DUPLICATE",
-    400: "BAD_INPUT VALIDATION",
-    401: "UNAUTHORISED",
-    403: "FORBIDDEN",
-    422: "CASCADE_NO_RESULT CONFIDENCE_BELOW_THRESHOLD REQUIRED_FIELD_MISSING SCHEMA_MISMATCH UNSUPPORTED_OPERATION",
-    500: "NETWORK DATABASE_CONNECTION DATABASE_DEADLOCK SUBSCRIBER_OVERFLOW UNKNOWN",
-    503: "CIRCUIT_OPEN BULKHEAD_FULL UPSTREAM_UNAVAILABLE UPSTREAM_RATE_LIMITED EXCEPTION_QUEUE_LOCKED",
-    504: "TIMEOUT",
+    "BAD_INPUT": 400,
+    "VALIDATION": 400,
+    "UNAUTHORISED": 401,
+    "FORBIDDEN": 403,
+    "IDEMPOTENCY_DUPLICATE": 200,
+    "CASCADE_NO_RESULT": 422,
+    "CONFIDENCE_BELOW_THRESHOLD": 422,
+    "REQUIRED_FIELD_MISSING": 422,
+    "SCHEMA_MISMATCH": 422,
+    "UNSUPPORTED_OPERATION": 422,
+    "CIRCUIT_OPEN": 503,
+    "BULKHEAD_FULL": 503,
+    "UPSTREAM_UNAVAILABLE": 503,
+    "UPSTREAM_RATE_LIMITED": 503,
+    "EXCEPTION_QUEUE_LOCKED": 503,
+    "TIMEOUT": 504,
+    "NETWORK": 500,
+    "DATABASE_CONNECTION": 500,
+    "DATABASE_DEADLOCK": 500,
+    "SUBSCRIBER_OVERFLOW": 500,
+    "UNKNOWN": 500,
 }
-RETRYABLE = tuple("TIMEOUT NETWORK UPSTREAM_RATE_LIMITED UPSTREAM_UNAVAILABLE DATABASE_DEADLOCK DATABASE_CONNECTION".split())
-TIER_0 = tuple("AE SG HK CN GB US DE CH".split())
+RETRYABLE = ("TIMEOUT", "NETWORK", "UPSTREAM_RATE_LIMITED", "UPSTREAM_UNAVAILABLE", "DATABASE_DEADLOCK", "DATABASE_CONNECTION")
+TIER_0 = ("AE", "SG", "HK", "CN", "GB", "US", "DE", "CH")
 TIERS = {country: 0 for country in TIER_0}
 TIER_BARS = {0: 0.80, 1: 0.75, 2: 0.65}
 TIER_FIXTURES = {0: 50, 1: 25, 2: 10}

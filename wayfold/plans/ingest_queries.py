@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from wayfold.operators import accuracy, decide, dedup, normalize, reports
-
+from wayfold.functions import text
+from wayfold.operators import accuracy, decide, dedup, normalize, reports, sampling
+from wayfold.plans import config
 from wayfold.plans import derived as d
 from wayfold.plans.queries import _GOLD, _decided, _DECIDED, _golden, _voted, query
-from wayfold.sources import payments, sinks, structurers
+from wayfold.sources import payments, reference, shared, sinks, structurers
 from wayfold.sources import requests as rq
 from wayfold.streaming import enrich as stream
 
@@ -47,34 +48,36 @@ def _messages(spark, sf_dir):
     return doc.select(value.cast("binary").alias("value"), F.concat(F.lit("k"), k.cast("string")).cast("binary").alias("key"), F.when(k % 3 == 0, F.concat(F.lit("h"), k.cast("string"))).alias("correlation_header"))
 
 
-@query("""select reason, count(*) as n, min(id) as first_id from (select case when doc_id % 10 = 0 then 'MALFORMED' when doc_id % 7 = 0 or trim(text) = '' then 'BLANK_ADDRESS' when length(text) > 2000 then 'TOO_LONG' else 'ACCEPTED' end as reason,
-    concat(case when doc_id % 3 = 0 then 'h' else 'k' end, cast(doc_id as varchar)) as id from documents) x group by all""")
+@query("""select case when doc_id % 10 = 0 then 'MALFORMED' when doc_id % 7 = 0 or trim(text) = '' then 'BLANK_ADDRESS' when length(text) > 2000 then 'TOO_LONG' else 'ACCEPTED' end as reason,
+    concat(case when doc_id % 3 = 0 then 'h' else 'k' end, cast(doc_id as varchar)) as correlation_id, case when doc_id % 10 = 0 or doc_id % 7 = 0 then 0 else length(text) end as n_chars from documents""")
 def s5_s7_messages(spark, sf_dir):
     good, bad = rq.validate(rq.parse_messages(_messages(spark, sf_dir)))
-    both = good.select(F.lit("ACCEPTED").alias("reason"), "correlation_id").unionByName(bad.select(F.col("reject_reason").alias("reason"), "correlation_id"))
-    return both.groupBy("reason").agg(F.count("*").alias("n"), F.min("correlation_id").alias("first_id"))
+    both = good.select(F.lit("ACCEPTED").alias("reason"), "correlation_id", "raw").unionByName(bad.select(F.col("reject_reason").alias("reason"), "correlation_id", "raw"))
+    return both.select("reason", "correlation_id", F.length("raw").cast("long").alias("n_chars"))
 
 
-@query("""select kind, count(*) as n from (select case when doc_id % 10 = 0 or doc_id % 7 = 0 or trim(text) = '' or length(text) > 2000 then 'dead' end as kind from documents) x where kind is not null group by all
-    union all select 'retry' as kind, count(*) as n from documents where false having count(*) > 0""")
+@query("""select event_id, case when event_type in ('signup', 'error') or event_id % 4 >= 2 then 'dead' else 'retry' end as kind, event_id % 4 + 1 + case when event_type in ('signup', 'error') or event_id % 4 >= 2 then 0 else 1 end as attempt from events""")
 def s25_k4_dead_letters(spark, sf_dir):
-    _, bad = rq.validate(rq.parse_messages(_messages(spark, sf_dir)))
-    again, dead = sinks.dead_letters(bad)
-    return again.select(F.lit("retry").alias("kind")).unionByName(dead.select(F.lit("dead").alias("kind"))).groupBy("kind").agg(F.count("*").alias("n"))
+    """Failures of events: malformed and blank ones are given up at once, others after three attempts."""
+    e = d.table(spark, sf_dir, "events")
+    reason = F.when(F.col("event_type") == "signup", "MALFORMED").when(F.col("event_type") == "error", "BLANK_ADDRESS").otherwise("NETWORK")
+    again, dead = sinks.dead_letters(e.select("event_id", reason.alias("reject_reason"), (F.col("event_id") % 4 + 1).alias("tried")), F.col("tried"))
+    return again.select("event_id", F.lit("retry").alias("kind"), "attempt").unionByName(dead.select("event_id", F.lit("dead").alias("kind"), "attempt"))
 
 
-@query("select case when event_id % 5 >= 3 then 'dead' else 'again' end as kind, count(*) as n from events group by all")
+@query("select event_id, case when event_id % 5 >= 3 then 'dead' else 'again' end as kind from events")
 def k5_redelivery(spark, sf_dir):
     again, dead = stream.redeliver(d.table(spark, sf_dir, "events").withColumn("attempt", F.col("event_id") % 5))
-    return again.select(F.lit("again").alias("kind")).unionByName(dead.select(F.lit("dead").alias("kind"))).groupBy("kind").agg(F.count("*").alias("n"))
+    return again.select("event_id", F.lit("again").alias("kind")).unionByName(dead.select("event_id", F.lit("dead").alias("kind")))
 
 
-@query("select source_channel, count(*) as n from (select 'BACKFILL' as source_channel from orders union all select 'KAFKA' from documents where doc_id % 10 <> 0 and doc_id % 7 <> 0 and length(text) <= 2000 and trim(text) <> '') x group by all")
+@query("""select 'BACKFILL' as source_channel, concat('backfill-', cast(o_orderkey as varchar)) as correlation_id, 'US' as country_hint from orders
+    union all select 'KAFKA', concat(case when doc_id % 3 = 0 then 'h' else 'k' end, cast(doc_id as varchar)), upper(lang) from documents where doc_id % 10 <> 0 and doc_id % 7 <> 0 and length(text) <= 2000 and trim(text) <> ''""")
 def u1_all_channels(spark, sf_dir):
     o = d.table(spark, sf_dir, "orders")
     old = o.select(F.col("o_orderkey").cast("string").alias("party_id"), F.col("o_orderpriority").alias("address_line_1"), *(F.lit(None).cast("string").alias(f"address_line_{k}") for k in (2, 3, 4)), F.lit("US").alias("country_code"), F.col("o_orderdate").cast("timestamp").alias("last_updated"))
     good, _ = rq.validate(rq.parse_messages(_messages(spark, sf_dir)))
-    return rq.union_all(rq.from_legacy(old), good).groupBy("source_channel").agg(F.count("*").alias("n"))
+    return rq.union_all(rq.from_legacy(old), good).select("source_channel", "correlation_id", "country_hint")
 
 
 def _payments(spark, sf_dir):
@@ -93,16 +96,15 @@ def s9_p12_p13_payments(spark, sf_dir):
     return payments.to_requests(payments.parties(_payments(spark, sf_dir)))
 
 
-@query("select case when o_orderkey % 2 = 0 then 'new' else 'old' end as kind, count(*) as n from orders where o_orderkey % 11 <> 0 group by all")
+@query("""select concat(cast(o_orderkey as varchar), '/0/Dbtr') as correlation_id, case when o_orderkey % 2 = 0 then 'Merged' else '' end as town, 'US' as country, case when o_orderkey % 2 = 0 then '' else concat(cast(o_orderkey as varchar), ' Main St') end as line from orders where o_orderkey % 11 <> 0""")
 def p14_p16_write_back(spark, sf_dir):
-    """Every second debtor block gets its merged town."""
+    """Every second debtor block gets its merged town; what comes back is read from the block's text."""
     rows = payments.parties(_payments(spark, sf_dir)).where("role = 'Dbtr'")
     k = F.col("message_id").cast("long")
     fields = F.create_map(F.lit("TWN_NM"), F.struct(F.lit("Merged").alias("value"), F.lit(0.9).alias("confidence"), F.lit("CONSENSUS").alias("merge_strategy")))
     results = rows.select("correlation_id", F.when(k % 2 == 0, "SUCCESS").otherwise("REQUIRES_REVIEW").alias("outcome"), fields.alias("fields"))
     back = payments.write_back(rows, results)
-    new = F.col("xml").contains("<TwnNm>Merged</TwnNm>") & F.col("xml").contains("<Ctry>US</Ctry>")
-    return back.groupBy(F.when(new, "new").otherwise("old").alias("kind")).agg(F.count("*").alias("n"))
+    return back.select("correlation_id", *(F.regexp_extract("xml", f"<{tag}>([^<]*)</{tag}>", 1).alias(name) for tag, name in (("TwnNm", "town"), ("Ctry", "country"), ("AdrLine", "line"))))
 
 
 @query("select concat(cast(o_orderkey as varchar), '/', case when o_orderkey % 2 = 0 then '50K' else '59' end) as correlation_id, concat(cast(o_custkey as varchar), ' HIGH STREET, LONDON') as raw from orders where o_orderkey % 5 <> 0")
@@ -131,11 +133,11 @@ def p19_p20_parser_labels(spark, sf_dir):
     return structurers.allowed(rows).select("request_id", "field", "value", "raw_confidence")
 
 
-@query("select c_custkey as request_id, length(concat('Parse ', cast(c_custkey as varchar), case when c_nationkey % 10 = 0 then concat(chr(10), 'Mind the state.') else '' end)) as n from customer")
+@query("select c_custkey as request_id, sha256(concat('Parse ', cast(c_custkey as varchar), case when c_nationkey % 10 = 0 then concat(chr(10), 'Mind the state.') else '' end)) as prompt from customer")
 def p22_prompts(spark, sf_dir):
     req = d.addresses(spark, sf_dir).select("request_id", F.col("request_id").cast("string").alias("raw"), "country_hint", F.lit("").alias("locale"))
     more = spark.createDataFrame([("US", "Mind the state.")], "country string, supplement string")
-    return structurers.prompts(req, "Parse {{raw}}", more).select("request_id", F.length("prompt").cast("long").alias("n"))
+    return structurers.prompts(req, "Parse {{raw}}", more).select("request_id", F.sha2("prompt", 256).alias("prompt"))
 
 
 @query("""select error, retryable, http_status, count(*) as n from (select case event_type when 'view' then 'TIMEOUT' when 'signup' then 'VALIDATION' when 'purchase' then 'NETWORK' when 'error' then 'CIRCUIT_OPEN' else 'OTHER' end as error,
@@ -148,59 +150,188 @@ def p17_error_triage(spark, sf_dir):
     return decide.triage(d.table(spark, sf_dir, "events").select(error.alias("error"))).groupBy("error", "retryable", "http_status").agg(F.count("*").alias("n"))
 
 
-@query("select case when o_orderkey % 4 = 0 then 'Dubai International Financial Centre, Dubai' when o_orderkey % 4 = 1 then 'PO Box 77 Sheikh Zayed Road' when o_orderkey % 4 = 2 then 'Sharjah, United Arab Emirates' else 'SZRX RAKE' end as said, count(*) as n from orders group by all")
+@query("""select o_orderkey as request_id, concat(cast(o_custkey as varchar), ' ', case o_orderkey % 10 when 0 then 'Dubai International Financial Centre, Dubai' when 1 then 'PO Box 77 Sheikh Zayed Road' when 2 then 'Sharjah, United Arab Emirates' when 3 then 'SZRX RAKE' when 4 then 'Al Maktoum Road, Abu Dhabi'
+    when 5 then 'Khalifa Bin Zayed Road, Doha' when 6 then 'Dubai Multi Commodities Centre, Ras Al Khaimah' when 7 then 'Jebel Ali Free Zone' when 8 then 'Dubai Airport Free Zone, Abu Dhabi Global Market' else 'Sheikh Zayed Road, United Arab Emirates.' end) as said from orders""")
 def d1_gulf_rewrites(spark, sf_dir):
-    k = F.col("o_orderkey") % 4
-    raw = F.when(k == 0, "DIFC, DXB").when(k == 1, "P.O. Box 77 SZR").when(k == 2, "Shj, UAE").otherwise("SZRX RAKE")
-    return d.table(spark, sf_dir, "orders").select(structurers.gulf_text(raw).alias("said")).groupBy("said").agg(F.count("*").alias("n"))
+    forms = ("DIFC, DXB", "P.O. Box 77 SZR", "Shj, UAE", "SZRX RAKE", "Maktum Rd, AUH", "Khalifa St, Ad Dawhah", "DMCC, RAK", "JAFZA", "DAFZA, ADGM", "Sheikh Zayed Rd, U.A.E.")
+    k = F.col("o_orderkey")
+    raw = F.concat(F.col("o_custkey").cast("string"), F.lit(" "), d._pick(forms, k % 10))
+    return d.table(spark, sf_dir, "orders").select(k.alias("request_id"), structurers.gulf_text(raw).alias("said"))
 
 
-@query("select case when o_orderkey % 50 = 0 then 'BANK\\s+MELLI' else '' end as hits, count(*) as n from orders group by all")
+@query("select o_orderkey as request_id, case when o_orderkey % 50 = 0 then 'BANK\\s+MELLI' when o_orderkey % 51 = 0 then 'BANK\\s+SADERAT,IRGC' else '' end as hits from orders")
 def j10_pattern_hits(spark, sf_dir):
-    rows = d.table(spark, sf_dir, "orders").select(F.when(F.col("o_orderkey") % 50 == 0, "at bank \t melli, Tehran").otherwise("12 Melli Street").alias("raw"))
-    return rows.select(F.array_join(decide.pattern_hits(rows), ",").alias("hits")).groupBy("hits").agg(F.count("*").alias("n"))
+    k = F.col("o_orderkey")
+    rows = d.table(spark, sf_dir, "orders").select(k.alias("request_id"), F.when(k % 50 == 0, "at bank \t melli, Tehran").when(k % 51 == 0, "irgc, Bank Saderat").otherwise("12 Melli Street").alias("raw"))
+    return rows.select("request_id", F.array_join(decide.pattern_hits(rows), ",").alias("hits"))
 
 
-@query("select count(*) as n from events where ts >= (select max(ts) from events) - interval 10 day")
+@query("select event_id as idem_key from events where ts >= (select max(ts) from events) - interval 10 day")
 def d13_key_retention(spark, sf_dir):
     keys = d.table(spark, sf_dir, "events").select(F.col("event_id").alias("idem_key"), F.col("ts").cast("timestamp").alias("processed_at"))
-    return dedup.purge(keys, reports.latest(keys, "processed_at"), 10).agg(F.count("*").alias("n"))
+    return dedup.purge(keys, reports.latest(keys, "processed_at"), 10).select("idem_key")
 
 
-@query("select c_custkey as party_id, count(o_orderkey) as n from customer join orders on c_custkey = o_custkey where c_custkey between 10 and 60 and o_orderkey % 2 = 0 group by all")
+@query("select c_custkey as party_id, o_orderkey as address_id, (c_custkey - (select min(c_custkey) from customer)) // 50 as slice from customer join orders on c_custkey = o_custkey where o_orderkey % 2 = 0")
 def j13_party_range(spark, sf_dir):
+    """Primary addresses of parties over the whole key range, which is taken from the table, in slices of fifty keys."""
     parties = d.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("party_id"))
-    addresses = d.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("party_id"), "o_orderkey", F.when(F.col("o_orderkey") % 2 == 0, "Y").otherwise("N").alias("is_primary"))
-    return rq.party_range(parties, addresses, 10, 60).groupBy("party_id").agg(F.count("*").alias("n"))
+    addresses = d.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("party_id"), F.col("o_orderkey").alias("address_id"), F.when(F.col("o_orderkey") % 2 == 0, "Y").otherwise("N").alias("is_primary"))
+    low, high = (parties.select(f("party_id")).scalar() for f in (F.min, F.max))
+    return rq.party_range(parties, addresses, low, high).select("party_id", "address_id", F.floor((F.col("party_id") - low) / 50).alias("slice"))
 
 
-@query("""select country, least(count(*), 15)::bigint as n from (select case n_name when 'NATION_0' then 'US' when 'NATION_1' then 'GB' when 'NATION_2' then 'DE' end as country from customer join nation on c_nationkey = n_nationkey where n_name in ('NATION_0', 'NATION_1', 'NATION_2')) x group by country""")
-def s17_t5_external_fixtures(spark, sf_dir):
-    """At most fifteen fixtures a country, which is the feature."""
+@query(f"""select request_id, country from (select o_orderkey as request_id, {d._case(d.COUNTRIES, 'c_nationkey % 10')} as country, row_number() over (partition by c_nationkey % 10 order by sha256(concat(cast(o_orderkey as varchar), '/0')), o_orderkey) as place
+    from orders join customer on o_custkey = c_custkey where c_custkey % 4 <> 0) x where place <= 100""")
+def j14_active_sample(spark, sf_dir):
+    """A hundred addresses of active parties a country, which is the feature."""
+    parties = d.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("party_id"), F.when(F.col("c_custkey") % 4 == 0, "CLOSED").otherwise("ACTIVE").alias("status"))
+    addresses = d.orders(spark, sf_dir).select(F.col("o_custkey").alias("party_id"), F.col("o_orderkey").alias("request_id"), "country")
+    return sampling.of_active(addresses, parties, 100, "request_id").select("request_id", "country")
+
+
+@query("select count(*) as n from orders where o_orderstatus <> 'P'")
+def s4_row_count(spark, sf_dir):
+    return rq.row_count(d.table(spark, sf_dir, "orders").where("o_orderstatus <> 'P'"))
+
+
+_EXTERNAL = """external as (select concat(country, '-', lpad(cast(place as varchar), 3, '0')) as fixture_id, country, raw, place from (select *, row_number() over (partition by country order by sha256(raw), raw) as place from (
+    select concat(cast(c_custkey as varchar), ' Long Main Street') as raw, case n_name when 'NATION_0' then 'US' when 'NATION_1' then 'GB' when 'NATION_2' then 'DE' end as country from customer join nation on c_nationkey = n_nationkey where n_name in ('NATION_0', 'NATION_1', 'NATION_2')) x) y where place <= 15)"""
+
+
+def _external(spark, sf_dir):
     c = d.table(spark, sf_dir, "customer").join(d.table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     rows = c.select(F.concat(F.col("c_custkey").cast("string"), F.lit(" Long Main Street")).alias("address"), F.col("n_name").alias("country_name"), F.create_map(F.lit("road"), F.lit("Long Main Street")).alias("labels"))
-    return rq.external_fixtures(rows, {"Nation_0": "US", "nation_1": "GB", "NATION_2": "DE"}).groupBy("country").agg(F.count("*").alias("n"))
+    return rq.external_fixtures(rows, {"Nation_0": "US", "nation_1": "GB", "NATION_2": "DE"})
+
+
+@query(f"with {_EXTERNAL} select fixture_id, country, raw, 'Long Main Street' as street from external")
+def s17_t5_external_fixtures(spark, sf_dir):
+    """At most fifteen fixtures a country, which is the feature."""
+    return _external(spark, sf_dir).select("fixture_id", "country", "raw", F.element_at("expected_fields", "STRT_NM").alias("street"))
+
+
+@query(f"with {_EXTERNAL} select fixture_id, country, raw from external where place <= 5 union all select concat('own-', cast(s_suppkey as varchar)), 'US', s_name from supplier")
+def u5_golden_bases(spark, sf_dir):
+    """Own fixtures and at most five external ones a country, which is the feature."""
+    own = d.table(spark, sf_dir, "supplier").select(F.concat(F.lit("own-"), F.col("s_suppkey").cast("string")).alias("fixture_id"), F.lit("US").alias("country"), F.col("s_name").alias("raw"), F.lit(None).cast("map<string,string>").alias("expected_fields"))
+    return rq.golden_bases(own, _external(spark, sf_dir)).select("fixture_id", "country", "raw")
 
 
 @query(_DECIDED + """, axes as (select *, ctry is null or ctry < 0.95 or twn is null or twn < 0.8 or sub is null or sub < 0.75 as low, coalesce(code, hint) = 'IR' as risky, request_id % 50 = 0 as hit from ruled)
-    select case when low then 'LOW_FIELD_CONFIDENCE' when oc < 0.85 then 'LOW_OVERALL_CONFIDENCE' when risky then 'HIGH_RISK_COUNTRY' when hit then 'SANCTIONS_PATTERN_MATCH' else 'NONE' end as primary_reason, 'BYPASS' as decision, 'PENDING' as status, count(*) as n from axes group by all""")
+    select cast(request_id as varchar) as correlation_id, hint as country, case when low then 'LOW_FIELD_CONFIDENCE' when oc < 0.85 then 'LOW_OVERALL_CONFIDENCE' when risky then 'HIGH_RISK_COUNTRY' when hit then 'SANCTIONS_PATTERN_MATCH' end as primary_reason, 'BYPASS' as decision,
+    case when low or oc < 0.85 or risky or hit then 'ROUTE' else 'BYPASS' end as would_decision, case when risky or hit then 'EXPEDITED' when low or oc < 0.85 then 'STANDARD' end as urgency, 'PENDING' as status from axes""")
 def s22_compliance_rows(spark, sf_dir):
     """In shadow mode every decision is a bypass, but the reasons stay."""
     rows = _decided(spark, sf_dir).withColumns({"idem_key": F.col("request_id").cast("string"), "correlation_id": F.col("request_id").cast("string")})
-    return sinks.compliance_rows(rows, F.lit(None).cast("timestamp")).groupBy(F.coalesce("primary_reason", F.lit("NONE")).alias("primary_reason"), "decision", "status").agg(F.count("*").alias("n"))
+    return sinks.compliance_rows(rows, F.lit(None).cast("timestamp")).select("correlation_id", "country", "primary_reason", "decision", "would_decision", "urgency", "status")
+
 
+_SAID = " select cast(request_id as varchar) as correlation_id, case when rules <> '' then 'REQUIRES_REVIEW' else first_outcome end as outcome, "
 
-@query(_DECIDED + " select case when rules <> '' then 'REQUIRES_REVIEW' else first_outcome end as outcome, case when rules = '' then 'AutoApproved' else 'ManualReview' end as recommendation, count(*) as n from ruled group by all")
+
+@query(_DECIDED + _SAID + "case when rules = '' then 'AutoApproved' else 'ManualReview' end as recommendation, case when rules = '' then 0 else length(rules) - length(replace(rules, ',', '')) + 1 end as n_reasons, n as n_sources, dis::bigint as disagreements from ruled")
 def s26_documents(spark, sf_dir):
-    rows = _decided(spark, sf_dir).withColumn("correlation_id", F.col("request_id").cast("string"))
-    said = sinks.messages(rows)
-    return said.groupBy(F.get_json_object("value", "$.outcome").alias("outcome"), F.get_json_object("value", "$.recommendation").alias("recommendation")).agg(F.count("*").alias("n"))
+    """The answers' JSON, read again."""
+    said = sinks.messages(_decided(spark, sf_dir).withColumn("correlation_id", F.col("request_id").cast("string")))
+    body = F.from_json("value", "correlation_id string, outcome string, recommendation string, sources array<string>, review_reasons array<struct<rule:string>>, consensus struct<disagreements:long>")
+    return said.select(body.alias("b")).select("b.correlation_id", "b.outcome", "b.recommendation", F.size("b.review_reasons").cast("long").alias("n_reasons"), F.size("b.sources").cast("long").alias("n_sources"), "b.consensus.disagreements")
 
 
-@query(_DECIDED + " select 'ENRICHED' as event, case when rules <> '' then 'REQUIRES_REVIEW' else first_outcome end as outcome, count(*) as n from ruled group by all")
+@query(_DECIDED + _SAID + "'ENRICHED' as event, case when ctry is null or twn is null then 'MISSING_REQUIRED' when oc < lim then 'LOW_CONFIDENCE' end as exception_reason from ruled")
 def s23_audit(spark, sf_dir):
     rows = _decided(spark, sf_dir).withColumns({"correlation_id": F.col("request_id").cast("string"), "source_channel": F.lit("KAFKA")})
-    return sinks.audit_rows(rows, F.lit(None).cast("timestamp")).groupBy("event", "outcome").agg(F.count("*").alias("n"))
+    return sinks.audit_rows(rows, F.lit(None).cast("timestamp")).select("correlation_id", "outcome", "event", F.get_json_object("details", "$.exception_reason").alias("exception_reason"))
+
+
+@query(_DECIDED + """, axes as (select *, request_id % 50 = 0 as hit, coalesce(code, hint) = 'IR' as risky, ctry is null or ctry < 0.95 or twn is null or twn < 0.8 or sub is null or sub < 0.75 as low from ruled)
+    select cast(request_id as varchar) as correlation_id, hint as country, case when hit or risky then 'EXPEDITED' else 'STANDARD' end as urgency, round(ctry, 9) is not null as has_country from axes where low or oc < 0.85 or hit or risky""")
+def d7_d11_dispatch(spark, sf_dir):
+    """Routed requests as messages to compliance, read again from the topic's file twin."""
+    rows = _decided(spark, sf_dir, config=config.COMPLIANCE | {"shadow": False}).withColumn("correlation_id", F.col("request_id").cast("string"))
+    sent = sinks.published(sinks.dispatches(rows), shared.folder(spark, "dispatch"))
+    body = F.from_json("value", "correlation_id string, country string, urgency string, address struct<CTRY:string>")
+    return sent.select(body.alias("b")).select("b.correlation_id", "b.country", "b.urgency", F.col("b.address.CTRY").isNotNull().alias("has_country"))
+
+
+@query("""select 'STRT_NM' as field, lower(p_name) as key, concat('Form ', cast(min(p_partkey) as varchar)) as canonical from part where lower(p_name) <> '' group by lower(p_name)
+    union all select 'STRT_NM', concat('form ', cast(p_partkey as varchar)), concat('Form ', cast(p_partkey as varchar)) from part""")
+def s13_dictionary_files(spark, sf_dir):
+    """A dictionary written as lines and read back: the first definition of a word wins."""
+    p = d.table(spark, sf_dir, "part").orderBy("p_partkey").select(F.concat(F.lit("Form "), F.col("p_partkey").cast("string"), F.lit("|"), F.col("p_name"), F.lit("|")).alias("value"))
+    path = shared.folder(spark, "dictionary")
+    p.coalesce(1).write.text(path)
+    return reference.dictionary(spark, path, "STRT_NM")
+
+
+@query("""select structurer, country, field, raw_low, raw_high, cal_low, cal_high from (select 'glm' as structurer, concat('C', cast(s_nationkey as varchar)) as country, concat('F', cast(s_suppkey as varchar)) as field, 0.2::double as raw_low, 0.8::double as raw_high, 0.1::double as cal_low, (s_suppkey % 100 / 100.0)::double as cal_high from supplier) x""")
+def s16_calibration_files(spark, sf_dir):
+    """Calibration segments written as commented lines and read back."""
+    s = d.table(spark, sf_dir, "supplier").select(F.concat_ws(" , ", F.concat(F.lit("c"), F.col("s_nationkey").cast("string")), F.concat(F.lit("F"), F.col("s_suppkey").cast("string")), F.lit("0.2"), F.lit("0.8"), F.lit("0.1"), ((F.col("s_suppkey") % 100) / 100).cast("string")).alias("value"))
+    head = spark.createDataFrame([("# made by hand",), ("country,field,raw_low,raw_high,calibrated_low,calibrated_high",)], "value string")
+    path = shared.folder(spark, "calibration")
+    head.unionByName(s).write.text(path)
+    return reference.calibration(spark, path, "glm")
+
+
+@query("select 'country' as kind, upper(concat('c', cast(s_suppkey as varchar))) as said from supplier union all select 'pattern', concat('c', cast(s_suppkey as varchar)) from supplier")
+def s14_s15_list_files(spark, sf_dir):
+    """A country set and a pattern list from one file with comments, blank lines and repeats."""
+    s = d.table(spark, sf_dir, "supplier").select(F.explode(F.array(F.concat(F.lit("c"), F.col("s_suppkey").cast("string"), F.lit(" ")), F.lit(""), F.lit("# none"))).alias("value"))
+    path = shared.folder(spark, "lists")
+    s.write.text(path)
+    return reference.country_set(spark, path).select(F.lit("country").alias("kind"), F.col("country").alias("said")).unionByName(reference.patterns(spark, path).select(F.lit("pattern").alias("kind"), F.col("pattern").alias("said")))
+
+
+@query("""select concat('s', lpad(cast(s_suppkey as varchar), 9, '0')) as fixture_id, concat('N', cast(s_nationkey as varchar)) as country, s_name as expected, s_suppkey % 2 = 0 as required, row_number() over (partition by s_nationkey order by s_suppkey) = 1 as sampled from supplier""")
+def s10_s12_golden_files(spark, sf_dir):
+    """A fixture file a supplier, in folders by country: all of them with their expectation, and which one is sampled."""
+    s = d.table(spark, sf_dir, "supplier")
+    name, country = F.concat(F.lit("s"), F.lpad(F.col("s_suppkey").cast("string"), 9, "0")), F.concat(F.lit("N"), F.col("s_nationkey").cast("string"))
+    said = F.struct(F.col("s_name").alias("value"), (F.col("s_suppkey") % 2 == 0).alias("required"))
+    body = F.to_json(F.struct(name.alias("fixture_id"), country.alias("country"), F.lit("x").alias("raw"), F.struct(said.alias("TWN_NM")).alias("expected_fields")))
+    path = shared.folder(spark, "golden")
+    s.select(body.alias("value"), country.alias("country"), name.alias("fixture")).write.partitionBy("country", "fixture").text(path)
+    fixtures, expected = rq.golden(spark, path)
+    first = rq.sampled(fixtures.withColumn("path", F.regexp_replace("path", "/fixture=([^/]*)/[^/]*$", "/$1"))).select("fixture_id", F.lit(True).alias("sampled"))
+    return expected.join(first, "fixture_id", "left").select("fixture_id", "country", "expected", "required", F.coalesce("sampled", F.lit(False)).alias("sampled"))
+
+
+@query("""select party_id, raw, country_hint from (select concat('p', cast(o_orderkey as varchar)) as party_id, concat(o_orderpriority, ', ', cast(o_custkey as varchar)) as raw, case when o_orderkey % 3 = 0 then '' else 'DE' end as country_hint from orders) x""")
+def s2_s3_legacy_tables(spark, sf_dir):
+    """The legacy table written, scanned whole with missing countries as empty, and read again by party."""
+    o = d.table(spark, sf_dir, "orders").select(F.concat(F.lit("p"), F.col("o_orderkey").cast("string")).alias("party_id"), F.col("o_orderpriority").alias("address_line_1"), F.col("o_custkey").cast("string").alias("address_line_2"), *(F.lit(None).cast("string").alias(f"address_line_{k}") for k in (3, 4)), F.when(F.col("o_orderkey") % 3 != 0, "DE").alias("country_code"), *(F.lit(None).cast("string").alias(c) for c in ("postal_code", "source_system")), F.lit(None).cast("timestamp").alias("last_updated"))
+    path = shared.folder(spark, "legacy")
+    o.write.parquet(path)
+    whole = rq.legacy(spark, path)
+    one = rq.from_legacy(rq.by_party(whole, "p1")).unionByName(rq.from_legacy(whole.where("party_id <> 'p1'")))
+    return one.select(F.substring("correlation_id", 10, 100).alias("party_id"), "raw", "country_hint")
+
+
+@query("select c_custkey as request_id, strip_accents(concat(case c_custkey % 3 when 0 then 'Zürich ' when 1 then 'São Paulo ' else 'Malmö ' end, cast(c_custkey as varchar))) as plain from customer")
+def f_plain_letters(spark, sf_dir):
+    c = F.col("c_custkey")
+    return d.table(spark, sf_dir, "customer").select(c.alias("request_id"), text.without_marks(F.concat(F.when(c % 3 == 0, "Zürich ").when(c % 3 == 1, "São Paulo ").otherwise("Malmö "), c.cast("string"))).alias("plain"))
+
+
+@query("""select c_custkey as request_id, case c_custkey % 4 when 0 then 'north' when 1 then 'southwest' else 'Main St' end as value from customer""")
+def d2_directionals(spark, sf_dir):
+    """Words of direction by an own dictionary, whole values as for countries."""
+    c = F.col("c_custkey")
+    words = spark.createDataFrame([("DIRECTIONAL", k, v) for k, v in (("n", "north"), ("nth", "north"), ("sw", "southwest"))], "field string, key string, canonical string")
+    rows = d.table(spark, sf_dir, "customer").select(c.alias("request_id"), F.lit("DIRECTIONAL").alias("field"), F.when(c % 4 == 0, "Nth").when(c % 4 == 1, " SW ").otherwise("Main St").alias("value"))
+    return normalize.whole_values(rows, words, "DIRECTIONAL").select("request_id", "value")
+
+
+@query("""select c_custkey as request_id, f.field, case f.field when 'PST_CD' then case c_custkey % 4 when 0 then 'EC1A 1BB' when 1 then '018956' end when 'BLDG_NB' then case c_custkey % 4 when 1 then concat(cast(c_custkey as varchar), 'A') when 2 then '12' when 3 then cast(c_custkey % 90 + 1 as varchar) end
+        when 'BLDG_NM' then case when c_custkey % 4 = 2 then '12/F, Unit 7' end else case when c_custkey % 4 = 0 then 'PO Box 9' end end as value
+    from customer, (values ('PST_CD'), ('BLDG_NB'), ('BLDG_NM'), ('ADR_LINE')) f(field) where (f.field = 'PST_CD' and c_custkey % 4 in (0, 1)) or (f.field = 'BLDG_NB' and c_custkey % 4 <> 0) or (f.field = 'BLDG_NM' and c_custkey % 4 = 2) or (f.field = 'ADR_LINE' and c_custkey % 4 = 0)""")
+def d3_rule_fields(spark, sf_dir):
+    """Postcodes, blocks, floors, house numbers and boxes of four countries by rule."""
+    c = F.col("c_custkey")
+    raw = F.when(c % 4 == 0, "London EC1A 1BB, PO Box 9").when(c % 4 == 1, F.concat(F.lit("Block "), c.cast("string"), F.lit("A Some Road 018956"))).when(c % 4 == 2, "12/F, Unit 7, Some Tower").otherwise(F.concat(F.lit("Lange Straße "), (c % 90 + 1).cast("string")))
+    rows = structurers.by_rules(d.table(spark, sf_dir, "customer").select(c.alias("request_id"), raw.alias("raw"), d._pick(("GB", "SG", "HK", "DE"), c % 4).alias("country_hint")))
+    return rows.where("field <> 'CTRY'").select("request_id", "field", "value")
 
 
 @query(_voted("").rstrip() + ", " + _GOLD + """, scored as (select cc.country, case when m.n > 0 then m.hit * 1.0 / m.n end as accuracy from cc left join (select fixture_id, count(*) as n, sum(case when matched then 1 else 0 end) as hit from compared group by all) m on cc.o_orderkey = m.fixture_id)
@@ -226,9 +357,11 @@ def w5_win_rates(spark, sf_dir):
     return reports.win_rate_triggers(weekly).withColumns({"win_rate": F.round("win_rate", 6), "previous": F.round("previous", 6)})
 
 
-@query()
+_MEDIAN = "round(median(c100::double / 100) filter (where created_at {} (select max(created_at) from attr) - interval 365 day), 6)"
+
+
+@query(d.sql(f"""select *, coalesce(abs(after - before) > 0.1 + 1e-9, false) as shifted from (select structurer, country, {_MEDIAN.format('<')} as before, {_MEDIAN.format('>=')} as after from attr group by all) x""", "attr"))
 def w5_median_shift(spark, sf_dir):
-    """Approximate medians, so without SQL."""
     a = d.attributions(spark, sf_dir)
     return reports.median_shift(a, reports.latest(a, "created_at") - F.expr("interval 365 days"))
 
@@ -241,5 +374,3 @@ def d15_hybrid(spark, sf_dir):
     both = F.when(F.col("o_orderkey") % 2 == 0, F.create_map(F.lit("STRT_NM"), value(F.lit("Street")), F.lit("ADR_LINE"), value(F.lit("free line")))).otherwise(F.create_map(F.lit("ADR_LINE"), value(F.lit("free line"))))
     rows = d.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("request_id"), both.alias("fields")).withColumn("p", payments.to_hybrid())
     return rows.select("request_id", F.col("p.StrtNm").alias("street"), F.get("p.AdrLine", F.lit(0)).alias("line"))
-
-

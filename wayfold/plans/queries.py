@@ -83,10 +83,18 @@ def flagship(spark, sf_dir):
     return rows.groupBy(tenth.alias("conf_bucket"), decide.outcome().alias("outcome")).agg(F.count("*").alias("n"))
 
 
-@query(_voted("""select c.structurer, c.field, count(*) as candidates, sum(case when c.value = v.value then 1 else 0 end)::bigint as selected from cand c left join voted v on c.request_id = v.request_id and c.field = v.field group by all"""))
+@query(_voted("""select c.request_id, c.structurer, c.field, coalesce(c.value = v.value, false) as was_selected from cand c left join voted v on c.request_id = v.request_id and c.field = v.field"""))
 def j5_attribution(spark, sf_dir):
     cands = _calibrated(spark, sf_dir)
-    return merge.attribute(cands, merge.vote(cands)).groupBy("structurer", "field").agg(F.count("*").alias("candidates"), F.count_if("was_selected").alias("selected"))
+    return merge.attribute(cands, merge.vote(cands)).select("request_id", "structurer", "field", "was_selected")
+
+
+@query(_voted("""select c.request_id, c.country, c.field, c.structurer, c.value, round(c.raw_confidence::decimal(10,6), 6)::double as raw_confidence, c.cascade_pos as latency_ms, case when coalesce(c.value = v.value, false) then 'Y' else 'N' end as was_selected from cand c left join voted v on c.request_id = v.request_id and c.field = v.field"""))
+def s21_attribution_rows(spark, sf_dir):
+    """What the attribution table gets."""
+    cands = _calibrated(spark, sf_dir).withColumn("latency_ms", F.col("cascade_pos"))
+    rows = sinks.attribution_rows(merge.attribute(cands, merge.vote(cands)), F.lit(None).cast("timestamp"))
+    return rows.select("request_id", "country", "field", "structurer", "value", F.col("raw_confidence").cast("double").alias("raw_confidence"), "latency_ms", "was_selected")
 
 
 @query(d.sql("select c.request_id, c.structurer, c.field, round(case when k.cal_low is null then raw_confidence when raw_confidence <= raw_low then cal_low when raw_confidence >= raw_high then cal_high else cal_low + (raw_confidence - raw_low) / (raw_high - raw_low) * (cal_high - cal_low) end, 9) as confidence from cand c left join cal k on c.structurer = k.structurer and c.country = k.country and c.field = k.field", "cc", "cand", "cal"))
@@ -164,14 +172,14 @@ def j7_new_claims(spark, sf_dir):
 
 
 @query(f"""with {_KEYED}, known as (select k, min(doc_id) as ref from keyed where doc_id % 5 = 0 group by k)
-    select case when (ref * 37 % 101) < 50 then 'REQUIRES_REVIEW' when ref % 2 = 0 then 'SUCCESS' else 'PERSISTED_DUPLICATE' end as outcome, count(*) as n from keyed join known using (k) group by all""")
+    select doc_id as request_id, case when (ref * 37 % 101) < 50 then 'REQUIRES_REVIEW' when ref % 2 = 0 then 'SUCCESS' else 'PERSISTED_DUPLICATE' end as outcome from keyed join known using (k)""")
 def j8_p10_duplicates(spark, sf_dir):
     good, _ = rq.validate(d.requests(spark, sf_dir))
     keyed = dedup.with_key(good)
-    keys = keyed.where("request_id % 5 = 0").groupBy("idem_key").agg(F.min("request_id").alias("result_ref"))
-    review = F.col("result_ref") * 37 % 101 < 50
-    stored = keys.where(review | (F.col("result_ref") % 2 == 0)).select(F.col("result_ref").alias("result_id"), F.when(review, "Y").otherwise("N").alias("requires_review"))
-    return dedup.resolve(keyed, keys, stored).groupBy(decide.duplicate_outcome().alias("outcome")).agg(F.count("*").alias("n"))
+    keys = keyed.where("request_id % 5 = 0").groupBy("idem_key").agg(F.min("request_id").alias("ref"))
+    review = F.col("ref") * 37 % 101 < 50
+    stored = keys.where(review | (F.col("ref") % 2 == 0)).select("idem_key", F.when(review, "Y").otherwise("N").alias("requires_review"))
+    return dedup.resolve(keyed, keys, stored).select("request_id", decide.duplicate_outcome().alias("outcome"))
 
 
 @query("""select c_custkey as request_id, 'CTRY' as field, case c_nationkey % 10 when 0 then 'US' when 1 then 'GB' when 2 then 'DE' when 3 then 'CH' when 4 then 'CN' when 5 then 'SG' when 6 then 'HK' when 7 then 'AE' when 8 then 'IR' end as value, 0.95::double as raw_confidence from customer where c_nationkey % 10 <> 9
@@ -309,10 +317,10 @@ def o1_o6_compliance(spark, sf_dir):
     return rows.select("request_id", F.array_join("reasons", ",").alias("reasons"), "would_decision", "decision", F.coalesce("urgency", F.lit("NONE")).alias("urgency"))
 
 
-@query("select reason, count(*) as n from (" + _DECIDED.replace("with ", "with ", 1) + " select case when ctry is null or twn is null then 'MISSING_REQUIRED' when oc < lim then 'LOW_CONFIDENCE' end as reason from ruled) x where reason is not null group by all")
+@query(_DECIDED + " select cast(request_id as varchar) as correlation_id, hint as country, case when ctry is null or twn is null then 'MISSING_REQUIRED' else 'LOW_CONFIDENCE' end as reason, 'OPEN' as status, 1 as version from ruled where ctry is null or twn is null or oc < lim")
 def s20_p7_exceptions(spark, sf_dir):
     rows = _decided(spark, sf_dir).withColumns({"idem_key": F.col("request_id").cast("string"), "correlation_id": F.col("request_id").cast("string")})
-    return sinks.exception_rows(rows, F.lit(None).cast("timestamp")).groupBy("reason").agg(F.count("*").alias("n"))
+    return sinks.exception_rows(rows, F.lit(None).cast("timestamp")).select("correlation_id", "country", "reason", "status", "version")
 
 
 @query(_voted("select request_id, field, value, merge_strategy, round(confidence, 9) as confidence from voted"))
@@ -325,19 +333,18 @@ def s18_s19_stored_fields(spark, sf_dir):
 
 @query("""with x as (select o_orderkey as request_id, o.o_custkey, case c.c_nationkey % 10 when 0 then 'US' when 1 then 'GB' when 2 then 'DE' when 3 then 'CH' when 4 then 'CN' when 5 then 'SG' when 6 then 'HK' when 7 then 'AE' when 8 then 'IR' else '' end as country,
         case when o_orderkey % 4 = 0 then null else lpad(cast(o_custkey % 100000 as varchar), 5, '0') end as pc, case when o_orderkey % 5 = 0 then 'USA' else 'US' end as ctry, o_orderkey % 7 <> 0 as town from orders o join customer c on o.o_custkey = c.c_custkey)
-    select field, severity, count(*) as n from (
-        select 'PST_CD' as field, 'WARNING' as severity from x where pc is not null and country in ('GB','CH','SG','CN')
-        union all select 'PST_CD', 'INFO' from x where pc is null and country not in ('HK','AE','')
-        union all select 'PST_CD', 'WARNING' from x where pc is not null and country in ('HK','AE')
-        union all select 'CTRY', 'ERROR' from x where ctry = 'USA' and country <> ''
-        union all select 'TWN_NM', 'ERROR' from x where not town and country <> '') y group by all""")
+    select request_id, 'PST_CD' as field, 'WARNING' as severity from x where pc is not null and country in ('GB','CH','SG','CN')
+        union all select request_id, 'PST_CD', 'INFO' from x where pc is null and country not in ('HK','AE','')
+        union all select request_id, 'PST_CD', 'WARNING' from x where pc is not null and country in ('HK','AE')
+        union all select request_id, 'CTRY', 'ERROR' from x where ctry = 'USA' and country <> ''
+        union all select request_id, 'TWN_NM', 'ERROR' from x where not town and country <> ''""")
 def v1_v4_format(spark, sf_dir):
     o = d.orders(spark, sf_dir)
     k = F.col("o_orderkey")
     given = {"CTRY": F.when(k % 5 == 0, "USA").otherwise("US"), "PST_CD": F.when(k % 4 != 0, F.lpad((F.col("o_custkey") % 100000).cast("string"), 5, "0")), "TWN_NM": F.when(k % 7 != 0, "Town")}
     entries = F.array(*(F.struct(F.lit(f).alias("key"), F.struct(v.alias("value"), F.lit(0.9).alias("confidence"), F.lit("SINGLE_SOURCE").alias("merge_strategy")).alias("value")) for f, v in given.items()))
     rows = o.select(k.alias("request_id"), "country", F.map_from_entries(F.filter(entries, lambda e: e["value"]["value"].isNotNull())).alias("fields"))
-    return decide.issues_table(rows).groupBy("field", "severity").agg(F.count("*").alias("n"))
+    return decide.issues_table(rows).select("request_id", "field", "severity")
 
 
 # Reports
@@ -430,29 +437,46 @@ def a6_a7_metrics(spark, sf_dir):
     return reports.metrics(rows)
 
 
+@query(d.sql("select structurer, country, count(*) as calls, round(avg(latency_ms::double), 3) as avg_latency_ms, max(latency_ms)::double as max_latency_ms from attr group by all", "attr"))
+def a7_latency_by_source(spark, sf_dir):
+    return reports.latencies(d.attributions(spark, sf_dir), "structurer", "country").withColumn("max_latency_ms", F.col("max_latency_ms").cast("double"))
+
+
+@query(d.sql("select country, case when overall_confidence < 0.35 then 'MISSING_REQUIRED' else 'LOW_CONFIDENCE' end as exception_reason, count(*) as n from results where requires_review = 'Y' group by all", "cc", "results"))
+def a7_exceptions_by_reason(spark, sf_dir):
+    rows = d.results(spark, sf_dir).withColumn("exception_reason", F.when(F.col("requires_review") == "Y", F.when(F.col("overall_confidence") < 0.35, "MISSING_REQUIRED").otherwise("LOW_CONFIDENCE")))
+    return reports.exceptions(rows)
+
+
+@query(d.sql("select case when result_id % 9 = 0 then 'PERSISTED_DUPLICATE' when requires_review = 'Y' then 'REQUIRES_REVIEW' else 'SUCCESS' end as outcome, count(*) as n, result_id % 9 = 0 or requires_review = 'N' as successful from results group by all", "cc", "results"))
+def a6_p11_tallies(spark, sf_dir):
+    """Backfill tallies, and whether an outcome counts as success."""
+    rows = d.results(spark, sf_dir).select(F.when(F.col("result_id") % 9 == 0, "PERSISTED_DUPLICATE").when(F.col("requires_review") == "Y", "REQUIRES_REVIEW").otherwise("SUCCESS").alias("outcome"))
+    return reports.tallies(rows).withColumn("successful", decide.is_success())
+
+
 # Queue, samples, golden scores
 
 
-@query(d.sql("""select status, version, coalesce(assigned_to, '') as assigned_to, count(*) as n, min(result_id) as first_id from (
-    select *, case when place <= 100 then 'CLAIMED' else 'OPEN' end as status, case when place <= 100 then 2 else 1 end as version, case when place <= 100 then 'ann' end as assigned_to from (
-        select result_id, row_number() over (order by created_at, result_id) as place from results where requires_review = 'Y') x) y group by all""", "cc", "results"))
+@query(d.sql("""select result_id as item_id, case when place <= 100 then 'CLAIMED' else 'OPEN' end as status, case when place <= 100 then 2 else 1 end as version, case when place <= 100 then 'ann' end as assigned_to from (
+        select result_id, row_number() over (order by created_at, result_id) as place from results where requires_review = 'Y') x""", "cc", "results"))
 def t2_claim(spark, sf_dir):
     """The hundred oldest open items are taken; the number is the feature."""
-    return queue.claim(_queue(spark, sf_dir), 100, "ann").groupBy("status", "version", F.coalesce("assigned_to", F.lit("")).alias("assigned_to")).agg(F.count("*").alias("n"), F.min("item_id").alias("first_id"))
+    return queue.claim(_queue(spark, sf_dir), 100, "ann").select("item_id", "status", "version", "assigned_to")
 
 
 def _queue(spark, sf_dir):
     return d.results(spark, sf_dir).where("requires_review = 'Y'").select(F.col("result_id").alias("item_id"), "country", "created_at", F.lit("OPEN").alias("status"), F.lit(1).alias("version"), F.lit(None).cast("string").alias("assigned_to"), F.lit(None).cast("string").alias("resolution"))
 
 
-@query(d.sql("""select kind, count(*) as n from (select case when result_id % 3 = 0 and result_id % 2 = 0 and result_id % 5 <> 0 then 'resolved' when result_id % 2 = 0 then 'clash' else 'untouched' end as kind from results where requires_review = 'Y') x group by all""", "cc", "results"))
+@query(d.sql("""select result_id as item_id, case when result_id % 3 = 0 and result_id % 2 = 0 and result_id % 5 <> 0 then 'resolved' when result_id % 2 = 0 then 'clash' else 'untouched' end as kind,
+    case when result_id % 5 = 0 then 3 else 2 end + case when result_id % 3 = 0 and result_id % 2 = 0 and result_id % 5 <> 0 then 1 else 0 end as version from results where requires_review = 'Y'""", "cc", "results"))
 def t3_resolve(spark, sf_dir):
     """Every second item is resolved; those not claimed (two of three) or of another version (every fifth) clash."""
     taken = _queue(spark, sf_dir).withColumn("status", F.when(F.col("item_id") % 3 == 0, "CLAIMED").otherwise("OPEN")).withColumn("version", F.when(F.col("item_id") % 5 == 0, 3).otherwise(2))
     wanted = taken.where("item_id % 2 = 0").select("item_id", F.lit(2).alias("expected_version"), F.lit("APPROVED").alias("resolution"))
     after, clashes = queue.resolve(taken, wanted)
-    kinds = after.join(clashes.select("item_id", F.lit(True).alias("clash")), "item_id", "left").select(F.when(F.col("status") == "RESOLVED", "resolved").when(F.col("clash"), "clash").otherwise("untouched").alias("kind"))
-    return kinds.groupBy("kind").agg(F.count("*").alias("n"))
+    return after.join(clashes.select("item_id", F.lit(True).alias("clash")), "item_id", "left").select("item_id", F.when(F.col("status") == "RESOLVED", "resolved").when(F.col("clash"), "clash").otherwise("untouched").alias("kind"), "version")
 
 
 _DRAW = "row_number() over (partition by {} order by sha256(concat(cast(result_id as varchar), '/0')), result_id)"

@@ -75,6 +75,11 @@ def by_party(addresses: DataFrame, party_id: str) -> DataFrame:
     return addresses.where(F.col("party_id") == party_id)
 
 
+def row_count(addresses: DataFrame) -> DataFrame:
+    """How many rows the table has, counted."""
+    return addresses.agg(F.count("*").alias("n"))
+
+
 def party_range(parties: DataFrame, addresses: DataFrame, low, high) -> DataFrame:
     """Parties of a key range with their primary address."""
     return parties.where(F.col("party_id").between(low, high)).join(addresses.where("is_primary = 'Y'"), "party_id")
@@ -137,6 +142,12 @@ def external_fixtures(rows: DataFrame, iso: dict[str, str], cap: int = 15, least
 
     code = lookup({k.lower(): v for k, v in iso.items()}, F.lower(jtrim(F.col("country_name"))))
     known = rows.withColumn("country", code).where(F.col("country").isNotNull() & (F.length("address") >= least))
-    drawn = known.withColumn("_n", F.row_number().over(W.partitionBy("country").orderBy(F.xxhash64("address"), "address"))).where(F.col("_n") <= cap)
+    drawn = known.withColumn("_n", F.row_number().over(W.partitionBy("country").orderBy(F.sha2("address", 256), "address"))).where(F.col("_n") <= cap)
     fields = F.map_from_entries(F.filter(F.transform(F.map_entries("labels"), lambda e: F.struct(lookup(PARSER_LABELS, e["key"]).alias("key"), e["value"].alias("value"))), lambda e: e["key"].isNotNull()))
     return drawn.select(F.concat_ws("-", "country", F.lpad(F.col("_n").cast("string"), 3, "0")).alias("fixture_id"), "country", F.col("address").alias("raw"), fields.alias("expected_fields"))
+
+
+def golden_bases(own: DataFrame, external: DataFrame, most: int = 5) -> DataFrame:
+    """Own fixtures with at most ``most`` external ones a country; the limit is the feature."""
+    drawn = external.withColumn("_n", F.row_number().over(W.partitionBy("country").orderBy("fixture_id"))).where(F.col("_n") <= most).drop("_n")
+    return own.unionByName(drawn)

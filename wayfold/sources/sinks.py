@@ -74,6 +74,22 @@ def messages(results: DataFrame) -> DataFrame:
     return results.select(F.col("correlation_id").alias("key"), document().alias("value"))
 
 
+def dispatches(results: DataFrame) -> DataFrame:
+    """Key and value of the messages for compliance: requests that are routed."""
+    return results.where("decision <> 'BYPASS'").select(F.col("correlation_id").alias("key"), dispatch().alias("value"))
+
+
+def published(messages: DataFrame, path: str) -> DataFrame:
+    """Messages written to the file twin of a topic, and read back."""
+    messages.write.mode("overwrite").json(path)
+    return messages.sparkSession.read.schema("key string, value string").json(path)
+
+
+def publish(messages: DataFrame, servers: str, topic: str) -> None:
+    """Messages to a topic (needs the connector on the class path)."""
+    messages.write.format("kafka").options(**{"kafka.bootstrap.servers": servers, "topic": topic}).save()
+
+
 def dead_letters(rejected: DataFrame, attempt: Column | int = 1, most: int = 3) -> tuple[DataFrame, DataFrame]:
     """Rows to try again, and rows that are given up: malformed ones at once, others after ``most`` attempts."""
     tried = attempt if isinstance(attempt, Column) else F.lit(attempt)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from wayfold.functions.text import first_match, is_blank, jtrim, replace_all, rewrite, split_parts
 from wayfold.operators.lookup import lookup
-from wayfold.plans.config import GULF_REWRITES, PARSER_FIELDS, PARSER_LABELS, RESPONSE_ALIASES
+from wayfold.plans.config import FIELDS, GULF_REWRITES, PARSER_FIELDS, PARSER_LABELS, RESPONSE_ALIASES
 
 Structurer = Callable[[DataFrame], DataFrame]
 CANDIDATE = ("request_id", "structurer", "field", "pos", "value", "raw_confidence")
@@ -89,18 +89,17 @@ def envelope(responses: DataFrame, body: str = "body") -> DataFrame:
     ).drop("_b")
 
 
-def from_responses(responses: DataFrame, name: str, fields: tuple[str, ...] = tuple(RESPONSE_ALIASES), content: str = "content", confidence: float = 0.85) -> DataFrame:
+def from_responses(responses: DataFrame, name: str, fields: tuple[str, ...] = FIELDS, content: str = "content", confidence: float = 0.85) -> DataFrame:
     """Fields of a model's JSON answer: fenced or bare, wrapped or flat, objects or strings; bad JSON gives none."""
-    alias = {a: f for f, names in RESPONSE_ALIASES.items() for a in names.split()}
     bare = jtrim(F.regexp_replace(F.regexp_replace(jtrim(F.col(content)), r"^```(?:json)?\s*", ""), r"\s*```$", ""))
     root = F.from_json(bare, "map<string,string>")
     df = responses.withColumn("_root", root)
     inner = [F.from_json(F.when(F.try_element_at("_root", F.lit(k)).startswith("{"), F.try_element_at("_root", F.lit(k))), "map<string,string>") for k in ("fields", "address")]
     each = df.select("request_id", F.posexplode(F.map_entries(F.coalesce(*inner, "_root"))).alias("pos", "e"))
-    each = each.select("request_id", lookup(alias, F.col("e.key")).alias("field"), "pos", F.col("e.value").alias("said")).where(F.col("field").isin(*fields))
+    each = each.select("request_id", lookup(RESPONSE_ALIASES, F.col("e.key")).alias("field"), "pos", F.col("e.value").alias("said")).where(F.col("field").isin(*fields))
     shaped = F.col("said").startswith("{")
     body = F.from_json("said", "value string, confidence double")
-    each = each.withColumns({"value": F.when(shaped, body["value"]).otherwise(F.col("said")), "raw_confidence": F.coalesce(F.when(shaped, body["confidence"]), F.lit(confidence))})
+    each = each.withColumns({"value": F.when(shaped, body["value"]).otherwise(F.col("said")), "raw_confidence": F.coalesce(F.when(shaped, body["confidence"]), F.lit(confidence))}).where("value <> ''")
     first = each.groupBy("request_id", "field").agg(F.min(F.struct("pos", "value", "raw_confidence")).alias("one")).select("request_id", F.lit(name).alias("structurer"), "field", "one.*")
     return first.where(~is_blank(F.col("value"))).select(*CANDIDATE)
 
