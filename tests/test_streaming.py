@@ -39,12 +39,40 @@ def test_one_result_a_key(spark, tmp_path):
     assert results.count() == results.select("idem_key").distinct().count() == 2
     assert spark.read.parquet(str(tmp_path / "out/keys")).count() == 2
     assert {r.reject_reason for r in spark.read.parquet(str(tmp_path / "out/dead")).collect()} == {"MALFORMED", "BLANK_ADDRESS"}
+    # the repeat of the first batch and the late one of the second get the stored result
+    stored = {r.idem_key: r for r in results.collect()}
+    late = spark.read.parquet(str(tmp_path / "out/duplicates")).collect()
+    assert sorted(r.batch for r in late) == [0, 1] and all(stored[r.idem_key].result_id == r.result_id and r.is_duplicate for r in late)
+    assert {r.outcome for r in late} <= {"SUCCESS", "REQUIRES_REVIEW"}
     # replaying a batch replaces its own output
     batch = spark.read.text(str(inbox / "b.txt")).withColumn("timestamp", F.current_timestamp())
     stream.process(batch, 1, str(tmp_path / "out"), decide_all)
     assert spark.read.parquet(str(tmp_path / "out/results")).count() == 2
 
 
+def test_failures_are_read_again_until_their_attempts_are_used_up(spark, tmp_path):
+    """One request fails for good, one passes at its second attempt, one fails for a lasting reason."""
+    store = str(tmp_path / "out")
+
+    def failing(requests):
+        said = F.when(F.col("raw").startswith("never"), "NETWORK").when(F.col("raw").startswith("twice") & (F.col("attempt") < 2), "TIMEOUT").when(F.col("raw").startswith("wrong"), "VALIDATION")
+        return decide_all(requests).withColumn("error", said)
+
+    def batch(*raws):
+        return spark.createDataFrame([(json.dumps({"rawAddress": r, "countryHint": "GB"}),) for r in raws], "value string").withColumn("timestamp", F.current_timestamp())
+
+    stream.process(batch("never, 1 Road", "twice, 2 Road", "wrong, 3 Road", "fine, 4 Road"), 0, store, failing)
+    assert {r.raw.split(",")[0] for r in spark.read.parquet(store + "/retry").where("batch = 0").collect()} == {"never", "twice"}
+    for k in (1, 2, 3):
+        stream.process(batch(), k, store, failing)
+    dead = {r.raw.split(",")[0]: (r.reject_reason, r.attempt, r.batch) for r in spark.read.parquet(store + "/dead").collect()}
+    assert dead == {"wrong": ("VALIDATION", 1, 0), "never": ("NETWORK", 3, 2)}
+    assert {r.batch for r in spark.read.parquet(store + "/results").collect()} == {0, 1} and spark.read.parquet(store + "/results").count() == 2
+    assert spark.read.parquet(store + "/keys").count() == 2
+    stream.compact(spark, store, 4, str(tmp_path / "next"))
+    assert stream.stored_keys(spark, str(tmp_path / "next"), 4).count() == 2 and stream.stored_keys(spark, str(tmp_path / "next"), 3).count() == 0
+
+
 def test_stream_equals_batch_for_live_counts(spark, tmp_path):
     e = spark.range(50).select(F.timestamp_seconds(F.col("id") * 17).alias("ts"), F.lit("HTTP").alias("source_channel"), F.lit("SUCCESS").alias("outcome"), F.col("id").alias("latency_ms"))
     e.coalesce(1).write.parquet(str(tmp_path / "e"))

@@ -91,10 +91,12 @@ def publish(messages: DataFrame, servers: str, topic: str) -> None:
 
 
 def dead_letters(rejected: DataFrame, attempt: Column | int = 1, most: int = 3) -> tuple[DataFrame, DataFrame]:
-    """Rows to try again, and rows that are given up: malformed ones at once, others after ``most`` attempts."""
+    """Rows to try again, and rows that are given up: malformed ones and those not ``retryable`` at once, others after ``most`` attempts."""
     tried = attempt if isinstance(attempt, Column) else F.lit(attempt)
     df = rejected.withColumn("attempt", tried)
     final = (F.col("reject_reason").isin("MALFORMED", "BLANK_ADDRESS", "TOO_LONG")) | (F.col("attempt") >= most)
+    if "retryable" in df.columns:
+        final = final | ~F.col("retryable")
     return df.where(~final).withColumn("attempt", F.col("attempt") + 1), df.where(final)
 
 

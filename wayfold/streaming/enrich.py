@@ -1,9 +1,11 @@
-"""Streams of requests: checkpointed, once a key, with dead letters and live counts.
+"""Streams of requests: checkpointed, once a key, with retries, dead letters and live counts.
 
 The body of a micro-batch is the batch plan. Results are written to folders
 named by batch id with overwrite, then keys likewise, so a replayed batch
-replaces its own output; a key that an earlier batch wrote is a duplicate and
-resolves to the stored result, however late it comes.
+replaces its own output. A key that an earlier batch wrote is a duplicate,
+however late it comes: it is answered from the stored result. Requests whose
+decision failed for a passing reason are read again by the next batch, until
+their attempts are used up.
 """
 
 from __future__ import annotations
@@ -11,16 +13,19 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from wayfold.operators import dedup
+from wayfold.operators.decide import duplicate_outcome, triage
 from wayfold.sources import sinks
 from wayfold.sources.requests import REQUEST, parse_messages, validate
 
-KEYS = "idem_key string, source_channel string, source_ref string, processed_at timestamp, result_ref long, batch long"
+KEYS = "idem_key string, source_channel string, source_ref string, processed_at timestamp, result_ref long, batch long, prefix string"
+RETRY = "correlation_id string, source_channel string, raw string, country_hint string, locale string, arrival_ts timestamp, attempt int, reject_reason string, batch long"
 BATCH = 100
+PREFIX = 3
 
 
 def kafka(spark: SparkSession, servers: str, topic: str, most: int = BATCH) -> DataFrame:
@@ -35,30 +40,71 @@ def files(spark: SparkSession, path: str, per_trigger: int = 1) -> DataFrame:
     return spark.readStream.format("text").option("maxFilesPerTrigger", per_trigger).load(path).withColumn("timestamp", F.current_timestamp())
 
 
-def stored_keys(spark: SparkSession, store: str, before: int) -> DataFrame:
-    """Keys of earlier batches; the first batch finds none."""
+def _stored(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A table of earlier batches; the first batch finds none."""
     try:
-        return spark.read.schema(KEYS).parquet(f"{store}/keys").where(F.col("batch") < before)
+        return spark.read.schema(schema).parquet(path)
     except AnalysisException as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
-        return spark.createDataFrame([], KEYS)
+        return spark.createDataFrame([], schema)
+
+
+def prefix() -> Column:
+    return F.substring("idem_key", 1, PREFIX)
+
+
+def stored_keys(spark: SparkSession, store: str, before: int, prefixes: list[str] | None = None) -> DataFrame:
+    """Keys of earlier batches, read only from the folders of the given first digits."""
+    keys = _stored(spark, f"{store}/keys", KEYS).where(F.col("batch") < before)
+    return keys if prefixes is None else keys.where(F.col("prefix").isin(prefixes))
 
 
 def process(batch: DataFrame, batch_id: int, store: str, decide: Callable[[DataFrame], DataFrame], channel: str = "KAFKA") -> None:
-    """One micro-batch: parse, refuse, claim, decide, write results and then keys."""
+    """One micro-batch: parse, add retries, refuse, claim, decide, write results and then keys, and answer duplicates.
+
+    ``decide`` may append ``error``; a request with one has no result.
+    """
     spark = batch.sparkSession
-    good, bad = validate(parse_messages(batch, channel))
-    retry, dead = sinks.dead_letters(bad)
-    dead.select(*REQUEST, "reject_reason", "_corrupt_record", "attempt").write.mode("overwrite").parquet(f"{store}/dead/batch={batch_id}")
-    retry.select(*REQUEST, "reject_reason", "attempt").write.mode("overwrite").parquet(f"{store}/retry/batch={batch_id}")
-    keyed = dedup.with_key(good.select(*REQUEST)).withColumn("request_id", F.xxhash64("idem_key"))
-    keys = stored_keys(spark, store, batch_id)
-    fresh = dedup.claim(keyed, keys)
-    decided = decide(fresh)
-    at = F.coalesce("arrival_ts", F.current_timestamp())
-    sinks.result_rows(decided, at).write.mode("overwrite").parquet(f"{store}/results/batch={batch_id}")
-    sinks.key_rows(fresh, at).write.mode("overwrite").parquet(f"{store}/keys/batch={batch_id}")
+    columns = [*REQUEST, "attempt"]
+    again = _stored(spark, f"{store}/retry", RETRY).where(F.col("batch") == batch_id - 1).select(*columns, F.lit(None).cast("string").alias("_corrupt_record"))
+    parsed = parse_messages(batch, channel).select(*REQUEST, F.lit(1).alias("attempt"), "_corrupt_record").unionByName(again).persist()
+    try:
+        good, bad = validate(parsed)
+        keyed = dedup.with_key(good.select(*columns)).withColumn("request_id", F.xxhash64("idem_key"))
+        # at most 16**PREFIX values, whatever the batch
+        keys = stored_keys(spark, store, batch_id, [r[0] for r in keyed.select(prefix()).distinct().collect()])
+        fresh = dedup.claim(keyed, keys)
+        decided = decide(fresh).persist()
+        failed = F.col("error").isNotNull() if "error" in decided.columns else F.lit(False)
+        lost = triage(decided.where(failed), "error") if "error" in decided.columns else None
+        rejected = bad.select(*columns, "reject_reason", "_corrupt_record", F.lit(False).alias("retryable"))
+        if lost is not None:
+            rejected = rejected.unionByName(lost.select(*columns, F.col("error").alias("reject_reason"), F.lit(None).cast("string").alias("_corrupt_record"), "retryable"))
+        retry, dead = sinks.dead_letters(rejected, F.col("attempt"))
+        at = F.coalesce("arrival_ts", F.current_timestamp())
+        done = decided.where(~failed)
+        sinks.result_rows(done, at).write.mode("overwrite").parquet(f"{store}/results/batch={batch_id}")
+        dead.select(*columns, "reject_reason", "_corrupt_record").write.mode("overwrite").parquet(f"{store}/dead/batch={batch_id}")
+        retry.select(*columns, "reject_reason").write.mode("overwrite").parquet(f"{store}/retry/batch={batch_id}")
+        sinks.key_rows(done, at).withColumn("prefix", prefix()).write.mode("overwrite").partitionBy("prefix").parquet(f"{store}/keys/batch={batch_id}")
+        answered(keyed, keys.unionByName(sinks.key_rows(done, at).withColumns({"batch": F.lit(batch_id).cast("long"), "prefix": prefix()})), fresh, store, batch_id).write.mode("overwrite").parquet(f"{store}/duplicates/batch={batch_id}")
+        decided.unpersist()
+    finally:
+        parsed.unpersist()
+
+
+def answered(keyed: DataFrame, keys: DataFrame, fresh: DataFrame, store: str, batch_id: int) -> DataFrame:
+    """Requests that repeat a key, of an earlier batch or of their own, with the outcome of the stored result."""
+    repeats = keyed.join(fresh.select("idem_key", "correlation_id"), ["idem_key", "correlation_id"], "left_anti")
+    stored = keyed.sparkSession.read.parquet(f"{store}/results").where(F.col("batch") <= batch_id).select("idem_key", "result_id", "requires_review", "overall_confidence")
+    found = dedup.resolve(repeats, keys, stored)
+    return found.select("correlation_id", "source_channel", "idem_key", "result_id", duplicate_outcome().alias("outcome"), F.coalesce("overall_confidence", F.lit(0)).cast("decimal(3,2)").alias("overall_confidence"), "is_duplicate")
+
+
+def compact(spark: SparkSession, store: str, before: int, out: str) -> None:
+    """The keys of all batches before one in a file a prefix, for a store to take in place of its many small ones."""
+    stored_keys(spark, store, before).drop("batch").repartition("prefix").write.partitionBy("prefix").parquet(f"{out}/keys/batch={before - 1}")
 
 
 def start(source: DataFrame, store: str, checkpoint: str, decide: Callable[[DataFrame], DataFrame], channel: str = "KAFKA") -> DataStreamWriter:
