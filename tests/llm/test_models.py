@@ -111,3 +111,69 @@ def test_quality_of_small_groups_is_judged_by_all_rows_of_the_wider_level(spark)
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
     kept = {r.doc_id: r.kept for r in op09_quality.judge(df).where("doc_id >= 1000").collect()}
     assert kept == {1000: False, 1001: True, 1002: False, 1003: True, **{2000 + k: True for k in range(5)}}
+
+
+def slow_rates(text):
+    """Rates of hashed grams, place by place, over Python strings of bytes."""
+    raw = bytes(c + 32 if 65 <= c <= 90 else c for c in text.encode())
+    raw = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in raw)
+    counts = Counter()
+    for order in op04_toxicity.ORDERS:
+        for i in range(len(raw) - order + 1):
+            h = int.from_bytes(raw[i : i + order], "little") * 0x9E3779B97F4A7C15 % 2**64
+            h = (h ^ h >> 29) * (0xBF58476D1CE4E5B9 + 2 * order) % 2**64
+            counts[h >> (64 - op04_toxicity.BITS)] += 1
+    n = len(raw.split())
+    return {p: c / (op04_toxicity.RATE * (n + op04_toxicity.SMOOTH)) for p, c in counts.items()}
+
+
+def test_rates_and_scores_by_brute_force():
+    texts = ["Alpha beta, alpha!", "", None, "x", "naïve käse 12 " * 9, "abc"]
+    raw, offsets = text_bytes(pa.array(texts))
+    doc, place, rate = op04_toxicity.rates(raw, offsets)
+    rng = np.random.default_rng(0)
+    weight = rng.normal(size=op04_toxicity.SIZE)
+    score = op04_toxicity.Model(weight, 0.3).score(raw, offsets)
+    for k, t in enumerate(texts):
+        want = slow_rates(t or "")
+        got = dict(zip(place[doc == k].tolist(), rate[doc == k].tolist(), strict=True))
+        assert got.keys() == want.keys() and all(abs(got[p] - want[p]) < 1e-9 for p in want)
+        z = 0.3 + sum(weight[p] * r for p, r in want.items())
+        assert abs(score[k] - 1 / (1 + math.exp(-min(50, max(-50, z))))) < 1e-9
+
+
+def test_fit_is_the_ridge_logistic_regression_over_scaled_rates(spark):
+    """Ratios and the minimum are computed again in plain numpy on few texts."""
+    rng = random.Random(1)
+    words = [f"{a}{b}" for a in ("ta", "ro", "mi") for b in ("na", "so", "ri")]
+    rows = [(k, " ".join([*rng.choices(words, k=30), *(["vilefool"] * (k % 4 == 0))]), int(k % 4 == 0)) for k in range(60)]
+    model = op04_toxicity.train(spark.createDataFrame(rows, "doc_id long, text string, toxic int"), "toxic")
+    rates = [slow_rates(t) for _, t, _ in rows]
+    places = sorted({p for r in rates for p in r})
+    x = np.array([[r.get(p, 0.0) for p in places] for r in rates])
+    y = np.array([r[2] for r in rows], float)
+    p, q = (np.ones(op04_toxicity.SIZE) for _ in range(2))
+    p[places] += x[y == 1].sum(0)
+    q[places] += x[y == 0].sum(0)
+    ratio = np.log((p / p.sum()) / (q / q.sum()))[places]
+    z = x * ratio
+
+    def loss(w):
+        m = z @ w[:-1] + w[-1]
+        return (np.logaddexp(0, m) - y * m).mean() + op04_toxicity.RIDGE / 2 * w[:-1] @ w[:-1]
+
+    own = np.append(model.weight[places] / np.where(ratio == 0, 1, ratio), model.bias)
+    start = np.append(np.zeros(len(places)), np.log(y.mean() / (1 - y.mean())))
+    best = op04_toxicity.minimized(lambda w: (loss(w), np.append(z.T @ ((s := 1 / (1 + np.exp(-(z @ w[:-1] + w[-1])))) - y) / len(y) + op04_toxicity.RIDGE * w[:-1], (s - y).mean())), start, 60)
+    assert loss(own) < 0.25 * loss(start) and loss(own) <= loss(best) + 0.05
+    outside = np.ones(op04_toxicity.SIZE, bool)
+    outside[places] = False
+    assert np.abs(model.weight[outside]).max() < 1e-6
+
+
+def test_minimum_of_a_quadratic():
+    rng = np.random.default_rng(3)
+    a = rng.normal(size=(12, 12))
+    a, b = a @ a.T + np.eye(12), rng.normal(size=12)
+    at = op04_toxicity.minimized(lambda w: (w @ a @ w / 2 - b @ w, a @ w - b), np.zeros(12), 80)
+    assert np.allclose(at, np.linalg.solve(a, b), atol=0.1)

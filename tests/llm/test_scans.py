@@ -6,6 +6,8 @@ import random
 import re
 import time
 
+import numpy as np
+import oracle
 import pytest
 from words import text_of
 from hypothesis import given, settings
@@ -217,3 +219,39 @@ def test_hex_of_base(spark, sf_dir):
     texts = dict(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect())
     base = tuple(r for r in op08_secrets.RULES if r.base)
     assert all(r.base_sha256 == hashlib.sha256(slow_spans(texts[r.doc_id], base).encode()).hexdigest() for r in rows)
+
+
+def test_estimate_has_the_least_determinant(spark):
+    """Concentration ends no higher than the best of many random starts in numpy."""
+    rng = np.random.default_rng(5)
+    mix = rng.normal(size=(5, 5))
+    x = rng.normal(size=(240, 5)) @ mix
+    x[:50] = rng.normal(size=(50, 5)) * 0.3 + 25  # a fifth of the rows stands apart
+    rows = [tuple(map(float, r)) for r in x]
+    members = spark.createDataFrame(rows, ", ".join(f"{v} double" for v in op09_quality.VECTOR)).withColumn("_group", F.lit("all"))
+    found = op09_quality._concentrated(members).first()
+    own = np.array([[found[f"c{max(i, j)}{min(i, j)}"] for j in range(5)] for i in range(5)])
+    floor, least, h = np.eye(5) * op09_quality.FLOOR, np.inf, int(op09_quality.CORE * len(x))
+    for _ in range(200):
+        core = x[rng.choice(len(x), 7, replace=False)]
+        for _ in range(12):
+            mean, cov = core.mean(0), np.cov(core.T, bias=True) + floor
+            d = np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean)
+            core = x[np.argsort(d)[:h]]
+        least = min(least, np.linalg.det(np.cov(core.T, bias=True) + floor))
+    assert np.linalg.det(own + floor) <= 1.05 * least
+
+
+def test_small_groups_lean_on_the_wider_level(spark):
+    """The weight of a group's own rows grows with their number, without a step."""
+    rng = random.Random(9)
+    rows = [("en", "hot", *(rng.gauss(0, 1) for _ in range(5))) for _ in range(4000)]
+    rows += [("en", f"s{n}", *(rng.gauss(4, 1) for _ in range(5))) for n in (10, 40, 160, 640) for _ in range(n)]
+    df = spark.createDataFrame(rows, "lang string, source string, " + ", ".join(f"{v} double" for v in op09_quality.VECTOR))
+    far = {r.source: r.d for r in op09_quality.outliers(df).groupBy("source").agg(F.percentile("distance2", 0.5).alias("d")).collect()}
+    assert far["s10"] > far["s40"] > far["s160"] > far["s640"], far
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_base_columns_agree_with_sql(spark, sf_dir, name):
+    assert oracle.difference(queries.QUERIES[name](spark, sf_dir), queries.ORACLES[name], sf_dir) is None

@@ -77,6 +77,31 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("section_tokens", F.array_join(F.col("section_tokens").cast("array<string>"), ","))
 
 
+# The parts of the results that SQL can state, taken from the same operators
+
+
+def license_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op06_licenses.scan(read(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
+def secret_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op8_secrets(spark, sf_dir).drop("spans")
+
+
+def quality_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = op09_quality.statistics(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", op09_quality.failed().alias("base_failed"))
+
+
+def bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op05_bpe.digests(read(spark, sf_dir, "documents")).select("doc_id", "decoded_sha256", (F.col("n_tokens") > 0).alias("has_tokens"))
+
+
+def line_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = op10_attribution.attribute(read(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_sections", "n_outside", (F.aggregate("section_tokens", F.lit(0).cast("long"), lambda a, x: a + x) == F.col("n_tokens")).alias("all_allotted"))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_substrings": op2_substrings,
@@ -88,5 +113,40 @@ QUERIES = {
     "op8_secrets": op8_secrets,
     "op9_quality": op9_quality,
     "op10_token_counts": op10_token_counts,
+    "license_phrases": license_phrases,
+    "secret_matches": secret_matches,
+    "quality_statistics": quality_statistics,
+    "bpe_round_trip": bpe_round_trip,
+    "line_sections": line_sections,
+}
+
+_FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_SECRET = r"""(?i:(password|passwd|secret|token|api_?key)["\']?\x20*[:=]\x20*["\']?([A-Za-z0-9+/_.=-]+))""".replace("\\'", "''")
+
+
+def _matches(kind: str, number: int, pattern: str, least: int, group: int) -> str:
+    """Rows of kept matches: a match begins after all pieces and matches before it."""
+    return f"""select doc_id, {number} as k, '{kind}' as kind, s as start, s + length(m) as stop from (
+        select doc_id, found[i] as m, length(groups[i]) as n, list_sum(list_transform(pieces[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(found[1:i-1], lambda x: length(x))), 0) as s from (
+            select *, unnest(range(1, len(found) + 1)) as i from (select doc_id, regexp_extract_all(coalesce(text, ''), '{pattern}') as found, regexp_extract_all(coalesce(text, ''), '{pattern}', {group}) as groups, string_split_regex(coalesce(text, ''), '{pattern}') as pieces from documents) a) b) c where n >= {least}"""
+
+
+ORACLES: dict[str, str] = {
+    "license_phrases": f"""with w as (select doc_id, regexp_extract_all({_FOLDED}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as ws from documents),
+        u as (select doc_id, unnest(ws) as a, generate_subscripts(ws, 1) - 1 as i from w),
+        n as (select *, lead(a, 1) over x as b, lead(a, 2) over x as c, lead(a, 3) over x as d from u window x as (partition by doc_id order by i)),
+        h as (select doc_id, i, case when a = 'gnu' and b = 'general' and c = 'public' and d = 'license' then 'gpl' when a = 'apache' and b = 'license' then 'apache' when a = 'cc' and b = 'by' then 'cc-by' when a = 'mit' and b = 'license' then 'mit' end as label from n)
+        select w.doc_id, any_value(len(ws))::bigint as n_words, count(i) as n_base, min(i) as first_word, max(i) as last_word, coalesce(string_agg(distinct label, ',' order by label), '') as base_labels
+        from w left join (select * from h where label is not null) h on w.doc_id = h.doc_id group by w.doc_id""",
+    "secret_matches": f"""with m as ({_matches("assign", 0, _SECRET, 6, 2)} union all {_matches("access", 1, "AKIA[A-Z0-9]+", 20, 0)} union all {_matches("hex", 2, "[0-9a-f]+", 24, 0)})
+        select doc_id, count(case when k = 0 then 1 end) as n_assign, count(case when k = 1 then 1 end) as n_access, count(case when k = 2 then 1 end) as n_hex,
+        sha256(coalesce(string_agg(kind || ':' || start || ':' || stop, ',' order by start, k), '')) as base_sha256 from documents left join m using (doc_id) group by doc_id""",
+    "quality_statistics": r"""with w as (select doc_id, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as ls from documents),
+        g as (select doc_id, i, array_to_string(ws[i:i+7], ' ') as gram from (select doc_id, ws, unnest(range(1, len(ws) - 6)) as i from w) x),
+        r as (select doc_id, i from (select *, count(*) over (partition by doc_id, gram) as n from g) x where n > 1),
+        c as (select doc_id, count(distinct i + j) as covered from r, range(8) k(j) group by doc_id),
+        s as (select w.doc_id, len(ws)::bigint as n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::bigint as word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::bigint as n_symbols, (len(ls) - len(list_distinct(ls)))::bigint as n_dup_lines, coalesce(covered, 0)::bigint as n_repeat_words from w left join c on w.doc_id = c.doc_id)
+        select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed from s""",
+    "bpe_round_trip": "select doc_id, sha256(coalesce(text, '')) as decoded_sha256, coalesce(text, '') <> '' as has_tokens from documents",
+    "line_sections": "select doc_id, (len(string_split(coalesce(text, ''), chr(10))) - case when coalesce(text, '') = '' or right(text, 1) = chr(10) then 1 else 0 end)::bigint as n_sections, 0::bigint as n_outside, true as all_allotted from documents",
 }
-ORACLES: dict[str, str] = {}
