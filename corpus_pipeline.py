@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayfold.llm import op01_simhash, op05_bpe, op07_decontamination, op08_secrets, op09_quality
-from wayfold.llm.common import materialize, read, stored, unused
+from wayfold.llm.common import bucketed, materialize, read, unused
 
 #: Near-duplicates here: five-word shingles and a Jaccard similarity of 0.8 or
 #: more, verified on the shingles themselves.
@@ -33,9 +33,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: the one with the smallest id."""
     row = unused(docs, "row")
-    numbered = stored(docs.withColumn(row, F.monotonically_increasing_id()))  # once written, a number stays with its row
-    named = numbered.select(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col(row).alias("row")).alias("id"), "text")
-    heads = op01_simhash.similar(named, "id", k=SHINGLE, similarity=SIMILARITY).select(F.col("component_id.row").alias(row)).distinct()
+    numbered = bucketed(docs, row)
+    named = numbered.select(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col(row).alias("row")).alias("id"), "text", row)
+    heads = op01_simhash.similar(named, "id", k=SHINGLE, similarity=SIMILARITY, row=row).select(F.col("component_id.row").alias(row)).distinct()
     return numbered.join(heads, row, "left_semi").select(*docs.columns)
 
 

@@ -47,6 +47,16 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, key: str) -> DataFrame:
+    """``df`` with a row number ``key``, written in the shared folder in buckets of it: joins on it move only the other side."""
+    spark = df.sparkSession
+    name = f"rows_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    numbered = df.withColumn(key, F.monotonically_increasing_id())  # once written, a number stays with its row
+    numbered.write.bucketBy(buckets, key).option("path", f"{shared_folder(spark)}/{name}").saveAsTable(name)
+    return spark.table(name)
+
+
 def unused(df: DataFrame, name: str) -> str:
     """``name``, with underscores before it until no column of ``df`` begins with it in any case."""
     taken = [c.lower() for c in df.columns]

@@ -7,10 +7,10 @@ bucket of equal values of some ``bands - radius`` ranges. The number of ranges
 follows the number of distinct fingerprints and only sets the size of buckets:
 each choice finds all links.
 
-In a task, rows are sorted by bucket and turned into 64 bit planes. Shifting a
-plane by d rows compares each row with the d-th next at once, 64 to a machine
-word; differing bits are added by carry-save counters plane by plane, and
-words of which all lanes exceed the radius are abandoned. Links found are
+In a task, rows are sorted by bucket and turned into bit planes. A plane is
+compared with itself shifted by d rows, or in large buckets with single rows,
+64 rows to a machine word; differing bits are added by carry-save counters
+plane by plane, and words of which all lanes exceed the radius are abandoned. Links found are
 reduced to a spanning forest before they leave the task. Buckets of more than
 ``BLOCK`` rows are cut into parts by a hash, and every two parts meet in a task
 of their own, so a task never holds more than two parts of a bucket.
@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wayfold.llm.common import bounded, materialize, mix
+from wayfold.llm.common import bounded, bucketed, materialize, mix, unused
 from wayfold.llm.graph import components
 
 SHINGLE = 4
@@ -42,6 +42,7 @@ RADIUS = 4
 SEED = 42
 BLOCK = 4096
 PART = 1 << 16
+CHUNK = 256
 _SPACES = re.compile(rb"[\x20\x09-\x0D]+")
 _UPPER = bytes(range(65, 91))
 _LOWER = bytes(range(97, 123))
@@ -188,34 +189,75 @@ def runs(run: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return starts, sizes, np.repeat(starts + sizes, sizes) - np.arange(len(run)) - 1
 
 
+class Counters:
+    """Carry-save counters of differing bits: lane by lane, 64 lanes a machine word, with the least bit first."""
+
+    def __init__(self, live: np.ndarray, radius: int, *places: np.ndarray):
+        self.live, self.radius, self.places = live, radius, list(places)
+        self.over = np.zeros_like(live)
+        self.count = [np.zeros_like(live) for _ in range(max(1, radius.bit_length()))]
+
+    def run(self, bits: int, differs) -> bool:
+        """Add ``differs(b, *places)`` for each bit; words of which every lane exceeds the radius are left. Whether any remain."""
+        for b in range(bits):
+            carry = differs(b, *self.places)
+            for k, c in enumerate(self.count):
+                self.count[k], carry = c ^ carry, c & carry
+            self.over |= carry
+            if b % 8 == 7:
+                self.live = self.live & ~(self.over | _exceeds(self.count, self.radius))
+                keep = self.live != 0
+                if not keep.any():
+                    return False
+                if np.count_nonzero(keep) < 0.8 * len(keep):
+                    self.live, self.over = self.live[keep], self.over[keep]
+                    self.count, self.places = [c[keep] for c in self.count], [p[keep] for p in self.places]
+        return True
+
+    def lanes(self) -> tuple[np.ndarray, np.ndarray]:
+        """Word and lane of what is within the radius."""
+        return np.nonzero(np.unpackbits(np.ascontiguousarray(self.live).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
+
+
 def near(fp: np.ndarray, left: np.ndarray, radius: int):
-    """Rows ``i, j`` within ``radius``, one distance of rows at a time; row i is compared with the ``left[i]`` next, which the caller may lower."""
+    """Rows ``i, j`` of a run within ``radius``; ``left`` is the number of rows after each in its run, and the caller may set it to zero on the way.
+
+    Rows of runs of up to 64 are compared with the next, the second next and so
+    on, all runs at once; of larger runs 256 rows at a time meet all that follow.
+    """
     plane, bits = planes(fp), 64 * len(fp)
+    end = np.arange(len(left)) + left
+    starts = np.flatnonzero(np.concatenate([[True], end[1:] != end[:-1]]))
+    sizes = np.diff(np.append(starts, len(left)))
+    small = np.repeat(sizes <= 64, sizes)
     d = 0
-    while (left > d).any():
+    while (valid := small & (left > d)).any():
         d += 1
-        valid = left >= d
         lanes = np.packbits(np.append(valid, np.zeros(-len(valid) % 64, bool)), bitorder="little").view(np.uint64)
         at = np.flatnonzero(lanes)
-        live, over = lanes[at], np.zeros(len(at), np.uint64)
-        counters = [np.zeros(len(at), np.uint64) for _ in range(max(1, radius.bit_length()))]
-        for b in range(bits):
-            carry = plane[b][at] ^ _shift(plane[b], at, d)
-            for k, c in enumerate(counters):
-                counters[k], carry = c ^ carry, c & carry
-            over |= carry
-            if b % 8 == 7:
-                live &= ~(over | _exceeds(counters, radius))
-                keep = live != 0
-                if not keep.any():
-                    break
-                if not keep.all():
-                    at, live, over, *counters = (x[keep] for x in (at, live, over, *counters))
-        else:
-            found = np.unpackbits(live.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(bool)
-            word, bit = np.nonzero(found)
-            i = at[word] * 64 + bit
+        counters = Counters(lanes[at], radius, at)
+        if counters.run(bits, lambda b, at: plane[b][at] ^ _shift(plane[b], at, d)):  # noqa: B023  called at once
+            word, bit = counters.lanes()
+            i = counters.places[0][word] * 64 + bit
             yield i, i + d
+    whole = np.uint64(0xFFFFFFFFFFFFFFFF)
+    for start, size in zip(starts[sizes > 64].tolist(), sizes[sizes > 64].tolist(), strict=True):
+        for low in range(start, start + size - 1, 256):
+            rows = np.arange(low, min(low + 256, start + size - 1))
+            rows = rows[left[rows] > 0]
+            if not len(rows):
+                continue
+            own = np.unpackbits(np.ascontiguousarray(fp[:, rows].T).view(np.uint8).reshape(len(rows), -1), axis=1, bitorder="little").T.astype(bool)
+            mask = np.where(own, whole, np.uint64(0))
+            words = np.arange(low // 64, (start + size - 1) // 64 + 1)
+            row, word = np.repeat(np.arange(len(rows)), len(words)), np.tile(words, len(rows))
+            counters = Counters(np.full(len(row), whole), radius, row, word)
+            if counters.run(bits, lambda b, row, word: plane[b][word] ^ mask[b][row]):  # noqa: B023  called at once
+                at, bit = counters.lanes()
+                i, j = rows[counters.places[0][at]], counters.places[1][at] * 64 + bit
+                good = (j > i) & (j < start + size)
+                if good.any():
+                    yield i[good], j[good]
 
 
 def linked(fp: np.ndarray, run: np.ndarray, radius: int, group: np.ndarray | None = None, fits=None) -> Forest:
@@ -327,7 +369,7 @@ def _share(similarity: float) -> float:
     return 1.045 * float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
 
 
-def similar(df: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, similarity: float = 0.8, recall: float = 0.99, block: int = BLOCK) -> DataFrame:
+def similar(df: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, similarity: float = 0.8, recall: float = 0.99, block: int = BLOCK, row: str | None = None) -> DataFrame:
     """Classes of texts linked by a Jaccard similarity of ``similarity`` or more of their distinct shingles: each row's ``doc_id``, ``fp`` and ``component_id``.
 
     256-bit fingerprints only propose pairs: those within the mean distance at
@@ -338,35 +380,40 @@ def similar(df: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int =
     not in one class yet, so no verified link is lost to a forest.
 
     Proposed pairs share sampled bits: a pair at the very ``similarity`` meets
-    with probability ``recall``, closer pairs almost surely, equal sets always.
+    with probability ``recall``, closer pairs almost surely, equal sets always. ``row`` names a unique number by which
+    ``df`` is bucketed; without one the rows are written so first.
     """
     names = [f"word{j}" for j in range(4)]
+    if row is None:
+        row = unused(df, "row")
+        df = bucketed(df.select(doc_id, text), row)
 
     def run(batches):
-        for batch in bounded(batches, 1):
-            made = [sketch(x.as_py(), k) for x in batch.column(1)]
+        for batch in bounded(batches, 2):
+            made = [sketch(x.as_py(), k) for x in batch.column(2)]
             words = np.array([w for _, w in made]).T
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([set_hash(own) for own, _ in made], pa.int64()), pa.array([len(own) for own, _ in made], pa.int64()), *(pa.array(np.ascontiguousarray(w)) for w in words)], names=[doc_id, "fp", "size", *names])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([set_hash(own) for own, _ in made], pa.int64()), pa.array([len(own) for own, _ in made], pa.int64()), *(pa.array(np.ascontiguousarray(w)) for w in words)], names=["row", doc_id, "fp", "size", *names])
 
-    fields = [T.StructField(doc_id, df.schema[doc_id].dataType), *(T.StructField(c, T.LongType()) for c in ("fp", "size", *names))]
-    prints = materialize(df.select(doc_id, text).mapInArrow(run, T.StructType(fields)))
-    least = materialize(prints.groupBy("fp", "size", *names).agg(F.min(doc_id).alias("least")))
+    fields = [T.StructField("row", T.LongType()), T.StructField(doc_id, df.schema[doc_id].dataType), *(T.StructField(c, T.LongType()) for c in ("fp", "size", *names))]
+    texts = df.select(F.col(row).alias("row"), F.col(text).alias("text"))
+    prints = materialize(df.select(row, doc_id, text).mapInArrow(run, T.StructType(fields)))
+    least = materialize(prints.groupBy("fp", "size", *names).agg(F.min(F.struct(F.col(doc_id).alias("id"), "row")).alias("least")).select("fp", "size", *names, F.col("least.id").alias("least"), "least.row"))
     share = _share(similarity)
     tables = sampled_bits(least.count(), share, 256, recall, block)
     rows = least.select("fp", *names, "size")
     # within the mean distance of a similarity a quarter of the way to 1, nearly all pairs are verified
-    close = _links(df, doc_id, text, k, least, rows.withColumn("group", F.col("fp")), int(256 * _share((1 + 3 * similarity) / 4)), tables[:8], similarity, block, True)
+    close = _links(texts, k, least, rows.withColumn("group", F.col("fp")), int(256 * _share((1 + 3 * similarity) / 4)), tables[:8], similarity, block, True)
     of = components(close).withColumnRenamed("node", "fp")
-    rows = materialize(rows.join(of, "fp", "left").withColumn("group", F.coalesce("component", "fp")))
-    wide = _links(df, doc_id, text, k, least, rows, int(256 * share + 3 * math.sqrt(256 * share * (1 - share))), tables, similarity, block, False)
+    rows = materialize(rows.join(of, "fp", "left").withColumn("group", F.coalesce("component", "fp")).drop("component"))
+    wide = _links(texts, k, least, rows, int(256 * share + 3 * math.sqrt(256 * share * (1 - share))), tables, similarity, block, False)
     return _labelled(prints, least, components(close.unionByName(wide)), doc_id)
 
 
-def _links(df: DataFrame, doc_id: str, text: str, k: int, least: DataFrame, rows: DataFrame, radius: int, tables: list[np.ndarray], similarity: float, block: int, sparse: bool) -> DataFrame:
+def _links(texts: DataFrame, k: int, least: DataFrame, rows: DataFrame, radius: int, tables: list[np.ndarray], similarity: float, block: int, sparse: bool) -> DataFrame:
     """Verified links among the pairs of different groups that the tables propose."""
     found = _compared(_dealt(rows, [f"word{j}" for j in range(4)], tables), 4, radius, block, ("group", "size"), _proposals(similarity, sparse))
     pairs = materialize(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    return materialize(_verified(pairs, _sets(df, doc_id, text, k, pairs, least), similarity))
+    return materialize(_verified(pairs, texts, k, least, similarity))
 
 
 def _dealt(rows: DataFrame, names: list[str], tables: list[np.ndarray]) -> DataFrame:
@@ -409,40 +456,38 @@ def _proposals(similarity: float, sparse: bool):
     return find
 
 
-def _sets(df: DataFrame, doc_id: str, text: str, k: int, pairs: DataFrame, least: DataFrame) -> DataFrame:
-    """``fp`` and ``own``, the shingles of the texts in pairs as sorted 40-bit hashes."""
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
-    asked = least.select("fp", "least").join(nodes, "fp").select(F.xxhash64("least").alias("_key")).distinct()
+def _verified(pairs: DataFrame, texts: DataFrame, k: int, least: DataFrame, similarity: float) -> DataFrame:
+    """The pairs whose sets of shingles are similar enough; a text is read once for every ``CHUNK`` of its pairs."""
+    sides = F.explode(F.array(F.struct(F.col("a").alias("fp"), F.col("b").alias("other"), F.lit(0).alias("side")), F.struct(F.col("b").alias("fp"), F.col("a").alias("other"), F.lit(1).alias("side")))).alias("s")
+    asked = pairs.select(sides).select("s.*").join(least.select("fp", "row"), "fp")
+    chunks = asked.groupBy("row").agg(F.ceil(F.count("*") / CHUNK).alias("chunks"))
+    asked = asked.join(chunks, "row").groupBy("row", F.pmod(F.xxhash64("other"), F.col("chunks")).alias("chunk")).agg(F.collect_list(F.struct("fp", "other", "side")).alias("asked"))
 
-    def run(batches):
-        for batch in bounded(batches, 1):
-            made = [sketch(x.as_py(), k)[0] for x in batch.column(1)]
-            packed = [(own >> np.uint64(24)).view(np.uint8).reshape(-1, 8)[:, :5].tobytes() for own in made]
-            yield pa.RecordBatch.from_arrays([pa.array([set_hash(own) for own in made], pa.int64()), pa.array(packed, pa.binary())], names=["fp", "own"])
-
-    texts = df.select(F.xxhash64(doc_id).alias("_key"), F.col(text).alias("_text")).join(asked, "_key", "left_semi")
-    return materialize(texts.mapInArrow(run, "fp long, own binary").groupBy("fp").agg(F.first("own").alias("own")))
-
-
-def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs whose sets are similar enough."""
-
-    def unpack(raw: bytes) -> np.ndarray:
-        out = np.zeros((len(raw) // 5, 8), np.uint8)
-        out[:, :5] = np.frombuffer(raw, np.uint8).reshape(-1, 5)
-        return out.view(np.uint64)[:, 0]
+    def cut(batches):
+        for batch in bounded(batches, 0):
+            for text, asks in zip(batch.column(0), batch.column(1), strict=True):
+                own = (sketch(text.as_py(), k)[0] >> np.uint64(32)).astype(np.uint32).tobytes()
+                rows = [(x["fp"], x["other"], 0) if x["side"] == 0 else (x["other"], x["fp"], 1) for x in asks.as_py()]
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in zip(*rows, strict=True)), pa.array([own] * len(rows), pa.binary())], names=["a", "b", "side", "own"])
 
     def check(batches):
+        held = None
         for batch in batches:
             good = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                one, two = unpack(x.as_py()), unpack(y.as_py())
-                shared = len(np.intersect1d(one, two, assume_unique=True))
-                good.append(shared >= similarity * (len(one) + len(two) - shared) - 1e-9)
-            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
-
-    sides = pairs.join(sets.select(F.col("fp").alias("a"), F.col("own").alias("own_a")), "a").join(sets.select(F.col("fp").alias("b"), F.col("own").alias("own_b")), "b")
-    return sides.select("a", "b", "own_a", "own_b").mapInArrow(check, "a long, b long")
+            for a, b, _, own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held is None or held[:2] != (a, b):
+                    held = a, b, own
+                    continue
+                one, two = (np.frombuffer(x, np.uint32) for x in (held[2], own))
+                shared = len(np.intersect1d(one, two))
+                if shared >= similarity * (len(one) + len(two) - shared) - 1e-9:
+                    good.append((a, b))
+                held = None
+            if good:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*good, strict=True)], names=["a", "b"])
+
+    parts = texts.join(asked, "row").select("text", "asked").mapInArrow(cut, "a long, b long, side long, own binary")
+    return parts.repartition("a", "b").sortWithinPartitions("a", "b", "side").mapInArrow(check, "a long, b long")
 
 
 def _labelled(prints: DataFrame, least: DataFrame, found: DataFrame, doc_id: str) -> DataFrame:
