@@ -64,5 +64,30 @@ def by_request(fields: DataFrame, candidates: DataFrame, weights: dict[tuple[str
     )
 
 
+def within(heard: str, country: Column, weights: dict[tuple[str, str], float] | None = None) -> Column:
+    """The same as ``by_field`` and ``by_request`` for one request: of an array of (field, said: array of (structurer, norm)) the counts, ratio, flagged fields, sources and weights."""
+
+    def agrees(said: Column) -> Column:
+        strong = F.filter(said, lambda x: weight(x["structurer"], country, weights) >= STRONG)
+        kinds = F.size(F.array_distinct(F.transform(said, lambda x: x["norm"])))
+        return F.when(F.size(said) == 1, F.size(strong) == 1).otherwise((kinds == 1) | (F.size(F.array_distinct(F.transform(strong, lambda x: x["norm"]))) < 2))
+
+    judged = F.transform(F.filter(heard, lambda h: F.size(h["said"]) > 0), lambda h: F.struct(h["field"].alias("field"), agrees(h["said"]).alias("agreed")))
+    names = F.array_sort(F.array_distinct(F.flatten(F.transform(heard, lambda h: F.transform(h["said"], lambda x: x["structurer"])))))
+
+    def summed(x: Column) -> Column:
+        n, m = (F.size(F.filter(x["judged"], test)).cast("long") for test in (lambda f: f["agreed"], lambda f: ~f["agreed"]))
+        return F.struct(
+            n.alias("agreements"),
+            m.alias("disagreements"),
+            F.when(n + m > 0, n / (n + m)).otherwise(0.0).alias("overall_consensus"),
+            F.size(x["names"]).cast("long").alias("source_count"),
+            F.array_sort(F.transform(F.filter(x["judged"], lambda f: ~f["agreed"]), lambda f: f["field"])).alias("flagged_fields"),
+            F.map_from_arrays(x["names"], F.transform(x["names"], lambda s: weight(s, country, weights))).alias("weights"),
+        )
+
+    return F.when(F.size(names) > 0, F.element_at(F.transform(F.array(F.struct(judged.alias("judged"), names.alias("names"))), summed), 1))
+
+
 def short_of_sources(requests: DataFrame, least: int = 2) -> DataFrame:
     return requests.where(F.col("source_count") < least)

@@ -38,6 +38,30 @@ def route(candidates: DataFrame, routing: DataFrame) -> DataFrame:
     return joined.where(open_route | F.array_contains("_listed", F.col("structurer"))).drop("_country", "_listed")
 
 
+def candidate() -> Column:
+    """What the vote compares: a struct whose order is confidence, then the earlier source; null for rows without a value."""
+    return F.when(F.col("value").isNotNull() & (F.col("value") != ""), F.struct("confidence", (-F.col("cascade_pos")).alias("early"), "value", jtrim(F.lower("value")).alias("norm")))
+
+
+def elected(df: DataFrame, said: str) -> DataFrame:
+    """Append ``_won``, a struct of ``value, confidence, merge_strategy``, and ``sources`` to rows with an array of candidates."""
+
+    def group(norm: Column) -> Column:
+        own = F.filter(said, lambda x: x["norm"] == norm)
+        return F.struct(F.size(own).alias("n"), F.array_max(F.transform(own, lambda x: x["early"])).alias("seen"), F.array_max(own).alias("best"))
+
+    groups = F.transform(F.array_distinct(F.transform(said, lambda x: x["norm"])), group)
+    # columns of their own, so that they are computed once
+    df = df.withColumns({"_top": F.array_max(said), "_most": F.when(F.size(said) > 1, F.array_max(groups)), "sources": F.size(said).cast("long")})
+    agreed = F.coalesce(F.col("_most.n") >= 2, F.lit(False))
+    won = F.struct(
+        F.when(agreed, F.col("_most.best.value")).otherwise(F.col("_top.value")).alias("value"),
+        F.when(agreed, boosted(F.col("_most.best.confidence"), F.col("_most.n"))).otherwise(F.col("_top.confidence")).alias("confidence"),
+        F.when(agreed, "CONSENSUS").when(F.col("sources") == 1, "SINGLE_SOURCE").otherwise("HIGHEST_CONFIDENCE").alias("merge_strategy"),
+    )
+    return df.withColumn("_won", won).drop("_top", "_most", said)
+
+
 def vote(candidates: DataFrame) -> DataFrame:
     """Per request and field: the value most sources agree on, else the most confident one.
 
@@ -46,26 +70,9 @@ def vote(candidates: DataFrame) -> DataFrame:
     A group has as many rows as a request has sources, so its candidates are
     gathered once and compared in place.
     """
-    rows = candidates.where("value is not null and value <> ''").withColumn("_norm", jtrim(F.lower("value")))
-    one = F.struct("confidence", (-F.col("cascade_pos")).alias("early"), "value", F.col("_norm").alias("norm"))
-    said = rows.repartition("request_id").groupBy("request_id", "field").agg(F.collect_list(one).alias("_said"))
-
-    def group(norm: Column) -> Column:
-        own = F.filter("_said", lambda x: x["norm"] == norm)
-        return F.struct(F.size(own).alias("n"), F.array_max(F.transform(own, lambda x: x["early"])).alias("seen"), F.array_max(own).alias("best"))
-
-    groups = F.transform(F.array_distinct(F.transform("_said", lambda x: x["norm"])), group)
-    lone = F.size("_said") == 1
-    won = said.select("request_id", "field", F.size("_said").cast("long").alias("sources"), F.array_max("_said").alias("top"), F.when(~lone, F.array_max(groups)).alias("most"))
-    agreed = F.coalesce(F.col("most.n") >= 2, F.lit(False))
-    return won.select(
-        "request_id",
-        "field",
-        F.when(agreed, F.col("most.best.value")).otherwise(F.col("top.value")).alias("value"),
-        F.when(agreed, boosted(F.col("most.best.confidence"), F.col("most.n"))).otherwise(F.col("top.confidence")).alias("confidence"),
-        F.when(agreed, "CONSENSUS").when(F.col("sources") == 1, "SINGLE_SOURCE").otherwise("HIGHEST_CONFIDENCE").alias("merge_strategy"),
-        "sources",
-    )
+    rows = candidates.where("value is not null and value <> ''").repartition("request_id")
+    said = rows.groupBy("request_id", "field").agg(F.collect_list(candidate()).alias("_said"))
+    return elected(said, "_said").select("request_id", "field", "_won.*", "sources")
 
 
 def assemble(merged: DataFrame) -> DataFrame:

@@ -20,18 +20,24 @@ def _with(df: DataFrame, dictionary: DataFrame, key: str, out: str) -> DataFrame
     return df.join(named, (df["field"] == F.col("_f")) & (df[key] == F.col("_k")), "left").drop("_f", "_k")
 
 
-def countries_only(candidates: DataFrame, dictionary: DataFrame) -> DataFrame:
-    """Trim and canonicalise CTRY; other fields stay; CTRY values that end up empty go."""
+def country_values(candidates: DataFrame, dictionary: DataFrame, out: str = "value") -> DataFrame:
+    """CTRY values trimmed and canonical, other values as they are, in ``out``."""
     is_ctry = F.col("field") == "CTRY"
     df = candidates.withColumn("_value", F.when(is_ctry, jtrim("value"))).withColumn("_key", F.lower("_value"))
     df = _with(df, dictionary.where("field = 'CTRY'"), "_key", "_canonical")
     short = F.length("_value") <= 3
     value = F.when(is_ctry, F.when(short, F.upper("_value")).otherwise(F.coalesce("_canonical", "_value"))).otherwise(F.col("value"))
-    return df.withColumn("value", value).where(~is_ctry | (F.col("value") != "")).select(*candidates.columns)
+    return df.withColumn(out, value).drop("_value", "_key", "_canonical")
 
 
-def all_fields(candidates: DataFrame, dictionary: DataFrame) -> DataFrame:
-    """Tidy every value, then canonicalise whole values or their last, else first, word."""
+def countries_only(candidates: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """Trim and canonicalise CTRY; other fields stay; CTRY values that end up empty go."""
+    df = country_values(candidates, dictionary)
+    return df.where((F.col("field") != "CTRY") | (F.col("value") != "")).select(*candidates.columns)
+
+
+def full_values(candidates: DataFrame, dictionary: DataFrame, out: str = "value") -> DataFrame:
+    """Every value tidied, then canonical by its whole or by its last, else first, word, in ``out``."""
     df = candidates.withColumn("_value", tidy("value"))
     words = F.split("_value", r"\s+")
     df = df.withColumns({"_words": words, "_whole": F.lower("_value")})
@@ -47,7 +53,12 @@ def all_fields(candidates: DataFrame, dictionary: DataFrame) -> DataFrame:
         .when(F.col("_by_first").isNotNull(), F.array_join(F.concat(F.array("_by_first"), F.slice("_words", 2, F.greatest(n - 1, F.lit(0)))), " "))
         .otherwise(F.col("_value"))
     )
-    return df.withColumn("value", jtrim(value)).where("value <> ''").select(*candidates.columns)
+    return df.withColumn(out, jtrim(value)).drop("_value", "_words", "_whole", "_last", "_first", "_by_whole", "_by_last", "_by_first")
+
+
+def all_fields(candidates: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """Fully normalised candidates; values that end up empty go."""
+    return full_values(candidates, dictionary).where("value <> ''").select(*candidates.columns)
 
 
 def whole_values(candidates: DataFrame, dictionary: DataFrame, field: str) -> DataFrame:

@@ -1,8 +1,9 @@
 """The enrichment plan: candidates of a set of requests to decided results.
 
-Merged values are normalised for CTRY only, consensus runs on fully
-normalised values, so the two branches part after routing. All groupings are
-by ``request_id``.
+Merged values are normalised for CTRY only, consensus runs on fully normalised
+values; a candidate carries both forms, so that one exchange by ``request_id``
+serves vote, assembly and consensus. A request has few candidates: they are
+gathered and compared in place.
 """
 
 from __future__ import annotations
@@ -10,27 +11,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wayfold.functions.text import is_blank, jtrim
 from wayfold.operators import consensus, decide, merge, normalize
 from wayfold.operators.lookup import lookup
 from wayfold.plans.config import COMPLIANCE, REVIEW_BY_COUNTRY, REVIEW_RULES, REVIEW_THRESHOLD
 
 
-def merged_fields(candidates: DataFrame, dictionary: DataFrame, calibration: DataFrame) -> DataFrame:
-    """``request_id, field, value, confidence, merge_strategy, sources``; candidates carry ``country``, the hint."""
-    return merge.vote(merge.calibrate(normalize.countries_only(candidates, dictionary), calibration))
+def assembled(candidates: DataFrame) -> DataFrame:
+    """One row a request: ``country`` (the hint), ``fields`` and the consensus columns.
+
+    ``candidates``: ``request_id, country, structurer, cascade_pos, field, value, full, confidence``.
+    """
+    heard = F.when(~is_blank(F.col("full")), F.struct("structurer", jtrim(F.lower("full")).alias("norm")))
+    by_field = candidates.repartition("request_id").groupBy("request_id", "field").agg(F.max("country").alias("country"), F.collect_list(merge.candidate()).alias("_said"), F.collect_list(heard).alias("_heard"))
+    won = merge.elected(by_field, "_said")
+    entry = F.when(F.col("_won.value").isNotNull(), F.struct("field", "_won"))
+    rows = won.groupBy("request_id").agg(F.max("country").alias("country"), F.array_sort(F.collect_list(entry)).alias("_entries"), F.collect_list(F.struct("field", F.col("_heard").alias("said"))).alias("_heard"))
+    rows = rows.select("request_id", "country", "_heard", F.when(F.size("_entries") > 0, F.map_from_entries("_entries")).alias("fields"))
+    place = F.when(F.col("country") != "", F.col("country")).otherwise(F.coalesce(F.upper(merge.field_value("CTRY")), F.lit("")))
+    return rows.withColumn("_place", place).select("request_id", "country", "fields", consensus.within("_heard", F.col("_place")).alias("_c")).select("request_id", "country", "fields", "_c.*")
 
 
 def structure(requests: DataFrame, candidates: DataFrame, dictionary: DataFrame, calibration: DataFrame, routing: DataFrame) -> DataFrame:
     """One row a request with ``fields``, consensus counts and ``overall_confidence``."""
     hinted = candidates.join(requests.select("request_id", F.coalesce("country_hint", F.lit("")).alias("country")), "request_id")
-    routed = merge.route(hinted, routing)
-    fields = merge.assemble(merged_fields(routed, dictionary, calibration))
-    named = routed.join(fields.select("request_id", F.upper(merge.field_value("CTRY")).alias("_ctry")), "request_id", "left")
-    named = named.withColumn("country", F.when(F.col("country") != "", F.col("country")).otherwise(F.coalesce("_ctry", F.lit("")))).drop("_ctry")
-    full = normalize.all_fields(named, dictionary)
-    agreed = consensus.by_request(consensus.by_field(full), full)
-    out = requests.join(fields, "request_id", "left").join(agreed, "request_id", "left")
-    return out.withColumn("overall_confidence", decide.overall_confidence())
+    routed = normalize.full_values(merge.route(hinted, routing), dictionary, "full")
+    rows = assembled(merge.calibrate(normalize.country_values(routed, dictionary), calibration)).drop("country")
+    return requests.join(rows, "request_id", "left").withColumn("overall_confidence", decide.overall_confidence())
 
 
 def decided(structured: DataFrame, rules: tuple[dict, ...] = REVIEW_RULES, config: dict = COMPLIANCE, by_country: dict[str, float] | None = None) -> DataFrame:

@@ -280,12 +280,9 @@ def enrich_flow(spark, sf_dir):
 
 
 def _decided(spark: SparkSession, sf_dir: str, **settings) -> DataFrame:
-    rows = merge.assemble(_vote(spark, sf_dir))
-    cands = d.candidates(spark, sf_dir)
-    agreed = consensus.by_request(consensus.by_field(cands), cands)
-    hint = cands.groupBy("request_id").agg(F.min("country").alias("country_hint"))
-    joined = hint.join(rows, "request_id", "left").join(agreed, "request_id", "left").withColumn("raw", F.concat(F.lit("order "), F.when(F.col("request_id") % 50 == 0, "Bank  Melli").otherwise("house")))
-    return plan.decided(joined.withColumn("overall_confidence", decide.overall_confidence()), **settings)
+    rows = plan.assembled(_calibrated(spark, sf_dir).withColumn("full", F.col("value"))).withColumnRenamed("country", "country_hint")
+    rows = rows.withColumn("raw", F.concat(F.lit("order "), F.when(F.col("request_id") % 50 == 0, "Bank  Melli").otherwise("house")))
+    return plan.decided(rows.withColumn("overall_confidence", decide.overall_confidence()), **settings)
 
 
 _DECIDED = (
