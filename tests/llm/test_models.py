@@ -177,3 +177,9 @@ def test_minimum_of_a_quadratic():
     a, b = a @ a.T + np.eye(12), rng.normal(size=12)
     at = op04_toxicity.minimized(lambda w: (w @ a @ w / 2 - b @ w, a @ w - b), np.zeros(12), 80)
     assert np.allclose(at, np.linalg.solve(a, b), atol=0.1)
+
+
+def test_equal_languages_go_to_the_smaller_name(spark):
+    df = spark.createDataFrame([(k, "one two three four", lang) for k, lang in enumerate(["bb", "aa"] * 3)], "doc_id long, text string, lang string")
+    rows = op03_langid.predict(df, op03_langid.train(df)).collect()
+    assert {r.lang_pred for r in rows} == {"aa"} and {r.score for r in rows} == {0.5}

@@ -255,3 +255,16 @@ def test_small_groups_lean_on_the_wider_level(spark):
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_base_columns_agree_with_sql(spark, sf_dir, name):
     assert oracle.difference(queries.QUERIES[name](spark, sf_dir), queries.ORACLES[name], sf_dir) is None
+
+
+def test_decontamination_of_odd_rows(spark, odd_rows):
+    """Empty tables on both sides, one-word items, and a long text with an item at its end."""
+    none = spark.createDataFrame([], "item_id long, text string")
+    assert op07_decontamination.scan(odd_rows.where("false"), none).count() == 0
+    assert op07_decontamination.scan(odd_rows.withColumn("Leaks", F.lit(3)), none).select("leaks").distinct().collect()[0].leaks == []
+    item = [f"q{k}" for k in range(30)]
+    bench = spark.createDataFrame([(1, text_of(item)), (2, "lonely")], "item_id long, text string")
+    long = text_of([f"w{k % 977}" for k in range(60_000)] + item[:14] + ["new"] + item[15:])
+    df = spark.createDataFrame([(1, long), (2, "a lonely word"), (3, "")], "doc_id long, text string")
+    got = {r.doc_id: [(x.item_id, x.start_word, x.distance) for x in r.leaks] for r in op07_decontamination.scan(df, bench).collect()}
+    assert got == {1: [(1, 60_000, 1)], 2: [(2, 1, 0)], 3: []}

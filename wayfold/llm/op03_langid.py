@@ -6,15 +6,20 @@ total; an unseen one costs the escape (method C) and is coded one order lower,
 down to one of 256 bytes. The statistics are frozen, so a text's code length
 is a sum over its bytes, and the cheapest language wins.
 
-Contexts of order three are kept if seen ``MIN_COUNT`` times in some language
-(the tree has variable order). Code lengths are whole numbers of 2**-16 bits,
-so sums do not depend on the order of adding.
+Contexts of orders two and three are kept if seen ``MIN_COUNT`` times in some
+language (the tree has variable order), so the table that goes to the tasks
+grows with the bounded training texts, and is checked against ``MOST_BYTES``.
+Code lengths are whole numbers of 2**-16 bits, so sums do not depend on the
+order of adding.
 
 Training takes at most ``TRAIN_ROWS`` rows of each language in expectation,
 drawn by a hash of the row key; every row is scored on its whole text.
 
-Defined cases: null text or text without a letter is ``und`` with score 0; with
-nothing to learn from, every text is ``und``; ties go to the smaller name.
+Defined cases: null, empty and letterless text is ``und`` with score 0; with
+nothing to learn from, every text is ``und``; ties go to the smaller name; very
+long texts are read in parts, whole; repeated rows weigh as often as they stand
+there and each get their row; other columns, whatever their names, are ignored;
+an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,6 +35,7 @@ from wayfold.llm.common import bounded, fold, text_bytes
 TRAIN_ROWS = 2_000
 MIN_COUNT = 2
 UNIT = 1 << 16
+MOST_BYTES = 1 << 30
 CHUNK = 1 << 21
 _NEWLINE = 10
 
@@ -80,27 +86,38 @@ class Model:
         self.size = size = len(used) + 1  # the last symbol stands for all unseen bytes
         s, a, b, c = (self.symbol[gram >> k & 255].astype(np.int64) for k in (0, 8, 16, 24))
         near, far = b * size + a, (c * size + b) * size + a
-        keys, place = np.unique(far, return_inverse=True)
-        kept = np.zeros(len(keys), bool)
-        for k in range(len(self.langs)):
-            kept |= np.bincount(place[owner == k], count[owner == k], len(keys)) >= min_count
-        rank = np.cumsum(kept) - 1
-        deep = int(kept.sum())
-        self.node = np.tile(np.arange(size * size, dtype=np.int32), size)  # by default the node of order two
-        self.node[keys[kept]] = size * size + np.arange(deep)
-        self.cost = np.empty((size * size + deep, size, len(self.langs)), np.int32)
+        (pair, pair_at), (deep, deep_at) = (self._kept(x, owner, count, min_count) for x in (near, far))
+        nodes = size + len(pair) + len(deep)
+        if nodes * size * 4 * len(self.langs) > MOST_BYTES:
+            raise ValueError("too many contexts for a table that is sent to every task: raise min_count or train on fewer rows")
+        by_pair = np.tile(np.arange(size, dtype=np.int32), size)  # by default the node of order one
+        by_pair[pair] = size + np.arange(len(pair))
+        self.node = np.tile(by_pair, size)
+        self.node[deep] = size + len(pair) + np.arange(len(deep))
+        self.cost = np.empty((nodes, size, len(self.langs)), np.int32)
         for k in range(len(self.langs)):
             own = owner == k
             w = count[own].astype(float)
-            lower = np.full(size, 1 / 256)
-            lower = self._order(np.bincount(s[own], w, size)[None], lower[None])[0]
-            one = self._order(np.bincount(a[own] * size + s[own], w, size * size).reshape(size, size), np.broadcast_to(lower, (size, size)))
-            two = self._order(np.bincount(near[own] * size + s[own], w, size**3).reshape(size * size, size), np.tile(one, (size, 1)))
-            at = kept[place[own]]
-            three = self._order(np.bincount(rank[place[own]][at] * size + s[own][at], w[at], deep * size).reshape(deep, size), two[keys[kept] % (size * size)])
-            self.cost[:, :, k] = np.rint(-np.log2(np.concatenate([two, three])) * UNIT)
+
+            def seen(at: np.ndarray, n: int) -> np.ndarray:
+                kept = at >= 0
+                return np.bincount(at[kept] * size + s[own][kept], w[kept], n * size).reshape(n, size)  # noqa: B023  called at once
+
+            lower = self._order(np.bincount(s[own], w, size)[None], np.full((1, size), 1 / 256))
+            one = self._order(seen(a[own], size), np.broadcast_to(lower, (size, size)))
+            two = self._order(seen(pair_at[own], len(pair)), one[pair % size])
+            three = self._order(seen(deep_at[own], len(deep)), two[np.searchsorted(pair, deep % (size * size))])
+            self.cost[:, :, k] = np.rint(-np.log2(np.concatenate([one, two, three])) * UNIT)
         self.cost = self.cost.reshape(-1, max(1, len(self.langs)))
 
+    def _kept(self, context: np.ndarray, owner: np.ndarray, count: np.ndarray, min_count: int) -> tuple[np.ndarray, np.ndarray]:
+        """Contexts that some language has often enough, and the place among them of each row's context, or -1."""
+        keys, place = np.unique(context, return_inverse=True)
+        kept = np.zeros(len(keys), bool)
+        for k in range(len(self.langs)):
+            kept |= np.bincount(place[owner == k], count[owner == k], len(keys)) >= min_count
+        return keys[kept], np.where(kept, np.cumsum(kept) - 1, -1)[place]
+
     @staticmethod
     def _order(n: np.ndarray, lower: np.ndarray) -> np.ndarray:
         total, distinct = n.sum(1, keepdims=True), (n > 0).sum(1, keepdims=True)

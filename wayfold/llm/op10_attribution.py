@@ -11,7 +11,10 @@ Rules for a token that crosses a section bound:
 
 Defined cases: null or empty text has no tokens and no sections; a character
 outside every section counts as outside; tokens inside one character (bytes of
-it) belong to that character; repeated rows give repeated results.
+it) belong to that character; repeated rows give repeated results; a very long
+text is encoded piece by piece at safe boundaries, its spans are those of the whole;
+other columns, whatever their names, are ignored; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
