@@ -87,3 +87,13 @@ def test_redelivery(spark):
     df = spark.createDataFrame([(1, 1), (2, 3)], "id int, attempt int")
     again, dead = stream.redeliver(df)
     assert ([r.id for r in again.collect()], [r.id for r in dead.collect()]) == ([1], [2])
+
+
+def test_repeats_within_the_watermark_are_filtered(spark, tmp_path):
+    rows = [("a", 0), ("a", 5), ("b", 6)]
+    spark.createDataFrame(rows, "idem_key string, s long").select("idem_key", F.timestamp_seconds("s").alias("arrival_ts")).coalesce(1).write.parquet(str(tmp_path / "r"))
+    source = spark.readStream.schema("idem_key string, arrival_ts timestamp").parquet(str(tmp_path / "r"))
+    q = stream.recent_only(source).writeStream.format("memory").queryName("recent").start()
+    q.processAllAvailable()
+    q.stop()
+    assert sorted(r.idem_key for r in spark.table("recent").collect()) == ["a", "b"]

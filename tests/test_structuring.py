@@ -272,3 +272,28 @@ def test_golden_files(spark, tmp_path):
 def test_error_triage(spark):
     df = spark.createDataFrame([("TIMEOUT",), ("VALIDATION",), ("NEW",)], "error string")
     assert [(r.retryable, r.http_status) for r in decide.triage(df).collect()] == [(True, 504), (False, 400), (False, 500)]
+
+
+def test_files_of_requests_reports_and_prompts(spark, tmp_path):
+    (tmp_path / "adhoc.json").write_text('[{"fixture_id":"a","country":"US","raw":"1 Main St","country_hint":"US","locale":"en"},{"fixture_id":"b","raw":"x"}]')
+    assert [(r.fixture_id, r.country_hint) for r in rq.adhoc(spark, str(tmp_path / "adhoc.json")).orderBy("fixture_id").collect()] == [("a", "US"), ("b", None)]
+    (tmp_path / "prompts").mkdir()
+    (tmp_path / "prompts" / "us.txt").write_text("Mind the state.")
+    assert [tuple(r) for r in reference.prompt_supplements(spark, str(tmp_path / "prompts")).collect()] == [("US", "Mind the state.")]
+    sinks.write_csv(spark.createDataFrame([("a", 1.0)], "fixture_id string, accuracy double"), str(tmp_path / "report"))
+    assert [tuple(r) for r in spark.read.option("header", True).csv(str(tmp_path / "report")).collect()] == [("a", "1.0")]
+    order = spark.createDataFrame([("TWN_NM",), ("CTRY",)], "field string").select("field", decide.field_order(F.col("field")).alias("place")).collect()
+    assert {r.field: r.place for r in order} == {"CTRY": 0, "TWN_NM": 1}
+
+
+def test_sources_with_two_values_of_a_field_do_not_break_the_consensus(spark):
+    df = cands(spark, [(1, "glm", "CTRY", "US", 0.9), (1, "glm", "CTRY", "GB", 0.8), (1, "azure-gpt", "CTRY", "FR", 0.7)])
+    r = consensus.by_field(df).first()
+    assert (r.agreed, r.n_values, r.alternatives) == (False, 3, {"azure-gpt": "FR", "glm": "GB"})
+    mixed = df.withColumn("country", F.when(F.col("value") == "US", "US").otherwise("CN"))
+    assert consensus.by_request(consensus.by_field(mixed), mixed).first().source_count == 2
+
+
+def test_empty_answers_leave_a_field_to_the_next_alias(spark):
+    rows = spark.createDataFrame([(1, '{"city":"","town":"Rome"}')], "request_id long, content string")
+    assert [r.value for r in structurers.from_responses(rows, "glm").collect()] == ["Rome"]
