@@ -33,7 +33,8 @@ from pyspark.sql import types as T
 from wayfold.llm.common import _WORD, bounded, fold, stored, text_bytes
 
 TRAIN_ROWS = 12_000
-PART_ROWS = 1_000
+PART_ROWS = 2_000
+SLICE = 128
 ORDERS = (4, 6, 8)
 BITS = 20
 SIZE = 1 << BITS
@@ -125,8 +126,8 @@ def _added(rows: DataFrame, make) -> np.ndarray:
     def run(batches):
         total = None
         for batch in batches:
-            if batch.num_rows:
-                own = make(batch)
+            for low in range(0, batch.num_rows, SLICE):
+                own = make(batch.slice(low, SLICE))
                 total = own if total is None else total + own
         if total is not None:
             yield pa.RecordBatch.from_arrays([pa.array([total.astype(np.float32).tobytes()], pa.binary())], names=["sum"])
