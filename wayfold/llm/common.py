@@ -8,9 +8,10 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+SMALL = 50_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -65,10 +66,17 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
-def small(df: DataFrame, bound: int = 50_000) -> DataFrame:
+def counted(df: DataFrame) -> tuple[DataFrame, int]:
+    """``df`` written, with its number of rows, taken on the way."""
+    seen = Observation()
+    df = materialize(df.observe(seen, F.count(F.lit(1)).alias("n")))
+    return df, seen.get.get("n", 0)
+
+
+def small(df: DataFrame, bound: int = SMALL) -> DataFrame:
     """``df`` written and counted; marked for broadcast only if it has at most ``bound`` rows, else left to Catalyst."""
-    df = materialize(df)
-    return F.broadcast(df) if df.count() <= bound else df
+    df, n = counted(df)
+    return F.broadcast(df) if n <= bound else df
 
 
 def mix(x: np.ndarray) -> np.ndarray:

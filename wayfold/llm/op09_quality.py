@@ -25,10 +25,10 @@ an empty result.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from wayfold.llm.common import small, stored, unused
+from wayfold.llm.common import SMALL, counted, materialize, small, stored, unused
 
 WINDOW = 8
 MIN_WORDS = 20
@@ -152,15 +152,18 @@ def _starts(members: DataFrame) -> DataFrame:
 
 def _concentrated(members: DataFrame) -> DataFrame:
     """The best estimate of each group after concentration: ``_group`` and the moments."""
-    params = small(_factored(_starts(members)))
+    params, n = counted(_factored(_starts(members)))
+    # each table of a step has a row for each of these, so the size is proven once
+    sent = F.broadcast if n <= SMALL else lambda df: df
     for step in range(STEPS):
-        away = _distances(members, params, ["_group", "_start", *VECTOR])
-        bound = small(away.groupBy("_group", "_start").agg(F.percentile_approx("_d2", CORE, 1000).alias("_bound")))
-        core = away.join(bound, ["_group", "_start"]).where(F.col("_d2") <= F.col("_bound"))
-        after = small(_factored(_moments(core, "_group", "_start")))
-        fell = params.select("_group", "_start", F.col("_logdet").alias("_before")).join(after, ["_group", "_start"]).agg(F.max(F.col("_before") - F.col("_logdet"))).first()[0]
-        params = after
-        if step and (fell is None or fell < 0.01):
+        away = _distances(members, sent(params), ["_group", "_start", *VECTOR])
+        bound = away.groupBy("_group", "_start").agg(F.percentile_approx("_d2", CORE, 1000).alias("_bound"))
+        core = away.join(sent(bound), ["_group", "_start"]).where(F.col("_d2") <= F.col("_bound"))
+        before = params.select("_group", "_start", F.col("_logdet").alias("_before"))
+        seen = Observation()
+        after = _factored(_moments(core, "_group", "_start")).join(sent(before), ["_group", "_start"]).observe(seen, F.max(F.col("_before") - F.col("_logdet")).alias("fell"))
+        params = materialize(after.drop("_before"))
+        if step and (seen.get.get("fell") or 0) < 0.01:
             break
     best = params.groupBy("_group").agg(F.min(F.struct("_logdet", "_start")).alias("_best"))
     return params.join(best, "_group").where(F.col("_start") == F.col("_best._start")).select("_group", *_MOMENTS, *(c for c in params.columns if c[0] == "l"))
