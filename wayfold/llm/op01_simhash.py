@@ -457,37 +457,42 @@ def _proposals(similarity: float, sparse: bool):
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, k: int, least: DataFrame, similarity: float) -> DataFrame:
-    """The pairs whose sets of shingles are similar enough; a text is read once for every ``CHUNK`` of its pairs."""
-    sides = F.explode(F.array(F.struct(F.col("a").alias("fp"), F.col("b").alias("other"), F.lit(0).alias("side")), F.struct(F.col("b").alias("fp"), F.col("a").alias("other"), F.lit(1).alias("side")))).alias("s")
-    asked = pairs.select(sides).select("s.*").join(least.select("fp", "row"), "fp")
+    """The pairs whose sets of shingles are similar enough.
+
+    The set of ``a`` goes once to every ``CHUNK`` of its partners, each of
+    which sends its own; a text is read once for every ``CHUNK`` of what it sends.
+    """
+    many = pairs.groupBy("a").agg(F.ceil(F.count("*") / CHUNK).alias("many"))
+    dealt = pairs.join(many, "a").select("a", F.pmod(F.xxhash64("b"), F.col("many")).alias("deal"), "b")
+    sent = dealt.select(F.col("b").alias("fp"), "*").unionByName(dealt.select("a", "deal").distinct().select(F.col("a").alias("fp"), "*", F.lit(None).cast("long").alias("b")))
+    asked = sent.join(least.select("fp", "row"), "fp")
     chunks = asked.groupBy("row").agg(F.ceil(F.count("*") / CHUNK).alias("chunks"))
-    asked = asked.join(chunks, "row").groupBy("row", F.pmod(F.xxhash64("other"), F.col("chunks")).alias("chunk")).agg(F.collect_list(F.struct("fp", "other", "side")).alias("asked"))
+    asked = asked.join(chunks, "row").groupBy("row", F.pmod(F.xxhash64("a", "deal"), F.col("chunks")).alias("chunk")).agg(F.collect_list(F.struct("a", "deal", "b")).alias("asked"))
 
     def cut(batches):
         for batch in bounded(batches, 0):
             for text, asks in zip(batch.column(0), batch.column(1), strict=True):
                 own = (sketch(text.as_py(), k)[0] >> np.uint64(32)).astype(np.uint32).tobytes()
-                rows = [(x["fp"], x["other"], 0) if x["side"] == 0 else (x["other"], x["fp"], 1) for x in asks.as_py()]
-                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in zip(*rows, strict=True)), pa.array([own] * len(rows), pa.binary())], names=["a", "b", "side", "own"])
+                columns = zip(*((x["a"], x["deal"], x["b"]) for x in asks.as_py()), strict=True)
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns), pa.array([own] * len(asks), pa.binary())], names=["a", "deal", "b", "own"])
 
     def check(batches):
-        held = None
+        hub, first = None, None
         for batch in batches:
             good = []
-            for a, b, _, own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if held is None or held[:2] != (a, b):
-                    held = a, b, own
-                    continue
-                one, two = (np.frombuffer(x, np.uint32) for x in (held[2], own))
-                shared = len(np.intersect1d(one, two))
-                if shared >= similarity * (len(one) + len(two) - shared) - 1e-9:
-                    good.append((a, b))
-                held = None
+            for a, deal, b, own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                own = np.frombuffer(own, np.uint32)
+                if b is None:
+                    hub, first = (a, deal), own
+                elif hub == (a, deal):
+                    shared = len(np.intersect1d(first, own))
+                    if shared >= similarity * (len(first) + len(own) - shared) - 1e-9:
+                        good.append((a, b))
             if good:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*good, strict=True)], names=["a", "b"])
 
-    parts = texts.join(asked, "row").select("text", "asked").mapInArrow(cut, "a long, b long, side long, own binary")
-    return parts.repartition("a", "b").sortWithinPartitions("a", "b", "side").mapInArrow(check, "a long, b long")
+    parts = texts.join(asked, "row").select("text", "asked").mapInArrow(cut, "a long, deal long, b long, own binary")
+    return parts.repartition("a", "deal").sortWithinPartitions("a", "deal", F.col("b").asc_nulls_first()).mapInArrow(check, "a long, b long")
 
 
 def _labelled(prints: DataFrame, least: DataFrame, found: DataFrame, doc_id: str) -> DataFrame:
