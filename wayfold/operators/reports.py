@@ -1,4 +1,4 @@
-"""Reports over the persisted tables. ``as_of`` stands in for the clock."""
+"""Reports over the persisted tables. ``as_of`` stands in for the clock; nulls sort as the largest values."""
 
 from __future__ import annotations
 
@@ -28,7 +28,7 @@ def daily_accuracy(samples: DataFrame, as_of: Column) -> DataFrame:
     rows = _since(samples.where("status = 'REVIEWED'"), "reviewed_at", as_of, 30)
     each = rows.select("country", F.explode(F.from_json("per_field_verdict", VERDICTS)).alias("field", "v"))
     right = F.col("v.verdict") == "correct"
-    return each.groupBy("country", "field").agg(F.count("*").alias("samples_reviewed"), F.count_if(right).alias("correct"), share(right).alias("accuracy")).orderBy("country", "field")
+    return each.groupBy("country", "field").agg(F.count("*").alias("samples_reviewed"), F.count_if(right).alias("correct"), share(right).alias("accuracy")).orderBy(F.asc_nulls_last("country"), F.asc_nulls_last("field"))
 
 
 def contribution(attributions: DataFrame, as_of: Column) -> DataFrame:
@@ -36,7 +36,7 @@ def contribution(attributions: DataFrame, as_of: Column) -> DataFrame:
     out = rows.groupBy("country", "field", "structurer").agg(
         F.count("*").alias("times_selected"), F.round(F.avg("calibrated_confidence"), 3).cast("double").alias("avg_calibrated_conf"), F.round(F.avg("latency_ms"), 0).alias("avg_latency_ms")
     )
-    return out.orderBy("country", "field", F.desc("times_selected"))
+    return out.orderBy(F.asc_nulls_last("country"), F.asc_nulls_last("field"), F.desc_nulls_first("times_selected"))
 
 
 def winners(attributions: DataFrame, as_of: Column, field: str, country: str) -> DataFrame:
@@ -46,26 +46,26 @@ def winners(attributions: DataFrame, as_of: Column, field: str, country: str) ->
 
 def confidence_histogram(results: DataFrame, as_of: Column) -> DataFrame:
     rows = _since(results, "created_at", as_of, 7)
-    return rows.groupBy("country", tenth(F.col("overall_confidence")).alias("conf_bucket")).agg(F.count("*").alias("n")).orderBy("country", "conf_bucket")
+    return rows.groupBy("country", tenth(F.col("overall_confidence")).alias("conf_bucket")).agg(F.count("*").alias("n")).orderBy(F.asc_nulls_last("country"), F.asc_nulls_last("conf_bucket"))
 
 
 def correction_rate(feedback: DataFrame, as_of: Column) -> DataFrame:
     rows = _since(feedback, "corrected_at", as_of, 14)
     n, d = F.count("*"), F.countDistinct("result_id")
-    return rows.groupBy("country", "field").agg(d.alias("results_reviewed"), n.alias("total_corrections"), F.round(n / F.nullif(d, F.lit(0)), 3).alias("corrections_per_review")).orderBy("country", F.desc("corrections_per_review"))
+    return rows.groupBy("country", "field").agg(d.alias("results_reviewed"), n.alias("total_corrections"), F.round(n / F.nullif(d, F.lit(0)), 3).alias("corrections_per_review")).orderBy(F.asc_nulls_last("country"), F.desc_nulls_first("corrections_per_review"))
 
 
 def weekly_accuracy(samples: DataFrame, as_of: Column, fields: tuple[str, ...] = ("CTRY", "TWN_NM", "STRT_NM", "PST_CD")) -> DataFrame:
     rows = _since(samples.where("status = 'REVIEWED'"), "reviewed_at", as_of, 84)
     said = {f: F.get_json_object("per_field_verdict", f"$.{f}.verdict") for f in fields}
     week = F.to_date(F.date_trunc("week", "reviewed_at")).alias("week_starting")
-    return rows.groupBy(week, "country").agg(F.count("*").alias("samples"), *(share(F.coalesce(v == "correct", F.lit(False))).alias(f"{f.lower()}_acc") for f, v in said.items())).orderBy(F.desc("week_starting"), "country")
+    return rows.groupBy(week, "country").agg(F.count("*").alias("samples"), *(share(F.coalesce(v == "correct", F.lit(False))).alias(f"{f.lower()}_acc") for f, v in said.items())).orderBy(F.desc_nulls_first("week_starting"), F.asc_nulls_last("country"))
 
 
 def exception_rate(results: DataFrame, as_of: Column) -> DataFrame:
     rows = _since(results, "created_at", as_of, 14)
     sent = F.col("requires_review") == "Y"
-    return rows.groupBy(F.to_date("created_at").alias("date"), "country").agg(F.count("*").alias("total_processed"), F.count_if(sent).alias("sent_to_exception"), share(sent).alias("exception_rate")).orderBy(F.desc("date"), "country")
+    return rows.groupBy(F.to_date("created_at").alias("date"), "country").agg(F.count("*").alias("total_processed"), F.count_if(sent).alias("sent_to_exception"), share(sent).alias("exception_rate")).orderBy(F.desc_nulls_first("date"), F.asc_nulls_last("country"))
 
 
 def compliance_routing(routing: DataFrame, as_of: Column) -> DataFrame:
@@ -81,13 +81,13 @@ def compliance_routing(routing: DataFrame, as_of: Column) -> DataFrame:
             share(said == "NEEDS_REVIEW").alias("needs_review_rate"),
             F.round(F.avg(seconds_between(F.col("routed_at"), F.col("responded_at"))), 1).alias("avg_latency_sec"),
         )
-        .orderBy("country", F.desc("routings"))
+        .orderBy(F.asc_nulls_last("country"), F.desc_nulls_first("routings"))
     )
 
 
 def compliance_short(routing: DataFrame, as_of: Column) -> DataFrame:
     rows = _since(routing.where("status = 'RESOLVED'"), "created_at", as_of, 7)
-    return rows.groupBy("country", "decision").agg(F.count("*").alias("routings"), share(F.col("compliance_verdict") == "PASS").alias("pass_rate")).orderBy("country", "decision")
+    return rows.groupBy("country", "decision").agg(F.count("*").alias("routings"), share(F.col("compliance_verdict") == "PASS").alias("pass_rate")).orderBy(F.asc_nulls_last("country"), F.asc_nulls_last("decision"))
 
 
 def tallies(results: DataFrame) -> DataFrame:
@@ -131,7 +131,7 @@ def usage(calls: DataFrame) -> DataFrame:
 
 def week_triggers(weekly: DataFrame, drop: float = 0.05, bar: float = 0.80) -> DataFrame:
     """Weeks in which accuracy fell by more than ``drop``, or stayed below ``bar`` for the second week."""
-    by = W.partitionBy("country").orderBy("week_starting")
+    by = W.partitionBy("country").orderBy(F.asc_nulls_last("week_starting"))
     before = F.lag("accuracy").over(by)
     both = F.max("accuracy").over(by.rowsBetween(-1, 0))
     out = weekly.withColumns({"previous": before, "_worst": both})
@@ -143,7 +143,7 @@ def week_triggers(weekly: DataFrame, drop: float = 0.05, bar: float = 0.80) -> D
 def win_rate_triggers(weekly: DataFrame, drop: float = 0.20) -> DataFrame:
     """Weeks in which a source's share of selections fell by more than ``drop``; ``weekly``: country, structurer, week_starting, selected, total."""
     rate = F.col("selected") / F.col("total")
-    before = F.lag(rate).over(W.partitionBy("country", "structurer").orderBy("week_starting"))
+    before = F.lag(rate).over(W.partitionBy("country", "structurer").orderBy(F.asc_nulls_last("week_starting")))
     return weekly.select("country", "structurer", "week_starting", rate.alias("win_rate"), before.alias("previous"), F.coalesce(before - rate > drop, F.lit(False)).alias("dropped"))
 
 
