@@ -13,11 +13,13 @@ one, ties going to the smaller id, ids before nulls; empty tables give empty res
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayfold.llm import op01_simhash, op05_bpe, op07_decontamination, op08_secrets, op09_quality
-from wayfold.llm.common import bucketed, materialize, read, unused
+from wayfold.llm.common import bucketed, materialize, read, release, scratch, unused
 
 #: Near-duplicates here: five-word shingles and a Jaccard similarity of 0.8 or
 #: more, verified on the shingles themselves.
@@ -55,12 +57,24 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return op05_bpe.digests(docs)
 
 
+def _stage(work):
+    """``work``, after the tables of earlier stages are gone: their results are written by now, unless ``docs`` reads them still."""
+
+    @functools.wraps(work)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        release(docs, "pipeline")
+        with scratch("pipeline"):
+            return work(spark, docs, sf_dir)
+
+    return run
+
+
 STAGES = [
-    ("quality rules", quality),
-    ("SimHash near-dedup", near_dedup),
-    ("benchmark decontamination", decontaminate),
-    ("secret scans", secrets),
-    ("byte-level BPE encoding and decoding", tokens),
+    ("quality rules", _stage(quality)),
+    ("SimHash near-dedup", _stage(near_dedup)),
+    ("benchmark decontamination", _stage(decontaminate)),
+    ("secret scans", _stage(secrets)),
+    ("byte-level BPE encoding and decoding", _stage(tokens)),
 ]
 #: The stages fit models and walk graphs, which SQL cannot state; tests hold them against brute force.
 ORACLE_SQL = None

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -41,21 +42,54 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Tables written by scope, for ``release``.
+_made: dict[str, list[str]] = {}
+_scope: list[str] = []
+
+
+@contextmanager
+def scratch(scope: str):
+    """Tables that ``stored`` and ``bucketed`` write meanwhile belong to ``scope``."""
+    _scope.append(scope)
+    try:
+        yield
+    finally:
+        _scope.pop()
+
+
+def release(docs: DataFrame, scope: str) -> None:
+    """Remove the tables of a scope that ``docs`` does not read."""
+    spark = docs.sparkSession
+    plan = docs._jdf.queryExecution().analyzed().toString()
+    for name in [n for n in _made.get(scope, []) if n not in plan]:
+        _made[scope].remove(name)
+        if not spark.catalog.tableExists(name):
+            continue
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/{name}")
+        spark.sql(f"drop table {name}")
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _table(df: DataFrame, key: str | None = None) -> DataFrame:
+    spark = df.sparkSession
+    name = f"rows_{uuid.uuid4().hex}"
+    writer = df.write.option("path", f"{shared_folder(spark)}/{name}")
+    if key:
+        writer = writer.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), key)
+    writer.saveAsTable(name)
+    if _scope:
+        _made.setdefault(_scope[-1], []).append(name)
+    return spark.table(name)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """``df`` as a Parquet table in the shared checkpoint folder: later reads take only the columns they need."""
-    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return _table(df)
 
 
 def bucketed(df: DataFrame, key: str) -> DataFrame:
     """``df`` with a row number ``key``, written in the shared folder in buckets of it: joins on it move only the other side."""
-    spark = df.sparkSession
-    name = f"rows_{uuid.uuid4().hex}"
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    numbered = df.withColumn(key, F.monotonically_increasing_id())  # once written, a number stays with its row
-    numbered.write.bucketBy(buckets, key).option("path", f"{shared_folder(spark)}/{name}").saveAsTable(name)
-    return spark.table(name)
+    return _table(df.withColumn(key, F.monotonically_increasing_id()), key)  # once written, a number stays with its row
 
 
 def unused(df: DataFrame, name: str) -> str:
