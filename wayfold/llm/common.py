@@ -152,19 +152,40 @@ def fold(raw: np.ndarray, latin: bool = False) -> np.ndarray:
     return out
 
 
+def span_codes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each span's bytes; 0 for an empty one."""
+    n = end - start
+    total = np.zeros(len(n), np.uint64)
+    if not len(n):
+        return total
+    # eight bytes at a time, as little-endian words with the tail masked off
+    padded = np.concatenate([raw, np.zeros(16, np.uint8)])
+    octets = np.lib.stride_tricks.as_strided(padded, (len(padded) - 7, 8), (1, 1))
+    live, at, left = np.flatnonzero(n), start[n > 0], n[n > 0]
+    while len(live):
+        block = np.ascontiguousarray(octets[at]).view(np.uint64)[:, 0]
+        short = left < 8
+        block[short] &= (np.uint64(1) << (left[short].astype(np.uint64) * np.uint64(8))) - np.uint64(1)
+        total[live] = mix((total[live] + _ODD) ^ block)
+        keep = left > 8
+        live, at, left = live[keep], at[keep] + 8, left[keep] - 8
+    return mix(total ^ n.astype(np.uint64))
+
+
 class Words:
     """Words of a batch of texts as flat arrays.
 
-    A word is a run of digits, a-z and non-ASCII characters after folding.
+    A word is a run of digits, a-z and non-ASCII characters after folding, or of
+    the bytes that ``word`` marks.
     ``first[d]`` to ``first[d + 1]`` are document d's words; ``start`` and
     ``end`` are byte places, ``code`` a 64-bit hash of each word's bytes.
     """
 
-    def __init__(self, column: pa.Array, latin: bool = False):
+    def __init__(self, column: pa.Array, latin: bool = False, word: np.ndarray = _WORD):
         raw, self.offsets = text_bytes(column)
         self.raw = raw = fold(raw, latin)
         inside = np.zeros(len(raw) + 2, bool)
-        inside[1:-1] = _WORD[raw]
+        inside[1:-1] = word[raw]
         edge = inside[1:] != inside[:-1]
         cuts = self.offsets[1:-1]
         cuts = cuts[(cuts > 0) & (cuts < len(raw))]
@@ -174,25 +195,7 @@ class Words:
         ends[joined] = True
         self.start, self.end = np.flatnonzero(begins), np.flatnonzero(ends)
         self.first = np.searchsorted(self.start, self.offsets)
-        self.code = self._codes()
-
-    def _codes(self) -> np.ndarray:
-        n = self.end - self.start
-        total = np.zeros(len(n), np.uint64)
-        if not len(n):
-            return total
-        # eight bytes at a time, as little-endian words with the tail masked off
-        padded = np.concatenate([self.raw, np.zeros(16, np.uint8)])
-        octets = np.lib.stride_tricks.as_strided(padded, (len(padded) - 7, 8), (1, 1))
-        live, at, left = np.arange(len(n)), self.start, n
-        while len(live):
-            block = np.ascontiguousarray(octets[at]).view(np.uint64)[:, 0]
-            short = left < 8
-            block[short] &= (np.uint64(1) << (left[short].astype(np.uint64) * np.uint64(8))) - np.uint64(1)
-            total[live] = mix((total[live] + _ODD) ^ block)
-            keep = left > 8
-            live, at, left = live[keep], at[keep] + 8, left[keep] - 8
-        return mix(total ^ n.astype(np.uint64))
+        self.code = span_codes(raw, self.start, self.end)
 
 
 def shingle_codes(code: np.ndarray, k: int) -> np.ndarray:

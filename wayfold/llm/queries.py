@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayfold.llm import op01_simhash, op02_substrings, op03_langid, op04_toxicity, op05_bpe, op06_licenses, op07_decontamination, op08_secrets, op09_quality, op10_attribution
+from wayfold.llm import op11_whitening as whitening
+from wayfold.llm import op12_lm as lm
+from wayfold.llm import op13_search as lexical
 from wayfold.llm.common import read
 
 
@@ -77,6 +80,20 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("section_tokens", F.array_join(F.col("section_tokens").cast("array<string>"), ","))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read(spark, sf_dir, "embeddings"))
+
+
+def op12_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    held_out = _remainder("doc_id", 5) == 1
+    return lm.score(docs, lm.train(docs.where(~held_out)), extra={"held_out": held_out})
+
+
+def op13_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 # The parts of the results that SQL can state, taken from the same operators
 
 
@@ -102,6 +119,11 @@ def line_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_sections", "n_outside", (F.aggregate("section_tokens", F.lit(0).cast("long"), lambda a, x: a + x) == F.col("n_tokens")).alias("all_allotted"))
 
 
+def embedding_deviation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = whitening.whiten(read(spark, sf_dir, "embeddings"), most=1)
+    return rows.select("vec_id", "n", "deviation")
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_substrings": op2_substrings,
@@ -113,11 +135,15 @@ QUERIES = {
     "op8_secrets": op8_secrets,
     "op9_quality": op9_quality,
     "op10_token_counts": op10_token_counts,
+    "op11_whitening": op11_whitening,
+    "op12_lm_score": op12_lm_score,
+    "op13_search": op13_search,
     "license_phrases": license_phrases,
     "secret_matches": secret_matches,
     "quality_statistics": quality_statistics,
     "bpe_round_trip": bpe_round_trip,
     "line_sections": line_sections,
+    "embedding_deviation": embedding_deviation,
 }
 
 _FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -149,4 +175,17 @@ ORACLES: dict[str, str] = {
         select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed from s""",
     "bpe_round_trip": "select doc_id, sha256(coalesce(text, '')) as decoded_sha256, coalesce(text, '') <> '' as has_tokens from documents",
     "line_sections": "select doc_id, (len(string_split(coalesce(text, ''), chr(10))) - case when coalesce(text, '') = '' or right(text, 1) = chr(10) then 1 else 0 end)::bigint as n_sections, 0::bigint as n_outside, true as all_allotted from documents",
+    "op13_search": f"""with t as (select doc_id, regexp_extract_all({_FOLDED}, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') as ts from documents),
+        d as materialized (select *, len(ts)::bigint as n, row_number() over () as r from t where len(ts) > 0),
+        g as materialized (select count(*)::bigint as big_n, sum(n)::bigint as big_l from d),
+        f as materialized (select r, any_value(doc_id) as doc_id, any_value(n) as n, term, count(*)::bigint as tf from (select r, doc_id, n, unnest(ts) as term from d) x group by r, term),
+        q as materialized (select distinct item_id, unnest(regexp_extract_all({_FOLDED}, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) as term from benchmark),
+        w as materialized (select term, floor(1000 * ln((2 * any_value(big_n) + 2)::double / (2 * count(*) + 1)::double))::bigint as w from f, g where term in (select term from q) group by term),
+        s as (select item_id, r, any_value(doc_id) as doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * big_n) // big_l))))::bigint as score from q join w using (term) join f using (term), g group by item_id, r)
+        select item_id, rank::int as rank, doc_id, score from (select *, row_number() over (partition by item_id order by score desc, doc_id) as rank from s where score > 0) x where rank <= 50""",
+    "embedding_deviation": """with e as (select vec_id, list_transform(embedding, lambda c: floor(64 * c::double)::bigint + 1000000) as x from embeddings where embedding is not null and len(list_filter(embedding, lambda c: c is null or not isfinite(c))) = 0),
+        f as (select distinct x from e), g as (select unnest(x) as c, generate_subscripts(x, 1) as i from f),
+        m as (select i, sum(c)::bigint as s, count(*)::bigint as n from g group by i),
+        r as (select vec_id, row_number() over () as k, unnest(x) as c, generate_subscripts(x, 1) as i from e)
+        select any_value(vec_id) as vec_id, any_value(n) as n, sum((n * c - s) * (n * c - s))::bigint as deviation from r join m using (i) group by k""",
 }
