@@ -1,18 +1,21 @@
-"""Streams of requests: checkpointed, once a key, with retries, dead letters and live counts.
-
-The body of a micro-batch is the batch plan. Results are written to folders
-named by batch id with overwrite, then keys likewise, so a replayed batch
-replaces its own output. A key that an earlier batch wrote is a duplicate,
-however late it comes: it is answered from the stored result. Requests whose
-decision failed for a passing reason are read again by the next batch, until
-their attempts are used up.
+"""Streams of requests: checkpointed, once a key, with timed retries, dead letters and live counts.
+
+The body of a micro-batch is the batch plan. Results go to a table in buckets
+of the key (``store``), of which a batch reads only its own buckets. A
+key with a stored result is a duplicate, however late it comes, and is answered
+from that result. Requests whose decision failed for a passing reason wait in
+``retry`` until they are due; so do the repeats of such a request in its batch,
+since there is no result yet to answer them with. ``ticks`` make a batch
+where no message comes, so waiting requests are tried on time.
+
+A replayed batch finds what its first run stored, keeps it, and replaces
+its other outputs.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
@@ -21,11 +24,12 @@ from wayfold.operators import dedup
 from wayfold.operators.decide import duplicate_outcome, triage
 from wayfold.sources import sinks
 from wayfold.sources.requests import REQUEST, parse_messages, validate
+from wayfold.streaming import store as results
 
-KEYS = "idem_key string, source_channel string, source_ref string, processed_at timestamp, result_ref long, batch long, prefix string"
-RETRY = "correlation_id string, source_channel string, raw string, country_hint string, locale string, arrival_ts timestamp, attempt int, reject_reason string, batch long"
+RETRY = "correlation_id string, source_channel string, raw string, country_hint string, locale string, arrival_ts timestamp, attempt int, reject_reason string, due_at timestamp"
 BATCH = 100
-PREFIX = 3
+#: Seconds before a failed request is tried again.
+DELAY = 1.0
 
 
 def kafka(spark: SparkSession, servers: str, topic: str, most: int = BATCH) -> DataFrame:
@@ -40,76 +44,86 @@ def files(spark: SparkSession, path: str, per_trigger: int = 1) -> DataFrame:
     return spark.readStream.format("text").option("maxFilesPerTrigger", per_trigger).load(path).withColumn("timestamp", F.current_timestamp())
 
 
-def _stored(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A table of earlier batches; the first batch finds none."""
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except AnalysisException as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        return spark.createDataFrame([], schema)
+def ticks(spark: SparkSession, per_second: int = 1) -> DataFrame:
+    """A clock as a stream of empty messages."""
+    return spark.readStream.format("rate").option("rowsPerSecond", per_second).load().select(F.lit(None).cast("string").alias("value"), "timestamp")
 
 
-def prefix() -> Column:
-    return F.substring("idem_key", 1, PREFIX)
+def with_ticks(messages: DataFrame, per_second: int = 1) -> DataFrame:
+    """Messages and a clock: a batch comes at least ``per_second``, and its empty messages only look after what is due."""
+    return messages.unionByName(ticks(messages.sparkSession, per_second), allowMissingColumns=True)
 
 
-def stored_keys(spark: SparkSession, store: str, before: int, prefixes: list[str] | None = None) -> DataFrame:
-    """Keys of earlier batches, read only from the folders of the given first digits."""
-    keys = _stored(spark, f"{store}/keys", KEYS).where(F.col("batch") < before)
-    return keys if prefixes is None else keys.where(F.col("prefix").isin(prefixes))
+def waiting(spark: SparkSession, store: str, batch_id: int) -> DataFrame:
+    """What the batch before left to be tried again."""
+    path = f"{store}/retry/batch={batch_id - 1}"
+    return spark.read.schema(RETRY).parquet(path) if results.exists(spark, path) else spark.createDataFrame([], RETRY)
 
 
-def process(batch: DataFrame, batch_id: int, store: str, decide: Callable[[DataFrame], DataFrame], channel: str = "KAFKA") -> None:
-    """One micro-batch: parse, add retries, refuse, claim, decide, write results and then keys, and answer duplicates.
+def process(batch: DataFrame, batch_id: int, store: str, decide: Callable[[DataFrame], DataFrame], channel: str = "KAFKA", delay: float = 0.0, now: Column | None = None, days: int | None = None) -> None:
+    """One micro-batch: parse, add what is due, refuse, claim, decide, store results, answer duplicates, and put off failures.
 
-    ``decide`` may append ``error``; a request with one has no result.
+    ``decide`` may append ``error``; a request with one has no result. A failed
+    request waits ``delay`` seconds; ``days`` ends a key's hold on its result.
     """
     spark = batch.sparkSession
+    now = F.current_timestamp() if now is None else now
     columns = [*REQUEST, "attempt"]
-    again = _stored(spark, f"{store}/retry", RETRY).where(F.col("batch") == batch_id - 1).select(*columns, F.lit(None).cast("string").alias("_corrupt_record"))
-    parsed = parse_messages(batch, channel).select(*REQUEST, F.lit(1).alias("attempt"), "_corrupt_record").unionByName(again).persist()
+    held = waiting(spark, store, batch_id).withColumn("_due", F.coalesce(F.col("due_at") <= now, F.lit(True))).persist()
+    again = held.where("_due").select(*columns, F.lit(None).cast("string").alias("_corrupt_record"))
+    parsed = parse_messages(batch.where("value is not null"), channel).select(*REQUEST, F.lit(1).alias("attempt"), "_corrupt_record").unionByName(again).persist()
+    path = f"{store}/results"
     try:
         good, bad = validate(parsed)
-        keyed = dedup.with_key(good.select(*columns)).withColumn("request_id", F.xxhash64("idem_key"))
-        # at most 16**PREFIX values, whatever the batch
-        keys = stored_keys(spark, store, batch_id, [r[0] for r in keyed.select(prefix()).distinct().collect()])
-        fresh = dedup.claim(keyed, keys)
+        keyed = dedup.with_key(good.select(*columns)).withColumn("request_id", F.xxhash64("idem_key")).persist()
+        stored = results.live(results.lookup(keyed, path), now, days).persist()
+        first_run = stored.where(F.col("batch") == batch_id)
+        # of a replayed batch, requests that have their result are neither decided again nor repeats
+        keyed_open = keyed.join(first_run.select("idem_key", "correlation_id"), ["idem_key", "correlation_id"], "left_anti")
+        fresh = dedup.claim(keyed_open, stored)
         decided = decide(fresh).persist()
-        failed = F.col("error").isNotNull() if "error" in decided.columns else F.lit(False)
-        lost = triage(decided.where(failed), "error") if "error" in decided.columns else None
+        failing = "error" in decided.columns
+        failed = F.col("error").isNotNull() if failing else F.lit(False)
         rejected = bad.select(*columns, "reject_reason", "_corrupt_record", F.lit(False).alias("retryable"))
-        if lost is not None:
-            rejected = rejected.unionByName(lost.select(*columns, F.col("error").alias("reject_reason"), F.lit(None).cast("string").alias("_corrupt_record"), "retryable"))
+        if failing:
+            # a failure is that of all requests of its key in the batch, each with its own attempts
+            lost = triage(decided.where(failed), "error").select("idem_key", F.col("error").alias("reject_reason"), "retryable")
+            rejected = rejected.unionByName(keyed_open.join(lost, "idem_key").select(*columns, "reject_reason", F.lit(None).cast("string").alias("_corrupt_record"), "retryable"))
         retry, dead = sinks.dead_letters(rejected, F.col("attempt"))
-        at = F.coalesce("arrival_ts", F.current_timestamp())
-        done = decided.where(~failed)
-        sinks.result_rows(done, at).write.mode("overwrite").parquet(f"{store}/results/batch={batch_id}")
+        done = sinks.result_rows(decided.where(~failed), F.coalesce("arrival_ts", now)).persist()
+        results.write(done.unionByName(first_run.drop("batch")), path, batch_id)
         dead.select(*columns, "reject_reason", "_corrupt_record").write.mode("overwrite").parquet(f"{store}/dead/batch={batch_id}")
-        retry.select(*columns, "reject_reason").write.mode("overwrite").parquet(f"{store}/retry/batch={batch_id}")
-        sinks.key_rows(done, at).withColumn("prefix", prefix()).write.mode("overwrite").partitionBy("prefix").parquet(f"{store}/keys/batch={batch_id}")
-        answered(keyed, keys.unionByName(sinks.key_rows(done, at).withColumns({"batch": F.lit(batch_id).cast("long"), "prefix": prefix()})), fresh, store, batch_id).write.mode("overwrite").parquet(f"{store}/duplicates/batch={batch_id}")
-        decided.unpersist()
+        put_off = retry.select(*columns, "reject_reason", (now + F.make_dt_interval(secs=F.lit(delay))).alias("due_at")).unionByName(held.where("not _due").drop("_due"))
+        put_off.write.mode("overwrite").parquet(f"{store}/retry/batch={batch_id}")
+        answered(keyed_open, stored.drop("batch").unionByName(done), fresh).write.mode("overwrite").parquet(f"{store}/duplicates/batch={batch_id}")
+        touched = sorted(r.bucket for r in done.select(results.bucket().alias("bucket")).distinct().collect())  # at most BUCKETS numbers
+        for df in (done, decided, stored, keyed):
+            df.unpersist()
+        results.compact(spark, path, batch_id, touched)
+        results.remove(spark, f"{store}/retry/batch={batch_id - 2}")  # a replay needs the batch before, no more
     finally:
         parsed.unpersist()
+        held.unpersist()
 
 
-def answered(keyed: DataFrame, keys: DataFrame, fresh: DataFrame, store: str, batch_id: int) -> DataFrame:
-    """Requests that repeat a key, of an earlier batch or of their own, with the outcome of the stored result."""
-    repeats = keyed.join(fresh.select("idem_key", "correlation_id"), ["idem_key", "correlation_id"], "left_anti")
-    stored = keyed.sparkSession.read.parquet(f"{store}/results").where(F.col("batch") <= batch_id).select("idem_key", "result_id", "requires_review", "overall_confidence")
-    found = dedup.resolve(repeats, keys, stored)
+def answered(requests: DataFrame, stored: DataFrame, fresh: DataFrame) -> DataFrame:
+    """Requests that repeat a key with a result, of an earlier batch or of their own, with the outcome of that result."""
+    repeats = requests.join(fresh.select("idem_key", "correlation_id"), ["idem_key", "correlation_id"], "left_anti")
+    found = dedup.resolve(repeats, stored, stored.select("idem_key", "result_id", "requires_review", "overall_confidence"))
     return found.select("correlation_id", "source_channel", "idem_key", "result_id", duplicate_outcome().alias("outcome"), F.coalesce("overall_confidence", F.lit(0)).cast("decimal(3,2)").alias("overall_confidence"), "is_duplicate")
 
 
-def compact(spark: SparkSession, store: str, before: int, out: str) -> None:
-    """The keys of all batches before one in a file a prefix, for a store to take in place of its many small ones."""
-    stored_keys(spark, store, before).drop("batch").repartition("prefix").write.partitionBy("prefix").parquet(f"{out}/keys/batch={before - 1}")
+def stored_results(spark: SparkSession, store: str) -> DataFrame:
+    return results.read(spark, f"{store}/results")
+
+
+def stored_keys(spark: SparkSession, store: str) -> DataFrame:
+    return results.keys(stored_results(spark, store))
 
 
-def start(source: DataFrame, store: str, checkpoint: str, decide: Callable[[DataFrame], DataFrame], channel: str = "KAFKA") -> DataStreamWriter:
+def start(source: DataFrame, store: str, checkpoint: str, decide: Callable[[DataFrame], DataFrame], channel: str = "KAFKA", delay: float = DELAY, days: int | None = None) -> DataStreamWriter:
     """A writer whose query acknowledges messages once their batch is written."""
-    return source.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda df, n: process(df, n, store, decide, channel))
+    return source.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda df, n: process(df, n, store, decide, channel, delay, days=days))
 
 
 def recent_only(requests: DataFrame, ts: str = "arrival_ts", days: int = 30) -> DataFrame:
