@@ -119,7 +119,7 @@ def compliance_reasons(config: dict = COMPLIANCE) -> Column:
         low_field = low_field | f
     structured = F.upper(F.coalesce(field_value("CTRY"), F.lit("")))
     country = F.when(structured != "", structured).otherwise(F.upper(F.coalesce("country_hint", F.lit(""))))
-    watched = F.upper("raw").rlike("(?i)" + "|".join(f"(?:{p})" for p in config["patterns"])) if config["patterns"] else F.lit(False)
+    watched = F.col(config["watched"]) if config.get("watched") else F.upper("raw").rlike("(?i)" + "|".join(f"(?:{p})" for p in config["patterns"])) if config["patterns"] else F.lit(False)
     fires = (
         (F.size("fields") > 0) & low_field,
         F.col("overall_confidence") < config["overall_floor"],

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from wayfold.functions import text
-from wayfold.operators import accuracy, decide, dedup, normalize, reports, sampling
+from wayfold.operators import accuracy, decide, dedup, normalize, patterns, quantiles, reports, sampling
 from wayfold.plans import config
 from wayfold.plans import derived as d
 from wayfold.plans.queries import _GOLD, _decided, _DECIDED, _golden, _voted, query
-from wayfold.sources import payments, reference, shared, sinks, structurers
+from wayfold.sources import backfill, payments, reference, shared, sinks, structurers
 from wayfold.sources import requests as rq
 from wayfold.streaming import enrich as stream
 
@@ -166,6 +166,26 @@ def j10_pattern_hits(spark, sf_dir):
     return rows.select("request_id", F.array_join(decide.pattern_hits(rows), ",").alias("hits"))
 
 
+@query(r"""with o as (select o_orderkey as request_id, o_custkey as c, o_orderkey % 3 as form from orders)
+    select request_id, cast(c as varchar) as pattern_id from o where (c % 4 = 0 and form = 0) or (c % 4 = 1 and form = 1) or (c % 4 = 2 and form = 2)
+    union all select request_id, concat('brand-', cast(request_id % (select count(*) from part) as varchar)) from o where form = 0
+    union all select request_id, 'any' from o where request_id % 7 = 0""")
+def j10_watch_list(spark, sf_dir):
+    """Which of the patterns of a long list, some a customer and one a part, occur in each order's text."""
+    k, c, form = F.col("o_orderkey"), F.col("c_custkey"), F.col("c_custkey") % 4
+    name, parts = c.cast("string"), d.table(spark, sf_dir, "part")
+    n = F.broadcast(parts.agg(F.count("*").alias("n")))  # one row
+    customers = d.table(spark, sf_dir, "customer").where("c_custkey % 4 <> 3").select(
+        name.alias("pattern_id"), F.when(form == 0, F.concat(F.lit(r"\bCustomer#0*"), name, F.lit(r"\b"))).when(form == 1, F.concat(F.lit(r"CLERK\s+"), name, F.lit(r"\s+(?:desk|office)"))).otherwise(F.concat(F.lit(r"(?:ROAD|STREET) NO\. ?"), name, F.lit("X"))).alias("pattern")
+    )
+    brands = parts.select(F.concat(F.lit("brand-"), F.col("p_partkey").cast("string")).alias("pattern_id"), F.concat(F.lit("gate "), F.col("p_partkey").cast("string"), F.lit(r"\b.*north")).alias("pattern"))
+    listed = customers.unionByName(brands).unionByName(spark.createDataFrame([("any", r"\bZ\d+Q\b")], "pattern_id string, pattern string"))
+    c = F.col("o_custkey").cast("string")
+    said = F.when(k % 3 == 0, F.concat(F.lit("Deliver to customer#"), F.lpad(c, 9, "0"), F.lit(", Gate "), (k % F.col("n")).cast("string"), F.lit(" North"))).when(k % 3 == 1, F.concat(F.lit("clerk \t"), c, F.lit("  Office 5"))).otherwise(F.concat(F.lit("Street no."), c, F.lit("x")))
+    texts = d.table(spark, sf_dir, "orders").join(n).select(k.alias("request_id"), F.concat(said, F.when(k % 7 == 0, " z9q").otherwise("")).alias("raw"))
+    return patterns.hits(texts, listed)
+
+
 @query("select event_id as idem_key from events where ts >= (select max(ts) from events) - interval 10 day")
 def d13_key_retention(spark, sf_dir):
     keys = d.table(spark, sf_dir, "events").select(F.col("event_id").alias("idem_key"), F.col("ts").cast("timestamp").alias("processed_at"))
@@ -374,3 +394,52 @@ def d15_hybrid(spark, sf_dir):
     both = F.when(F.col("o_orderkey") % 2 == 0, F.create_map(F.lit("STRT_NM"), value(F.lit("Street")), F.lit("ADR_LINE"), value(F.lit("free line")))).otherwise(F.create_map(F.lit("ADR_LINE"), value(F.lit("free line"))))
     rows = d.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("request_id"), both.alias("fields")).withColumn("p", payments.to_hybrid())
     return rows.select("request_id", F.col("p.StrtNm").alias("street"), F.get("p.AdrLine", F.lit(0)).alias("line"))
+
+
+_MIDDLE = f"round(case when {{0}} <= 0 then 0.0 else pow({quantiles.GROWTH!r}::double, ceil(ln({{0}}) / ln({quantiles.GROWTH!r}::double))) * {2 / (1 + quantiles.GROWTH)!r}::double end, 6)"
+
+
+def _percentiles(value: str) -> str:
+    """Exact nearest-rank percentiles of an aggregate, each as the middle of its bucket."""
+    at = f"list_sort(list({value}::double))"
+    return "count(*) as n, " + ", ".join(_MIDDLE.format(f"({at})[(({p} * count(*) + 99) // 100)::bigint]") + f" as p{p}" for p in quantiles.PERCENTS)
+
+
+@query(f"select date_trunc('day', ts)::date as day, user_id % 10 as country, {_percentiles('round(value * 100)')} from events group by 1, 2")
+def a7_latency_percentiles(spark, sf_dir):
+    """Latency by day and country, from sketches that are kept by hour: within one percent of the exact percentile."""
+    e = d.table(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("ts"), (F.col("user_id") % 10).alias("country"), F.round(F.col("value") * 100).alias("latency_ms"))
+    days = quantiles.merged(quantiles.hourly(e, "ts", "latency_ms", "country"), F.to_date("hour").alias("day"), "country")
+    return quantiles.percentiles(days, "day", "country")
+
+
+@query(f"select l_partkey % 7 as field, l_linenumber % 3 as structurer, {_percentiles('l_discount')} from lineitem group by 1, 2")
+def d16_confidence_percentiles(spark, sf_dir):
+    """Confidence by field and source, from sketches by month."""
+    rows = d.table(spark, sf_dir, "lineitem").select((F.col("l_partkey") % 7).alias("field"), (F.col("l_linenumber") % 3).alias("structurer"), F.col("l_discount").alias("confidence"), F.trunc("l_shipdate", "month").alias("month"))
+    return quantiles.percentiles(quantiles.merged(quantiles.sketch(rows, "confidence", "month", "field", "structurer"), "field", "structurer"), "field", "structurer")
+
+
+@query("select event_id, event_type, cast(ts as date) as day, 1 as times from events")
+def s18_results_by_day(spark, sf_dir):
+    """All days are written, then every third day again: each row is there once."""
+    e = d.table(spark, sf_dir, "events").select("event_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
+    path = shared.folder(spark, "days")
+    sinks.write_days(e, path, "ts")
+    sinks.write_days(e.where(F.dayofmonth("ts") % 3 == 0), path, "ts")
+    return spark.read.parquet(path).groupBy("event_id", "event_type", "day").agg(F.count("*").cast("int").alias("times"))
+
+
+@query("select c_custkey as party_id, o_orderkey as address_id, c_custkey // 100 * 100 as range from customer join orders on c_custkey = o_custkey where o_orderkey % 2 = 0")
+def j13_resumed_backfill(spark, sf_dir):
+    """Primary addresses of all parties, by key ranges, with two stops on the way."""
+    parties = d.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("party_id"))
+    addresses = d.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("party_id"), F.col("o_orderkey").alias("address_id"), F.when(F.col("o_orderkey") % 2 == 0, "Y").otherwise("N").alias("is_primary"))
+    least, most = parties.agg(F.min("party_id"), F.max("party_id")).first()
+    planned = backfill.ranges(least, most, 100)
+    store = shared.folder(spark, "backfill")
+    work = lambda rows: rows.join(addresses.where("is_primary = 'Y'"), "party_id").select("party_id", "address_id")
+    wave = -(-len(planned) // 3)
+    for _ in range(3):
+        backfill.run(spark, backfill.between(parties, "party_id"), "party_id", planned, store, work, wave=wave, stop_after=1)
+    return backfill.results(spark, store).select("party_id", "address_id", F.col("range").cast("long").alias("range"))

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from wayfold.operators.merge import field_value
 
+#: Files of a day at most: a day that holds most rows is still written by several tasks.
+FILES_A_DAY = 8
 FIELD_MAP = "map<string,struct<value:string,confidence:double,merge_strategy:string>>"
 
 
@@ -100,14 +102,14 @@ def dead_letters(rejected: DataFrame, attempt: Column | int = 1, most: int = 3)
     return df.where(~final).withColumn("attempt", F.col("attempt") + 1), df.where(final)
 
 
-def write(df: DataFrame, path: str, by: str | None = None, mode: str = "append") -> None:
-    """Parquet by day of ``by``."""
-    out = df
-    if by:
-        out = df.withColumn("day", F.to_date(by))
-        out.write.mode(mode).partitionBy("day").parquet(path)
-    else:
-        out.write.mode(mode).parquet(path)
+def write(df: DataFrame, path: str) -> None:
+    df.write.mode("append").parquet(path)
+
+
+def write_days(df: DataFrame, path: str, by: str) -> None:
+    """Parquet by day of ``by``, one task a day's hash: the days that ``df`` has replace what the table had of them, other days stay."""
+    out = df.withColumn("day", F.to_date(by))
+    out.repartition("day", F.pmod(F.xxhash64(*df.columns), F.lit(FILES_A_DAY))).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path)
 
 
 def write_csv(df: DataFrame, path: str) -> None:
