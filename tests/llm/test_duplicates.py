@@ -226,3 +226,25 @@ def test_components(spark):
     got = {r.node: r.component for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**dict.fromkeys(range(41), 0), 100: 100, 101: 100, 102: 100}
     assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_one_large_group_lists_pairs_in_proportion(spark, monkeypatch):
+    """Of n texts at a similarity of 0.80 to 0.85 to each other, a bounded number of pairs a text is verified."""
+    rng = random.Random(1)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+
+    def variant():
+        words = list(base)
+        for _ in range(3):
+            words[rng.randrange(300)] = f"x{rng.randrange(10**9)}"
+        return " ".join(words)
+
+    listed = []
+    real = op01_simhash._verified
+    monkeypatch.setattr(op01_simhash, "_verified", lambda pairs, *rest: listed.append(pairs.count()) or real(pairs, *rest))
+    for n in (300, 1200):
+        listed.clear()
+        rows = [(k, variant()) for k in range(n)] + [(n + k, f"other text {k} of its own {k * k} with few words") for k in range(50)]
+        got = op01_simhash.similar(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), "doc_id")
+        assert got.where(F.col("component_id") == 0).count() == n and got.select("component_id").distinct().count() == 51
+        assert sum(listed) < 40 * n

@@ -376,8 +376,9 @@ def similar(df: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int =
     ``similarity`` plus three deviations. Each proposed pair is linked if the
     sets themselves are similar enough. Texts of equal sets are one
     node. As a group of near copies has many pairs, the first round proposes only
-    forests of close pairs; the second then verifies every pair whose ends are
-    not in one class yet, so no verified link is lost to a forest.
+    a forest a bucket of each table, some pairs for each text; the second then
+    verifies every pair whose ends are not in one class yet, so no verified
+    link is lost to a forest.
 
     Proposed pairs share sampled bits: a pair at the very ``similarity`` meets
     with probability ``recall``, closer pairs almost surely, equal sets always. ``row`` names a unique number by which
@@ -400,12 +401,13 @@ def similar(df: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int =
     least = materialize(prints.groupBy("fp", "size", *names).agg(F.min(F.struct(F.col(doc_id).alias("id"), "row")).alias("least")).select("fp", "size", *names, F.col("least.id").alias("least"), "least.row"))
     share = _share(similarity)
     tables = sampled_bits(least.count(), share, 256, recall, block)
+    radius = int(256 * share + 3 * math.sqrt(256 * share * (1 - share)))
     rows = least.select("fp", *names, "size")
-    # within the mean distance of a similarity a quarter of the way to 1, nearly all pairs are verified
-    close = _links(texts, k, least, rows.withColumn("group", F.col("fp")), int(256 * _share((1 + 3 * similarity) / 4)), tables[:8], similarity, block, True)
+    # every table proposes a forest, so a text of a group meets several others before pairs are listed
+    close = _links(texts, k, least, rows.withColumn("group", F.col("fp")), radius, tables, similarity, block, True)
     of = components(close).withColumnRenamed("node", "fp")
     rows = materialize(rows.join(of, "fp", "left").withColumn("group", F.coalesce("component", "fp")).drop("component"))
-    wide = _links(texts, k, least, rows, int(256 * share + 3 * math.sqrt(256 * share * (1 - share))), tables, similarity, block, False)
+    wide = _links(texts, k, least, rows, radius, tables, similarity, block, False)
     return _labelled(prints, least, components(close.unionByName(wide)), doc_id)
 
 
