@@ -83,13 +83,16 @@ def flagship(spark, sf_dir):
     return rows.groupBy(tenth.alias("conf_bucket"), decide.outcome().alias("outcome")).agg(F.count("*").alias("n"))
 
 
-@query(_voted("""select c.request_id, c.structurer, c.field, coalesce(c.value = v.value, false) as was_selected from cand c left join voted v on c.request_id = v.request_id and c.field = v.field"""))
+_WON = "coalesce(value = max(case when place = 1 then value end) over (partition by request_id, field), false)"
+
+
+@query(_voted(f"select request_id, structurer, field, {_WON} as was_selected from ranked"))
 def j5_attribution(spark, sf_dir):
     cands = _calibrated(spark, sf_dir)
     return merge.attribute(cands, merge.vote(cands)).select("request_id", "structurer", "field", "was_selected")
 
 
-@query(_voted("""select c.request_id, c.country, c.field, c.structurer, c.value, round(c.raw_confidence::decimal(10,6), 6)::double as raw_confidence, c.cascade_pos as latency_ms, case when coalesce(c.value = v.value, false) then 'Y' else 'N' end as was_selected from cand c left join voted v on c.request_id = v.request_id and c.field = v.field"""))
+@query(_voted(f"select request_id, country, field, structurer, value, round(raw_confidence::decimal(10,6), 6)::double as raw_confidence, cascade_pos as latency_ms, case when {_WON} then 'Y' else 'N' end as was_selected from ranked"))
 def s21_attribution_rows(spark, sf_dir):
     """What the attribution table gets."""
     cands = _calibrated(spark, sf_dir).withColumn("latency_ms", F.col("cascade_pos"))
