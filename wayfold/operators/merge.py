@@ -43,8 +43,11 @@ def candidate() -> Column:
     return F.when(F.col("value").isNotNull() & (F.col("value") != ""), F.struct("confidence", (-F.col("cascade_pos")).alias("early"), "value", jtrim(F.lower("value")).alias("norm")))
 
 
-def elected(df: DataFrame, said: str) -> DataFrame:
-    """Append ``_won``, a struct of ``value, confidence, merge_strategy``, and ``sources`` to rows with an array of candidates."""
+def elected(df: DataFrame, said: str, sources: Column | None = None) -> DataFrame:
+    """Append ``_won``, a struct of ``value, confidence, merge_strategy``, and ``sources`` to rows with an array of candidates.
+
+    ``sources`` is their number where it is not that of the candidates.
+    """
 
     def group(norm: Column) -> Column:
         own = F.filter(said, lambda x: x["norm"] == norm)
@@ -52,7 +55,7 @@ def elected(df: DataFrame, said: str) -> DataFrame:
 
     groups = F.transform(F.array_distinct(F.transform(said, lambda x: x["norm"])), group)
     # columns of their own, so that they are computed once
-    df = df.withColumns({"_top": F.array_max(said), "_most": F.when(F.size(said) > 1, F.array_max(groups)), "sources": F.size(said).cast("long")})
+    df = df.withColumns({"_top": F.array_max(said), "_most": F.when(F.size(said) > 1, F.array_max(groups)), "sources": (F.size(said) if sources is None else sources).cast("long")})
     agreed = F.coalesce(F.col("_most.n") >= 2, F.lit(False))
     won = F.struct(
         F.when(agreed, F.col("_most.best.value")).otherwise(F.col("_top.value")).alias("value"),

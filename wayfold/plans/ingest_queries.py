@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from wayfold.functions import text
-from wayfold.operators import accuracy, decide, dedup, normalize, patterns, quantiles, reports, sampling
-from wayfold.plans import config
+from wayfold.operators import accuracy, alternatives, decide, dedup, merge, normalize, patterns, quantiles, reports, sampling
+from wayfold.plans import config, extensions
 from wayfold.plans import derived as d
 from wayfold.plans.queries import _GOLD, _decided, _DECIDED, _golden, _voted, query
-from wayfold.sources import backfill, payments, reference, shared, sinks, structurers
+from wayfold.sources import backfill, payment_files, payments, reference, shared, sinks, structurers
 from wayfold.sources import requests as rq
 from wayfold.streaming import enrich as stream
 
@@ -443,3 +444,74 @@ def j13_resumed_backfill(spark, sf_dir):
     for _ in range(3):
         backfill.run(spark, backfill.between(parties, "party_id"), "party_id", planned, store, work, wave=wave, stop_after=1)
     return backfill.results(spark, store).select("party_id", "address_id", F.col("range").cast("long").alias("range"))
+
+
+@query("""select concat(cast(o_custkey as varchar), '/', cast(tx as varchar), '/Dbtr') as correlation_id, concat(cast(o_orderkey as varchar), ' Main St') as raw, 'US' as country_hint
+    from (select *, row_number() over (partition by o_custkey order by o_orderkey) - 1 as tx from orders) o where o_orderkey % 11 <> 0""")
+def s9_payment_files(spark, sf_dir):
+    """A message a customer with a transaction an order, many messages a file; every eleventh has no address."""
+    o = d.table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey")
+    address = F.concat(F.lit("<Dbtr><PstlAdr><Ctry>US</Ctry>\n<AdrLine>"), F.col("o_orderkey").cast("string"), F.lit(" Main St</AdrLine></PstlAdr></Dbtr>"))
+    tx = F.concat(F.lit("<CdtTrfTxInf>"), F.when(F.col("o_orderkey") % 11 != 0, address).otherwise("<Cdtr/>"), F.lit("\n</CdtTrfTxInf>"))
+    keys = o.select("o_custkey").distinct()
+    head = keys.select("o_custkey", F.lit(0).alias("part"), F.lit(0).cast("long").alias("o_orderkey"), F.concat(F.lit("<Document><FIToFICstmrCdtTrf><GrpHdr><MsgId>"), F.col("o_custkey").cast("string"), F.lit("</MsgId></GrpHdr>")).alias("value"))
+    tail = keys.select("o_custkey", F.lit(2).alias("part"), F.lit(0).cast("long").alias("o_orderkey"), F.lit("</FIToFICstmrCdtTrf></Document>").alias("value"))
+    lines = head.unionByName(o.select("o_custkey", F.lit(1).alias("part"), F.col("o_orderkey").cast("long").alias("o_orderkey"), tx.alias("value"))).unionByName(tail)
+    path = shared.folder(spark, "payments")
+    lines.repartitionByRange("o_custkey").sortWithinPartitions("o_custkey", "part", "o_orderkey").select("value").write.text(path)
+    return payments.to_requests(payment_files.parties(payment_files.land(spark, path, shared.folder(spark, "landed"))))
+
+
+def _last_part(requests):
+    """Town, house number and postcode of texts with three comma parts."""
+    rows = [(k, f, v, c) for k, raw in zip(requests["request_id"].to_pylist(), requests["raw"].to_pylist(), strict=True) if raw and raw.count(",") == 2 for (f, v, c) in zip(("TWN_NM", "BLDG_NB", "PST_CD", "EXTRA"), (*(p.strip() for p in raw.replace(" Main St", "").split(",")), "x"), (0.9, 0.6, 0.8, 1.0), strict=True)]
+    return pa.table({name: [r[i] for r in rows] for i, name in enumerate(("request_id", "field", "value", "raw_confidence"))}) if rows else pa.table({"request_id": pa.array([], pa.int64())})
+
+
+def _by_country(raw, field, country):
+    return raw * (1.0 - 0.5 * (country == "CN")) * (1.0 - 0.25 * (field == "PST_CD"))
+
+
+_TOWN = "case c_custkey % 10 " + " ".join(f"when {k} then '{t}'" for k, t in enumerate(("London", "Berlin", "Zurich", "Dubai", "Singapore", "Geneva", "Munich", "Leeds", "Sharjah", "Tehran"))) + " end"
+
+
+@query(f"""select request_id, field, value, round(raw * case when country = 'CN' then 0.5 else 1.0 end * case when field = 'PST_CD' then 0.75 else 1.0 end, 9) as confidence from (
+    select c_custkey as request_id, {_CTRY} as country, f.f as field, f.c::double as raw,
+        case f.f when 'TWN_NM' then {_TOWN} when 'BLDG_NB' then cast(c_custkey % 97 as varchar) else lpad(cast(c_custkey % 99999 as varchar), 5, '0') end as value
+    from customer, (values ('TWN_NM', 0.9), ('BLDG_NB', 0.6), ('PST_CD', 0.8)) f(f, c)) x""")
+def e1_e2_extensions(spark, sf_dir):
+    """An own structurer and an own calibrator, registered and called from SQL."""
+    own = extensions.Extensions(spark)
+    own.structurer("parts", _last_part)
+    own.calibrator("country", _by_country)
+    d.addresses(spark, sf_dir).createOrReplaceTempView("wayfold_addresses")
+    return spark.sql("""select c.request_id, c.field, c.value, round(calibrate_country(c.raw_confidence, c.field, a.country_hint), 9) as confidence
+        from structure_parts(table(select request_id, raw from wayfold_addresses)) c join wayfold_addresses a on c.request_id = a.request_id""")
+
+
+_READINGS = """reading as (select o_orderkey as request_id, s.s, r.r, concat('v', cast(case when r.r = 0 then o_orderkey + s.s when r.r = 1 then o_orderkey + 2 * s.s + 1 when o_orderkey % 3 = 0 then 2 * o_orderkey + 4 else o_orderkey * s.s + 2 end % 7 as varchar)) as value,
+        ((50 + (o_orderkey * 7 + s.s * 11) % 50)::double / 100) - 0.1::double * r.r as confidence from orders, (values (0), (1), (2)) s(s), (values (0), (1), (2)) r(r) where (o_orderkey + s.s) % 4 <> 0),
+    once as (select *, count(*) over (partition by request_id, value) as n, min(s) over (partition by request_id, value) as seen, count(distinct s) over (partition by request_id) as sources
+        from (select *, row_number() over (partition by request_id, s, value order by confidence desc, r) as own from reading) x where own = 1),
+    placed as (select *, row_number() over (partition by request_id order by case when n >= 2 then n else 1 end desc, case when n >= 2 then seen else 0 end, confidence desc, s, r) as place, min(r) over (partition by request_id, value) as best_rank, max(n) over (partition by request_id) as most from once)"""
+
+
+@query(f"""with {_READINGS} select request_id, value, round(case when n >= 2 then least(1.0, confidence * (1.0 + 0.1 * (n - 1))) else confidence end, 9) as confidence,
+    case when n >= 2 then 'CONSENSUS' when sources = 1 then 'SINGLE_SOURCE' else 'HIGHEST_CONFIDENCE' end as merge_strategy, sources, best_rank as rank, most = sources as shared from placed where place = 1""")
+def e6_alternatives(spark, sf_dir):
+    """Answers with two alternatives each, from up to three sources: an alternative may win the vote."""
+    o = F.col("o_orderkey")
+    orders = d.table(spark, sf_dir, "orders").select("o_orderkey")
+
+    def answers(s):
+        def reading(r, index):
+            return F.struct(F.concat(F.lit("v"), (index % 7).cast("string")).alias("value"), ((50 + (o * 7 + s * 11) % 50).cast("double") / 100 - F.lit(0.1) * r).alias("confidence"))
+
+        first, *rest = (reading(r, x) for r, x in enumerate((o + s, o + 2 * s + 1, F.when(o % 3 == 0, 2 * o + 4).otherwise(o * s + 2))))
+        said = F.struct(first["value"].alias("value"), first["confidence"].alias("confidence"), F.array(*rest).alias("alternatives"))
+        body = F.to_json(F.struct(F.create_map(F.lit("TWN_NM"), said).alias("fields"), F.lit("1.0").alias("structurerVersion")))
+        return structurers.from_wire(orders.where((o + s) % 4 != 0).select(o.alias("request_id"), body.alias("body")), f"source-{s}")
+
+    rows = structurers.union_all(*(answers(s) for s in range(3)), order=("source-0", "source-1", "source-2"))
+    calibrated = merge.calibrate(alternatives.ranked(rows.withColumn("country", F.lit("US"))), d.calibration(spark, sf_dir))
+    return alternatives.resolve(calibrated).select("request_id", "value", F.round("confidence", 9).alias("confidence"), "merge_strategy", "sources", "rank", "shared")

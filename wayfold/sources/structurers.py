@@ -104,6 +104,18 @@ def from_responses(responses: DataFrame, name: str, fields: tuple[str, ...] = FI
     return first.where(~is_blank(F.col("value"))).select(*CANDIDATE)
 
 
+def from_wire(responses: DataFrame, name: str, fields: tuple[str, ...] = FIELDS, body: str = "body") -> DataFrame:
+    """Answers in the wire form of structurers (a JSON object of fields with alternatives): candidates with ``alternatives`` and ``version``.
+
+    Fields that the structurer may not fill, and answers that do not parse, give none.
+    """
+    answer = "struct<value:string,confidence:double,alternatives:array<struct<value:string,confidence:double>>>"
+    parsed = responses.select("request_id", F.from_json(body, f"fields map<string,{answer}>, structurerVersion string").alias("_b"))
+    each = parsed.select("request_id", F.col("_b.structurerVersion").alias("version"), F.posexplode("_b.fields").alias("pos", "field", "said")).where(F.col("field").isin(*fields))
+    rows = each.select("request_id", F.lit(name).alias("structurer"), "field", "pos", F.col("said.value").alias("value"), F.coalesce("said.confidence", F.lit(0.0)).alias("raw_confidence"), F.col("said.alternatives").alias("alternatives"), "version")
+    return rows.where(~is_blank(F.col("value")))
+
+
 def prompts(requests: DataFrame, template: str, supplements: DataFrame) -> DataFrame:
     """Prompt text of each request: the template, its country's supplement, the three values."""
     joined = requests.join(supplements.withColumnRenamed("country", "_country"), F.col("country_hint") == F.col("_country"), "left")
