@@ -1,6 +1,7 @@
 """License, secret, quality and benchmark scans against brute force."""
 
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -15,7 +16,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from wayfold.llm import op06_licenses, op07_decontamination, op08_secrets, op09_quality, queries
-from wayfold.llm.trigrams import query
+from wayfold.llm.trigrams import query, trigrams
 
 FOLD = {c: c + 32 for c in range(65, 91)}
 
@@ -121,6 +122,24 @@ def test_secrets_of_a_long_text(spark):
     assert masked == re.sub("[0-9a-f]{24,}", "[SECRET]", text)
 
 
+def test_secrets_by_many_rules(spark):
+    """More mandatory trigrams than one word has bits."""
+    rng = random.Random(5)
+    names = sorted({"".join(rng.choice("bcdfghkmnpqrstvwxz") for _ in range(5)) for _ in range(120)})
+    rules = tuple(op08_secrets.Rule(name, rf"{name}_[A-Z0-9]+", 12) for name in names)
+    assert len(set().union(*(trigrams(query(r.pattern)) for r in rules))) > 3 * op08_secrets.WORD
+    texts = [" ".join(f"{name}_{'A1' * rng.randint(2, 9)} {name[1:]}_AAAAAAAA" for name in rng.sample(names, 3)) for _ in range(60)] + ["", None, names[0], f"{names[-1]}_{'Z' * 30}"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.all for r in op08_secrets.scan(df, rules=rules).select("doc_id", op08_secrets.listing(rules).alias("all")).collect()}
+    assert got == {k: slow_spans(t, rules) for k, t in enumerate(texts)} and got[63]
+
+
+def test_repeats_that_coincide_are_no_few_strings():
+    q = query("(a|aa|b|bb|ab|ba){1,4}xyz")
+    met = lambda q, t: True if q is True else q in t if isinstance(q, str) else (all if q[0] == "and" else any)(met(x, t) for x in q[1])
+    assert all(met(q, "".join(p) + "xyz") for n in range(1, 5) for p in itertools.product(("a", "aa", "b", "bb", "ab", "ba"), repeat=n))
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.sampled_from(["token", "=", ":", "secret", "PassWord", "api", "_key", "abcdef", "12", " ", "'", "AKIA", "ABCDEFGHIJKLMNOP", "xoxb-", "é"]), max_size=14))
 def test_trigram_queries_never_lose_a_match(parts):

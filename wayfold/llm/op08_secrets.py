@@ -36,6 +36,7 @@ from wayfold.llm.trigrams import query, trigrams
 
 BLOCK = 256
 CUT = 1024
+WORD = 62
 SPANS = "array<struct<start:int,end:int,n:int>>"
 
 
@@ -85,7 +86,8 @@ def _holds(q, place: dict[str, int], found: Column) -> Column:
     if q is True:
         return F.lit(True)
     if isinstance(q, str):
-        return found.bitwiseAND(F.lit(1 << place[q])) != 0
+        word, bit = divmod(place[q], WORD)
+        return F.get(found, F.lit(word)).bitwiseAND(F.lit(1 << bit)) != 0
     parts = [_holds(x, place, found) for x in q[1]]
     out = parts[0]
     for p in parts[1:]:
@@ -96,7 +98,11 @@ def _holds(q, place: dict[str, int], found: Column) -> Column:
 def candidates(index: DataFrame, rules: list[Rule], wanted: list[str]) -> DataFrame:
     """Documents whose postings meet some rule's query: ``key`` and ``rules`` (places in the list)."""
     place = {g: k for k, g in enumerate(wanted)}
-    met = index.groupBy("key").agg(F.bit_or(F.expr("shiftleft(1L, trigram)")).alias("found"))
+    words = range(-(-len(wanted) // WORD))
+    bit = F.expr(f"shiftleft(1L, trigram % {WORD})")
+    # a document's trigrams are a set of bits, as many words as the rules need
+    bits = index.groupBy("key").agg(*(F.coalesce(F.bit_or(F.when(F.floor(F.col("trigram") / WORD) == w, bit)), F.lit(0).cast("long")).alias(f"w{w}") for w in words))
+    met = bits.select("key", F.array(*(f"w{w}" for w in words)).alias("found"))
     rules_met = F.array_compact(F.array(*(F.when(_holds(query(r.pattern), place, F.col("found")), F.lit(k)) for k, r in enumerate(rules))))
     return met.select("key", rules_met.alias("rules")).where(F.size("rules") > 0)
 
@@ -141,8 +147,6 @@ def scan(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, key
     ``key``: the columns that the index's row hash is taken of, by default all.
     """
     wanted = sorted(set().union(*(trigrams(query(r.pattern)) for r in rules)))
-    if len(wanted) > 63:
-        raise ValueError("the rules name more than 63 trigrams")
     indexed = [r for r in rules if query(r.pattern) is not True]
     row, met_rules = unused(df, "_row"), unused(df, "_rules")
     key_of = row_key(*(key or df.columns))

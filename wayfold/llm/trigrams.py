@@ -52,7 +52,7 @@ def _exact(tree) -> set[str] | None:
             own = None if None in parts else set().union(*parts)
         elif op in (C.MAX_REPEAT, C.MIN_REPEAT) and arg[1] is not C.MAXREPEAT and arg[1] <= 4:
             once = _exact(arg[2])
-            own = None if once is None else {"".join(x) for n in range(arg[0], arg[1] + 1) for x in _power(once, n)}
+            own = None if once is None else _repeated(once, arg[0], arg[1])
         else:
             own = None
         if own is None or len(out) * len(own) > MOST:
@@ -61,10 +61,15 @@ def _exact(tree) -> set[str] | None:
     return out
 
 
-def _power(strings: set[str], n: int) -> list[tuple[str, ...]]:
-    out: list[tuple[str, ...]] = [()]
-    for _ in range(n):
-        out = [(*a, b) for a in out for b in strings][: MOST + 1]
+def _repeated(strings: set[str], least: int, most: int) -> set[str] | None:
+    """Strings of ``least`` to ``most`` of ``strings`` in a row, if they are few."""
+    power, out = {""}, {""} if least == 0 else set()
+    for n in range(1, most + 1):
+        power = {a + b for a in power for b in strings}
+        if len(power) > MOST:
+            return None
+        if n >= least:
+            out |= power
     return out
 
 
