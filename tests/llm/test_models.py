@@ -56,6 +56,25 @@ def test_code_lengths():
             assert abs(got[k, j] / op03_langid.UNIT - slow_length(t, grams[lang])) < 0.01
 
 
+def test_sixty_languages_need_the_sum_of_their_tables():
+    """Each with 8,000 grams: groups do not change a code length, and the size grows with the languages."""
+    rng = np.random.default_rng(4)
+    rows, sizes = [], {}
+    for k in range(60):
+        letters = rng.permutation(np.r_[97:123, 195 + k % 4, 160 + np.arange(20)])[:30]
+        grams = np.unique(sum(rng.choice(letters, 12_000) << s for s in (0, 8, 16, 24)))[:8000]
+        rows += [(f"l{k:02d}", int(g), int(n)) for g, n in zip(grams, rng.integers(1, 9, len(grams)), strict=True)]
+        if k + 1 in (15, 30, 60):
+            model = op03_langid.Model(rows)
+            sizes[k + 1] = model.nbytes
+    assert len(model.langs) == 60 and sizes[60] < 2.2 * sizes[30] < 4.6 * sizes[15] and sizes[60] < 400 << 20
+    raw, offsets = text_bytes(pa.array(["".join(map(chr, rng.integers(97, 123, 50))) for _ in range(20)] + ["", "é à ü"]))
+    got = model.lengths(raw, offsets)
+    few = [r for r in rows if r[0] in ("l07", "l31")]
+    for most in (1, 1 << 30):
+        assert (op03_langid.Model(few, most=most).lengths(raw, offsets) == got[:, [7, 31]]).all()
+
+
 def test_languages(spark, sf_dir):
     rows = queries.op3_language_id(spark, sf_dir)
     known = rows.join(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out").toPandas()
