@@ -44,7 +44,7 @@ RIDGE = 1e-4
 STEPS = 10
 MEMORY = 6
 CUTOFF = 0.7
-CHUNK = 1 << 21
+CHUNK = 1 << 19
 _SPACE = np.where(_WORD, np.arange(256), 32).astype(np.uint8)
 
 
@@ -128,7 +128,10 @@ def _added(rows: DataFrame, make) -> np.ndarray:
         for batch in batches:
             for low in range(0, batch.num_rows, SLICE):
                 own = make(batch.slice(low, SLICE))
-                total = own if total is None else total + own
+                if total is None:
+                    total = own
+                else:
+                    total += own
         if total is not None:
             yield pa.RecordBatch.from_arrays([pa.array([total.astype(np.float32).tobytes()], pa.binary())], names=["sum"])
 
@@ -178,7 +181,7 @@ def train(df: DataFrame, label: str, key: str = "doc_id", text: str = "text", ro
         return Model(np.zeros(SIZE), -50.0 if not ones else 50.0)
 
     def extract(batches):
-        for batch in bounded(batches, 1, 1 << 20):
+        for batch in bounded(batches, 1, 1 << 18):
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.binary()) for x in _pack(*rates(*text_bytes(batch.column(1))), batch.num_rows))], names=["y", "low", "upper", "rate"])
 
     spread = sample.select("y", "text").repartition(max(1, -(-min(rows, n) // PART_ROWS)))
@@ -221,7 +224,7 @@ def predict(df: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
 
     def run(batches):
         m = shared.value
-        for batch in bounded(batches, -1, 2 << 20):
+        for batch in bounded(batches, -1, 1 << 19):
             score = m.score(*text_bytes(batch.column(batch.num_columns - 1)))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(score), pa.array((score >= cutoff).astype(np.int32))], names=[*batch.schema.names[:-1], "score", "predicted"])
 
