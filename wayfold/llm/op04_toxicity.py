@@ -22,6 +22,7 @@ columns, whatever their names, are ignored; an empty table gives an empty result
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wayfold.llm.common import _WORD, bounded, fold, stored, text_bytes
+from wayfold.llm.common import _WORD, bounded, fold, release, scratch, stored, text_bytes
 
 TRAIN_ROWS = 12_000
 PART_ROWS = 2_000
@@ -173,7 +174,15 @@ def minimized(evaluate, at: np.ndarray, steps: int = STEPS) -> np.ndarray:
 
 def train(df: DataFrame, label: str, key: str = "doc_id", text: str = "text", rows: int = TRAIN_ROWS, ridge: float = RIDGE) -> Model:
     """Fit on about ``rows`` labelled rows, which Spark reads, counts and adds up."""
-    known = df.where(F.col(label).isNotNull()).select(F.col(key).alias("key"), F.col(label).cast("int").alias("y"), F.col(text).alias("text"))
+    scope = f"fit_{uuid.uuid4().hex}"
+    try:
+        with scratch(scope):
+            return _fit(df.where(F.col(label).isNotNull()).select(F.col(key).alias("key"), F.col(label).cast("int").alias("y"), F.col(text).alias("text")), rows, ridge)
+    finally:
+        release(df, scope)  # the fitted model reads nothing
+
+
+def _fit(known: DataFrame, rows: int, ridge: float) -> Model:
     n, ones = known.agg(F.count("*"), F.sum("y")).first()
     draw = F.xxhash64("key").bitwiseAND(F.lit((1 << 30) - 1)) / float(1 << 30)
     sample = known.where(draw < min(1.0, rows / max(n, 1)))
