@@ -113,6 +113,21 @@ def small(df: DataFrame, bound: int = SMALL) -> DataFrame:
     return F.broadcast(df) if n <= bound else df
 
 
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int):
+    """Jobs run meanwhile send Python at most ``rows`` rows a batch, for rows too wide for the usual number."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, rows)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finalizer: every input bit reaches every output bit."""
     x = x ^ (x >> np.uint64(33))

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wayfold.llm.common import _WORD, bounded, fold, release, scratch, stored, text_bytes
+from wayfold.llm.common import _WORD, arrow_rows, bounded, fold, release, scratch, stored, text_bytes
 
 TRAIN_ROWS = 12_000
 PART_ROWS = 2_000
@@ -127,12 +127,13 @@ def _added(rows: DataFrame, make) -> np.ndarray:
     def run(batches):
         total = None
         for batch in batches:
-            for low in range(0, batch.num_rows, SLICE):
-                own = make(batch.slice(low, SLICE))
-                if total is None:
-                    total = own
-                else:
-                    total += own
+            if not batch.num_rows:
+                continue
+            own = make(batch)
+            if total is None:
+                total = own
+            else:
+                total += own
         if total is not None:
             yield pa.RecordBatch.from_arrays([pa.array([total.astype(np.float32).tobytes()], pa.binary())], names=["sum"])
 
@@ -176,7 +177,7 @@ def train(df: DataFrame, label: str, key: str = "doc_id", text: str = "text", ro
     """Fit on about ``rows`` labelled rows, which Spark reads, counts and adds up."""
     scope = f"fit_{uuid.uuid4().hex}"
     try:
-        with scratch(scope):
+        with scratch(scope), arrow_rows(df.sparkSession, SLICE):
             return _fit(df.where(F.col(label).isNotNull()).select(F.col(key).alias("key"), F.col(label).cast("int").alias("y"), F.col(text).alias("text")), rows, ridge)
     finally:
         release(df, scope)  # the fitted model reads nothing
