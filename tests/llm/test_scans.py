@@ -75,6 +75,34 @@ def test_license_blocks_reach_over_lines_and_no_further(spark):
     assert "mit" in labels[0].split(",") and "bsd-2-clause" in labels[3] and labels[1] == "" and "mit" in labels[2].split(",")
 
 
+def test_each_license_filter_rejects_and_none_loses_a_match():
+    rng = random.Random(5)
+    name, template = "t", " ".join(f"w{i}" for i in range(20))
+    counts = {int(c): i + 1 for i, c in enumerate(op06_licenses._codes([template])[0])}  # w0 is the rarest
+    known = op06_licenses.Templates({name: template}, counts, 0.8)
+    assert (known.size[0], known.need[0], known.span[0]) == (20, 16, 25)
+    short = "w2 " * 3 + "w9"
+    far = "w1 " + "x " * 40 + " ".join(f"w{i}" for i in range(5, 20))
+    later = "w4 " * 2 + "w0 w1 w2 w3 " * 3 + " ".join(f"w{i}" for i in range(5, 12))  # enough words about w4, too few behind it in the order
+    texts = [short, far, later, template]
+    texts += [" ".join(rng.choice([f"w{rng.randrange(20)}", "x"] if rng.random() < 0.3 else [f"w{j % 20}"]) for j in range(rng.randrange(120))) for _ in range(400)]
+    words = op06_licenses.Words(op06_licenses.pa.array(texts))
+    at = np.minimum(np.searchsorted(known.words, words.code), len(known.words) - 1)
+    rank = np.where(known.words[at] == words.code, known.rank[0][at], -1)
+    owner = np.repeat(np.arange(len(texts)), np.diff(words.first))
+    found = known.candidates(0, np.arange(len(rank)), rank, owner, words.first)
+    prefix, long, left = ({(int(owner[i]), int(rank[i])) for i in x} for x in found)
+    at_lead = rank[owner == 2]
+    assert (at_lead >= 0).sum() >= 16 > (at_lead >= 4).sum()
+    assert {(0, 2), (1, 1), (2, 4), (3, 0)} <= prefix and (0, 2) not in long and {(1, 1), (2, 4)} <= long - left and {(2, 0), (3, 0)} <= left
+    left = {d for d, _ in left}
+    want = {d: best[name] for d, t in enumerate(texts) if (best := slow_blocks(t.split(), {name: template.split()}))}
+    got: dict[int, float] = {}
+    for d, _, _, share in known.matches(words.code, words.first):
+        got[d] = max(share, got.get(d, 0))
+    assert got == want and want.keys() <= left and 3 in want and len(want) > 20
+
+
 def slow_spans(text, rules):
     out = []
     for k, r in enumerate(rules):

@@ -5,11 +5,15 @@ template may get at the containment threshold: its words divided by
 ``THRESHOLD``. Every such run of a document is a block. A template matches a
 block that holds at least ``THRESHOLD`` of the template's distinct words. All of
 the templates' words are ordered by their count in the whole corpus, rarest
-first. With n distinct words and a need of o = ceil(threshold * n), a matching
-block holds one of the first n - o + 1 (prefix filter), a document has o of them
-at least (length filter), and its first match at place p leaves n - p >= o words
-(positional filter). Around what passes, the distinct words of all blocks are
-counted at once, so no match is missed and none is made up.
+first. Let a template have n distinct words and need o = ceil(threshold * n) of
+them. A matching block's rarest template word is among the template's first
+n - o + 1 (prefix filter), so only places of those are candidates. A candidate in
+a document of fewer than o words goes (length filter). If the template word at a
+candidate has place p in the order, its block's other template words come after
+p, and all of them stand within a block's length of it and in its document: with
+fewer than o such words there the candidate goes (positional filter). Around what is
+left, the distinct words of all blocks are counted at once, so no match is missed
+and none is made up.
 
 Templates are a parameter of fixed size, so they travel to the tasks; the
 corpus is read twice, once for the counts and once for the join, and nothing
@@ -64,25 +68,41 @@ def corpus_counts(df: DataFrame, text: str, vocabulary: np.ndarray) -> dict[int,
 
 
 class Templates:
-    """Templates as word sets in global order, with their prefix, need and block length."""
+    """Templates as word sets in global order, with their need and block length."""
 
     def __init__(self, templates: dict[str, str], counts: dict[int, int], threshold: float):
         codes = _codes(list(templates.values()))
         self.words = np.unique(np.concatenate([np.zeros(0, np.uint64), *codes]))
         self.names = list(templates)
-        self.size, self.need, self.span, self.held, self.leaves = [], [], [], [], []
+        self.size, self.need, self.span, self.rank = [], [], [], []
         for code in codes:
             own = sorted({int(c) for c in code}, key=lambda c: (counts.get(c, 0), c))
             need = max(1, math.ceil(threshold * len(own) - 1e-9))
             place = np.searchsorted(self.words, np.array(own, np.uint64))
-            held, leaves = np.zeros(len(self.words) + 1, bool), np.zeros(len(self.words) + 1, np.int64)
-            held[place] = True
-            leaves[place[: len(own) - need + 1]] = len(own) - np.arange(len(own) - need + 1)  # what a first match there leaves
+            rank = np.full(len(self.words) + 1, -1)  # by word: its place in the template's order
+            rank[place] = np.arange(len(own))
             self.size.append(len(own))
             self.need.append(need)
             self.span.append(math.ceil(len(code) / threshold - 1e-9))
-            self.held.append(held)
-            self.leaves.append(leaves)
+            self.rank.append(rank)
+
+    def candidates(self, k: int, place: np.ndarray, rank: np.ndarray, owner: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Which words are candidates by the prefix filter, which of them the length filter leaves, and which the positional filter."""
+        need = self.need[k]
+        prefix = np.flatnonzero((rank >= 0) & (rank <= self.size[k] - need))
+        long = prefix[np.diff(first)[owner[prefix]] >= need]
+        left = long[self._around(k, place[long], owner[long], place[rank >= 0], first) >= need]
+        parts = []
+        for p in np.unique(rank[left]):
+            at = left[rank[left] == p]
+            parts.append(at[self._around(k, place[at], owner[at], place[rank >= p], first) >= need])
+        return prefix, long, np.sort(np.concatenate([left[:0], *parts]))
+
+    def _around(self, k: int, at: np.ndarray, owner: np.ndarray, held: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """How many of the places ``held`` are in any block of the same document that reaches over each place of ``at``."""
+        low = np.maximum(at - self.span[k] + 1, first[owner])
+        high = np.minimum(at + self.span[k], first[owner + 1])
+        return np.searchsorted(held, high) - np.searchsorted(held, low)
 
     def matches(self, code: np.ndarray, first: np.ndarray) -> list[tuple[int, int, int, float]]:
         """(document, template, first word of the block, containment) of a batch of documents."""
@@ -96,12 +116,12 @@ class Templates:
         for k in range(len(self.names)):
             if not self.size[k]:
                 continue
-            leads = self.leaves[k][word] >= self.need[k]
-            if not leads.any():
+            rank = self.rank[k][word]
+            leads = self.candidates(k, known, rank, owner, first)[2]
+            if not len(leads):
                 continue
-            near = np.zeros(len(first), bool)
-            near[owner[leads]] = True
-            own = np.flatnonzero(self.held[k][word] & near[owner])
+            own = np.flatnonzero(rank >= 0)
+            own = own[self._around(k, known[own], owner[own], known[leads], first) > 0]
             found += self._blocks(k, known[own], word[own], owner[own], first)
         return found
 
