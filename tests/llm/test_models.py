@@ -202,3 +202,82 @@ def test_equal_languages_go_to_the_smaller_name(spark):
     df = spark.createDataFrame([(k, "one two three four", lang) for k, lang in enumerate(["bb", "aa"] * 3)], "doc_id long, text string, lang string")
     rows = op03_langid.predict(df, op03_langid.train(df)).collect()
     assert {r.lang_pred for r in rows} == {"aa"} and {r.score for r in rows} == {0.5}
+
+
+def slow_factor(m, c):
+    return np.linalg.cholesky(c + op09_quality.FLOOR * np.eye(5))
+
+
+def slow_square(x, m, c):
+    y = np.linalg.solve(slow_factor(m, c), (x - m).T)
+    return (y * y).sum(0)
+
+
+def slow_rank(values, share):
+    return np.sort(values, axis=0)[math.ceil(share * len(values)) - 1]
+
+
+def slow_verdicts(x, groups):
+    """Squared distances by the whole method; ``groups`` holds each row's keys, widest first."""
+    q = op09_quality
+    keys = sorted({g for row in groups for g in row})
+    rows = {g: x[[g in row for row in groups]] for g in keys}
+    at = {}
+    for g, own in rows.items():
+        mid = slow_rank(own, 0.5)
+        spread = 1.4826 * slow_rank(np.abs(own - mid), 0.5) + q.FLOOR**0.5
+        z = (own - mid) / spread
+        z = z / np.sqrt((z * z).sum(1) + 1e-12)[:, None]
+        scale = np.outer(spread, spread)
+        at[g, 0], at[g, 1] = (mid, np.eye(5) * scale), (mid, 5 * (z.T @ z) / len(z) * scale)
+
+    def size(m, c):
+        return 2 * np.log(np.diag(slow_factor(m, c))).sum()
+
+    for step in range(q.STEPS):
+        fell = []
+        for key, (m, c) in at.items():
+            own = rows[key[0]]
+            d2 = slow_square(own, m, c)
+            core = own[d2 <= slow_rank(d2, q.CORE)]
+            at[key] = core.mean(0), np.cov(core.T, bias=True)
+            fell.append(size(m, c) - size(*at[key]))
+        if step and max(fell) < 0.01:
+            break
+    level = {}
+    for g in sorted(keys, key=lambda g: g.count("/")):
+        m, c = min((at[g, k] for k in (0, 1)), key=lambda mc: size(*mc))
+        c = c * max(slow_rank(slow_square(rows[g], m, c), 0.5) / q.MEDIAN, 1)
+        if "/" in g:
+            up, share = level[g.rsplit("/", 1)[0]], len(rows[g]) / (len(rows[g]) + q.PRIOR)
+            m, c = share * m + (1 - share) * up[0], share * c + (1 - share) * up[1]
+        level[g] = m, c
+    return np.array([slow_square(v[None], *level[row[-1]])[0] for v, row in zip(x, groups, strict=True)])
+
+
+def test_quality_verdicts_by_the_whole_method(spark):
+    rng = random.Random(11)
+    rows = []
+    for k in range(360):
+        words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 11))) for _ in range(int(rng.lognormvariate(4.3, 0.5)) + 5)]
+        if k % 5 == 0:
+            words = [w if rng.random() < 0.9 else "#$" + w for w in words]
+        if k % 40 == 7:
+            words = ["*#$%&|<>" * 4 for _ in words]
+        if k % 40 == 9:
+            words = ["x" * 60 for _ in words[:25]]
+        lines = [" ".join(words[i : i + 12]) for i in range(0, len(words), 12)]
+        if k % 9 == 0:
+            lines += lines[: len(lines) // 3]
+        rows.append((k, rng.choice(["en", "en", "de", None]), rng.choice(["web", "web", "book", None]), "\n".join(lines)))
+    rows += [(k + 1000, *r[1:]) for k, r in enumerate(rows[:20])]
+    got = {r.doc_id: r for r in op09_quality.judge(spark.createDataFrame(rows, "doc_id long, lang string, source string, text string")).collect()}
+    x, groups = [], []
+    for k, lang, source, text in rows:
+        r, n_lines = got[k], sum(bool(line.strip()) for line in text.split("\n"))
+        x.append([math.log1p(r.n_words) / 2, math.log(r.word_chars / r.n_words), math.sqrt(r.n_symbols / r.word_chars) * 2, r.n_dup_lines / n_lines / 2, r.n_repeat_words / r.n_words])
+        groups.append(("all", f"all/{lang}", f"all/{lang}/{source}"))
+    want = slow_verdicts(np.array(x), groups)
+    assert np.allclose([got[r[0]].distance2 for r in rows], want, rtol=1e-6, atol=1e-9)
+    assert [got[r[0]].kept for r in rows] == [not got[r[0]].base_failed and d <= op09_quality.CUTOFF for r, d in zip(rows, want, strict=True)]
+    assert 10 < sum(d > op09_quality.CUTOFF for d in want) < 60

@@ -36,6 +36,18 @@ def test_odd_rows(spark, odd_rows):
     assert all(bytes(r.decoded).decode() == (r.text or "") for r in back) and len(back) == 10
 
 
+def test_columns_named_as_the_new_ones_give_way(spark, odd_rows):
+    taken = odd_rows.selectExpr("0 as TOKEN_IDS", "*", "'x' as decoded")
+    once = op05_bpe.encode(taken)
+    twice = op05_bpe.decode(op05_bpe.encode(once))
+    assert once.columns == [*odd_rows.columns, "decoded", "token_ids"] and twice.columns == [*odd_rows.columns, "token_ids", "decoded"]
+    rows = twice.collect()
+    assert len(rows) == 10 and all(bytes(r.decoded).decode() == (r.text or "") for r in rows)
+    # the text itself may be written over
+    assert op05_bpe.encode(odd_rows, out="text").columns == [c for c in odd_rows.columns if c != "text"] + ["text"]
+    assert op05_bpe.encode(odd_rows.where("false")).count() == 0
+
+
 def slow_allocate(text, sections, rule):
     ids = op05_bpe.encode_text(text)
     owner = [i for i, c in enumerate(text) for _ in c.encode()]

@@ -1,8 +1,10 @@
 """Byte-level BPE encoding and decoding with tiktoken and a local rank file.
 
 Defined cases: a null or empty text has no tokens; special-token strings are
-ordinary text; extra columns pass through ``encode`` untouched; repeated rows
-and repeated ids each give their own row; an empty table gives an empty result.
+ordinary text; very long texts are encoded whole, piece by piece between safe
+boundaries; extra columns pass through ``encode`` and ``decode`` untouched, but for
+one that has the new column's name, which gives way; repeated rows and
+repeated ids each give their own row; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -62,31 +64,28 @@ def encode_text(text: str | None, name: str = RANKS) -> list[int]:
     return ids
 
 
-def encode(df: DataFrame, text: str = "text", out: str = "token_ids", name: str = RANKS) -> DataFrame:
-    """Append the token ids of ``text`` as an array column."""
-
-    at = df.columns.index(text)
+def _appended(df: DataFrame, source: str, out: str, kind: T.DataType, arrow: pa.DataType, work) -> DataFrame:
+    """``df`` with ``out`` made of ``source``; a column of that name, in any case, gives way, as with ``withColumn``."""
+    at = df.columns.index(source)
+    is_text = isinstance(df.schema.fields[at].dataType, T.StringType)
+    kept = [i for i, c in enumerate(df.columns) if c.lower() != out.lower()]
 
     def run(batches):
-        for batch in bounded(batches, at):
-            rows = batch.column(at)
-            ids = pa.array([encode_text(x.as_py(), name) for x in rows], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, ids], names=[*batch.schema.names, out])
+        for batch in bounded(batches, at) if is_text else batches:
+            made = pa.array(work(batch.column(at)), arrow)
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), made], names=[*(batch.schema.names[i] for i in kept), out])
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(out, T.ArrayType(T.IntegerType()))]))
+    return df.mapInArrow(run, T.StructType([*(df.schema.fields[i] for i in kept), T.StructField(out, kind)]))
 
 
-def decode(df: DataFrame, ids: str = "token_ids", out: str = "decoded", name: str = RANKS) -> DataFrame:
-    """Append the bytes that the ids stand for; null ids read as none."""
+def encode(df: DataFrame, text: str = "text", out: str = "token_ids", name: str = RANKS) -> DataFrame:
+    """Append the token ids of ``text`` as an array column."""
+    return _appended(df, text, out, T.ArrayType(T.IntegerType()), pa.list_(pa.int32()), lambda rows: [encode_text(x.as_py(), name) for x in rows])
 
-    def run(batches):
-        enc = encoding(name)
-        for batch in batches:
-            rows = batch.column(batch.schema.get_field_index(ids))
-            data = pa.array([enc.decode_bytes(x.as_py() or []) for x in rows], pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns, data], names=[*batch.schema.names, out])
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(out, T.BinaryType())]))
+def decode(df: DataFrame, ids: str = "token_ids", out: str = "decoded", name: str = RANKS) -> DataFrame:
+    """Append the bytes that the ids stand for; null ids read as none."""
+    return _appended(df, ids, out, T.BinaryType(), pa.binary(), lambda rows: [encoding(name).decode_bytes(x.as_py() or []) for x in rows])
 
 
 def digests(df: DataFrame, doc_id: str = "doc_id", text: str = "text", name: str = RANKS) -> DataFrame:
