@@ -122,8 +122,8 @@ def _factored(moments: DataFrame) -> DataFrame:
     return out.withColumn("_logdet", sum((2 * F.log(f"l{i}{i}") for i in _P), F.lit(0.0)))
 
 
-def _moments(rows: DataFrame, *by: str) -> DataFrame:
-    return rows.groupBy(*by).agg(*(F.avg(VECTOR[i]).alias(f"m{i}") for i in _P), *(F.covar_pop(VECTOR[i], VECTOR[j]).alias(f"c{i}{j}") for i, j in _PAIRS))
+def _moments(rows: DataFrame, *by: str, before: Column) -> DataFrame:
+    return rows.groupBy(*by).agg(before.alias("_before"), *(F.avg(VECTOR[i]).alias(f"m{i}") for i in _P), *(F.covar_pop(VECTOR[i], VECTOR[j]).alias(f"c{i}{j}") for i, j in _PAIRS))
 
 
 def _distances(rows: DataFrame, params: DataFrame, keep: list[str]) -> DataFrame:
@@ -156,12 +156,12 @@ def _concentrated(members: DataFrame) -> DataFrame:
     # each table of a step has a row for each of these, so the size is proven once
     sent = F.broadcast if n <= SMALL else lambda df: df
     for step in range(STEPS):
-        away = _distances(members, sent(params), ["_group", "_start", *VECTOR])
+        # the determinant before the step goes along with the rows, which saves a join a step
+        away = _distances(members, sent(params), ["_group", "_start", "_logdet", *VECTOR])
         bound = away.groupBy("_group", "_start").agg(F.percentile_approx("_d2", CORE, 1000).alias("_bound"))
         core = away.join(sent(bound), ["_group", "_start"]).where(F.col("_d2") <= F.col("_bound"))
-        before = params.select("_group", "_start", F.col("_logdet").alias("_before"))
         seen = Observation()
-        after = _factored(_moments(core, "_group", "_start")).join(sent(before), ["_group", "_start"]).observe(seen, F.max(F.col("_before") - F.col("_logdet")).alias("fell"))
+        after = _factored(_moments(core, "_group", "_start", before=F.max("_logdet"))).observe(seen, F.max(F.col("_before") - F.col("_logdet")).alias("fell"))
         params = materialize(after.drop("_before"))
         if step and (seen.get.get("fell") or 0) < 0.01:
             break
