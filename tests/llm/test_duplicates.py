@@ -250,3 +250,34 @@ def test_one_large_group_lists_pairs_in_proportion(spark, monkeypatch):
         got = op01_simhash.similar(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), "doc_id")
         assert got.where(F.col("component_id") == 0).count() == n and got.select("component_id").distinct().count() == 51
         assert sum(listed) < 40 * n
+
+
+def test_a_large_group_of_texts_almost_similar_lists_rows_in_proportion(spark, monkeypatch):
+    """Of n texts at a similarity of 0.66 to 0.79 to each other none are linked, each with its own near copy is, and no pairs of them are written."""
+    rng = random.Random(2)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+    rows, n = [], 400
+    for k in range(n):
+        words = list(base)
+        for place in rng.sample(range(5, 295, 6), 6):
+            words[place] = f"x{rng.randrange(10**9)}"
+        rows += [(k, " ".join(words)), (n + k, " ".join(words[:-1]))]
+    listed = []
+    real = op01_simhash._verified
+    monkeypatch.setattr(op01_simhash, "_verified", lambda met, *rest: listed.append(met.count()) or real(met, *rest))
+    got = op01_simhash.similar(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), "doc_id").collect()
+    assert {r.doc_id: r.component_id for r in got} == {k: k % n for k in range(2 * n)}
+    assert sum(listed) < 40 * 2 * n
+
+
+def test_similar_links_are_those_of_brute_force():
+    """Small and large runs, empty sets among them, and runs of two parts."""
+    rng = np.random.default_rng(4)
+    for n, block in ((150, 1), (150, 150), (40, 40)):
+        sets = [np.unique(rng.choice(60, rng.integers(0, 45), replace=False).astype(np.uint32)) for _ in range(n)]
+        run = np.arange(n) // block
+        fp = np.zeros((4, n), np.uint64)
+        bounds = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
+        forest = op01_simhash.similar_links(fp, run, op01_simhash.Sets(np.concatenate(sets), bounds, 0.5), 57)
+        linked = {(i, j) for i in range(n) for j in range(i + 1, n) if run[i] == run[j] and len(np.intersect1d(sets[i], sets[j])) >= 0.5 * len(np.union1d(sets[i], sets[j]))}
+        assert set(forest.edges) <= linked and all(forest.root[i] == forest.root[j] for i, j in linked)

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wayfold.llm.common import bounded, bucketed, materialize, mix, unused
+from wayfold.llm.common import arrow_rows, bounded, bucketed, materialize, mix, unused
 from wayfold.llm.graph import components
 
 SHINGLE = 4
@@ -42,7 +42,8 @@ RADIUS = 4
 SEED = 42
 BLOCK = 4096
 PART = 1 << 16
-CHUNK = 256
+#: Shingle hashes of a part's sets, and records of sets a batch to Python.
+CODES, RECORDS = 1 << 21, 512
 _SPACES = re.compile(rb"[\x20\x09-\x0D]+")
 _UPPER = bytes(range(65, 91))
 _LOWER = bytes(range(97, 123))
@@ -260,35 +261,25 @@ def near(fp: np.ndarray, left: np.ndarray, radius: int):
                     yield i[good], j[good]
 
 
-def linked(fp: np.ndarray, run: np.ndarray, radius: int, group: np.ndarray | None = None, fits=None) -> Forest:
-    """Links within ``radius`` among rows of equal ``run`` (sorted); ``fp`` is of shape (rows) or (words, rows).
-
-    Rows of equal ``group`` count as connected from the start; pairs that do
-    not satisfy ``fits`` are no links.
-    """
+def linked(fp: np.ndarray, run: np.ndarray, radius: int) -> Forest:
+    """Links within ``radius`` among rows of equal ``run`` (sorted); ``fp`` is of shape (rows) or (words, rows)."""
     fp = np.atleast_2d(fp)
     forest = Forest(len(run))
     if len(run) < 2:
         return forest
     starts, sizes, left = runs(run)
-
-    def settle():
-        whole = np.add.reduceat(forest.root == np.arange(len(run)), starts) == 1
-        left[np.repeat(whole, sizes)] = 0  # connected runs are done
-
-    if group is not None:
-        _, first, own = np.unique(np.stack([run, group]), axis=1, return_index=True, return_inverse=True)
-        forest.root = first[own.ravel()]
-        settle()
     for i, j in near(fp, left, radius):
-        if fits is not None:
-            good = fits(i, j)
-            i, j = i[good], j[good]
         forest.link(i, j)
-        settle()
+        _settle(forest, starts, sizes, left)
     return forest
 
 
+def _settle(forest: Forest, starts: np.ndarray, sizes: np.ndarray, left: np.ndarray) -> None:
+    """Connected runs are done."""
+    whole = np.add.reduceat(forest.root == np.arange(len(left)), starts) == 1
+    left[np.repeat(whole, sizes)] = 0
+
+
 def links(fps: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
     """Pairs ``a, b`` of distinct fingerprints that connect all fingerprints within ``radius`` of each other.
 
@@ -306,20 +297,24 @@ def links(fps: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame
 def _forest(rows: np.ndarray, radius: int):
     edges = linked(np.ascontiguousarray(rows[2:]).view(np.uint64), rows[0], radius).edges
     if edges:
-        yield np.array(edges).T
+        i, j = np.array(edges).T
+        yield rows[1][i], rows[1][j]
 
 
-def _compared(keyed: DataFrame, words: int, radius: int, block: int, extra: tuple[str, ...] = (), find=_forest) -> DataFrame:
-    """Pairs that ``find`` makes of rows (``fp``, the words of the fingerprint, ``extra``, ``bucket``) of equal bucket; without it forests of links."""
-    sizes = keyed.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > block)
-    keyed = keyed.join(sizes, "bucket", "left").withColumn("parts", F.coalesce(F.ceil(F.col("n") / block).cast("int"), F.lit(1)))
+def _runs(keyed: DataFrame, parts: DataFrame, *names: str) -> DataFrame:
+    """``run, fp`` and the named columns: ``parts`` says into how many parts a large ``bucket`` is cut, and every two parts, also a part and itself, make a run."""
+    keyed = keyed.join(parts, "bucket", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     keyed = keyed.withColumn("part", F.pmod(F.xxhash64("fp", F.lit(1)), F.col("parts")).cast("int"))
-    # part p meets every part, itself included, in a run of the two
     other = F.when(F.col("parts") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))
-    names = [*(f"word{k}" for k in range(words)), *extra]
     met = keyed.select("fp", *names, "bucket", "part", F.explode(other).alias("other"))
-    met = met.select(F.xxhash64("bucket", F.least("part", "other"), F.greatest("part", "other")).alias("run"), "fp", *names)
-    dealt = met.repartition("run").sortWithinPartitions("run", *names)
+    return met.select(F.xxhash64("bucket", F.least("part", "other"), F.greatest("part", "other")).alias("run"), "fp", *names)
+
+
+def _compared(keyed: DataFrame, words: int, radius: int, block: int, extra: tuple[str, ...] = (), find=_forest, out: tuple[str, ...] = ("a", "b")) -> DataFrame:
+    """What ``find`` makes of rows (``run``, ``fp``, the words of the fingerprint, ``extra``) of equal bucket, as columns ``out``."""
+    parts = keyed.groupBy("bucket").agg(F.ceil(F.count("*") / block).cast("int").alias("parts")).where("parts > 1")
+    names = [*(f"word{k}" for k in range(words)), *extra]
+    dealt = _runs(keyed, parts, *names).repartition("run").sortWithinPartitions("run", *names)
 
     def compare(batches):
         held = None
@@ -337,10 +332,10 @@ def _compared(keyed: DataFrame, words: int, radius: int, block: int, extra: tupl
             else:
                 cut = held.shape[1]
             rows, held = held[:, :cut], held[:, cut:]
-            for i, j in find(rows, radius):
-                yield pa.RecordBatch.from_arrays([pa.array(rows[1][i]), pa.array(rows[1][j])], names=["a", "b"])
+            for columns in find(rows, radius):
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=[*out])
 
-    return dealt.mapInArrow(compare, "a long, b long")
+    return dealt.mapInArrow(compare, ", ".join(f"{c} long" for c in out))
 
 
 def classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = SHINGLE, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
@@ -373,12 +368,12 @@ def similar(df: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int =
     """Classes of texts linked by a Jaccard similarity of ``similarity`` or more of their distinct shingles: each row's ``doc_id``, ``fp`` and ``component_id``.
 
     256-bit fingerprints only propose pairs: those within the mean distance at
-    ``similarity`` plus three deviations. Each proposed pair is linked if the
+    ``similarity`` plus three deviations. A proposed pair is linked if the
     sets themselves are similar enough. Texts of equal sets are one
-    node. As a group of near copies has many pairs, the first round proposes only
-    a forest a bucket of each table, some pairs for each text; the second then
-    verifies every pair whose ends are not in one class yet, so no verified
-    link is lost to a forest.
+    node. As a group of near copies has many pairs, none is written: a bucket first names its texts
+    that are in any proposed pair, and these texts' sets then meet in
+    the bucket, where every pair is verified whose ends are not connected yet. A forest of the
+    verified links leaves the task, so no link is lost and at most a row a text and bucket is made.
 
     Proposed pairs share sampled bits: a pair at the very ``similarity`` meets
     with probability ``recall``, closer pairs almost surely, equal sets always. ``row`` names a unique number by which
@@ -402,25 +397,14 @@ def similar(df: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int =
     share = _share(similarity)
     tables = sampled_bits(least.count(), share, 256, recall, block)
     radius = int(256 * share + 3 * math.sqrt(256 * share * (1 - share)))
-    rows = least.select("fp", *names, "size")
-    # every table proposes a forest, so a text of a group meets several others before pairs are listed
-    close = _links(texts, k, least, rows.withColumn("group", F.col("fp")), radius, tables, similarity, block, True)
-    of = components(close).withColumnRenamed("node", "fp")
-    rows = materialize(rows.join(of, "fp", "left").withColumn("group", F.coalesce("component", "fp")).drop("component"))
-    wide = _links(texts, k, least, rows, radius, tables, similarity, block, False)
-    return _labelled(prints, least, components(close.unionByName(wide)), doc_id)
-
-
-def _links(texts: DataFrame, k: int, least: DataFrame, rows: DataFrame, radius: int, tables: list[np.ndarray], similarity: float, block: int, sparse: bool) -> DataFrame:
-    """Verified links among the pairs of different groups that the tables propose."""
-    found = _compared(_dealt(rows, [f"word{j}" for j in range(4)], tables), 4, radius, block, ("group", "size"), _proposals(similarity, sparse))
-    pairs = materialize(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    return materialize(_verified(pairs, texts, k, least, similarity))
+    dealt = _dealt(least.select("fp", *names, "size"), names, tables).withColumn("own", F.col("bucket"))
+    met = materialize(_compared(dealt, 4, radius, block, ("size", "own"), _proposed(similarity), ("fp", "bucket", "size")).distinct())
+    return _labelled(prints, least, components(_verified(met, texts, k, least, radius, similarity, block)), doc_id)
 
 
 def _dealt(rows: DataFrame, names: list[str], tables: list[np.ndarray]) -> DataFrame:
     """A row for each table, with the bucket of its sampled bits."""
-    columns = ["fp", *names, "group", "size"]
+    columns = ["fp", *names, "size"]
 
     def deal(batches):
         for batch in batches:
@@ -433,68 +417,157 @@ def _dealt(rows: DataFrame, names: list[str], tables: list[np.ndarray]) -> DataF
     return rows.select(*columns).mapInArrow(deal, ", ".join(f"{c} long" for c in (*columns, "bucket")))
 
 
-def _proposals(similarity: float, sparse: bool):
-    """Pairs of different groups whose sizes allow the similarity: a forest of them, or all."""
+def _alike(one: np.ndarray, two: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether sets of these sizes may be similar enough."""
+    return np.minimum(one, two) >= similarity * np.maximum(one, two) - 1e-9
 
-    def find(rows, radius):
-        fp, run, group, size = np.ascontiguousarray(rows[2:6]).view(np.uint64), rows[0], rows[6], rows[7]
 
-        def fits(i, j):
-            return (group[i] != group[j]) & (np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j]) - 1e-9)
+def _proposed(similarity: float):
+    """Rows of any pair within the radius whose sizes allow the similarity: fingerprint, bucket, size."""
 
-        if sparse:
-            edges = linked(fp, run, radius, group, fits).edges
-            if edges:
-                yield np.array(edges).T
-        elif len(run) > 1:
-            starts, sizes, left = runs(run)
-            same = np.minimum.reduceat(group, starts) == np.maximum.reduceat(group, starts)
-            left[np.repeat(same, sizes)] = 0
-            for i, j in near(fp, left, radius):
-                good = fits(i, j)
-                if good.any():
-                    yield i[good], j[good]
+    def find(rows, radius):
+        run, size = rows[0], rows[6]
+        if len(run) < 2:
+            return
+        starts, sizes, left = runs(run)
+        met = np.zeros(len(run), bool)
+        for i, j in near(np.ascontiguousarray(rows[2:6]).view(np.uint64), left, radius):
+            good = _alike(size[i], size[j], similarity)
+            met[i[good]] = met[j[good]] = True
+            left[np.repeat(np.logical_and.reduceat(met, starts), sizes)] = 0
+        if met.any():
+            yield rows[1][met], rows[7][met], size[met]
 
     return find
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, k: int, least: DataFrame, similarity: float) -> DataFrame:
-    """The pairs whose sets of shingles are similar enough.
+class Sets:
+    """Sets of sorted 32-bit hashes end to end, and the rows of a large run by hash."""
+
+    def __init__(self, codes: np.ndarray, bounds: np.ndarray, similarity: float):
+        self.codes, self.bounds, self.similarity = codes, bounds, similarity
+        self.size = np.diff(bounds)
+        self.low = self.high = 0
+
+    def _places(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the rows' hashes, and which of the rows each belongs to."""
+        n = self.size[rows]
+        owner = np.repeat(np.arange(len(rows)), n)
+        return np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.bounds[rows], n), owner
+
+    def _enough(self, shared: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        return shared >= self.similarity * (self.size[i] + self.size[j] - shared) - 1e-9
+
+    def pairs(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Which of the pairs are similar enough."""
+        one, two = (self._keys(x) for x in (i, j))
+        at = np.minimum(np.searchsorted(two, one), max(0, len(two) - 1))
+        hit = one[two[at] == one] if len(two) else one[:0]
+        return self._enough(np.bincount((hit >> np.uint64(32)).astype(np.int64), minlength=len(i)), i, j)
+
+    def _keys(self, rows: np.ndarray) -> np.ndarray:
+        place, owner = self._places(rows)
+        return owner.astype(np.uint64) << np.uint64(32) | self.codes[place]
+
+    def lay(self, low: int, high: int) -> None:
+        """List the rows from ``low`` to ``high`` by hash."""
+        if (self.low, self.high) == (low, high):
+            return
+        self.low, self.high = low, high
+        codes = self.codes[self.bounds[low] : self.bounds[high]]
+        order = np.argsort(codes, kind="stable")
+        new = np.concatenate([[True], codes[order][1:] != codes[order][:-1]])[: len(codes)]
+        self.first = np.append(np.flatnonzero(new), len(codes))
+        self.number = np.empty(len(codes), np.int32)
+        self.number[order] = np.cumsum(new) - 1
+        self.holder = np.repeat(np.arange(high - low, dtype=np.int32), self.size[low:high])[order]
+
+    def row(self, i: int, j: np.ndarray) -> np.ndarray:
+        """Which rows of the run laid out last are similar enough to one of them."""
+        own = self.number[self.bounds[i] - self.bounds[self.low] : self.bounds[i + 1] - self.bounds[self.low]]
+        first, n = self.first[own], self.first[own + 1] - self.first[own]
+        place = np.arange(n.sum()) + np.repeat(first - (np.cumsum(n) - n), n)
+        shared = np.bincount(self.holder[place], minlength=self.high - self.low)
+        return self._enough(shared[j - self.low], np.full(len(j), i), j)
+
+
+def similar_links(fp: np.ndarray, run: np.ndarray, sets: Sets, radius: int) -> Forest:
+    """A forest of the pairs within ``radius`` whose sets are similar enough; pairs that are connected already are passed over."""
+    forest = Forest(len(run))
+    if len(run) < 2:
+        return forest
+    starts, sizes, left = runs(run)
+
+    def apart(i, j):
+        keep = forest.root[i] != forest.root[j]
+        return i[keep], j[keep]
+
+    for i, j in near(fp, left, radius):
+        i, j = apart(i, j)
+        good = _alike(sets.size[i], sets.size[j], sets.similarity)
+        i, j = i[good], j[good]
+        if not len(i):
+            continue
+        at = int(np.searchsorted(starts, i[0], "right")) - 1
+        if sizes[at] <= 64:
+            for low in range(0, len(i), RECORDS):
+                a, b = apart(i[low : low + RECORDS], j[low : low + RECORDS])
+                good = sets.pairs(a, b)
+                forest.link(a[good], b[good])
+        else:
+            sets.lay(int(starts[at]), int(starts[at] + sizes[at]))
+            order = np.argsort(i, kind="stable")
+            rows, first = np.unique(i[order], return_index=True)
+            for row, others in zip(rows.tolist(), np.split(j[order], first[1:]), strict=True):
+                a, b = apart(np.full(len(others), row), others)
+                if len(b):
+                    good = sets.pairs(a, b) if len(b) < 16 else sets.row(row, b)
+                    forest.link(a[good], b[good])
+        _settle(forest, starts, sizes, left)
+    return forest
+
 
-    The set of ``a`` goes once to every ``CHUNK`` of its partners, each of
-    which sends its own; a text is read once for every ``CHUNK`` of what it sends.
-    """
-    many = pairs.groupBy("a").agg(F.ceil(F.count("*") / CHUNK).alias("many"))
-    dealt = pairs.join(many, "a").select("a", F.pmod(F.xxhash64("b"), F.col("many")).alias("deal"), "b")
-    sent = dealt.select(F.col("b").alias("fp"), "*").unionByName(dealt.select("a", "deal").distinct().select(F.col("a").alias("fp"), "*", F.lit(None).cast("long").alias("b")))
-    asked = sent.join(least.select("fp", "row"), "fp")
-    chunks = asked.groupBy("row").agg(F.ceil(F.count("*") / CHUNK).alias("chunks"))
-    asked = asked.join(chunks, "row").groupBy("row", F.pmod(F.xxhash64("a", "deal"), F.col("chunks")).alias("chunk")).agg(F.collect_list(F.struct("a", "deal", "b")).alias("asked"))
+def _verified(met: DataFrame, texts: DataFrame, k: int, least: DataFrame, radius: int, similarity: float, block: int) -> DataFrame:
+    """Forests ``a, b`` of the verified links among the rows ``fp, bucket, size`` of each bucket; a text is read once, and its set goes to each of its buckets."""
+    names = [f"word{j}" for j in range(4)]
+    asked = met.select("fp").distinct().join(least.select("fp", "row"), "fp")
 
     def cut(batches):
-        for batch in bounded(batches, 0):
-            for text, asks in zip(batch.column(0), batch.column(1), strict=True):
-                own = (sketch(text.as_py(), k)[0] >> np.uint64(32)).astype(np.uint32).tobytes()
-                columns = zip(*((x["a"], x["deal"], x["b"]) for x in asks.as_py()), strict=True)
-                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns), pa.array([own] * len(asks), pa.binary())], names=["a", "deal", "b", "own"])
+        for batch in bounded(batches, 1):
+            made = [sketch(x.as_py(), k) for x in batch.column(1)]
+            words = np.array([w for _, w in made]).T
+            own = [(x >> np.uint64(32)).astype(np.uint32).tobytes() for x, _ in made]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(w)) for w in words), pa.array(own, pa.binary())], names=["fp", *names, "own"])
 
     def check(batches):
-        hub, first = None, None
-        for batch in batches:
-            good = []
-            for a, deal, b, own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                own = np.frombuffer(own, np.uint32)
-                if b is None:
-                    hub, first = (a, deal), own
-                elif hub == (a, deal):
-                    shared = len(np.intersect1d(first, own))
-                    if shared >= similarity * (len(first) + len(own) - shared) - 1e-9:
-                        good.append((a, b))
-            if good:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*good, strict=True)], names=["a", "b"])
-
-    parts = texts.join(asked, "row").select("text", "asked").mapInArrow(cut, "a long, deal long, b long, own binary")
-    return parts.repartition("a", "deal").sortWithinPartitions("a", "deal", F.col("b").asc_nulls_first()).mapInArrow(check, "a long, b long")
+        held: list[pa.RecordBatch] = []
+        for batch in itertools.chain(batches, [None]):
+            if batch is not None:
+                held.append(batch)
+                if sum(b.num_rows for b in held) < PART and sum(b.nbytes for b in held) < 4 * CODES:
+                    continue
+            elif not held:
+                return
+            rows = pa.Table.from_batches(held).combine_chunks()
+            run = rows.column("run").to_numpy()
+            cut = len(run) if batch is None else int(np.searchsorted(run, run[-1]))  # the last run may go on
+            held = rows.slice(cut).to_batches()
+            if not cut:
+                continue
+            own = rows.column("own").chunk(0)
+            bounds = np.frombuffer(own.buffers()[1], np.int32)[own.offset : own.offset + cut + 1].astype(np.int64) // 4
+            codes = np.frombuffer(own.buffers()[2] or b"", np.uint32)
+            fp = np.stack([rows.column(c).to_numpy()[:cut] for c in names]).view(np.uint64)
+            edges = similar_links(fp, run[:cut], Sets(codes[bounds[0] : bounds[-1]], bounds - bounds[0], similarity), radius).edges
+            if edges:
+                ids = rows.column("fp").to_numpy()
+                yield pa.RecordBatch.from_arrays([pa.array(ids[np.array(side)]) for side in zip(*edges, strict=True)], names=["a", "b"])
+
+    sets = texts.join(asked, "row").select("fp", "text").mapInArrow(cut, ", ".join(["fp long", *(f"{c} long" for c in names), "own binary"]))
+    parts = met.groupBy("bucket").agg(F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("size") / CODES)).cast("int").alias("parts")).where("parts > 1")
+    rows = _runs(met, parts).join(sets, "fp").select("run", "fp", *names, "own")
+    with arrow_rows(met.sparkSession, RECORDS):
+        return materialize(rows.repartition("run").sortWithinPartitions("run", "fp").mapInArrow(check, "a long, b long").distinct())
 
 
 def _labelled(prints: DataFrame, least: DataFrame, found: DataFrame, doc_id: str) -> DataFrame:
