@@ -175,3 +175,15 @@ def test_the_query(spark, sf_dir):
         assert (r.n_tokens, r.n_known, r.train_tokens) == (a, b, c) and abs(r.base_score - d) < 1e-6 * max(1, abs(d))
     out = [r for r in rows if r.held_out and r.n_tokens > 50]
     assert sum(r.bits_per_byte for r in out) / len(out) < 3  # texts not learned from; bytes alone have an entropy of 4.6
+
+
+def test_weights_and_map_see_every_unit(spark, monkeypatch):
+    """Fitting takes the whole table of units, whatever its size."""
+    seen, texts = [], [" ".join(f"w{k * k}" for k in range(n)) for n in range(60)]
+    monkeypatch.setattr(op, "FIT_UNITS", 4, raising=False)
+    for name in ("_learn_weights", "_learn_map"):
+        real = getattr(op, name)
+        monkeypatch.setattr(op, name, lambda units, m, real=real: seen.append({bytes(r.unit) for r in units.select("unit").collect()}) or real(units, m))
+    model(spark, texts)
+    want = {u for t in texts for u in slow_units(t)}
+    assert seen == [want, want]

@@ -14,8 +14,8 @@ space with the end. Contexts reach back to the byte before the unit and no furth
 so a unit's probability depends on its own bytes alone: units are
 counted once over all training texts, and scored once a batch. All counts come
 from that table of units, which grows with the corpus. Weights and map are a
-classifier of turns: they are fitted to about ``FIT_UNITS`` distinct units, drawn
-by a hash and weighed by their counts, and see each occurrence with itself
+classifier of turns: they are fitted to all of its units,
+weighed by their counts, and see each occurrence with itself
 taken out of the tables. Weights are learned online, one Newton step a chunk of
 units, in each task; tasks are joined by their curvature.
 
@@ -52,7 +52,6 @@ INPUTS = PREDICTORS + 1  # and a constant
 MIN_BITS, MAX_BITS = 16, 22
 BLOCK = 16  # log2 of the slots that are merged and sent as one
 FREQUENT = 1 << 20
-FIT_UNITS = 1 << 19
 #: Bytes of text of a batch, and bytes of units of a chunk.
 BATCH, CHUNK = 4 << 20, 1 << 15
 #: Added to either count.
@@ -431,17 +430,15 @@ def train(docs: DataFrame, text: str = "text") -> Scorer:
     often = tokens.where(F.col("size") >= least) if least is not None else tokens.limit(0)
     top = often.select("token", "n").orderBy("token").toArrow()  # at most FREQUENT rows
     frequent = (np.asarray(top.column(0)), np.asarray(top.column(1)))
-    counts, size, distinct = byte_counts(units)
+    counts, size, _ = byte_counts(units)
     bits = min(MAX_BITS, max(MIN_BITS, size.bit_length()))
     tree = Tree(counts)
     flat = np.tile(_centre(), (256, 1))
     start = np.full((GATES, INPUTS), START)
     start[:, -1] = 0
     model = Model(tree, bits, _tables(units, tree, bits), start, flat)
-    share = min(1.0, FIT_UNITS / max(1, distinct))
-    drawn = units.where(F.xxhash64("unit").bitwiseAND(F.lit((1 << 30) - 1)) < share * (1 << 30))
-    model.weights = _learn_weights(drawn, model)
-    model.map = _learn_map(drawn, model)
+    model.weights = _learn_weights(units, model)
+    model.map = _learn_map(units, model)
     release(docs, "lm")
     return Scorer(model, sum(r.n for r in sizes), sum(r.words for r in sizes), frequent, tokens.where(F.col("size") < least).select("token", "n") if least is not None else tokens.select("token", "n"))
 
