@@ -131,6 +131,16 @@ def test_stopped_backfill_goes_on_with_the_ranges_left(spark, legacy, tmp_path):
     assert backfill.ranges(None, None, 10) == [] and backfill.run(spark, noted, "party_id", [], str(tmp_path / "none"), work) == 0
 
 
+def test_a_range_is_one_file_however_many_tasks_read_it(spark, tmp_path):
+    store = str(tmp_path / "run")
+    rows = spark.range(1000).repartition(8)
+    planned = backfill.ranges(0, 1199, 100)
+    assert backfill.run(spark, backfill.between(rows, "id"), "id", planned, store, lambda x: x, wave=5) == 12
+    assert len(list((tmp_path / "run" / "results").rglob("*.parquet"))) == 10
+    marked = spark.read.parquet(f"{store}/finished").collect()
+    assert sorted((r.low, r.high, r.n_rows) for r in marked) == [(k, k + 99, 100 if k < 1000 else 0) for k in range(0, 1200, 100)]
+
+
 # Results by day
 
 

@@ -17,6 +17,7 @@ import sqlite3
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
@@ -146,10 +147,13 @@ def run(spark: SparkSession, read: Callable[[list[tuple[int, int]]], DataFrame],
         if stop_after is not None and k // wave >= stop_after:
             break
         own = left[k : k + wave]
-        rows = work(read(own)).withColumn("range", (F.floor(F.col(key) / width) * width).cast("long"))
+        # a range is one task's, so it is one file, and the driver hears of as many files as ranges
+        rows = work(read(own)).withColumn("range", (F.floor(F.col(key) / width) * width).cast("long")).repartition("range").persist(StorageLevel.DISK_ONLY)
         rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("range").parquet(f"{store}/results")
-        counts = {r["range"]: r.n for r in results(spark, store).where(F.col("range").isin([low for low, _ in own])).groupBy("range").agg(F.count("*").alias("n")).collect()}
-        spark.createDataFrame([(low, high, counts.get(low, 0)) for low, high in own], FINISHED).coalesce(1).write.mode("append").parquet(f"{store}/finished")
+        counts = rows.groupBy(F.col("range").alias("low")).agg(F.count("*").alias("n_rows"))
+        marked = spark.createDataFrame(own, "low long, high long").join(counts, "low", "left").select("low", "high", F.coalesce("n_rows", F.lit(0)).alias("n_rows"))
+        marked.coalesce(1).write.mode("append").parquet(f"{store}/finished")
+        rows.unpersist()
         count += len(own)
     return count
 
