@@ -215,6 +215,22 @@ def test_many_contexts_of_one_signature(spark):
     assert {r.class_id for r in op02_substrings.repeats(df).collect()} == {0}
 
 
+@pytest.mark.parametrize("group", [16, op02_substrings.GROUP])
+def test_passages_around_a_line_of_many_surroundings(spark, monkeypatch, group):
+    """Twenty words, a changed one and a line that hundreds of others have: only the line has a signature, and the pairs are found all the same."""
+    monkeypatch.setattr(op02_substrings, "GROUP", group)
+    rng = random.Random(17)
+    words = [f"w{k}" for k in range(8000)]
+    line, common = rng.sample(words, 29), rng.sample(words, 12)
+    heads = {k: rng.sample(words, 20) for k in range(0, 300, 25)}
+    docs = []
+    for k in range(300):
+        own = heads[k // 2 * 2 if k % 2 and k // 2 * 2 in heads else k] if k in heads or (k % 2 and k - 1 in heads) else rng.sample(words, 20)
+        docs.append([*rng.sample(words, 40), *own, f"x{k}", *line, f"y{k}", *(common if k % 3 else []), *rng.sample(words, 40)])
+    want = {(k, k + 1) for k in heads if k % 2 == 0}
+    assert len(want) == 6 and linked_pairs(spark, docs) == want
+
+
 def test_passage_verification_takes_the_given_similarity():
     x = np.arange(100, dtype=np.uint32)
     assert op02_substrings.passages(x, x.copy(), 46, 0.8) == [(0, 100, 0, 100)]
