@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from wayfold.functions import scores, text
 from wayfold.operators import accuracy, consensus, decide, dedup, merge, normalize, queue, sampling
-from wayfold.plans import config
+from wayfold.plans import config, ingest_queries
 from wayfold.plans import enrich as plan
 from wayfold.sources import payments, reference, sinks, structurers
 from wayfold.sources import requests as rq
@@ -269,6 +269,25 @@ def test_golden_files(spark, tmp_path):
     assert [(r.fixture_id, r.expected_fields) for r in rq.external_fixtures(outside, {"United States": "US"}).collect()] == [("US-001", {"STRT_NM": "Main St"})]
 
 
+def test_golden_files_of_many_fixtures(spark, tmp_path):
+    for folder, file, names in (("US", "1.json", "cb"), ("US", "2.json", "a"), ("GB", "1.json", "ed")):
+        (tmp_path / folder).mkdir(exist_ok=True)
+        (tmp_path / folder / file).write_text("\n".join(f'{{"fixture_id":"{n}","country":"{folder}","raw":"x","expected_fields":{{"CTRY":"{folder}"}}}}' for n in names))
+    fixtures, expected = rq.golden(spark, str(tmp_path), lines=True)
+    assert {(r.fixture_id, r.expected) for r in expected.collect()} == {("a", "US"), ("b", "US"), ("c", "US"), ("d", "GB"), ("e", "GB")}
+    assert sorted(r.fixture_id for r in rq.sampled(fixtures).collect()) == ["b", "d"]
+
+
+def test_golden_query_writes_few_files(spark, monkeypatch, tmp_path):
+    """Files do not grow with the fixtures, and the sampled one is the first of its country."""
+    tables = {"supplier": spark.range(3000).select(F.col("id").alias("s_suppkey"), (F.col("id") % 3).alias("s_nationkey"), F.lit("x").alias("s_name"))}
+    monkeypatch.setattr(ingest_queries.d, "table", lambda spark, sf_dir, name: tables[name])
+    monkeypatch.setattr(ingest_queries.shared, "folder", lambda spark, name: str(tmp_path / name))
+    rows = ingest_queries.s10_s12_golden_files(spark, "").collect()
+    assert len(rows) == 3000 and sorted(r.fixture_id for r in rows if r.sampled) == ["s000000000", "s000000001", "s000000002"]
+    assert len(list((tmp_path / "golden").rglob("part-*"))) <= 100
+
+
 def test_error_triage(spark):
     df = spark.createDataFrame([("TIMEOUT",), ("VALIDATION",), ("NEW",)], "error string")
     assert [(r.retryable, r.http_status) for r in decide.triage(df).collect()] == [(True, 504), (False, 400), (False, 500)]

@@ -112,10 +112,13 @@ def union_all(*channels: DataFrame) -> DataFrame:
 # Fixtures
 
 
-def golden(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Fixtures and their expected fields in long form; an expectation is an object or a bare string."""
+def golden(spark: SparkSession, path: str, lines: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Fixtures and their expected fields in long form; an expectation is an object or a bare string.
+
+    A file holds a fixture, or with ``lines`` one a line, any number of them.
+    """
     schema = "fixture_id string, country string, source string, raw string, country_hint string, locale string, expected_fields map<string,string>, validator string, validated_at string, notes string"
-    df = spark.read.schema(schema).option("multiLine", True).option("recursiveFileLookup", True).json(path).withColumn("path", F.col("_metadata.file_path"))
+    df = spark.read.schema(schema).option("multiLine", not lines).option("recursiveFileLookup", True).json(path).withColumn("path", F.col("_metadata.file_path"))
     each = df.select("fixture_id", "country", F.explode("expected_fields").alias("field", "said"))
     body = F.from_json("said", "value string, required boolean")
     shaped = F.col("said").startswith("{")
@@ -123,9 +126,9 @@ def golden(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 
 def sampled(fixtures: DataFrame) -> DataFrame:
-    """The first fixture of each folder."""
+    """The first fixture of each folder, by path; of fixtures in one file the one with the smallest id."""
     folder = F.regexp_extract("path", r"^(.*)/[^/]*$", 1)
-    return fixtures.withColumn("_first", F.row_number().over(W.partitionBy(folder).orderBy("path"))).where("_first = 1").drop("_first")
+    return fixtures.withColumn("_first", F.row_number().over(W.partitionBy(folder).orderBy("path", "fixture_id"))).where("_first = 1").drop("_first")
 
 
 def adhoc(spark: SparkSession, path: str) -> DataFrame:
