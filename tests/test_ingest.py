@@ -199,6 +199,23 @@ def test_five_thousand_patterns_equal_each_tried_on_each(spark):
     assert 0 < sum(not patterns.mandatory(x) for _, x in listed) < 5000
 
 
+def test_watch_lists_of_numbers_try_few_patterns(spark, monkeypatch):
+    """Of thousands of patterns that differ in a number only, a text meets few; a list over the limit of broadcasts takes one pass."""
+    shapes = (r"\bCustomer#0*{}\b", r"CLERK\s+{}\s+desk", r"NO\. ?{}X", r"gate {}\b.*north")
+    p = spark.createDataFrame([(k, shapes[k % 4].format(k)) for k in range(3000)], "pattern_id int, pattern string")
+    said = ("deliver to customer#000{}, Gate {} North", "clerk \t{}  desk é{}é", "Street no.{}x, gate {}north", "gate {}: to the north{}")
+    texts = [(k, said[k % 4].format(k, k + 1)) for k in range(2000)]
+    monkeypatch.setattr(patterns, "LISTED", 100)
+    t = spark.createDataFrame(texts, "request_id int, raw string")
+    found = patterns.hits(t, p)
+    compiled = [(k, re.compile(shapes[k % 4].format(k), re.IGNORECASE)) for k in range(3000)]
+    assert sorted(tuple(r) for r in found.collect()) == sorted((i, k) for i, x in texts for k, c in compiled if str(k) in x and c.search(x.upper()))
+    own = patterns.index(p).where("gram is not null")
+    bits = spark.sparkContext.broadcast(patterns._filter(own, own.count()))
+    met = patterns._cut(t.select("request_id", F.upper("raw").alias("_text")), "request_id", bits).join(own, "gram").count()
+    assert met < 20 * len(texts)
+
+
 def test_watch_lists_in_blocks_and_in_the_rules(spark, monkeypatch):
     monkeypatch.setattr(patterns, "LISTED", 2)
     monkeypatch.setattr(patterns, "BLOCK", 2)
