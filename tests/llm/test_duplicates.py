@@ -1,8 +1,11 @@
 """SimHash classes and shared passages against brute force."""
 
+import itertools
 import random
+import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from words import text_of
@@ -231,6 +234,47 @@ def test_passages_around_a_line_of_many_surroundings(spark, monkeypatch, group):
     assert len(want) == 6 and linked_pairs(spark, docs) == want
 
 
+def test_shuffle_files_go_once_their_rows_are_written(spark, monkeypatch):
+    """Between the steps nothing stays on disk but what the steps wrote."""
+    rng = random.Random(19)
+    words = [f"w{k}" for k in range(3000)]
+    shared = rng.sample(words, 80)
+    docs = [[*rng.sample(words, 30), *(shared if k % 2 else []), *rng.sample(words, 30)] for k in range(60)]
+    df = spark.createDataFrame([(k, text_of(d)) for k, d in enumerate(docs)], "doc_id long, text string")
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def files() -> set[str]:
+        each = disk.getAllFiles().iterator()
+        return {name for name in iter(lambda: each.next().getName() if each.hasNext() else None, None) if name.startswith("shuffle_")}
+
+    before = files()
+    # without the components, whose few rows are written by other code
+    monkeypatch.setattr(op02_substrings, "components", lambda edges: edges.select(F.col("a").alias("node"), F.col("a").alias("component")))
+    pairs, _ = op02_substrings.candidates(df, "doc_id", "text", op02_substrings.SHINGLE, 46, 0.8)
+    assert pairs.schema.names[:2] == ["a", "b"]
+    for _ in range(50):  # the removal runs beside the query
+        left = {f for f in files() - before if f.startswith("shuffle_")}
+        if not left:
+            break
+        time.sleep(0.1)
+    assert not left
+
+
+@pytest.mark.parametrize("pairs", [1, 7, 1 << 18])
+def test_pairs_of_groups_that_cross_batches(monkeypatch, pairs):
+    """Each group's rows of different documents, components and (in a split group) parts, once, whatever the batches."""
+    monkeypatch.setattr(op02_substrings, "PAIRS", pairs)
+    rng = np.random.default_rng(23)
+    deal = np.sort(rng.integers(0, 30, 300))
+    whole = (deal % 3 > 0).astype(np.int64)
+    doc = rng.integers(0, 40, 300)
+    rows = list(zip(deal.tolist(), np.where(whole, 0, rng.integers(0, 2, 300)).tolist(), whole.tolist(), doc.tolist(), range(300), (doc // 5).tolist(), strict=True))
+    want = sorted(min((x[3:5], y[3:5]), (y[3:5], x[3:5])) for x, y in itertools.combinations(rows, 2) if x[0] == y[0] and x[5] != y[5] and (x[1] != y[1] or x[2]))
+    batches = [pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows[k : k + 17], strict=True)], names=["deal", "part", "whole", "doc", "span", "comp"]) for k in range(0, 300, 17)]
+    got = sorted(((a, i), (b, j)) for out in op02_substrings._compare(batches) for a, i, b, j in zip(*(c.to_pylist() for c in out.columns), strict=True))
+    assert got == want
+
+
 def test_passage_verification_takes_the_given_similarity():
     x = np.arange(100, dtype=np.uint32)
     assert op02_substrings.passages(x, x.copy(), 46, 0.8) == [(0, 100, 0, 100)]
