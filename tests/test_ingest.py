@@ -228,3 +228,14 @@ def test_watch_lists_in_blocks_and_in_the_rules(spark, monkeypatch):
     ruled = patterns.watched(t, p).withColumns({"fields": empty, "overall_confidence": F.lit(1.0), "country_hint": F.lit("GB"), "outcome": F.lit("SUCCESS")})
     said = {r.request_id: "SANCTIONS_PATTERN_MATCH" in r.reasons for r in decide.compliance(ruled, decide.COMPLIANCE | {"watched": "watched"}).collect()}
     assert said == {1: True, 2: False, 3: True, 4: False}
+
+
+def test_dispatched_requests_are_decided_once(spark, sf_dir):
+    """The filter on the decision is not moved below the columns that make it, where they would be made again."""
+    from wayfold.plans import config as own
+    from wayfold.plans.queries import _decided
+
+    rows = _decided(spark, sf_dir, config=own.COMPLIANCE | {"shadow": False}).withColumn("correlation_id", F.col("request_id").cast("string"))
+    plan = sinks.dispatches(rows)._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Filter" in line and "SANCTIONS_PATTERN_MATCH" in line]
+    assert sinks.dispatches(rows).count() == rows.where("decision <> 'BYPASS'").count() > 0
