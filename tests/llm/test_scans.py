@@ -315,3 +315,19 @@ def test_decontamination_of_odd_rows(spark, odd_rows):
     df = spark.createDataFrame([(1, long), (2, "a lonely word"), (3, "")], "doc_id long, text string")
     got = {r.doc_id: [(x.item_id, x.start_word, x.distance) for x in r.leaks] for r in op07_decontamination.scan(df, bench).collect()}
     assert got == {1: [(1, 60_000, 1)], 2: [(2, 1, 0)], 3: []}
+
+
+def test_quality_factor_is_one_projection(spark):
+    """The covariance's factor equals NumPy's and takes a few projections, not one an entry, whose generated code grew beyond a method's bounds."""
+    rng = np.random.default_rng(5)
+    pairs, rows, want = op09_quality._PAIRS, [], []
+    for g in range(4):
+        z = rng.normal(size=(50, 5)) @ rng.normal(size=(5, 5))
+        c = np.cov(z.T, bias=True)
+        rows.append((str(g), *[0.0] * 5, *(float(c[i, j]) for i, j in pairs)))
+        want.append(np.linalg.cholesky(c + op09_quality.FLOOR * np.eye(5)))
+    df = op09_quality._factored(spark.createDataFrame(rows, ["_group", *op09_quality._MOMENTS]))
+    for r, low in zip(sorted(df.collect()), want, strict=True):
+        np.testing.assert_allclose([r[f"l{i}{j}"] for i, j in pairs], [low[i, j] for i, j in pairs], rtol=1e-9)
+        assert abs(r["_logdet"] - 2 * np.log(np.diag(low)).sum()) < 1e-9
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("Project [") <= 5

@@ -112,14 +112,23 @@ _MOMENTS = [*(f"m{i}" for i in _P), *(f"c{i}{j}" for i, j in _PAIRS)]
 
 
 def _factored(moments: DataFrame) -> DataFrame:
-    """Append the Cholesky factor of the covariance plus the floor, and the logarithm of its determinant."""
-    out = moments
-    for i, j in _PAIRS:
-        rest = F.col(f"c{i}{j}") + (FLOOR if i == j else 0.0)
-        for k in range(j):
-            rest = rest - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
-        out = out.withColumn(f"l{i}{j}", F.sqrt(F.greatest(rest, F.lit(1e-9))) if i == j else rest / F.col(f"l{j}{j}"))
-    return out.withColumn("_logdet", sum((2 * F.log(f"l{i}{i}") for i in _P), F.lit(0.0)))
+    """Append the Cholesky factor of the covariance plus the floor, and the logarithm of its determinant.
+
+    The factor is an array that grows entry by entry: a column for each entry would be a projection each, and the driver's generated code would pass a method's bounds.
+    """
+    covariance, factor = unused(moments, "_cov"), unused(moments, "_factor")
+    places = F.array(*(F.struct(F.lit(p).alias("p"), F.lit(i * (i + 1) // 2 + 1).alias("row"), F.lit(j * (j + 1) // 2 + 1).alias("col"), F.lit(j).alias("k"), F.lit(i == j).alias("own")) for p, (i, j) in enumerate(_PAIRS)))
+
+    def entry(known: Column, at: Column) -> Column:
+        products = F.zip_with(F.slice(known, at["row"], at["k"]), F.slice(known, at["col"], at["k"]), lambda x, y: x * y)
+        start = F.get(F.col(covariance), at["p"]) + F.when(at["own"], F.lit(FLOOR)).otherwise(F.lit(0.0))
+        value = _bind(F.aggregate(products, start, lambda rest, x: rest - x), lambda rest: F.when(at["own"], F.sqrt(F.greatest(rest, F.lit(1e-9)))).otherwise(rest / F.get(known, at["col"] + at["k"] - 1)))
+        return F.concat(known, F.array(value))
+
+    rows = moments.withColumn(covariance, F.array(*(F.col(f"c{i}{j}") for i, j in _PAIRS)))
+    rows = rows.withColumn(factor, F.aggregate(places, F.array().cast("array<double>"), entry))
+    rows = rows.withColumns({f"l{i}{j}": F.get(factor, p) for p, (i, j) in enumerate(_PAIRS)}).drop(covariance, factor)
+    return rows.withColumn("_logdet", sum((2 * F.log(f"l{i}{i}") for i in _P), F.lit(0.0)))
 
 
 def _moments(rows: DataFrame, *by: str, before: Column) -> DataFrame:
