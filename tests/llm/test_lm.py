@@ -187,3 +187,24 @@ def test_weights_and_map_see_every_unit(spark, monkeypatch):
     model(spark, texts)
     want = {u for t in texts for u in slow_units(t)}
     assert seen == [want, want]
+
+
+def test_frequent_units_are_scored_once(spark):
+    """Units that training saw often come with their scores; a batch computes the others only, and gets the same scores."""
+    texts = ["so it goes and so it went \n", "\t and  it goes on", "", None, "Ärger und 日本語 so"]
+    scorer = model(spark, texts)
+    reader = op.Reader(scorer.model)
+    code, score = scorer.units
+    seen = op.Units(pa.array(texts))
+    assert (np.diff(code.view(np.int64).astype(object)) != 0).all() and set(code.tolist()) == set(seen.code.tolist())
+    np.testing.assert_allclose(score[np.searchsorted(code, seen.code)], reader.unit_scores(seen.bytes, seen.offsets), rtol=1e-12)
+    new = op.Units(pa.array(["so it goes elsewhere", "and so\x0bon"]))
+    asked = []
+
+    class Counting:
+        def unit_scores(self, flat, offsets):
+            asked.append(len(offsets) - 1)
+            return reader.unit_scores(flat, offsets)
+
+    np.testing.assert_allclose(op.unit_scores(new, Counting(), scorer.units), reader.unit_scores(new.bytes, new.offsets), rtol=1e-12)
+    assert asked == [int((~np.isin(new.code, code)).sum())] and 0 < asked[0] < len(new.code)

@@ -21,7 +21,8 @@ units, in each task; tasks are joined by their curvature.
 
 Slots per context grow with the table of units up to ``2**MAX_BITS``, so the
 tables that go to the tasks are bounded. Token counts are not: the at most
-``FREQUENT`` most frequent words go to the tasks, all others are joined.
+``FREQUENT`` most frequent words go to the tasks, all others are joined. The
+``FREQUENT`` most frequent units go there with their scores, all others are scored in their batch.
 
 Defined cases: null and empty texts are an end alone; very long texts are read
 whole, in a batch of their own; repeated rows weigh as often as they stand
@@ -39,7 +40,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -65,7 +66,7 @@ GRADES = 85
 _KNOWN = ((_LOW + _HIGH) > 0).astype(int) + ((_LOW + _HIGH) > 3)
 _BYTE = (_KNOWN * GRADES + np.clip(np.rint(5 * np.log((_HIGH + PRIOR) / (_LOW + PRIOR))), -42, 42) + 42).astype(np.uint8)
 ODDS = ((np.arange(256) % GRADES - 42) / 5).astype(np.float32)
-KNOWN = np.minimum(np.arange(256) // GRADES, 2)
+KNOWN = np.minimum(np.arange(256) // GRADES, 2).astype(np.uint8)
 GATES = 27
 #: A turn's pair with one occurrence of it taken out, where the count is whole; turn 0 first.
 _WITHOUT = np.concatenate([np.where((_PAIR >> 8 > 0) & (_PAIR >> 8 < 64), _PAIR - 256, _PAIR), np.where((_PAIR & 255 > 0) & (_PAIR & 255 < 64), _PAIR - 1, _PAIR)])
@@ -97,15 +98,17 @@ class Units:
         self.token = np.concatenate([words.code, np.zeros(len(n), np.uint64)])[order].view(np.int64)
         self.first = np.concatenate([[0], np.cumsum(n + 1)])  # of each text's units
         # a unit's code, from its word's, the white space before it and the byte before that
-        gap = start + 1
-        gap_stop = np.concatenate([words.start + owner + 1, ends])[order]
-        lead = flat[start].astype(np.uint64)
-        code = mix(self.token.view(np.uint64) + mix(span_codes(flat, gap, gap_stop) + lead * np.uint64(0x9E3779B97F4A7C15)))
-        _, at, self.of, self.count = np.unique(code, return_index=True, return_inverse=True, return_counts=True)
+        code = _unit_codes(self.token, flat, start, np.concatenate([words.start + owner + 1, ends])[order])
+        self.code, at, self.of, self.count = np.unique(code, return_index=True, return_inverse=True, return_counts=True)
         self.own = self.token[at]
         self.bytes, self.offsets = _cut(flat, start[at], stop[at])
 
 
+def _unit_codes(token: np.ndarray, flat: np.ndarray, start: np.ndarray, gap_stop: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each unit that begins at ``start`` with the byte before it; its white space ends at ``gap_stop``."""
+    return mix(token.view(np.uint64) + mix(span_codes(flat, start + 1, gap_stop) + flat[start].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+
+
 def _cut(flat: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n = stop - start
     offsets = np.concatenate([[0], np.cumsum(n)])
@@ -205,7 +208,8 @@ class Model:
 
     def without(self, turns: Turns) -> tuple[list[np.ndarray], np.ndarray]:
         """Grades of each predictor with the occurrence itself taken out, and gates."""
-        grades = [_BYTE_WITHOUT.take(t.take(s, mode="clip") + (turns.turn << 16), mode="clip") for t, s in zip(self.tables, turns.slots, strict=True)]
+        side = turns.turn << 16
+        grades = [_BYTE_WITHOUT.take(t.take(s, mode="clip") + side, mode="clip") for t, s in zip(self.tables, turns.slots, strict=True)]
         return grades, _gate(grades)
 
     def mixed(self, grades: list[np.ndarray], gate: np.ndarray) -> np.ndarray:
@@ -243,7 +247,7 @@ class Reader:
 def _gate(grades: list[np.ndarray]) -> np.ndarray:
     """By how well the three longer contexts are known."""
     a, b, c = (KNOWN.take(g, mode="clip") for g in grades[-3:])
-    return (a * 3 + b) * 3 + c
+    return ((a * 3 + b) * 3 + c).astype(np.int64)
 
 
 def _bucket(odds: np.ndarray) -> np.ndarray:
@@ -355,16 +359,20 @@ def _learn_weights(units: DataFrame, model: Model) -> np.ndarray:
             for low, high, part, ends in _chunks(*_spans(batch.column(0))):
                 turns = Turns(m.tree, part, ends, m.bits)
                 grades, gate = m.without(turns)
-                p = 1 / (1 + np.exp(-m.mixed(grades, gate).astype(np.float64)))
-                weight = np.repeat(n[low:high], turns.count)
-                error, bend = (turns.turn - p) * weight, p * (1 - p) * weight
-                inputs = [*(ODDS[g] for g in grades), np.ones(len(gate), np.float32)]
-                slope = np.stack([np.bincount(gate, error * x, GATES) for x in inputs], axis=1)
-                for i in range(INPUTS):
-                    bent = bend * inputs[i]
-                    for j in range(i, INPUTS):
-                        curve[:, i, j] += np.bincount(gate, bent * inputs[j], GATES)
-                        curve[:, j, i] = curve[:, i, j]
+                # turns by gate, so that each gate's sums are one product
+                order = np.argsort(gate.astype(np.uint8), kind="stable")
+                cuts = np.searchsorted(gate[order], np.arange(GATES + 1))
+                x = np.ones((INPUTS, len(order)))
+                for k, grade in enumerate(grades):
+                    x[k] = ODDS.take(grade.take(order), mode="clip")
+                p = 1 / (1 + np.exp(-m.mixed(grades, gate)[order].astype(np.float64)))
+                weight = np.repeat(n[low:high], turns.count)[order]
+                error, bent = (turns.turn[order] - p) * weight, x * (p * (1 - p) * weight)
+                slope = np.zeros((GATES, INPUTS))
+                for g in np.flatnonzero(np.diff(cuts)).tolist():
+                    own = slice(cuts[g], cuts[g + 1])
+                    slope[g] = x[:, own] @ error[own]
+                    curve[g] += bent[:, own] @ x[:, own].T
                 m.weights += np.linalg.solve(curve + RIDGE * np.eye(INPUTS), slope[:, :, None])[:, :, 0]
         return np.concatenate([curve.ravel(), (curve @ (m.weights - start)[:, :, None]).ravel()])
 
@@ -399,11 +407,64 @@ def _centre() -> np.ndarray:
     return 1 / (1 + np.exp(-(np.arange(BUCKETS) - BUCKETS // 2) / SPREAD))
 
 
+def _least(sizes: list[Row]) -> int | None:
+    """The lowest ``size`` down to which there are at most ``FREQUENT`` rows; None if the highest has more."""
+    held, least = 0, None
+    for r in sorted(sizes, key=lambda r: -r.size):
+        held += r.rows
+        if held > FREQUENT:
+            break
+        least = r.size
+    return least
+
+
+def _size() -> Column:
+    return F.floor(F.log2("n") * 16).alias("size")
+
+
+def _frequent_units(units: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of the at most ``FREQUENT`` most frequent units, ascending, and their scores."""
+    least = _least(units.groupBy(_size()).agg(F.count("*").alias("rows")).collect())  # some hundred
+    if least is None:
+        return np.zeros(0, np.uint64), np.zeros(0)
+    shared = units.sparkSession.sparkContext.broadcast(Reader(model))
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            flat, offsets = _spans(batch.column(0))
+            solid = ~_SPACE[flat]
+            solid[offsets[:-1]] = False
+            places = np.flatnonzero(solid)
+            code = _unit_codes(np.asarray(batch.column(1)), flat, offsets[:-1], places[np.searchsorted(places, offsets[:-1])])
+            yield pa.RecordBatch.from_arrays([pa.array(code.view(np.int64)), pa.array(shared.value.unit_scores(flat, offsets))], ["code", "score"])
+
+    found = units.where(_size() >= least).select("unit", "token").mapInArrow(run, "code long, score double").toArrow()  # at most FREQUENT rows
+    shared.unpersist()
+    code = np.asarray(found.column(0)).view(np.uint64)
+    order = np.argsort(code)
+    return code[order], np.asarray(found.column(1))[order]
+
+
+def unit_scores(u: Units, reader: Reader, frequent: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Natural logarithm of the probability of each unit of a batch: read from the frequent ones, else computed."""
+    code, score = frequent
+    if not len(code):
+        return reader.unit_scores(u.bytes, u.offsets)
+    at = np.minimum(np.searchsorted(code, u.code), len(code) - 1)
+    out = score[at]
+    rest = np.flatnonzero(code[at] != u.code)
+    out[rest] = reader.unit_scores(*_cut(u.bytes, u.offsets[rest], u.offsets[rest + 1]))
+    return out
+
+
 @dataclass
 class Scorer:
-    """A model, and the training tokens: how many, how many distinct, the counts of the frequent ones and those of the others."""
+    """A model, the scores of the frequent units, and the training tokens: how many, how many distinct, the counts of the frequent ones and those of the others."""
 
     model: Model
+    units: tuple[np.ndarray, np.ndarray]
     tokens: int
     distinct: int
     frequent: tuple[np.ndarray, np.ndarray]
@@ -419,14 +480,9 @@ def train(docs: DataFrame, text: str = "text") -> Scorer:
     """Learn from all rows."""
     with scratch("lm"):
         units = stored(unit_counts(docs, text).sortWithinPartitions("token", "unit"))  # an order that does not depend on the run
-    tokens = materialize(units.groupBy("token").agg(F.sum("n").alias("n")).withColumn("size", F.floor(F.log2("n") * 16)))
-    sizes = tokens.groupBy("size").agg(F.count("*").alias("words"), F.sum("n").alias("n")).orderBy(F.desc("size")).collect()  # some hundred
-    held, least = 0, None
-    for r in sizes:
-        held += r.words
-        if held > FREQUENT:
-            break
-        least = r.size
+    tokens = materialize(units.groupBy("token").agg(F.sum("n").alias("n")).select("*", _size()))
+    sizes = tokens.groupBy("size").agg(F.count("*").alias("rows"), F.sum("n").alias("n")).collect()  # some hundred
+    least = _least(sizes)
     often = tokens.where(F.col("size") >= least) if least is not None else tokens.limit(0)
     top = often.select("token", "n").orderBy("token").toArrow()  # at most FREQUENT rows
     frequent = (np.asarray(top.column(0)), np.asarray(top.column(1)))
@@ -439,22 +495,22 @@ def train(docs: DataFrame, text: str = "text") -> Scorer:
     model = Model(tree, bits, _tables(units, tree, bits), start, flat)
     model.weights = _learn_weights(units, model)
     model.map = _learn_map(units, model)
+    scored = _frequent_units(units, model)
     release(docs, "lm")
-    return Scorer(model, sum(r.n for r in sizes), sum(r.words for r in sizes), frequent, tokens.where(F.col("size") < least).select("token", "n") if least is not None else tokens.select("token", "n"))
+    return Scorer(model, scored, sum(r.n for r in sizes), sum(r.rows for r in sizes), frequent, tokens.where(F.col("size") < least).select("token", "n") if least is not None else tokens.select("token", "n"))
 
 
 def score(docs: DataFrame, scorer: Scorer, doc_id: str = "doc_id", text: str = "text", extra: dict[str, Column] | None = None) -> DataFrame:
     """``doc_id``, the ``extra`` columns, ``n_tokens, n_known, train_tokens, base_score, score, bits_per_byte``."""
     extra = extra or {}
-    shared = docs.sparkSession.sparkContext.broadcast((scorer.model, scorer.frequent))
+    shared = docs.sparkSession.sparkContext.broadcast((Reader(scorer.model), scorer.units, scorer.frequent))
     whole = scorer.whole
 
     def run(batches):
-        model, (token, count) = shared.value
-        reader = Reader(model)
+        reader, frequent, (token, count) = shared.value
         for batch in bounded(batches, -1, BATCH):
             u = Units(batch.column(batch.num_columns - 1))
-            each = reader.unit_scores(u.bytes, u.offsets)
+            each = unit_scores(u, reader, frequent)
             at = np.minimum(np.searchsorted(token, u.own), max(0, len(token) - 1))
             known = token[at] == u.own if len(token) else np.zeros(len(u.own), bool)
             own = np.where(known, np.log10((count[at] + 0.5) / whole), 0) if len(token) else np.zeros(len(u.own))
